@@ -12,7 +12,8 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,24 +24,53 @@ ROW_LIMIT = 1_000_000
 MAX_INLINE_HOT = 2_000
 SLICE = "_slice"
 
-_hot_memo: dict[tuple, object] = {}
+_hot_memo: dict[tuple, list] = {}
+_known: list[tuple[frozenset, list]] = []
 
 
 def _cols(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def hot_slices(df: DataFrame, keys, slice_expr: Column, limit: int = ROW_LIMIT) -> DataFrame:
+def _find_hot(df: DataFrame, keys: list[str], limit: int) -> list:
+    """Keys with more than ``limit`` rows: at most rows/limit of them."""
+    token = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
+    if token not in _hot_memo:
+        counted = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+        _hot_memo[token] = counted.limit(MAX_INLINE_HOT + 1).collect()
+    return _hot_memo[token]
+
+
+@contextmanager
+def one_layout(df: DataFrame, keys, limit: int | None = None) -> Iterator[None]:
+    """Look for hot keys once; every ordered step built inside reuses the answer,
+    also for finer groups of the same keys."""
+    keys = _cols(keys)
+    if _lookup(keys) is None:
+        _known.append((frozenset(keys), _find_hot(df, keys, limit or ROW_LIMIT)))
+        try:
+            yield
+        finally:
+            _known.pop()
+    else:
+        yield
+
+
+def _lookup(keys: list[str]) -> list | None:
+    for known, hot in reversed(_known):
+        if known == frozenset(keys) or (not hot and known <= frozenset(keys)):
+            return hot
+    return None
+
+
+def hot_slices(df: DataFrame, keys, slice_expr: Column, limit: int | None = None) -> DataFrame:
     """Add ``_slice``: 0 for ordinary keys, ``slice_expr`` (above 0) for hot ones.
     Without any hot key the frame is returned unchanged."""
     keys = _cols(keys)
-    token = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
-    hot = _hot_memo.get(token)
-    counted = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+    limit = limit or ROW_LIMIT
+    hot = _lookup(keys)
     if hot is None:
-        # at most rows/limit keys can qualify; beyond the inline bound they are joined
-        hot = counted.limit(MAX_INLINE_HOT + 1).collect()
-        _hot_memo[token] = hot
+        hot = _find_hot(df, keys, limit)
     if not hot:
         # no slice column: the ordered operators then use one plain window
         return df
@@ -53,7 +83,8 @@ def hot_slices(df: DataFrame, keys, slice_expr: Column, limit: int = ROW_LIMIT)
                 [reduce(lambda a, b: a & b, [F.col(k) == F.lit(r[k]) for k in keys]) for r in hot],
             )
         return df.withColumn(SLICE, F.when(is_hot, slice_expr.cast("long")).otherwise(F.lit(0).cast("long")))
-    marked = counted.withColumn("_hot", F.lit(True))
+    counted = df.groupBy(*keys).count().where(F.col("count") > limit)
+    marked = counted.select(*keys, F.lit(True).alias("_hot"))
     return (
         df.join(marked, keys, "left")
         .withColumn(SLICE, F.when(F.col("_hot"), slice_expr.cast("long")).otherwise(F.lit(0).cast("long")))
@@ -61,6 +92,17 @@ def hot_slices(df: DataFrame, keys, slice_expr: Column, limit: int = ROW_LIMIT)
     )
 
 
+def group_stats(df: DataFrame, keys, aggs: dict[str, Column], sliced: bool | None = None) -> DataFrame:
+    """Every row with aggregates of its whole key. Ordinary keys share the
+    shuffle of the ordered windows around this step; with hot keys the aggregate
+    is computed apart (pre-aggregated before its shuffle) and joined."""
+    keys = _cols(keys)
+    if SLICE not in df.columns and not sliced:
+        w = Window.partitionBy(*keys)
+        return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
+    return df.join(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys)
+
+
 def shift(df: DataFrame, keys, order, exprs: dict[str, tuple[str | Column, int]]) -> DataFrame:
     """``exprs`` maps an output name to (expression, offset); offset -1 is the
     row before, +1 the row after. Needs the ``_slice`` column of

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +14,14 @@ from pyspark.sql.window import Window
 from ..functions.geo import haversine_km, haversine_m, in_bbox
 from ..functions.shape import clamp
 from ..session import cut
-from .ordered import SLICE, _cols, hot_slices, row_number, running_sum, shift
+from .ordered import SLICE, _cols, group_stats, hot_slices, one_layout, row_number, running_sum, shift
 
 KM_PER_DEG_LAT = 111.0  # fixed values of the flat-earth metric
 KM_PER_DEG_LON = 101.0
 KM_PER_NM = 1.852
 SEQ_SLICE = 65536
 TIME_SLICE = 60
+R_M = 6371000.0
 
 
 def by_seq(df: DataFrame, keys, seq: str = "seq") -> DataFrame:
@@ -109,21 +111,25 @@ def _fold(metric: str, limit: float, keys: list[str]):
         for pdf in batches:
             if not len(pdf):
                 continue
-            k = list(zip(*[pdf[c].to_numpy() for c in keys]))
-            change = np.flatnonzero(np.fromiter((a != b for a, b in zip(k[1:], k)), bool, len(k) - 1)) + 1
-            starts = np.concatenate([[0], change, [len(k)]])
+            kcols = [pdf[c].to_numpy() for c in keys]
+            n = len(pdf)
+            change = np.zeros(n - 1, dtype=bool)
+            for c in kcols:
+                change |= c[1:] != c[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1, [n]])
             keep = np.zeros(len(pdf), dtype=bool)
             pos = pdf[RUN_COLS].to_numpy(dtype="float64")
             ent = pdf[["e_lon", "e_lat", "e_t"]].to_numpy(dtype="float64")
             for s, e in zip(starts, starts[1:]):
-                if k[s] != prev_key:
+                key = tuple(c[s] for c in kcols)
+                if key != prev_key:
                     last = None if np.isnan(ent[s, 2]) else tuple(ent[s])
                 flags = _keep_sorted(metric, limit, pos[s:e], last)
                 keep[s:e] = flags
                 kept = np.flatnonzero(flags)
                 if len(kept):
                     last = tuple(pos[s + kept[-1]])
-                prev_key = k[s]
+                prev_key = key
             pdf = pdf.assign(kept=keep)
             yield pdf
 
@@ -197,12 +203,11 @@ def arc_ratio(vertices: DataFrame, key="part_id", metric=None) -> DataFrame:
 
     key = _cols(key)
     x, y = (metric or lonlat_to_tm2)("lon", "lat")
-    v = by_seq(vertices.withColumns({"x": x, "y": y}), key)
+    v = by_seq(vertices, key).withColumns({"x": x, "y": y})
     v = shift(v, key, "seq", {"_x0": ("x", -1), "_y0": ("y", -1)})
     step = F.coalesce(F.hypot(F.col("x") - F.col("_x0"), F.col("y") - F.col("_y0")), F.lit(0.0))
     v = running_sum(v.withColumn("_step", step), key, "seq", {"cum_m": "_step"})
-    total = v.groupBy(*key).agg(F.max("cum_m").alias("length_m"))
-    out = v.join(total, key)
+    out = group_stats(v, key, {"length_m": F.max("cum_m")})
     ratio = F.when(F.col("length_m") > 0, F.col("cum_m") / F.col("length_m")).otherwise(F.lit(0.0))
     return out.withColumn("ratio", ratio).drop("_x0", "_y0", "_step", SLICE)
 
@@ -236,8 +241,7 @@ def ring_roll_min(ring_vertices: DataFrame, key, value: str, radius: int = 2, fl
     """Circular rolling minimum along open rings. The first and last ``radius``
     vertices are repeated beyond the other end; the window then needs no wrap."""
     key = _cols(key)
-    n = ring_vertices.groupBy(*key).agg(F.count("*").alias("_n"))
-    v = ring_vertices.join(n, key)
+    v = group_stats(by_seq(ring_vertices, key), key, {"_n": F.count("*")}).drop(SLICE)
     # a ring shorter than the window repeats as often as the window needs
     turns = F.expr(f"transform(sequence(-ceil({radius} / _n), ceil({radius} / _n)), k -> k * _n + seq)")
     padded = v.withColumn("_pos", F.explode(F.filter(turns, lambda p: (p >= -radius) & (p < F.col("_n") + radius))))
@@ -266,12 +270,12 @@ def profile_envelope(profile: DataFrame, key, radius: int, passes: int = 3, valu
 def clip_runs(vertices: DataFrame, bbox, margin: float = 0.0, key="part_id", min_points: int = 2) -> DataFrame:
     """Maximal runs of consecutive vertices inside the box, numbered per line."""
     key = _cols(key)
-    v = by_seq(vertices.withColumn("_in", in_bbox("lon", "lat", bbox, margin)), key)
+    v = by_seq(vertices, key).withColumn("_in", in_bbox("lon", "lat", bbox, margin))
     v = shift(v, key, "seq", {"_was": ("_in", -1)})
     starts = (F.col("_in") & ~F.coalesce("_was", F.lit(False))).cast("long")
     v = running_sum(v.withColumn("_start", starts), key, "seq", {"run_id": "_start"}).where("_in")
-    big = v.groupBy(*key, "run_id").agg(F.count("*").alias("run_n")).where(F.col("run_n") >= min_points)
-    return v.join(big, [*key, "run_id"]).drop("_in", "_was", "_start", SLICE)
+    v = group_stats(v, [*key, "run_id"], {"run_n": F.count("*")}).where(F.col("run_n") >= min_points)
+    return v.drop("_in", "_was", "_start", SLICE)
 
 
 def top_n(df: DataFrame, part, order, n: int) -> DataFrame:
@@ -302,8 +306,7 @@ def sample_vertices(vertices: DataFrame, every: int = 8, cap: int = 40, key="par
     """Every ``every``-th vertex and the last one; longer lists are thinned to
     ``cap`` evenly spaced picks (half-even rounding)."""
     key = _cols(key)
-    n = vertices.groupBy(*key).agg((F.max("seq") + 1).alias("_n"))
-    v = vertices.join(n, key)
+    v = group_stats(by_seq(vertices, key), key, {"_last": F.max("seq")}).drop(SLICE).withColumn("_n", F.col("_last") + 1).drop("_last")
     last = F.col("seq") == F.col("_n") - 1
     v = v.where((F.col("seq") % every == 0) | last)
     # k: position in the thinned list; m: its length
@@ -335,49 +338,55 @@ def to_legs(stops: DataFrame) -> DataFrame:
     return s.where(F.col("to_station").isNotNull()).withColumnRenamed("station", "from_station").drop(SLICE)
 
 
-def main_axis(vertices: DataFrame, key) -> DataFrame:
-    """Centre and unit main direction of each vertex cloud in local metres.
-
-    Columns: lat0, cx, cy, ux, uy. Two aggregations (mean latitude fixes the
-    local scale, centred moments give the closed-form 2x2 eigenvector)."""
-    key = _cols(key)
-    lat0 = vertices.groupBy(*key).agg(F.avg("lat").alias("lat0"))
-    m = vertices.join(lat0, key).withColumns(local_metres())
-    c = m.groupBy(*key).agg(F.first("lat0").alias("lat0"), F.avg("_mx").alias("cx"), F.avg("_my").alias("cy"))
-    dx, dy = F.col("_mx") - F.col("cx"), F.col("_my") - F.col("cy")
-    s = m.join(c.drop("lat0"), key).groupBy(*key).agg(
-        F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.first("lat0").alias("lat0"),
-        F.sum(dx * dx).alias("sxx"), F.sum(dy * dy).alias("syy"), F.sum(dx * dy).alias("sxy"),
-    )
-    tr, det = F.col("sxx") + F.col("syy"), F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")
+def _axis_stats() -> dict[str, Column]:
+    return {
+        "_la": F.avg("lat"),
+        "_lo": F.avg("lon"),
+        "_vx": F.var_pop("lon"),
+        "_vy": F.var_pop("lat"),
+        "_vxy": F.covar_pop("lon", "lat"),
+        "_vn": F.count("*"),
+    }
+
+
+def _axis_columns() -> dict[str, Column]:
+    """lat0 and the unit main direction (ux, uy) in local metres, from moments in
+    degrees: the local plane only scales them."""
+    r = math.radians(1.0) * R_M
+    k = F.cos(F.radians("_la"))
+    sxx, syy, sxy = (F.col("_vn") * c for c in (F.col("_vx") * k * k * r * r, F.col("_vy") * r * r, F.col("_vxy") * k * r * r))
+    tr, det = sxx + syy, sxx * syy - sxy * sxy
     lam = tr / 2 + F.sqrt(F.greatest(F.lit(0.0), tr * tr / 4 - det))
-    tilted = F.abs("sxy") > 1e-9
-    flat_x = F.when(F.col("sxx") >= F.col("syy"), F.lit(1.0)).otherwise(F.lit(0.0))
-    s = s.withColumns({"_vx": F.when(tilted, lam - F.col("syy")).otherwise(flat_x), "_vy": F.when(tilted, F.col("sxy")).otherwise(1.0 - flat_x)})
-    norm = F.hypot("_vx", "_vy")
-    return s.select(*key, "lat0", "cx", "cy", (F.col("_vx") / norm).alias("ux"), (F.col("_vy") / norm).alias("uy"))
+    tilted = F.abs(sxy) > 1e-9
+    flat_x = F.when(sxx >= syy, F.lit(1.0)).otherwise(F.lit(0.0))
+    vx, vy = F.when(tilted, lam - syy).otherwise(flat_x), F.when(tilted, sxy).otherwise(1.0 - flat_x)
+    return {"ux": vx / F.hypot(vx, vy), "uy": vy / F.hypot(vx, vy)}
 
 
-def local_metres() -> dict[str, Column]:
-    r = 6371000.0
-    return {"_mx": F.radians("lon") * F.cos(F.radians("lat0")) * r, "_my": F.radians("lat") * r}
+def main_axis(vertices: DataFrame, key) -> DataFrame:
+    """Mean position and unit main direction (ux, uy) of each vertex cloud, by one
+    aggregation and the closed-form 2x2 eigenvector."""
+    key = _cols(key)
+    s = vertices.groupBy(*key).agg(*[a.alias(n) for n, a in _axis_stats().items()]).withColumns(_axis_columns())
+    return s.select(*key, F.col("_lo").alias("lon0"), F.col("_la").alias("lat0"), "ux", "uy")
 
 
-def axis_position(vertices: DataFrame, axis: DataFrame, key) -> DataFrame:
-    """Adds ``along``: signed metres along the main direction."""
-    key = _cols(key)
-    j = vertices.join(axis, key).withColumns(local_metres())
-    along = (F.col("_mx") - F.col("cx")) * F.col("ux") + (F.col("_my") - F.col("cy")) * F.col("uy")
-    return j.withColumn("along", along).drop("_mx", "_my", "lat0", "cx", "cy", "ux", "uy")
+def axis_position(vertices: DataFrame, key) -> DataFrame:
+    """Adds ``along``: signed metres along the main direction of the row's key."""
+    cols = vertices.columns
+    j = group_stats(vertices, key, _axis_stats()).withColumns(_axis_columns())
+    r = math.radians(1.0) * R_M
+    along = (F.col("lon") - F.col("_lo")) * F.cos(F.radians("_la")) * r * F.col("ux") + (F.col("lat") - F.col("_la")) * r * F.col("uy")
+    return j.select(*cols, along.alias("along"))
 
 
 def anchors(vertices: DataFrame, fracs: list[float], key) -> DataFrame:
     """On-line vertices at fractions of the order along the main direction."""
     key = _cols(key)
-    pos = axis_position(vertices, main_axis(vertices, key), key)
-    pos = hot_slices(pos, key, F.floor(F.col("along")) + (1 << 40))
-    ranked = row_number(pos, key, ["along", "lon", "lat"], "_rn").drop(SLICE)
-    n = vertices.groupBy(*key).agg(F.count("*").alias("_n"))
-    want = n.select(*key, "_n", F.explode(F.array(*[F.lit(f) for f in fracs])).alias("frac"))
-    idx = clamp(F.floor(F.col("_n") * F.col("frac")), F.lit(0), F.col("_n") - 1) + 1
-    return ranked.join(want.select(*key, "frac", idx.alias("_rn")), [*key, "_rn"]).drop("_rn")
+    with one_layout(vertices, key):
+        pos = axis_position(by_seq(vertices, key), key).drop(SLICE)
+        pos = hot_slices(pos, key, F.floor(F.col("along")) + (1 << 40))
+        ranked = group_stats(row_number(pos, key, ["along", "lon", "lat"], "_rn"), key, {"_n": F.count("*")}).drop(SLICE)
+    idx = lambda f: clamp(F.floor(F.col("_n") * f), F.lit(0), F.col("_n") - 1) + 1
+    hits = F.filter(F.array(*[F.lit(f) for f in fracs]), lambda f: idx(f) == F.col("_rn"))
+    return ranked.withColumn("frac", F.explode(hits)).drop("_rn", "_n")
