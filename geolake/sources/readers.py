@@ -165,15 +165,20 @@ def scan_tiles(cells: DataFrame, z: int, bbox: tuple[float, float, float, float]
     stored partitioned by z and tx so the tile range prunes files."""
     from .tiles import tile_range
 
-    tx0, tx1, ty0, ty1 = tile_range(z, bbox)
+    return scan_tile_range(cells, z, tile_range(z, bbox))
+
+
+def scan_tile_range(cells: DataFrame, z: int, tiles: tuple[int, int, int, int], tile: int = 256) -> DataFrame:
+    """:func:`scan_tiles` for the inclusive tile range (tx0, tx1, ty0, ty1)."""
+    tx0, tx1, ty0, ty1 = tiles
     have = cells.where((F.col("z") == z) & F.col("tx").between(tx0, tx1) & F.col("ty").between(ty0, ty1))
-    spark = cells.sparkSession
+    span = F.sequence(F.lit(0).cast("long"), F.lit(tile - 1).cast("long"))
     grid = (
-        spark.range(tx0, tx1 + 1).select(F.col("id").alias("tx"))
-        .select("tx", F.explode(F.sequence(F.lit(ty0), F.lit(ty1))).cast("long").alias("ty"))
-        .repartition(max(1, min(200, tx1 - tx0 + 1)), "tx", "ty")
-        .select("tx", "ty", F.explode(F.sequence(F.lit(0), F.lit(255))).cast("long").alias("px"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).cast("long").alias("py"))
+        cells.sparkSession.range(tx0, tx1 + 1)
+        .select(F.col("id").alias("tx"), F.explode(F.sequence(F.lit(ty0), F.lit(ty1))).alias("ty"))
+        .repartition("tx", "ty")
+        .select("tx", "ty", F.explode(span).alias("px"))
+        .select("*", F.explode(span).alias("py"))
     )
     got = grid.join(have.select("tx", "ty", "px", "py", "v"), ["tx", "ty", "px", "py"], "left")
     return got.withColumn("v", F.coalesce("v", F.lit(0.0)))
