@@ -115,9 +115,10 @@ def lonlat_to_tm2(lon, lat) -> tuple[Column, Column]:
     )
     phi = F.radians(_c(lat))
     p = F.radians(_c(lon)) - lon0
-    s, c, t2 = F.sin(phi), F.cos(phi), F.pow(F.tan(phi), F.lit(2.0))
-    c2 = c * c
-    nu = a / F.sqrt(1.0 - e2 * s * s)
+    s, c = F.sin(phi), F.cos(phi)
+    to = lambda x, k: F.pow(x, F.lit(float(k)))
+    t2 = to(F.tan(phi), 2)
+    nu = a / F.sqrt(1.0 - e2 * to(s, 2))
     meridian = (
         arc[0] * phi
         - arc[1] * F.sin(2 * phi)
@@ -125,17 +126,12 @@ def lonlat_to_tm2(lon, lat) -> tuple[Column, Column]:
         - arc[3] * F.sin(6 * phi)
         + arc[4] * F.sin(8 * phi)
     )
-    p2 = p * p
     north = (
         meridian * k0
-        + k0 * nu * s * c / 2 * p2
-        + k0 * nu * s * c * c2 / 24 * (5.0 - t2 + 9 * ep2 * c2 + 4 * ep2 * ep2 * c2 * c2) * p2 * p2
-    )
-    east = (
-        k0 * nu * c * p
-        + k0 * nu * c * c2 / 6 * (1.0 - t2 + ep2 * c2) * p2 * p
-        + false_easting
+        + k0 / 2 * nu * s * c * to(p, 2)
+        + k0 / 24 * nu * s * to(c, 3) * (5.0 - t2 + 9 * ep2 * to(c, 2) + 4 * ep2 * ep2 * to(c, 4)) * to(p, 4)
     )
+    east = k0 * nu * c * p + k0 / 6 * nu * to(c, 3) * (1.0 - t2 + ep2 * to(c, 2)) * to(p, 3) + false_easting
     return east, north
 
 

@@ -65,10 +65,12 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, point_key: str, ring
 def _segment_distance(px, py, x0, y0, x1, y1) -> tuple[Column, Column]:
     """(distance, clamped position 0..1) from a point to a segment."""
     dx, dy = x1 - x0, y1 - y0
-    len2 = dx * dx + dy * dy
-    t = F.when(len2 == 0, F.lit(0.0)).otherwise(clamp(((px - x0) * dx + (py - y0) * dy) / F.nullif(len2, F.lit(0.0)), 0.0, 1.0))
-    ex, ey = px - (x0 + t * dx), py - (y0 + t * dy)
-    return F.sqrt(ex * ex + ey * ey), t
+    len2 = F.pow(dx, F.lit(2.0)) + F.pow(dy, F.lit(2.0))
+    # try_divide: a segment without length has position 0
+    t = F.coalesce(F.try_divide((px - x0) * dx + (py - y0) * dy, len2), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    two = F.lit(2.0)
+    return F.sqrt(F.pow(px - (x0 + t * dx), two) + F.pow(py - (y0 + t * dy), two)), t
 
 
 def polygons_near(points: DataFrame, rings: DataFrame, point_key: str, ring_key, tol: float, cell: float) -> DataFrame:

@@ -90,7 +90,7 @@ def _(t):
 
 @query(
     "s5_scan_tiles",
-    """with g as (select x.gx, y.gy from range(6800, 6848) x(gx) cross join range(3496, 3544) y(gy))
+    """with g as (select x.gx, y.gy from range(6800, 6848) x(gx) cross join range(3488, 3536) y(gy))
      select gx, gy, coalesce(v, 0e0) as v from g left join (select * from dem where z = 5) d using (gx, gy)""",
 )
 def _(t):
@@ -100,7 +100,7 @@ def _(t):
     )
     from ..sources.readers import scan_tile_range
 
-    return scan_tile_range(d, 10, (425, 427, 218, 221 - 1), 16).selectExpr("tx * 16 + px as gx", "ty * 16 + py as gy", "v")
+    return scan_tile_range(d, 10, (425, 427, 218, 220), 16).selectExpr("tx * 16 + px as gx", "ty * 16 + py as gy", "v")
 
 
 D8_SQL = """d8n as (select c.gx, c.gy, c.v, n.gx as nx, n.gy as ny, (c.v - n.v) / (case when c.gx <> n.gx and c.gy <> n.gy then {m} * sqrt(2e0) else {m} end) as sl,

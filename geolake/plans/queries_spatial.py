@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import functions as G
@@ -37,13 +39,13 @@ VERTS = "sm as (select part_id * 1000 + seq as sample_id, part_id, lon, lat from
 def _votes_sql():
     def near(src, tol, as_):
         return f"""{as_}_n as (select distinct sample_id, part_id, zone_id from (
-           select p.sample_id, p.part_id, zone_id from {src} p join zed on yj is not null and {INSIDE} group by all having count(*) % 2 = 1
-           union all select p.sample_id, p.part_id, zone_id from {src} p join zed on yj is not null cross join lateral (select {SEG_T} as tt) q where {SEG_D} <= {tol})),
-         {as_} as (select part_id, kind, name, count(*) as votes from {as_}_n join at using (zone_id) group by all qualify row_number() over (partition by part_id order by count(*) desc, kind, name) = 1)"""
+           select p.sample_id, p.part_id, zone_id from {src} p join zsel on yj is not null and {INSIDE} group by all having count(*) % 2 = 1
+           union all select p.sample_id, p.part_id, zone_id from {src} p join zsel on yj is not null cross join lateral (select {SEG_T} as tt) q where {SEG_D} <= {tol})),
+         {as_} as (select part_id, kind, name, count(*) as votes from {as_}_n join att using (zone_id) group by part_id, kind, name qualify row_number() over (partition by part_id order by count(*) desc, kind, name) = 1)"""
 
-    return f"""with {EDGES}, {VERTS}, at as (select distinct zone_id, kind, name from zones where zone_id % 2 = 0),
-     zsel as (select 1), {near('sm', '0.00025e0', 'v1').replace('zed on', '(select * from zed where zone_id in (select zone_id from at)) zed on')},
-     orph as (select * from sm where part_id not in (select part_id from v1)), {near('orph', '0.05e0', 'v2').replace('zed on', '(select * from zed where zone_id in (select zone_id from at)) zed on')},
+    return f"""with {EDGES}, {VERTS}, att as (select distinct zone_id, kind, name from zones where kind not in (1, 2)),
+     zsel as (select * from zed where zone_id in (select zone_id from att)), {near('sm', '0.00025e0', 'v1')},
+     orph as (select * from sm where part_id not in (select part_id from v1)), {near('orph', '0.05e0', 'v2')},
      u as (select *, 1 as pass_no from v1 union all select *, 2 from v2)
      select part_id, name, coalesce(kind, 6) as kind, coalesce(votes, 0) as votes, cast(coalesce(pass_no, 0) as integer) as pass_no from (select distinct part_id from sm) left join u using (part_id)"""
 
@@ -51,7 +53,7 @@ def _votes_sql():
 @query("j5_tag_by_vote", _votes_sql())
 def _(t):
     s = windows.sample_vertices(t.vertices, 3, 40).select((F.col("part_id") * 1000 + F.col("seq")).alias("sample_id"), "part_id", "lon", "lat")
-    z = t.zones.where("zone_id % 2 = 0")
+    z = t.zones.where("kind not in (1, 2)")
     attrs = z.select("zone_id", "kind", "name").distinct()
     v = spatial.tag_by_vote(s, z.select("zone_id", "seq", "lon", "lat"), attrs, "part_id", 0.00025, 0.05, 0.1)
     return v.select("part_id", "name", "kind", "votes", "pass_no")
@@ -70,10 +72,16 @@ def _(t):
     return n.select("end_id", "near_chain", "near_seq", F.round("dist_m", 3).alias("dist_m"))
 
 
-STN = "st as (select feature_id as station, lon, lat from sites union all select part_id + 1000000 as station, lon + 2e-3 as lon, lat + 1e-3 as lat from vertices where seq in (3, 11))"
+STN = "st as (select feature_id as station, lon, lat from sites union all select part_id * 100 + seq + 1000000 as station, lon + 2e-3 as lon, lat + 1e-3 as lat from vertices where seq in (3, 11))"
+# projected metres of the stations, then of the vertices (names suffixed)
+_TM_STATIONS = TM2[5:].format(id="station", src="st")
+for _name in ("k", "c", "p", "q", "tm"):
+    _TM_STATIONS = re.sub(rf"\b{_name} as \(", f"{_name}2 as (", _TM_STATIONS)
+    _TM_STATIONS = re.sub(rf"from {_name}\)", f"from {_name}2)", _TM_STATIONS)
+_TM_STATIONS = _TM_STATIONS.replace("c.* from st cross join c)", "c2.* from st cross join c2)")
 LOCATE = (
-    ARC.replace("with k as", f"with {STN}, k as")
-    + ", " + TM2[5:].format(id="station", src="st").replace("k as (", "k2 as (").replace(" c as (", " c2 as (").replace("from k)", "from k2)").replace(" p as (", " p2 as (").replace("c.* from st cross join c)", "c2.* from st cross join c2)").replace(" q as (", " q2 as (").replace("from p)", "from p2)").replace(" tm as (", " tm2 as (").replace("from q)", "from q2)")
+    ARC.replace("with k as", f"with {STN}, k as", 1).replace(" st as (select *, coalesce", " stp as (select *, coalesce").replace("from st) st)", "from stp) s0)")
+    + ", " + _TM_STATIONS
     + """, ln as (select part_id, seq, x, y, cum_m, length_m from arc join tm using (part_id, seq)),
  sg as (select *, lead(x) over w as x1, lead(y) over w as y1, lead(cum_m) over w as c1 from ln window w as (partition by part_id order by seq)),
  dd as (select station, part_id, seq, length_m, cum_m + tt * (c1 - cum_m) as arc, sqrt(pow(s.x - (g.x + tt * (g.x1 - g.x)), 2) + pow(s.y - (g.y + tt * (g.y1 - g.y)), 2)) as d
@@ -82,24 +90,18 @@ LOCATE = (
 )
 
 
-def _stations(t):
-    side = t.vertices.where("seq in (3, 11)").selectExpr("part_id + 1000000 as station", "lon + 2e-3 as lon", "lat + 1e-3 as lat")
-    # two shifted vertices per part share an id: number them apart
-    return t.sites.selectExpr("feature_id as station", "lon", "lat").union(side)
-
-
-@query("j7_locate_on_lines", LOCATE.replace("part_id + 1000000", "part_id * 100 + seq + 1000000") + " select station, part_id, round(dist_m, 3) as dist_m, round(ratio, 6) as ratio from lo")
+@query("j7_locate_on_lines", LOCATE + " select station, part_id, round(dist_m, 3) as dist_m, round(ratio, 6) as ratio from lo")
 def _(t):
-    l = spatial.locate_on_lines(_stations2(t), t.vertices, 800.0)
+    l = spatial.locate_on_lines(_stations(t), t.vertices, 800.0)
     return l.select("station", "part_id", F.round("dist_m", 3).alias("dist_m"), F.round("ratio", 6).alias("ratio"))
 
 
-@query("j8_build_tracks", LOCATE.replace("part_id + 1000000", "part_id * 100 + seq + 1000000") + " select part_id, station, round(ratio, 4) as ratio, round(dist_m, 1) as dist_m, round(length_m, 1) as length_m from lo")
+@query("j8_build_tracks", LOCATE + " select part_id, station, round(ratio, 4) as ratio, round(dist_m, 1) as dist_m, round(length_m, 1) as length_m from lo")
 def _(t):
-    return spatial.build_tracks(_stations2(t), t.vertices)
+    return spatial.build_tracks(_stations(t), t.vertices)
 
 
-def _stations2(t):
+def _stations(t):
     side = t.vertices.where("seq in (3, 11)").selectExpr("part_id * 100 + seq + 1000000 as station", "lon + 2e-3 as lon", "lat + 1e-3 as lat")
     return t.sites.selectExpr("feature_id as station", "lon", "lat").union(side)
 

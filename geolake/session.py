@@ -22,6 +22,7 @@ def build_session(cpus: str | int = "*", app: str = "geolake", **conf) -> SparkS
         "spark.ui.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.extraJavaOptions": "-Xss8m",
+        "spark.sql.maxPlanStringLength": "5000",
         **conf,
     }
     b = SparkSession.builder.master(f"local[{cpus}]").appName(app)
