@@ -99,8 +99,7 @@ def rank_paths(items: DataFrame, links: DataFrame) -> DataFrame:
         s = cut(s.join(up, "ptr").select("sid", F.col("_p2").alias("ptr"), (F.col("dist") + F.col("_d2")).alias("dist"), (F.col("_p2") != F.col("ptr")).alias("moved")))
         if s.where("moved").isEmpty():
             break
-    item = F.floor(F.col("sid") / 2).cast("long")
-    r = s.select(item.alias("item"), F.pmod("sid", F.lit(2)).cast("int").alias("d"), F.col("ptr").alias("head"), F.col("dist").alias("pos"))
+    r = s.select(F.shiftright("sid", 1).alias("item"), F.col("sid").bitwiseAND(1).cast("int").alias("d"), F.col("ptr").alias("head"), F.col("dist").alias("pos"))
     lead = r.groupBy("head").agg(F.min("item").alias("path_id"), F.min_by("d", "item").alias("_d")).where("_d = 0").select("head", "path_id")
     return r.join(lead, "head").select("item", "path_id", "pos", (F.col("d") == 1).alias("flipped"))
 
@@ -216,9 +215,10 @@ def simple_paths(edges: DataFrame, key: str = "part_id") -> DataFrame:
     )
     deg = half.groupBy("part").agg(F.count("*").alias("_deg"), F.min("edge").alias("_first"))
     half = half.join(deg, "part")
-    # a branch part is copied per link; others keep one copy with up to two ports
-    copy = F.xxhash64("part", F.when(F.col("_deg") >= 3, F.col("edge")).otherwise(F.lit(0)))
-    half = cut(half.select("edge", "h", "part", "side", F.shiftright(copy, 2).alias("copy"), F.when((F.col("_deg") == 2) & (F.col("edge") != F.col("_first")), 1).otherwise(0).alias("port")))
+    # a branch part is copied per link (negative numbers); others keep one copy
+    # with up to two ports. Part numbers must stay below 2^29.
+    copy = F.when(F.col("_deg") >= 3, -(F.col("edge") * 2 + F.col("h")) - 1).otherwise(F.col("part"))
+    half = cut(half.select("edge", "h", "part", "side", copy.alias("copy"), F.when((F.col("_deg") == 2) & (F.col("edge") != F.col("_first")), 1).otherwise(0).alias("port")))
     a = half.where("h = 0").select("edge", F.col("copy").alias("a"), F.col("port").alias("pa"))
     b = half.where("h = 1").select("edge", F.col("copy").alias("b"), F.col("port").alias("pb"))
     r = cut(rank_paths(half.select(F.col("copy").alias("item")), a.join(b, "edge")))
