@@ -99,15 +99,15 @@ def coverage(legs: DataFrame, trips: DataFrame, dropped_stops: DataFrame | None
     return out.crossJoin(dropped_stops)  # one row each
 
 
-def interchanges(track_stations: DataFrame) -> DataFrame:
-    """Stations on at least two parts with the sorted part list. Part counts per
-    station are tiny after the distinct step; a station's list is its result."""
+def interchanges(track_stations: DataFrame, min_parts: int = 2) -> DataFrame:
+    """Stations on at least ``min_parts`` parts: one row per station and part with
+    the number of parts and the part's position in their order."""
+    from .ordered import SLICE, hot_slices, row_number
+
     pairs = track_stations.select("station", "part_id").distinct()
-    return (
-        pairs.groupBy("station")
-        .agg(F.count("*").alias("n_parts"), F.sort_array(F.collect_list("part_id")).alias("parts"))
-        .where("n_parts >= 2")
-    )
+    n = pairs.groupBy("station").agg(F.count("*").alias("n_parts")).where(F.col("n_parts") >= min_parts)
+    rows = pairs.join(n, "station")
+    return row_number(hot_slices(rows, "station", F.floor(F.col("part_id") / 65536) + 1), "station", "part_id", "part_no").drop(SLICE)
 
 
 def failing_pairs(legs: DataFrame) -> DataFrame:

@@ -333,11 +333,11 @@ def _(t):
 @query(
     "a15_interchanges",
     """with p as (select distinct station, part_id from track_stations)
-     select station, count(*) as n_parts, string_agg(cast(part_id as varchar), ',' order by part_id) as parts from p group by station having count(*) >= 2""",
+     select station, part_id, count(*) over (partition by station) as n_parts, row_number() over (partition by station order by part_id) as part_no
+     from p qualify count(*) over (partition by station) >= 2""",
 )
 def _(t):
-    i = aggs.interchanges(t.track_stations)
-    return i.withColumn("parts", F.array_join(F.transform("parts", lambda p: p.cast("string")), ","))
+    return aggs.interchanges(t.track_stations)
 
 
 @query(
@@ -444,26 +444,9 @@ def _(t):
     return t.track_stations.orderBy("part_id", "ratio", "station")
 
 
-@query(
-    "s4_explode_trail",
-    """with tr as (select entity_id, cast(floor((t + 28800) / 86400) as bigint) as day, list(ping_id order by t, ping_id) as ids from pings group by all)
-     select p.entity_id, cast(floor((t + 28800) / 86400) as bigint) as day, cast(list_position(ids, ping_id) as bigint) as seq, round(lat, 6) as lat, round(lon, 6) as lon, t
-     from pings p join tr on tr.entity_id = p.entity_id and tr.day = cast(floor((t + 28800) / 86400) as bigint)""",
-)
-def _(t):
-    from ..sources.readers import explode_trail, format_trail
-
-    day = F.floor((F.col("t") + 28800) / 86400).cast("long")
-    trails = format_trail(t.pings.withColumn("day", day), ["entity_id", "day"])
-    return explode_trail(trails, "trail").select(
-        "entity_id", "day", "seq", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "t"
-    )
-
-
 @query(
     "s7_read_day",
-    """with p as (select ping_id, entity_type, strftime(make_timestamp((t + 28800) * 1000000), '%Y-%m-%d') as day from pings),
-     have as (select distinct day from p where entity_type = 'error' and ping_id < 300000)
+    """with p as (select ping_id, entity_type, strftime(make_timestamp((t + 28800) * 1000000), '%Y-%m-%d') as day from pings)
      select ping_id, day, 'snapshot' as origin from p where entity_type = 'error' and day <= '2024-01-12'
      union all select ping_id, day, 'feed' from p where day not in (select day from p where entity_type = 'error' and day <= '2024-01-12') and entity_type <> 'error'""",
 )

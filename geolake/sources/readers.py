@@ -101,7 +101,7 @@ def read_timetable(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """(trips, stops) of a {schedules: [...]} document."""
     from ..functions.clock import hms_to_sec
 
-    doc = spark.read.schema(f"schedules array<{TRIP}>").option("multiLine", True).json(path)
+    doc = spark.read.schema(f"schedules array<{TRIP}>").option("multiLine", not _is_lines(path)).json(path)
     s = doc.select(F.explode("schedules").alias("s"))
     trips = s.select(
         F.col("s.train_no").alias("trip_id"),
@@ -117,7 +117,7 @@ def read_corridor_timetable(spark: SparkSession, path: str) -> tuple[DataFrame,
     """(trips, stops) of a document keyed by track; the metadata key is skipped."""
     from ..functions.clock import hms_to_sec
 
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.option("wholetext", not _is_lines(path)).text(path)
     tracks = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("track_id", "_t"))
     tracks = tracks.where("track_id <> '_metadata'").select("track_id", F.from_json("_t", TRACK).alias("t"))
     d = tracks.select("track_id", F.col("t.name").alias("track"), F.explode("t.departures").alias("d"))
@@ -151,14 +151,6 @@ def explode_trail(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def format_trail(pings: DataFrame, keys: list[str]) -> DataFrame:
-    """Inverse of :func:`explode_trail` for the pings of one entity and day (the
-    feed's own record, so its size is bounded by the reporting rate)."""
-    item = F.struct("t", "ping_id", F.concat_ws(",", F.round("lat", 6).cast("string"), F.round("lon", 6).cast("string"), F.col("t").cast("string")).alias("s"))
-    items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"])
-    return pings.groupBy(*keys).agg(F.array_join(items, ";").alias("trail"))
-
-
 def scan_tiles(cells: DataFrame, z: int, bbox: tuple[float, float, float, float]) -> DataFrame:
     """Every pixel of the tiles that cover ``bbox`` at zoom ``z``; pixels without
     data read as sea (0). ``cells`` holds z, tx, ty, px, py, v and should be
