@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.geo import haversine_m, lonlat_to_tm2
 from ..functions.shape import clamp, ring_tolerance
 from ..session import cut
-from .ordered import SLICE, _cols, group_stats, one_layout, running_sum, shift
+from .ordered import SLICE, _cols, group_stats, know_layout, running_sum, shift
 from .windows import arc_ratio, axis_position, by_seq, to_segments
 
 R_M = 6371000.0
@@ -322,11 +322,7 @@ def slice_reaches(ring_vertices: DataFrame, key, length_m: float = 900.0, min_ar
     ``length_m``; ``slice_id`` -1 marks rings left whole. An edge only meets the
     slabs it spans."""
     key = _cols(key)
-    with one_layout(ring_vertices, key):
-        return _slice_reaches(ring_vertices, key, length_m, min_area_m2)
-
-
-def _slice_reaches(ring_vertices, key, length_m, min_area_m2):
+    ring_vertices = know_layout(ring_vertices, key)
     v = axis_position(by_seq(ring_vertices, key), key).withColumn("t", F.col("along")).drop(SLICE)
     e = ring_edges(v, key, ("lon", "lat", "t"), {"_t0": F.min("t"), "_t1": F.max("t")})
     n = F.greatest(F.lit(1), F.rint((F.col("_t1") - F.col("_t0")) / length_m)).cast("long")
@@ -375,10 +371,8 @@ def keep_holes(hole_vertices: DataFrame, min_m2: float, tol: float, key, **kw) -
     """Open hole rings of at least ``min_m2``, simplified; rings left with fewer
     than three vertices are dropped."""
     key = _cols(key)
-    with one_layout(hole_vertices, key):
-        v = open_rings(hole_vertices, key)
-        area = _closed_area(v, key)
-    m = area.where((F.col("_np") >= 3) & (F.col("area_m2") >= min_m2)).select(*key)
+    v = open_rings(know_layout(hole_vertices, key), key)
+    m = _closed_area(v, key).where((F.col("_np") >= 3) & (F.col("area_m2") >= min_m2)).select(*key)
     s = simplify(v.join(m, key, "left_semi"), tol, key, **kw)
     n = s.groupBy(*key).agg(F.count("*").alias("_c")).where("_c >= 3").select(*key)
     return s.join(n, key, "left_semi")

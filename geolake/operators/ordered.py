@@ -6,14 +6,13 @@ a key holds a large share of all rows that task becomes the job. Here a key over
 expression that never decreases along the order); each slice is a partition of
 its own, and one summary row per slice carries values across slice borders.
 Keys under the limit stay in slice 0 and pay nothing extra. The list of hot keys
-has at most total_rows / limit entries. It only decides the layout, never the
-result.
+only decides the layout, never the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+import json
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,55 +23,67 @@ ROW_LIMIT = 1_000_000
 MAX_INLINE_HOT = 2_000
 SLICE = "_slice"
 
+# a key at the limit is expected this often in the layout probe
+PROBE_HITS = 100
+
 _hot_memo: dict[tuple, list] = {}
-_known: list[tuple[frozenset, list]] = []
 
 
 def _cols(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def _find_hot(df: DataFrame, keys: list[str], limit: int) -> list:
-    """Keys with more than ``limit`` rows: at most rows/limit of them."""
+def _find_hot(df: DataFrame, keys: list[str], limit: int) -> list[list]:
+    """Keys with about ``limit`` rows or more: at most 2 * rows / limit of them.
+
+    Above a limit of 100 rows the key column is probed by a fixed-seed sample in
+    which such a key still shows about 100 times, so the probe shuffles one row
+    in limit/100. The list only picks the layout: a key it misses is ordered in
+    one partition, and no row is ever left out of a result."""
     token = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
     if token not in _hot_memo:
-        counted = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-        _hot_memo[token] = counted.limit(MAX_INLINE_HOT + 1).collect()
+        part = min(1.0, PROBE_HITS / limit)
+        probe = df.select(*keys) if part == 1.0 else df.select(*keys).sample(part, seed=7)
+        bar = limit if part == 1.0 else PROBE_HITS / 2
+        counted = probe.groupBy(*keys).count().where(F.col("count") > bar).select(*keys)
+        _hot_memo[token] = [list(r) for r in counted.limit(MAX_INLINE_HOT + 1).collect()]
     return _hot_memo[token]
 
 
-@contextmanager
-def one_layout(df: DataFrame, keys, limit: int | None = None) -> Iterator[None]:
-    """Look for hot keys once; every ordered step built inside reuses the answer,
-    also for finer groups of the same keys."""
-    keys = _cols(keys)
-    if _lookup(keys) is None:
-        _known.append((frozenset(keys), _find_hot(df, keys, limit or ROW_LIMIT)))
-        try:
-            yield
-        finally:
-            _known.pop()
+def _known(df: DataFrame, keys: list[str]) -> list | None:
+    """Layout knowledge carried by the key columns' metadata. It survives
+    selects, joins, windows and renames; a key that is small alone is small in
+    every finer grouping too."""
+    meta = {k: df.schema[k].metadata for k in keys}
+    if len(keys) == 1:
+        got = meta[keys[0]].get("hot_keys")
+    elif any(m.get("hot_keys") == "[]" for m in meta.values()):
+        return []
     else:
-        yield
+        got = meta[keys[0]].get("hot_" + "|".join(keys))
+    return None if got is None else json.loads(got)
 
 
-def _lookup(keys: list[str]) -> list | None:
-    for known, hot in reversed(_known):
-        if known == frozenset(keys) or (not hot and known <= frozenset(keys)):
-            return hot
-    return None
+def know_layout(df: DataFrame, keys, limit: int | None = None) -> DataFrame:
+    """Look for hot keys once and note the answer on the key column, for every
+    ordered step on this frame and on frames derived from it."""
+    keys = _cols(keys)
+    if _known(df, keys) is not None:
+        return df
+    hot = _find_hot(df, keys, limit or ROW_LIMIT)
+    name = "hot_keys" if len(keys) == 1 else "hot_" + "|".join(keys)
+    return df.withMetadata(keys[0], {**df.schema[keys[0]].metadata, name: json.dumps(hot, default=str)})
 
 
 def hot_slices(df: DataFrame, keys, slice_expr: Column, limit: int | None = None) -> DataFrame:
     """Add ``_slice``: 0 for ordinary keys, ``slice_expr`` (above 0) for hot ones.
-    Without any hot key the frame is returned unchanged."""
+    Without any hot key no column is added: the ordered operators then use one
+    plain window."""
     keys = _cols(keys)
     limit = limit or ROW_LIMIT
-    hot = _lookup(keys)
-    if hot is None:
-        hot = _find_hot(df, keys, limit)
+    df = know_layout(df, keys, limit)
+    hot = _known(df, keys)
     if not hot:
-        # no slice column: the ordered operators then use one plain window
         return df
     if len(hot) <= MAX_INLINE_HOT:
         if len(keys) == 1:
@@ -80,7 +91,7 @@ def hot_slices(df: DataFrame, keys, slice_expr: Column, limit: int | None = None
         else:
             is_hot = reduce(
                 lambda a, b: a | b,
-                [reduce(lambda a, b: a & b, [F.col(k) == F.lit(r[k]) for k in keys]) for r in hot],
+                [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(x)) for k, x in zip(keys, r)]) for r in hot],
             )
         return df.withColumn(SLICE, F.when(is_hot, slice_expr.cast("long")).otherwise(F.lit(0).cast("long")))
     counted = df.groupBy(*keys).count().where(F.col("count") > limit)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.geo import haversine_km, haversine_m, in_bbox
 from ..functions.shape import clamp
 from ..session import cut
-from .ordered import SLICE, _cols, group_stats, hot_slices, one_layout, row_number, running_sum, shift
+from .ordered import SLICE, _cols, group_stats, hot_slices, row_number, running_sum, shift
 
 KM_PER_DEG_LAT = 111.0  # fixed values of the flat-earth metric
 KM_PER_DEG_LON = 101.0
@@ -383,10 +383,9 @@ def axis_position(vertices: DataFrame, key) -> DataFrame:
 def anchors(vertices: DataFrame, fracs: list[float], key) -> DataFrame:
     """On-line vertices at fractions of the order along the main direction."""
     key = _cols(key)
-    with one_layout(vertices, key):
-        pos = axis_position(by_seq(vertices, key), key).drop(SLICE)
-        pos = hot_slices(pos, key, F.floor(F.col("along")) + (1 << 40))
-        ranked = group_stats(row_number(pos, key, ["along", "lon", "lat"], "_rn"), key, {"_n": F.count("*")}).drop(SLICE)
+    pos = axis_position(by_seq(vertices, key), key).drop(SLICE)
+    pos = hot_slices(pos, key, F.floor(F.col("along")) + (1 << 40))
+    ranked = group_stats(row_number(pos, key, ["along", "lon", "lat"], "_rn"), key, {"_n": F.count("*")}).drop(SLICE)
     idx = lambda f: clamp(F.floor(F.col("_n") * f), F.lit(0), F.col("_n") - 1) + 1
     hits = F.filter(F.array(*[F.lit(f) for f in fracs]), lambda f: idx(f) == F.col("_rn"))
     return ranked.withColumn("frac", F.explode(hits)).drop("_rn", "_n")

@@ -72,13 +72,13 @@ def _(t):
 
 @query(
     "w4_ring_roll_min",
-    """with o as (select feature_id, ring_id, seq, round((lon - 119) * 100 - (lat - 22) * 50, 3) as elev from rings where seq < 16),
+    """with o as (select feature_id, ring_id, seq, round((lon - 119) * 100.37e0 - (lat - 22) * 50.11e0, 4) as elev from rings where seq < 16),
      a as (select a.feature_id, a.ring_id, a.seq, min(b.elev) as m from o a join o b on a.feature_id = b.feature_id and a.ring_id = b.ring_id
        and ((b.seq - a.seq + 16) % 16 <= 2 or (a.seq - b.seq + 16) % 16 <= 2) group by all)
      select feature_id, ring_id, seq, greatest(m, -3e0) as rolled from a""",
 )
 def _(t):
-    o = geo.open_rings(t.rings, ["feature_id", "ring_id"]).withColumn("elev", F.expr("round((lon - 119) * 100 - (lat - 22) * 50, 3)"))
+    o = geo.open_rings(t.rings, ["feature_id", "ring_id"]).withColumn("elev", F.expr("round((lon - 119) * 100.37e0 - (lat - 22) * 50.11e0, 4)"))
     return win.ring_roll_min(o, ["feature_id", "ring_id"], "elev").select("feature_id", "ring_id", "seq", "rolled")
 
 
@@ -309,7 +309,22 @@ def _(t):
     return c.select("feature_id", "ring_id", "pos", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query("e5_slice_reaches")
+@query(
+    "e5_slice_reaches",
+    R_AXIS + """, sp as (select feature_id, min(along) as t0, greatest(1, cast(round_even((max(along) - min(along)) / 900e0, 0) as bigint)) as n, (max(along) - min(along)) / greatest(1e0, round_even((max(along) - min(along)) / 900e0, 0)) as step from al group by feature_id),
+     ed as (select feature_id, seq, lon as x0, lat as y0, along as ta, coalesce(lead(lon) over w, first(lon) over w) as x1, coalesce(lead(lat) over w, first(lat) over w) as y1, coalesce(lead(along) over w, first(along) over w) as tb from al window w as (partition by feature_id order by seq)),
+     sb as (select ed.*, sp.t0, unnest(range(n)) as k, n, step from ed join sp using (feature_id) where n > 1),
+     lh as (select *, t0 + step * k - 1e-6 as lo, t0 + step * (k + 1) + case when k = n - 1 then 1e-6 else 0e0 end as hi from sb),
+     pt as (select feature_id, k, seq, -1e0 as a, x0 as x, y0 as y from lh where ta >= lo and ta <= hi
+      union all select feature_id, k, seq, (lo - ta) / (tb - ta), x0 + (lo - ta) / (tb - ta) * (x1 - x0), y0 + (lo - ta) / (tb - ta) * (y1 - y0) from lh where (ta < lo) <> (tb < lo)
+      union all select feature_id, k, seq, (hi - ta) / (tb - ta), x0 + (hi - ta) / (tb - ta) * (x1 - x0), y0 + (hi - ta) / (tb - ta) * (y1 - y0) from lh where (ta <= hi) <> (tb <= hi)
+      union all select feature_id, -1, seq, -1e0, lon, lat from al),
+     pe as (select feature_id, k, x as x0, y as y0, coalesce(lead(x) over w, first(x) over w) as x1, coalesce(lead(y) over w, first(y) over w) as y1 from pt window w as (partition by feature_id, k order by seq, a)),
+     ps as (select feature_id, k, count(*) as np, cos(radians((sum(y) + arg_min(y, (seq, a))) / (count(*) + 1))) as c, min(x) as ox, min(y) as oy from pt group by feature_id, k),
+     ar as (select feature_id, k, any_value(np) as np, abs(sum(radians(x0-ox)*c*radians(y1-oy) - radians(x1-ox)*c*radians(y0-oy))) / 2e0 * 6371000e0 * 6371000e0 as area from pe join ps using (feature_id, k) group by feature_id, k),
+     ok as (select * from ar where k >= 0 and np >= 3 and area > 500)
+     select feature_id, k as slice_id, np as vertices, round(area, 1) as area_m2 from ok union all select feature_id, -1, np, round(area, 1) from ar where k = -1 and feature_id not in (select feature_id from ok)""",
+)
 def _(t):
     o = geo.open_rings(t.rings.where("ring_id = 0"), "feature_id")
     s = geo.slice_reaches(o, "feature_id")

@@ -163,7 +163,7 @@ def _(t):
 
 @query(
     "r12_sample_uv",
-    f"""with {ERODE_SQL}, p as (select feature_id, (lon - 119.2e0) / 2.9e0 * 99e0 as px, (25.4e0 - lat) / 3.6e0 * 19e0 as py from points),
+    f"""with {ERODE_SQL}, p as (select feature_id, (lon - 119.1937e0) / (122.1071e0 - 119.1937e0) * 99e0 as px, (25.4083e0 - lat) / (25.4083e0 - 21.7919e0) * 19e0 as py from points),
      ok as (select p.* from p join er on er.gx = cast(floor(px + 0.5e0) as bigint) and er.gy = cast(floor(py + 0.5e0) as bigint) where valid),
      tp as (select feature_id, least(cast(floor(px) as bigint) + i, 99) as tx, least(cast(floor(py) as bigint) + j, 19) as ty,
        (case when i = 1 then px - floor(px) else 1e0 - (px - floor(px)) end) * (case when j = 1 then py - floor(py) else 1e0 - (py - floor(py)) end) as w from ok cross join (values (0,0),(1,0),(0,1),(1,1)) k(i, j)),
@@ -171,7 +171,7 @@ def _(t):
      select feature_id, round(u, 9) as u, round(v, 9) as v, round(sqrt(u*u + v*v), 9) as speed from points left join uv using (feature_id)""",
 )
 def _(t):
-    s = sampling.sample_uv(t.points, t.field, (119.2, 21.8, 122.1, 25.4), 100, 20, "feature_id")
+    s = sampling.sample_uv(t.points, t.field, (119.1937, 21.7919, 122.1071, 25.4083), 100, 20, "feature_id")
     return s.select("feature_id", *[F.round(c, 9).alias(c) for c in ("u", "v", "speed")])
 
 
