@@ -341,7 +341,7 @@ def polygonize(mask: DataFrame, block: int = SOLVE_BLOCK) -> DataFrame:
     screen (y down), holes the other way; straight runs keep only their corners."""
     cell = mask.select("gx", "gy").distinct()
     reg = cut(label_regions(cell, 8, block))
-    n = cut(neighbours(reg.select("gx", "gy", "region"), F.lit(1), block))
+    n = cut(neighbours(reg.select("gx", "gy", "region"), F.lit(1), block, gaps=True))
     x, y = F.col("gx"), F.col("gy")
     # side 0 north (going east), 1 east (south), 2 south (west), 3 west (north)
     sides = [("n", 0), ("e", 1), ("s", 2), ("w", 3)]

@@ -38,35 +38,44 @@ def halo_blocks(cells: DataFrame, size: int = BLOCK, halo: int = 1) -> DataFrame
     return out.withColumn("core", own).repartition("bx", "by")
 
 
-def neighbours(cells: DataFrame, value: str | Column = "v", block: int = BLOCK) -> DataFrame:
+def neighbours(cells: DataFrame, value: str | Column = "v", block: int = BLOCK, gaps: bool = False) -> DataFrame:
     """Each cell with its eight neighbours' values (null where there is no cell),
-    from one block shuffle and two windows inside the blocks."""
+    from one block shuffle and windows inside the blocks.
+
+    A diagonal is found by way of either cell it shares with the middle, which
+    covers full rectangles, ragged borders and single holes. For scattered cells
+    pass ``gaps``: empty cells are then laid around every cell first."""
+    cols = cells.columns
     val = F.col(value) if isinstance(value, str) else value
-    h = halo_blocks(cells.withColumn("_v", val), block)
+    c = cells.withColumns({"_v": val, "_real": F.lit(True)})
+    if gaps:
+        around = F.explode(F.array(*[F.struct((F.col("gx") + dx).alias("gx"), (F.col("gy") + dy).alias("gy")) for dx, dy in STEPS]))
+        ghosts = cells.select(around.alias("a")).select("a.*").distinct().join(cells.select("gx", "gy"), ["gx", "gy"], "left_anti")
+        c = c.unionByName(ghosts.withColumn("_real", F.lit(False)), allowMissingColumns=True)
+    h = halo_blocks(c, block)
     row = Window.partitionBy("bx", "by", "gy").orderBy("gx")
     col = Window.partitionBy("bx", "by", "gx").orderBy("gy")
 
-    def beside(offset: int) -> Column:
+    def step(w, axis: str, offset: int, what: Column) -> Column:
         fn = F.lag if offset < 0 else F.lead
-        return F.when(fn("gx").over(row) == F.col("gx") + offset, fn("_v").over(row))
-
-    h = h.withColumns({"_w": beside(-1), "_e": beside(1)})
-    # columns without a cell straight above or below may still have diagonal ones
-    trio = F.struct("_w", F.col("_v").alias("_c"), "_e", "gy")
-    h = h.withColumns({"_up": F.lag(trio).over(col), "_dn": F.lead(trio).over(col)})
-    up, dn = F.col("_up.gy") == F.col("gy") - 1, F.col("_dn.gy") == F.col("gy") + 1
-    out = h.where("core").select(
-        *cells.columns,
-        F.when(up, F.col("_up._w")).alias("nw"),
-        F.when(up, F.col("_up._c")).alias("n"),
-        F.when(up, F.col("_up._e")).alias("ne"),
+        return F.when(fn(axis).over(w) == F.col(axis) + offset, fn(what).over(w))
+
+    h = h.withColumns({"_w": step(row, "gx", -1, F.col("_v")), "_e": step(row, "gx", 1, F.col("_v"))})
+    trio = F.struct("_w", F.col("_v").alias("_c"), "_e")
+    h = h.withColumns({"_up": step(col, "gy", -1, trio), "_dn": step(col, "gy", 1, trio)})
+    pair = F.struct(F.col("_up._c").alias("_n"), F.col("_dn._c").alias("_s"))
+    h = h.withColumns({"_lf": step(row, "gx", -1, pair), "_rt": step(row, "gx", 1, pair)})
+    return h.where("core and _real").select(
+        *cols,
+        F.coalesce("_up._w", "_lf._n").alias("nw"),
+        F.col("_up._c").alias("n"),
+        F.coalesce("_up._e", "_rt._n").alias("ne"),
         F.col("_w").alias("w"),
         F.col("_e").alias("e"),
-        F.when(dn, F.col("_dn._w")).alias("sw"),
-        F.when(dn, F.col("_dn._c")).alias("s"),
-        F.when(dn, F.col("_dn._e")).alias("se"),
+        F.coalesce("_dn._w", "_lf._s").alias("sw"),
+        F.col("_dn._c").alias("s"),
+        F.coalesce("_dn._e", "_rt._s").alias("se"),
     )
-    return out
 
 
 def d8(cells: DataFrame, cell_m: float = 1.0, block: int = BLOCK) -> DataFrame:

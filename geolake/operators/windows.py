@@ -137,7 +137,8 @@ def _fold(metric: str, limit: float, keys: list[str]):
 
 
 def _fold_frame(rows: DataFrame, metric: str, limit: float) -> DataFrame:
-    keys = ["entity_id", SLICE]
+    """Rows with e_lon, e_lat, e_t (state before their run) and ``_run``."""
+    keys = ["entity_id", "_run"]
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "t", "ping_id")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
     return ordered.mapInPandas(_fold(metric, limit, keys), ", ".join(fields) + ", kept boolean")
@@ -148,45 +149,51 @@ def flag_speed_anomalies(pings: DataFrame, limit: float = 40.0, metric: str = "h
     of the entity exceeds ``limit`` knots. Reports without elapsed time are kept.
 
     An ordinary entity is one run. A hot entity is cut into slices that are
-    folded side by side: each slice starts from a guess of the last kept report
-    before it; slices whose guess proves wrong are folded again until every
-    guess equals the true exit of the slice before. The result is exact, and a
-    wrong guess normally heals within its slice.
+    folded side by side, each from a guess of the last kept report before it.
+    Where the guess proves wrong, a run of slices is folded again from the true
+    report; runs grow fourfold per round, so even a day-long outage heals in a
+    few rounds. The loop ends when every slice started from the true exit of the
+    slices before it: the result is that of the one-by-one filter.
     """
     rows = by_time(pings, "entity_id")
-    none = [F.lit(None).cast("double").alias(c) for c in ("e_lon", "e_lat", "e_t")]
     if SLICE not in rows.columns:
-        out = _fold_frame(rows.select("*", F.lit(0).cast("long").alias(SLICE), *none), metric, limit)
-        return out.drop(SLICE, "e_lon", "e_lat", "e_t")
+        none = [F.lit(None).cast("double").alias(c) for c in ("e_lon", "e_lat", "e_t")]
+        out = _fold_frame(rows.select("*", F.lit(0).cast("long").alias("_run"), *none), metric, limit)
+        return out.drop("_run", "e_lon", "e_lat", "e_t")
 
+    cols, sk = rows.columns, ["entity_id", SLICE]
     order = F.struct("t", "ping_id")
     at = F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("t").cast("double").alias("s"))
-    ends = rows.groupBy("entity_id", SLICE).agg(F.max_by(at, order).alias("exit"))
     w = Window.partitionBy("entity_id").orderBy(SLICE)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
 
-    def entries(ends_df):
-        """Entry of a slice: the nearest earlier slice that kept anything."""
-        return ends_df.select("entity_id", SLICE, F.last("exit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("entry"))
+    def entries(ends: DataFrame) -> DataFrame:
+        """State before a slice: the exit of the nearest earlier slice that kept a report."""
+        return ends.select(*sk, F.last("exit", ignorenulls=True).over(before).alias("entry"), F.row_number().over(w).alias("k"))
 
-    def fold(src, entry_df):
-        j = src.join(entry_df, ["entity_id", SLICE], "left")
-        j = j.select(*src.columns, F.col("entry.x").alias("e_lon"), F.col("entry.y").alias("e_lat"), F.col("entry.s").alias("e_t"))
-        return _fold_frame(j, metric, limit)
+    def fold(plan: DataFrame) -> DataFrame:
+        """``plan``: slices to fold with their run and the run's entry."""
+        j = rows.join(plan, sk)
+        j = j.select(*cols, "_run", F.col("entry.x").alias("e_lon"), F.col("entry.y").alias("e_lat"), F.col("entry.s").alias("e_t"))
+        return _fold_frame(j, metric, limit).select(*cols, "kept")
 
-    used = cut(entries(ends))
-    flagged = cut(fold(rows, used))
+    used = cut(entries(rows.groupBy(*sk).agg(F.max_by(at, order).alias("exit"))).withColumn("settled", F.lit(False)))
+    flagged = cut(fold(used.select(*sk, F.col(SLICE).alias("_run"), "entry")))
+    reach = 2
     while True:
-        exits = flagged.groupBy("entity_id", SLICE).agg(F.max_by(F.when(F.col("kept"), at), F.when(F.col("kept"), order)).alias("exit"))
-        now = cut(entries(exits))
-        u = used.select("entity_id", SLICE, F.col("entry").alias("old"))
-        wrong = cut(now.join(u, ["entity_id", SLICE]).where(~F.col("entry").eqNullSafe(F.col("old"))).drop("old"))
-        if wrong.isEmpty():
-            break
-        keys = wrong.select("entity_id", SLICE)
-        again = fold(rows.join(keys, ["entity_id", SLICE], "left_semi"), wrong)
-        flagged = cut(flagged.join(keys, ["entity_id", SLICE], "left_anti").unionByName(again))
-        used = now
-    return flagged.drop(SLICE, "e_lon", "e_lat", "e_t")
+        exits = flagged.groupBy(*sk).agg(F.max_by(F.when(F.col("kept"), at), F.when(F.col("kept"), order)).alias("exit"))
+        now = entries(exits).join(used.select(*sk, F.col("entry").alias("old"), "settled"), sk)
+        now = cut(now.withColumn("wrong", ~F.col("settled") & ~F.col("entry").eqNullSafe(F.col("old"))))
+        if now.where("wrong").isEmpty():
+            return flagged.drop(SLICE)
+        start = F.last(F.when(F.col("wrong"), F.struct("k", F.col(SLICE).alias("run"), "entry")), ignorenulls=True).over(w)
+        now = now.withColumn("st", start).withColumn("redo", F.coalesce(F.col("k") - F.col("st.k") < reach, F.lit(False)))
+        plan = cut(now.where("redo").select(*sk, F.col("st.run").alias("_run"), F.col("st.entry").alias("entry")))
+        again = fold(plan)
+        flagged = cut(flagged.join(plan.select(*sk), sk, "left_anti").unionByName(again))
+        # inside a run the state is handed on by the fold itself
+        used = cut(now.select(*sk, "entry", (F.col("redo") & ~F.col("wrong")).alias("settled")))
+        reach *= 4
 
 
 def drop_speed_anomalies(pings: DataFrame, limit: float = 40.0, metric: str = "haversine", min_points: int = 2) -> DataFrame:
