@@ -85,7 +85,7 @@ def fill_depressions(cells: DataFrame, eps: float = 1e-4, block: int = SOLVE_BLO
     tiles = halo_blocks(src, block, 1)
 
     def solve(emit_all: bool):
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             _, _, a = _window(pdf, ["v", "f", "core"], {"v": np.inf, "f": np.inf, "core": False})
             z, f, core = a["v"], a["f"], a["core"]
             inner = np.isfinite(z)
@@ -173,7 +173,7 @@ def accumulate_mfd(filled: DataFrame, p: float, cell_m: float = 1.0, block: int
     diag = cell_m * math.sqrt(2.0)
     tiles = halo_blocks(filled.select("gx", "gy", F.col("filled").cast("double").alias("z")), block, 1)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x0, y0, a = _window(pdf, ["z", "core", "load"], {"z": np.inf, "core": False, "load": 0.0})
         z, core = a["z"], a["core"]
         zi = z[1:-1, 1:-1]
@@ -240,7 +240,7 @@ def label_regions(mask: DataFrame, connectivity: int = 4, block: int = SOLVE_BLO
     their own; a small graph of touching labels joins them."""
     steps = [(dx, dy) for dx, dy in STEPS if connectivity == 8 or dx == 0 or dy == 0]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         big = np.iinfo(np.int64).max
         lab0 = pdf["gy"].to_numpy() * SPAN + pdf["gx"].to_numpy()
         _, _, a = _window(pdf.assign(l=lab0), ["l"], {"l": np.int64(big)})
@@ -311,7 +311,7 @@ def fill_voids(cells: DataFrame, voids: DataFrame, iters: int = 200, block: int
     work = cut(free.unionByName(fixed))
 
     def relax(k: int):
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             _, _, a = _window(pdf, ["v", "free", "has"], {"v": 0.0, "free": False, "has": False})
             w, fr, has = a["v"], a["free"], a["has"].astype(float)
             cnt = has[:-2, 1:-1] + has[2:, 1:-1] + has[1:-1, :-2] + has[1:-1, 2:]
