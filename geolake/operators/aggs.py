@@ -81,9 +81,9 @@ def component_totals(chains: DataFrame, component: str, length: str, out: str =
     return chains.groupBy(component).agg(F.sum(length).alias(out), F.count("*").alias("chains"))
 
 
-def coverage(legs: DataFrame, trips: DataFrame, dropped_stops: DataFrame | None = None) -> DataFrame:
+def coverage(legs: DataFrame, trips: DataFrame, dropped_stops: int | None = None) -> DataFrame:
     """Timetable match report. ``legs`` holds trip_id and matched (boolean);
-    ``trips`` lists every trip."""
+    ``trips`` lists every trip; ``dropped_stops`` is carried into the report."""
     per = legs.groupBy("trip_id").agg(F.count("*").alias("n"), F.count_if("matched").alias("ok"))
     all_ = trips.select("trip_id").join(per, "trip_id", "left").fillna(0, ["n", "ok"])
     out = all_.agg(
@@ -96,7 +96,7 @@ def coverage(legs: DataFrame, trips: DataFrame, dropped_stops: DataFrame | None
     )
     if dropped_stops is None:
         return out
-    return out.crossJoin(dropped_stops)  # one row each
+    return out.withColumn("stops_dropped", F.lit(dropped_stops))
 
 
 def interchanges(track_stations: DataFrame, min_parts: int = 2) -> DataFrame:
@@ -140,6 +140,7 @@ def grid_stats(cells: DataFrame, above: float, col: str = "v") -> DataFrame:
         (F.count_if(v != 0) / F.count("*") * 100.0).alias("nonzero_pct"),
         F.max(v).alias("max_v"),
         F.count_if(v > above).alias("n_above"),
+        F.count_distinct(v).alias("n_unique"),
     )
 
 

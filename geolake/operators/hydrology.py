@@ -19,7 +19,7 @@ from ..session import cut
 from .geometry import ring_edges
 from .graph import components, rank_paths
 from .ordered import _cols
-from .raster import NAMES, STEPS, halo_blocks, neighbours
+from .raster import NAMES, STEPS, bounds, halo_blocks, neighbours
 from .sampling import scanline_spans
 
 SOLVE_BLOCK = 512
@@ -282,10 +282,10 @@ def label_regions(mask: DataFrame, connectivity: int = 4, block: int = SOLVE_BLO
 def interior_voids(cells: DataFrame, sea: float = 0.0, block: int = SOLVE_BLOCK) -> DataFrame:
     """Cells at or below ``sea`` whose 4-connected region does not reach the
     raster's border: gx, gy, region."""
-    box = cells.agg(F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1"))
+    x0, x1, y0, y1 = bounds(cells)
     low = label_regions(cells.where(F.col("v") <= sea), 4, block)
-    on_border = (F.col("gx") == F.col("x0")) | (F.col("gx") == F.col("x1")) | (F.col("gy") == F.col("y0")) | (F.col("gy") == F.col("y1"))
-    open_ = low.crossJoin(F.broadcast(box)).where(on_border).select("region").distinct()  # one-row box
+    on_border = F.col("gx").isin(x0, x1) | F.col("gy").isin(y0, y1)
+    open_ = low.where(on_border).select("region").distinct()
     return low.join(open_, "region", "left_anti").select("gx", "gy", "region")
 
 

@@ -111,17 +111,13 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / s for x in w]
 
 
-def _mirror(df: DataFrame, g: str, lo: str, hi: str, r: int) -> DataFrame:
+def _mirror(df: DataFrame, g: str, lo: int, hi: int, r: int) -> DataFrame:
     """Repeat border cells mirrored around the edges, ``r`` cells deep."""
-    period = 2 * (F.col(hi) - F.col(lo) + 1)
-    turns = F.ceil(F.lit(float(r)) / period).cast("long")
-    spots = F.flatten(
-        F.transform(
-            F.sequence(-turns, turns),
-            lambda k: F.array(F.col(g) + k * period, 2 * F.col(lo) - 1 - F.col(g) + k * period),
-        )
-    )
-    keep = F.filter(spots, lambda p: (p >= F.col(lo) - r) & (p <= F.col(hi) + r))
+    period = 2 * (hi - lo + 1)
+    turns = math.ceil(r / period)
+    shifts = [k * period for k in range(-turns, turns + 1)]
+    spots = F.array(*[F.col(g) + s for s in shifts], *[F.lit(2 * lo - 1 + s) - F.col(g) for s in shifts])
+    keep = F.filter(spots, lambda p: (p >= lo - r) & (p <= hi + r))
     return df.withColumn("_at", F.explode(keep)).drop(g).withColumnRenamed("_at", g)
 
 
@@ -132,11 +128,11 @@ def blur(cells: DataFrame, sigma: float, col: str = "v", out: str | None = None,
     r = len(w) // 2
     if r == 0:
         return cells.withColumn(out or col, F.col(col))
-    box = cells.agg(F.min("gx").alias("_x0"), F.max("gx").alias("_x1"), F.min("gy").alias("_y0"), F.max("gy").alias("_y1"))
-    c = cells.select("gx", "gy", F.col(col).alias("_v")).crossJoin(F.broadcast(box))  # one row
-    c = _mirror(_mirror(c, "gx", "_x0", "_x1", r), "gy", "_y0", "_y1", r)
+    x0, x1, y0, y1 = bounds(cells)
+    c = cells.select("gx", "gy", F.col(col).alias("_v"))
+    c = _mirror(_mirror(c, "gx", x0, x1, r), "gy", y0, y1, r)
     h = halo_blocks(c, max(block, 2 * r), r)
-    real = (F.col("gx").between(F.col("_x0"), F.col("_x1"))) & (F.col("gy").between(F.col("_y0"), F.col("_y1")))
+    real = F.col("gx").between(x0, x1) & F.col("gy").between(y0, y1)
 
     def pass_(df, along, across, src, dst):
         win = Window.partitionBy("bx", "by", across).orderBy(along)
@@ -198,6 +194,12 @@ def threshold(cells: DataFrame, t: float, nodata: float | None = None) -> DataFr
 
 
 # -------------------------------------------------------------- size and shape
+def bounds(cells: DataFrame) -> tuple[int, int, int, int]:
+    """(x0, x1, y0, y1) of the raster as four plain numbers."""
+    r = extent(cells).first()
+    return r["x0"], r["x1"], r["y0"], r["y1"]
+
+
 def extent(cells: DataFrame) -> DataFrame:
     return cells.agg(
         F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1")
@@ -206,12 +208,11 @@ def extent(cells: DataFrame) -> DataFrame:
 
 def block_pool(cells: DataFrame, k: int, how: str = "max", col: str = "v") -> DataFrame:
     """k x k pooling from the grid origin; incomplete border blocks are cut off."""
-    box = cells.agg(F.min("gx").alias("_x0"), F.min("gy").alias("_y0"), F.max("gx").alias("_x1"), F.max("gy").alias("_y1"))
-    c = cells.crossJoin(F.broadcast(box))  # one row
-    bx, by = F.floor((F.col("gx") - F.col("_x0")) / k), F.floor((F.col("gy") - F.col("_y0")) / k)
-    whole = (bx < F.floor((F.col("_x1") - F.col("_x0") + 1) / k)) & (by < F.floor((F.col("_y1") - F.col("_y0") + 1) / k))
+    x0, x1, y0, y1 = bounds(cells)
+    bx, by = F.floor((F.col("gx") - x0) / k), F.floor((F.col("gy") - y0) / k)
+    whole = (F.col("gx") < x0 + (x1 - x0 + 1) // k * k) & (F.col("gy") < y0 + (y1 - y0 + 1) // k * k)
     agg = F.max(col) if how == "max" else F.avg(col)
-    return c.where(whole).groupBy(bx.alias("gx"), by.alias("gy")).agg(agg.alias(col))
+    return cells.where(whole).groupBy(bx.alias("gx"), by.alias("gy")).agg(agg.alias(col))
 
 
 def crop_bounds(mask: DataFrame, z: int, col: str = "m", ox: int = 0, oy: int = 0) -> DataFrame:
@@ -230,18 +231,15 @@ def crop(cells: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
 
 def drop_buffer_ring(cells: DataFrame, tiles: int = 1, tile: int = 256) -> DataFrame:
     """Remove the outer ring of buffer tiles of a rectangular tile block."""
-    b = extent(cells).select(*[F.floor(F.col(c) / tile).alias("_" + c) for c in ("x0", "x1", "y0", "y1")])
-    tx, ty = F.floor(F.col("gx") / tile), F.floor(F.col("gy") / tile)
-    c = cells.crossJoin(F.broadcast(b))  # one row
-    inside = tx.between(F.col("_x0") + tiles, F.col("_x1") - tiles) & ty.between(F.col("_y0") + tiles, F.col("_y1") - tiles)
-    return c.where(inside).select(*cells.columns)
+    x0, x1, y0, y1 = (b // tile for b in bounds(cells))
+    return crop(cells, (x0 + tiles) * tile, (y0 + tiles) * tile, (x1 - tiles + 1) * tile - 1, (y1 - tiles + 1) * tile - 1)
 
 
 def edge_fade(cells: DataFrame, n: int, col: str = "v") -> DataFrame:
     """Values faded linearly to zero over ``n`` cells from the grid border."""
-    c = cells.crossJoin(F.broadcast(extent(cells)))  # one row
-    d = F.least(F.col("gx") - F.col("x0"), F.col("x1") - F.col("gx"), F.col("gy") - F.col("y0"), F.col("y1") - F.col("gy"))
-    return c.withColumn("fade", clamp(d / float(n), 0.0, 1.0)).select(*cells.columns, "fade", (F.col(col) * F.col("fade")).alias("faded"))
+    x0, x1, y0, y1 = bounds(cells)
+    d = F.least(F.col("gx") - x0, F.lit(x1) - F.col("gx"), F.col("gy") - y0, F.lit(y1) - F.col("gy"))
+    return cells.withColumn("fade", clamp(d / float(n), 0.0, 1.0)).withColumn("faded", F.col(col) * F.col("fade"))
 
 
 def mosaic(rasters: list[DataFrame], nodata: float | None = None) -> DataFrame:

@@ -117,7 +117,7 @@ def read_corridor_timetable(spark: SparkSession, path: str) -> tuple[DataFrame,
     """(trips, stops) of a document keyed by track; the metadata key is skipped."""
     from ..functions.clock import hms_to_sec
 
-    text = spark.read.option("wholetext", not _is_lines(path)).text(path)
+    text = spark.read.text(path, wholetext=not _is_lines(path))
     tracks = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("track_id", "_t"))
     tracks = tracks.where("track_id <> '_metadata'").select("track_id", F.from_json("_t", TRACK).alias("t"))
     d = tracks.select("track_id", F.col("t.name").alias("track"), F.explode("t.departures").alias("d"))

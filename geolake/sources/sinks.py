@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.raster import extent
-
 
 def _try_read(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
     try:
@@ -86,11 +84,13 @@ def write_grid(cells: DataFrame, path: str, grid_id: str, z: int, params: dict[s
 
     out = cells.withColumn("tx", F.floor(F.col("gx") / tile).cast("long"))
     out.repartition("tx", F.floor(F.col("gy") / tile)).write.mode("overwrite").partitionBy("tx").parquet(f"{path}/cells")
-    box = extent(cells)
+    g = cells.agg(
+        F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1"),
+        F.count("*").alias("n"), F.max("v").alias("max_v"), (F.count_if(F.col("v") != 0) / F.count("*") * 100).alias("nonzero_pct"),
+    )
     lon0, lat1 = pixel_to_lonlat("x0", "y0", z)
     lon1, lat0 = pixel_to_lonlat(F.col("x1") + 1, F.col("y1") + 1, z)
-    stats = cells.agg(F.count("*").alias("n"), F.max("v").alias("max_v"), (F.count_if(F.col("v") != 0) / F.count("*") * 100).alias("nonzero_pct"))
-    meta = box.crossJoin(stats).select(  # one row each
+    meta = g.select(
         F.lit(grid_id).alias("grid_id"), F.lit(z).alias("zoom"),
         (F.col("x1") - F.col("x0") + 1).alias("w"), (F.col("y1") - F.col("y0") + 1).alias("h"),
         lon0.alias("min_lon"), lon1.alias("max_lon"), lat0.alias("min_lat"), lat1.alias("max_lat"),
