@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import _cols, nth_values
+from .ordered import SLICE, _cols, nth_values, row_number
 
 
 def to_sets(points: DataFrame, key: str, first: Sequence[str], order: str) -> DataFrame:
@@ -102,12 +102,11 @@ def coverage(legs: DataFrame, trips: DataFrame, dropped_stops: int | None = None
 def interchanges(track_stations: DataFrame, min_parts: int = 2) -> DataFrame:
     """Stations on at least ``min_parts`` parts: one row per station and part with
     the number of parts and the part's position in their order."""
-    from .ordered import SLICE, hot_slices, row_number
-
     pairs = track_stations.select("station", "part_id").distinct()
     n = pairs.groupBy("station").agg(F.count("*").alias("n_parts")).where(F.col("n_parts") >= min_parts)
     rows = pairs.join(n, "station")
-    return row_number(hot_slices(rows, "station", F.floor(F.col("part_id") / 65536) + 1), "station", "part_id", "part_no").drop(SLICE)
+    rows = rows.withColumn(SLICE, (F.floor(F.col("part_id") / 65536) + 1).cast("long"))
+    return row_number(rows, "station", "part_id", "part_no").drop(SLICE)
 
 
 def failing_pairs(legs: DataFrame) -> DataFrame:

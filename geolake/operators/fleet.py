@@ -162,15 +162,26 @@ def _at(seg: DataFrame, keep: list[str]) -> DataFrame:
     return seg.select(*keep, "t", pos("lon").alias("lon"), pos("lat").alias("lat"))
 
 
-def positions_at(pings: DataFrame, instants: DataFrame, bucket: int = 3600) -> DataFrame:
+LEVELS = 14
+
+
+def positions_at(pings: DataFrame, instants: DataFrame, bucket: int = 600) -> DataFrame:
     """Interpolated position of every entity at each instant between its first
-    and last report. Segments and instants meet on time buckets."""
+    and last report.
+
+    An interval join on time buckets of growing size: a segment is keyed in the
+    bucket size that fits its length, so even a gap of months gives at most five
+    rows; every instant is keyed once per size."""
     s = ping_segments(pings)
-    lo, hi = F.floor(F.col("t0") / bucket), F.floor(F.coalesce("t1", "t0") / bucket)
-    i = instants.select("t", F.floor(F.col("t") / bucket).alias("_b"))
-    # a long gap only meets the buckets that hold an instant
+    length = F.greatest(F.coalesce("t1", "t0") - F.col("t0"), F.lit(1))
+    level = clamp(F.ceil(F.log(4.0, length / F.lit(float(bucket)))), F.lit(0), F.lit(LEVELS - 1)).cast("int")
+    size = lambda c: (F.lit(bucket) * F.pow(F.lit(4.0), c)).cast("long")
+    s = s.withColumn("_lv", level)
+    lo, hi = F.floor(F.col("t0") / size("_lv")), F.floor(F.coalesce("t1", "t0") / size("_lv"))
     s = s.withColumn("_b", F.explode(F.sequence(lo, hi)))
-    j = s.join(i, "_b").where(
+    i = instants.select("t", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_lv"))
+    i = i.withColumn("_b", F.floor(F.col("t") / size("_lv")))
+    j = s.join(i, ["_lv", "_b"]).where(
         F.when(F.col("t1").isNull(), F.col("t") == F.col("t0")).otherwise((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
     )
     return _at(j, ["entity_id"])

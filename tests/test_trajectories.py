@@ -107,7 +107,7 @@ def test_nth_values(spark):
 def test_positions_outside_trail_are_absent(spark):
     p = pings(spark, [(1, 1, 100, 0.0, 0.0), (1, 2, 200, 10.0, 20.0), (2, 3, 150, 5.0, 5.0)])
     at = spark.createDataFrame([(50,), (100,), (150,), (200,), (250,)], "t long")
-    got = sorted((r.entity_id, r.t, r.lon, r.lat) for r in fleet.positions_at(p, at, bucket=60).collect())
+    got = sorted((r.entity_id, r.t, r.lon, r.lat) for r in fleet.positions_at(p, at, bucket=7).collect())
     assert got == [(1, 100, 0.0, 0.0), (1, 150, 5.0, 10.0), (1, 200, 10.0, 20.0), (2, 150, 5.0, 5.0)]
 
 
