@@ -72,7 +72,7 @@ def _(t):
     return n.select("end_id", "near_chain", "near_seq", F.round("dist_m", 3).alias("dist_m"))
 
 
-STN = "st as (select feature_id as station, lon, lat from sites union all select part_id * 100 + seq + 1000000 as station, lon + 2e-3 as lon, lat + 1e-3 as lat from vertices where seq in (3, 11))"
+STN = "st as (select feature_id as station, lon, lat from sites union all select part_id * 100 + seq + 1000000 as station, lon + 2e-3 as lon, lat + 1e-3 as lat from vertices)"
 # projected metres of the stations, then of the vertices (names suffixed)
 _TM_STATIONS = TM2[5:].format(id="station", src="st")
 for _name in ("k", "c", "p", "q", "tm"):
@@ -102,7 +102,7 @@ def _(t):
 
 
 def _stations(t):
-    side = t.vertices.where("seq in (3, 11)").selectExpr("part_id * 100 + seq + 1000000 as station", "lon + 2e-3 as lon", "lat + 1e-3 as lat")
+    side = t.vertices.selectExpr("part_id * 100 + seq + 1000000 as station", "lon + 2e-3 as lon", "lat + 1e-3 as lat")
     return t.sites.selectExpr("feature_id as station", "lon", "lat").union(side)
 
 
@@ -169,7 +169,7 @@ def _(t):
 
 
 # one running list of picks per group, in descending height
-PEAKS = """cn as (select feature_id as center_id, lon as cx, lat as cy from sites where val > 5e3),
+PEAKS = """cn as (select feature_id as center_id, lon as cx, lat as cy from sites),
  pk as (select center_id, feature_id as point_id, lon as x, lat as y, val as elev, row_number() over (partition by center_id order by val desc, feature_id) as rn
    from cn join points on pow(lon - cx, 2) + pow(lat - cy, 2) <= 0.5e0 * 0.5e0 where val >= 1e3),
  f as (select center_id, rn, point_id, elev, true as ok, [{'x': x, 'y': y}] as got from pk where rn = 1
@@ -180,7 +180,7 @@ PEAKS = """cn as (select feature_id as center_id, lon as cx, lat as cy from site
 
 @query("t2_select_peaks", f"with {PEAKS} select center_id, point_id, elev from f where ok qualify row_number() over (partition by center_id order by elev desc, point_id) <= 5")
 def _(t):
-    c = t.sites.where("val > 5e3").selectExpr("feature_id as center_id", "lon as x", "lat as y")
+    c = t.sites.selectExpr("feature_id as center_id", "lon as x", "lat as y")
     p = t.points.selectExpr("feature_id as point_id", "lon as x", "lat as y", "val as elev")
     return spatial.select_peaks(p, c, 0.5, 0.2, 5, 1000.0).select("center_id", "point_id", F.col("score").alias("elev"))
 
@@ -264,7 +264,8 @@ def _(t):
 
 @query(
     "l3_covered",
-    f"""with {LOD}, want as (select distinct zoom, tx, ty from lod), live as (select * from want where (tx + ty) % 5 <> 0),
+    f"""with {LOD}, want as (select distinct zoom, tx, ty from lod), seen as (select 10 as zoom, {TILE.format(n='1024e0')} from points union all select 11, {TILE.format(n='2048e0')} from points),
+     live as (select * from want where (zoom, tx, ty) in (select (zoom, tx, ty) from seen)),
      st as (select distinct 9 as zoom, tx // 2 as tx, ty // 2 as ty from co where d2 <= {R * R}e0 union select distinct 12, tx * 4, ty * 4 from co where d2 <= {R * R}e0),
      ft as (select zoom, tx, ty, unnest(case when zoom = 9 then [tx * 2, tx * 2 + 1] else [tx // 4] end) as fx, case when zoom = 9 then [ty * 2, ty * 2 + 1] else [ty // 4] end as ys from st),
      fo as (select zoom, tx, ty, fx, unnest(ys) as fy from ft), mi as (select * from want except select * from live),
@@ -274,7 +275,9 @@ def _(t):
 def _(t):
     c = _centers(t, Z11)
     want = tiling.lod_partition(c, R, Z11).select("zoom", "tx", "ty").distinct()
-    live = want.where((F.col("tx") + F.col("ty")) % 5 != 0)
+    # tiles holding a point are live
+    seen = [spatial.assign_tiles(t.points, z).select(F.lit(z).alias("zoom"), "tx", "ty") for z in (10, 11)]
+    live = want.join(seen[0].union(seen[1]), ["zoom", "tx", "ty"], "left_semi")
     outer = tiling.disk_cover(c, R, Z10).select("tx", "ty")
     stale = outer.selectExpr("9 as zoom", "cast(floor(tx / 2) as bigint) as tx", "cast(floor(ty / 2) as bigint) as ty").union(outer.selectExpr("12 as zoom", "tx * 4 as tx", "ty * 4 as ty")).distinct()
     return tiling.covered(stale, want, live, 11, 10)
