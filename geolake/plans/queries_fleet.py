@@ -127,17 +127,22 @@ def _(t):
     return p.select("trip_id", "t", "unit", "part_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+def _e6(c):
+    """Whole millionths of a degree; the offset keeps exact halves apart."""
+    return F.floor(F.col(c) * 1e6 + 0.1234567).cast("long").alias(f"{c}_e6")
+
+
 SEGS = "sgm as (select entity_id, t as t0, lon as lon0, lat as lat0, lead(t) over w as t1, lead(lon) over w as lon1, lead(lat) over w as lat1 from {src} window w as (partition by entity_id order by t, ping_id))"
 POS = """select entity_id, t, case when t1 is null then lon0 else lon0 + (lon1 - lon0) * (case when t1 > t0 then (t - t0) / (t1 - t0) else 0e0 end) end as lon,
  case when t1 is null then lat0 else lat0 + (lat1 - lat0) * (case when t1 > t0 then (t - t0) / (t1 - t0) else 0e0 end) end as lat from sgm join hr on (t1 is null and t = t0) or (t >= t0 and t < t1)"""
 HOURS = "hr as (select distinct t // 3600 * 3600 as t from pings)"
 
 
-@query("j17_positions_at", f"with {HOURS}, {SEGS.format(src='pings')} select entity_id, t, round(lon, 9) as lon, round(lat, 9) as lat from ({POS}) q")
+@query("j17_positions_at", f"with {HOURS}, {SEGS.format(src='pings')} select entity_id, t, cast(floor(lon * 1e6 + 0.1234567e0) as bigint) as lon_e6, cast(floor(lat * 1e6 + 0.1234567e0) as bigint) as lat_e6 from ({POS}) q")
 def _(t):
     hours = t.pings.select((F.floor(F.col("t") / 3600) * 3600).alias("t")).distinct()
     p = fleet.positions_at(t.pings, hours)
-    return p.select("entity_id", "t", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+    return p.select("entity_id", "t", _e6("lon"), _e6("lat"))
 
 
 CLEANED = f"{clean_sql('haversine')}, kp as (select entity_id, ping_id, t, lon, lat from f where kept and entity_id in (select entity_id from f where kept group by entity_id having count(*) >= 2))"
@@ -155,10 +160,10 @@ def _(t):
     return p.groupBy(k["tx"].alias("tx"), k["ty"].alias("ty")).agg(F.count("*").alias("n"))
 
 
-@query("k7_timeline", f"with hr as (select unnest(range((select min(t) from pings) // 7200 * 7200, (select max(t) from pings) + 1, 7200)) as t), {SEGS.format(src='pings')} select entity_id, t, round(lon, 9) as lon, round(lat, 9) as lat from ({POS}) q")
+@query("k7_timeline", f"with hr as (select unnest(range((select min(t) from pings) // 7200 * 7200, (select max(t) from pings) + 1, 7200)) as t), {SEGS.format(src='pings')} select entity_id, t, cast(floor(lon * 1e6 + 0.1234567e0) as bigint) as lon_e6, cast(floor(lat * 1e6 + 0.1234567e0) as bigint) as lat_e6 from ({POS}) q")
 def _(t):
     p = fleet.timeline(t.pings, 7200)
-    return p.select("entity_id", "t", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+    return p.select("entity_id", "t", _e6("lon"), _e6("lat"))
 
 
 @query("k7_trip_timeline", f"with {LEGS}, {ACT.replace(INST, 'ins as (select unnest(range(0, 86400, 1800)) as t)')}, {LOC} select trip_id, t, part_id, round(ratio, 6) as ratio from loc")

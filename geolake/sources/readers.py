@@ -21,7 +21,8 @@ def read_geojson(spark: SparkSession, path: str, geom_type: str, props: list[str
     """Features of one geometry type as rows: Point gives lon/lat, lines give one
     row per vertex with part_id, polygons add poly_id and ring_id.
 
-    Accepts one FeatureCollection per file or newline-delimited features. Lines
+    Accepts one FeatureCollection per file or newline-delimited features;
+    identical copies of a feature in one delimited file share their id. Lines
     with fewer than two vertices are dropped.
     """
     want = {"Point": ["Point"], "LineString": ["LineString", "MultiLineString"], "Polygon": ["Polygon", "MultiPolygon"]}[geom_type]
