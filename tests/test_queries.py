@@ -13,7 +13,7 @@ DIR = "/root/testdata/sf0.001"
 SOME = """h4_lonlat_to_tm2 p9_dict_encode j1_sample_nearest j4_points_in_polygons j14_resolve_legs a5_percentile_rank
  a13_ring_metrics w2_drop_speed_anomalies w10_sample_vertices e1_simplify r2_d8 r9_blur k2_locate_trips l2_lod_partition
  s1_read_geojson_lines t2_select_peaks""".split()
-NAMES = sorted(entry.queries()) if os.environ.get("GEOLAKE_ALL") else SOME
+NAMES = sorted(entry.REGISTRY) if os.environ.get("GEOLAKE_ALL") else SOME
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver tables")
 
@@ -27,7 +27,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.REGISTRY) <= set(entry.queries()) & set(entry.oracle_sql())
 
 
 def test_entry(spark):
