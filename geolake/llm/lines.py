@@ -11,8 +11,11 @@ can have a partner at all, so only these are given variants.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from ..session import cut
 from .common import map_batches, mix64
@@ -20,6 +23,7 @@ from .common import map_batches, mix64
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 LOWEST = -(1 << 63)
+BROADCAST = 200_000  # candidate lines (at most 30 MB) that are sent to all tasks; more are joined by a shuffle
 
 
 def within_one(a: str, b: str) -> bool:
@@ -56,45 +60,64 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return d.select(F.struct("_d", "_t", "_i").alias("_pos"), "_line", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(1), "_line").alias("_h2"))
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
+def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     """_h1, _h2 of the distinct lines that have another line within one edit whose
-    first position is earlier."""
+    first position is earlier. ``first`` has _h1, _h2, _pos of each distinct line.
+
+    Of two lines within one edit, of n and n or n + 1 characters, the first or the
+    last n / 2 characters are equal. That half tells where the edit must be.
+    """
     n = F.length("_line")
-    half = lambda m, side: F.xxhash64(n - m[1], F.lit(side), F.substring(F.col("_line"), F.lit(1), m[0]) if side == 0 else F.right(F.col("_line"), m[0]))
-    even, odd = (F.floor(n / 2).cast("int"), F.lit(0)), (F.floor((n - 1) / 2).cast("int"), F.lit(1))
-    keys = {"_k0": half(even, 0), "_k1": half(even, 1), "_k2": half(odd, 0), "_k3": half(odd, 1)}
-    own = lines.select("_pos", "_h1", "_h2", *[v.alias(k) for k, v in keys.items()])
-    first = own.groupBy("_h1", "_h2", *keys).agg(F.min("_pos").alias("_pos"))
-    first = cut(first)
-    k = first.select("_h1", "_h2", F.explode(F.array(*keys)).alias("_k"))
-    shared = k.groupBy("_k").agg(F.min("_h1").alias("_lo"), F.max("_h1").alias("_hi")).where("_lo <> _hi").select("_k")
-    cand = k.join(shared, "_k").select("_h1", "_h2").distinct()
-    cand = cut(first.select("_h1", "_h2", "_pos").join(cand, ["_h1", "_h2"]))
-    pos = cand.select("_pos")
-    texts = cut(lines.join(pos, "_pos").groupBy("_pos").agg(F.first("_line").alias("_line")))
+    keys = []
+    for less in (0, 1):
+        m = F.floor((n - less) / 2).cast("int")
+        for side, part in ((0, F.substring(F.col("_line"), F.lit(1), m)), (1, F.right(F.col("_line"), m))):
+            keys.append(F.struct(F.xxhash64(n - less, F.lit(side), part).alias("_k"), F.lit(less == 0).alias("_short"), F.lit(side).alias("_side")))
+    k = lines.select("_h1", F.explode(F.array(*keys)).alias("_e")).select("_h1", "_e.*")
+    low = lambda short: F.min(F.when(F.col("_short") == short, F.col("_h1")))
+    high = F.max(F.when(F.col("_short"), F.col("_h1")))
+    shared = k.groupBy("_k").agg(low(True).alias("_a"), high.alias("_b"), low(False).alias("_c")).where("_a <> _b or (_a is not null and _c is not null)")
+    mine = k.join(shared, "_k").withColumn("_swap", F.col("_short") & (F.col("_a") != F.col("_b"))).withColumn("_shift", F.col("_c").isNotNull())
+    use = lambda what, side: F.max(F.col(what) & (F.col("_side") == side)).alias(f"{what}{side}")
+    cand = mine.groupBy("_h1").agg(use("_swap", 0), use("_swap", 1), use("_shift", 0), use("_shift", 1))
+    cand = cut(cand.where("_swap0 or _swap1 or _shift0 or _shift1").join(first, "_h1"))
+    few = cand.drop("_h1", "_h2")
+    texts = cut(lines.select("_pos", "_line").join(F.broadcast(few) if few.count() <= BROADCAST else few, "_pos").dropDuplicates(["_pos"]))
 
     def setup():
         def step(b):
-            out = {"_key": [], "_p": [], "_mine": [], "_pos": []}
-            for line, at in zip(b["_line"], b["_pos"], strict=True):
+            out = {"_key": [], "_whole": [], "_at": []}
+            for i, line in enumerate(b["_line"]):
                 whole, less = variants(line)
-                n = len(line)
-                out["_key"].append(np.concatenate([[whole], less, less]).astype(np.uint64).view(np.int64))
-                out["_p"].append(np.concatenate([np.full(1 + n, -1), np.arange(n)]).astype(np.int32))
-                out["_mine"].append(np.concatenate([[0], np.ones(2 * n)]).astype(np.int32))
-                out["_pos"] += [at] * (2 * n + 1)
-            return {c: np.concatenate(v) if c != "_pos" else v for c, v in out.items()}
+                n, p = len(line), np.arange(len(line))
+                # an edit lies behind an equal first half, or before an equal last half
+                behind, before = p >= (n - 1) // 2, p < n - (n - 1) // 2
+                swap = (behind & b["_swap0"][i]) | (before & b["_swap1"][i])
+                shift = (behind & b["_shift0"][i]) | (before & b["_shift1"][i])
+                with np.errstate(over="ignore"):
+                    swaps = mix64(less[swap] + (p[swap].astype(np.uint64) + np.uint64(2)) * np.uint64(BASE))
+                    shifts = mix64(np.concatenate([[whole], less[shift]]).astype(np.uint64) + np.uint64(BASE))
+                if not (b["_shift0"][i] or b["_shift1"][i]):
+                    shifts = shifts[:0]
+                out["_key"].append(np.unique(np.concatenate([swaps, shifts[1:]])))
+                out["_whole"].append(np.zeros(len(out["_key"][-1]), bool))
+                out["_key"].append(shifts[:1])
+                out["_whole"].append(np.ones(len(shifts[:1]), bool))
+                out["_at"].append(np.full(len(out["_key"][-2]) + len(shifts[:1]), b["_no"][i]))
+            return {"_key": np.concatenate(out["_key"]).view(np.int64), "_whole": np.concatenate(out["_whole"]), "_no": np.concatenate(out["_at"])}
 
         return step
 
-    v = map_batches(texts, "_key long, _p int, _mine int, _pos struct<_d:long,_t:long,_i:int>", setup, 256 << 10)
-    # the earliest line of a key answers for all of it; one that holds the key whole meets only lines that lack a character
-    best = v.groupBy("_key", "_p").agg(F.min(F.when(F.col("_mine") == 0, F.col("_pos"))).alias("_whole"), F.min(F.when(F.col("_mine") == 1, F.col("_pos"))).alias("_less"), F.count("*").alias("_n"))
-    best = best.where("_n > 1 and (_p >= 0 or (_whole is not null and _less is not null))").drop("_n")
-    partner = F.when((F.col("_p") < 0) & (F.col("_mine") == 1), F.col("_whole")).otherwise(F.col("_less"))
-    pairs = v.join(best, ["_key", "_p"]).select("_pos", partner.alias("_of")).where("_of < _pos").distinct()
-    checked = F.udf(within_one, "boolean")
-    both = pairs.join(texts.withColumnRenamed("_line", "_a"), "_pos").join(texts.select(F.col("_pos").alias("_of"), F.col("_line").alias("_b")), "_of")
+    # keys for a swap hold the place; keys for a shift are whole for the shorter line only
+    v = map_batches(texts.withColumn("_no", F.xxhash64("_line")), "_key long, _whole boolean, _no long", setup, 256 << 10)
+    met = v.groupBy("_key").agg(F.min("_no").alias("_lo"), F.max("_no").alias("_hi")).where("_lo <> _hi").select("_key")
+    v = cut(v.join(met, "_key").join(texts.select(F.xxhash64("_line").alias("_no"), "_pos"), "_no").select("_key", "_whole", "_pos"))
+    # the earliest line of a key answers for all; where one holds the key whole, it meets those that lack a character
+    best = v.groupBy("_key").agg(F.min(F.when(F.col("_whole"), F.col("_pos"))).alias("_w"), F.min(F.when(~F.col("_whole"), F.col("_pos"))).alias("_l"))
+    partner = F.when(F.col("_whole"), F.col("_l")).otherwise(F.coalesce("_w", "_l"))
+    pairs = v.join(best, "_key").select("_pos", partner.alias("_of")).where("_of < _pos").distinct()
+    checked = F.udf(within_one, "boolean", useArrow=True)
+    both = pairs.join(texts.select("_pos", F.col("_line").alias("_a")), "_pos").join(texts.select(F.col("_pos").alias("_of"), F.col("_line").alias("_b")), "_of")
     found = both.where(checked("_a", "_b")).select("_pos").distinct()
     return cand.join(found, "_pos").select("_h1", "_h2")
 
@@ -102,10 +125,10 @@ def near_lines(lines: DataFrame) -> DataFrame:
 def dropped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """_d, _t, _drop: the numbers of the lines to drop of each document that has any."""
     lines = _lines(docs, doc_id, text)
-    near = cut(near_lines(lines)).withColumn("_near", F.lit(True))
     own = lines.select("_pos", "_h1", "_h2")
-    first = own.groupBy("_h1", "_h2").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
-    first = first.join(near, ["_h1", "_h2"], "left").where("_n > 1 or _near").withColumn("_near", F.coalesce("_near", F.lit(False)))
+    first = cut(own.groupBy("_h1", "_h2").agg(F.min("_pos").alias("_pos"), F.count("*").alias("_n")))
+    near = cut(near_lines(lines, first.drop("_n"))).withColumn("_near", F.lit(True))
+    first = first.withColumnRenamed("_pos", "_first").join(near, ["_h1", "_h2"], "left").where("_n > 1 or _near").withColumn("_near", F.coalesce("_near", F.lit(False)))
     hit = own.join(first, ["_h1", "_h2"]).where("_near or _pos > _first")
     return hit.groupBy("_pos._d", "_pos._t").agg(F.collect_set("_pos._i").alias("_drop"))
 
@@ -119,7 +142,25 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keeps the same lines. A null id comes before all others.
     """
     gone = dropped(docs, doc_id, text).withColumnsRenamed({"_d": "_line_d", "_t": "_line_t"})
-    d = docs.withColumn("_own_d", F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST))).withColumn("_own_t", F.xxhash64(text))
+    # texts travel compressed
+    d = docs.withColumn("_own_d", F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST))).withColumn("_own_t", F.xxhash64(text)).withColumn(text, _pack(F.col(text)))
     d = d.join(gone, (F.col("_own_d") == F.col("_line_d")) & (F.col("_own_t") == F.col("_line_t")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    return d.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    return d.withColumn(text, _unpack(F.col(text), F.col("_drop"))).select(*docs.columns)
+
+
+@F.pandas_udf(BinaryType())
+def _pack(texts: pd.Series) -> pd.Series:
+    z = zstandard.ZstdCompressor(level=1)
+    return texts.map(lambda t: None if t is None else z.compress(t.encode("utf-8", "surrogatepass")))
+
+
+@F.pandas_udf(StringType())
+def _unpack(packed: pd.Series, drop: pd.Series) -> pd.Series:
+    out = []
+    for z, gone in zip(packed, drop, strict=True):
+        text = None if z is None else zstandard.decompress(z, max_output_size=1 << 31).decode("utf-8", "surrogatepass") if z else ""
+        if gone is not None and text is not None:
+            numbers = set(gone.tolist())
+            text = "\n".join([x for i, x in enumerate(text.split("\n")) if i not in numbers])
+        out.append(text)
+    return pd.Series(out, dtype=object)

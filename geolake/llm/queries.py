@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mix, quality, toxicity
+from . import ann, bpe, fingerprint, html, lines, mix, neardup, quality, suffix, toxicity
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,29 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited forms."""
+    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without 200-byte strings that start twice."""
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, r: s + (r["end"] - r["start"]).cast("long"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -53,5 +76,24 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op5_quality_ranking, op6_bpe_round_trip, op7_toxic_passages, op8_line_dedup, op9_source_mix)}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Run] = {
+    f.__name__: f
+    for f in (
+        op1_piecewise_fingerprints,
+        op2_near_duplicates,
+        op3_nearest_vectors,
+        op4_repeated_bytes,
+        op5_quality_ranking,
+        op6_bpe_round_trip,
+        op7_toxic_passages,
+        op8_line_dedup,
+        op9_source_mix,
+        op10_main_text,
+    )
+}
 SQL: dict[str, str] = {"op9_source_mix": mix.SQL}
