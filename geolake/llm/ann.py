@@ -177,6 +177,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES
     left = spread.join(parts, ["_tree", "_leaf"]).withColumn("_part", F.pmod(F.xxhash64("_ids"), F.col("_parts")))
     right = seeking.select("_id", "_v", F.explode("_asked").alias("_a")).select("_id", "_v", "_a.*")
     right = right.join(parts, ["_tree", "_leaf"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    right = right.select("_id", "_v", *[F.col(c).alias(f"{c}_asked") for c in ("_tree", "_leaf", "_part")])
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -196,7 +197,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES
         got = pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": out_s}).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return got.groupby("query_id").head(k)
 
-    found = left.groupBy("_tree", "_leaf", "_part").cogroup(right.groupBy("_tree", "_leaf", "_part")).applyInPandas(score, "query_id long, vec_id long, score double")
+    found = left.groupBy("_tree", "_leaf", "_part").cogroup(right.groupBy("_tree_asked", "_leaf_asked", "_part_asked")).applyInPandas(score, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
