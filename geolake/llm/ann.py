@@ -3,8 +3,9 @@
 Inner products become angles by one more coordinate that brings every candidate to
 the same length. The trees are grown on a bounded sample; every row is then put
 into a leaf of each tree. A query walks all trees with one priority queue, always
-opening the branch whose splits it missed by the least, until it has asked for
-enough leaves; the rows of those leaves are scored exactly.
+opening the branch whose splits it missed by the least, until the leaves hold a set
+share of the sample; the rows of those leaves are scored exactly. The share, not the
+number of leaves, is set, so recall does not fall as a table grows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .common import map_batches
 
-TREES, LEAF, VISITS = 24, 48, 160
+TREES, LEAF, SHARE = 12, 160, 0.8
 FIT_ROWS = 20_000
 PART = 4000
 
@@ -32,6 +33,7 @@ class Forest:
     normals: list[np.ndarray]
     offsets: list[np.ndarray]
     children: list[np.ndarray]
+    sizes: list[np.ndarray]  # sample rows of each leaf
     scale: float
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
@@ -48,22 +50,24 @@ class Forest:
             out[:, t] = -1 - at if len(w) else 0
         return out
 
-    def search(self, q: np.ndarray, visits: int) -> list[tuple[int, int]]:
-        """The (tree, leaf) pairs with the largest margins, found best first."""
+    def search(self, q: np.ndarray, share: float) -> list[tuple[int, int]]:
+        """The (tree, leaf) pairs with the smallest misses, found best first, until
+        their leaves, those that overlap included, hold ``share`` of the sample."""
+        left = share * self.sizes[0].sum()
         heap = [(-np.inf, t, 0) for t in range(len(self.normals))]
         heapq.heapify(heap)
         found = []
-        while heap and len(found) < visits:
+        while heap and left > 0:
             miss, t, node = heapq.heappop(heap)
             if not len(self.normals[t]):
-                found.append((t, 0))
-                continue
+                node = -1
             while node >= 0:
                 m = float(self.normals[t][node] @ q - self.offsets[t][node])
                 near, far = self.children[t][node][[int(m > 0), int(m <= 0)]]
                 heapq.heappush(heap, (max(miss, abs(m)), t, int(far)))
                 node = int(near)
             found.append((t, -1 - node))
+            left -= self.sizes[t][-1 - node]
         return found
 
 
@@ -81,9 +85,9 @@ def grow(x: np.ndarray, scale: float, trees: int = TREES, leaf: int = LEAF, seed
     random points; if it leaves nearly all on one side, a random direction at the
     median; rows that no direction can part stay together."""
     rng = np.random.default_rng(seed)
-    forest = Forest([], [], [], scale)
+    forest = Forest([], [], [], [], scale)
     for _ in range(trees):
-        w, o, ch, leaf_no = [], [], [], 0
+        w, o, ch, sizes = [], [], [], []
         todo = [(np.arange(len(x)), -1, 0)]
         while todo:
             rows, parent, side = todo.pop()
@@ -103,7 +107,8 @@ def grow(x: np.ndarray, scale: float, trees: int = TREES, leaf: int = LEAF, seed
                         split = (d / n, off / n, right)
                         break
             if split is None:
-                me, leaf_no = -1 - leaf_no, leaf_no + 1
+                me = -1 - len(sizes)
+                sizes.append(len(rows))
             else:
                 me = len(w)
                 w.append(split[0])
@@ -112,6 +117,7 @@ def grow(x: np.ndarray, scale: float, trees: int = TREES, leaf: int = LEAF, seed
                 todo += [(rows[~split[2]], me, 0), (rows[split[2]], me, 1)]
             if parent >= 0:
                 ch[parent][side] = me
+        forest.sizes.append(np.array(sizes, np.int64))
         forest.normals.append(np.array(w).reshape(-1, x.shape[1]))
         forest.offsets.append(np.array(o))
         forest.children.append(np.array(ch, np.int64).reshape(-1, 2))
@@ -126,7 +132,7 @@ def _sound(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return own.where(ok & F.exists("_v", lambda e: e != 0))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, leaf: int = LEAF, visits: int = VISITS, fit_rows: int = FIT_ROWS, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, leaf: int = LEAF, share: float = SHARE, fit_rows: int = FIT_ROWS, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows found with the largest inner
     product with each row of ``queries``, its own id left out; ties to smaller ids.
 
@@ -149,10 +155,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES
         return own.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = one.select("_v").orderBy(F.xxhash64("_v"), "_v").limit(fit_rows).toPandas()["_v"]
     forest = grow(lifted(np.array(sample.tolist(), float), scale, False), scale, trees, leaf)
-    share = own.sparkSession.sparkContext.broadcast(forest)
+    shared = own.sparkSession.sparkContext.broadcast(forest)
 
     def place():
-        f = share.value
+        f = shared.value
 
         def step(b):
             at = f.leaves(lifted(np.array(b["_v"], float), f.scale, False))
@@ -161,11 +167,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES
         return step
 
     def ask():
-        f = share.value
+        f = shared.value
 
         def step(b):
             q = lifted(np.array(b["_v"], float), f.scale, True)
-            return {"_id": b["_id"], "_v": b["_v"], "_asked": [[{"_tree": t, "_leaf": n} for t, n in f.search(row, visits)] for row in q]}
+            return {"_id": b["_id"], "_v": b["_v"], "_asked": [[{"_tree": t, "_leaf": n} for t, n in f.search(row, share)] for row in q]}
 
         return step
 
