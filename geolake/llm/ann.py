@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .common import map_batches
 
-TREES, LEAF, SHARE = 12, 160, 0.8
+TREES, LEAVES, SHARE = 12, 128, 1.2
 FIT_ROWS = 20_000
 PART = 4000
 
@@ -80,11 +80,12 @@ def lifted(x: np.ndarray, scale: float, query: bool) -> np.ndarray:
     return np.concatenate([x / scale, np.sqrt(np.maximum(0.0, 1 - (n / scale) ** 2))[:, None]], 1)
 
 
-def grow(x: np.ndarray, scale: float, trees: int = TREES, leaf: int = LEAF, seed: int = 17) -> Forest:
+def grow(x: np.ndarray, scale: float, trees: int = TREES, leaves: int = LEAVES, seed: int = 17) -> Forest:
     """Trees over the sample ``x`` (already lifted). A split is the plane between two
     random points; if it leaves nearly all on one side, a random direction at the
     median; rows that no direction can part stay together."""
     rng = np.random.default_rng(seed)
+    leaf = max(12, len(x) // leaves)
     forest = Forest([], [], [], [], scale)
     for _ in range(trees):
         w, o, ch, sizes = [], [], [], []
@@ -132,7 +133,7 @@ def _sound(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return own.where(ok & F.exists("_v", lambda e: e != 0))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, leaf: int = LEAF, share: float = SHARE, fit_rows: int = FIT_ROWS, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, leaves: int = LEAVES, share: float = SHARE, fit_rows: int = FIT_ROWS, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows found with the largest inner
     product with each row of ``queries``, its own id left out; ties to smaller ids.
 
@@ -154,7 +155,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES
     if scale is None:
         return own.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = one.select("_v").orderBy(F.xxhash64("_v"), "_v").limit(fit_rows).toPandas()["_v"]
-    forest = grow(lifted(np.array(sample.tolist(), float), scale, False), scale, trees, leaf)
+    forest = grow(lifted(np.array(sample.tolist(), float), scale, False), scale, trees, leaves)
     shared = own.sparkSession.sparkContext.broadcast(forest)
 
     def place():
