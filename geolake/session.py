@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,24 @@ def build_session(cpus: str | int = "*", app: str = "geolake", **conf) -> SparkS
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context: they need not find it
+    in their own folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_geolake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "geolake.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._geolake_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints, taken from ``spark.checkpoint.dir``.
 
