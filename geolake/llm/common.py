@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(df: DataFrame, **own: Column) -> DataFrame:
+    """All columns of ``df`` as one struct ``_row``, beside columns of one's own: no
+    name of theirs can clash."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), *[v.alias(k) for k, v in own.items()])
+
+
+def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of a ``_row`` again; ``new`` ones replace those of their name."""
+    return df.select(*[new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in columns])
+
+
 def typed(schema: str) -> StructType:
     return StructType.fromDDL(schema)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 from ..session import cut
-from .common import map_batches, mix64
+from .common import boxed, map_batches, mix64, unboxed
 
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -143,9 +143,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     gone = dropped(docs, doc_id, text).withColumnsRenamed({"_d": "_line_d", "_t": "_line_t"})
     # texts travel compressed
-    d = docs.withColumn("_own_d", F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST))).withColumn("_own_t", F.xxhash64(text)).withColumn(text, _pack(F.col(text)))
+    rest = [c for c in docs.columns if c != text]
+    d = boxed(docs.select(*rest, text), _own_d=F.coalesce(docs[doc_id].cast("long"), F.lit(LOWEST)), _own_t=F.xxhash64(docs[text]), _packed=_pack(docs[text]))
+    d = d.withColumn("_row", F.col("_row").dropFields(text))
     d = d.join(gone, (F.col("_own_d") == F.col("_line_d")) & (F.col("_own_t") == F.col("_line_t")), "left")
-    return d.withColumn(text, _unpack(F.col(text), F.col("_drop"))).select(*docs.columns)
+    return unboxed(d, docs.columns, **{text: _unpack(F.col("_packed"), F.col("_drop"))})
 
 
 @F.pandas_udf(BinaryType())

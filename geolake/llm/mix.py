@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import boxed, unboxed
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -95,13 +96,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, doc
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, columns unchanged."""
-    sized = docs.select(F.col(source).alias("_src"), words(text).alias("_size"), hash48(doc_id).alias("_hash"))
-    sizes = cut(sized)
-    goal = thresholds(sizes, targets(sizes, weights, cap)).select(F.col("_src").alias("_mix_src"), "_base", "_lim")
-    out = docs.join(goal, F.col(source).eqNullSafe(F.col("_mix_src")))
-    n = F.col("_base") + (hash48(doc_id) < F.col("_lim")).cast("long")
-    out = out.where(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
-    return out.select(*docs.columns)
+    own = boxed(docs, _src=docs[source], _size=words(text), _hash=hash48(doc_id))
+    sizes = cut(own.select("_src", "_size", "_hash"))
+    goal = thresholds(sizes, targets(sizes, weights, cap)).select(F.col("_src").alias("_s"), "_base", "_lim")
+    n = F.col("_base") + (F.col("_hash") < F.col("_lim")).cast("long")
+    out = own.join(goal, F.col("_src").eqNullSafe(F.col("_s"))).withColumn("_n", n).where("_n > 0")
+    return unboxed(out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))), docs.columns)
 
 
 SQL = """

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..session import cut
-from .common import WordHash, map_batches, mix64, shingles
+from .common import WordHash, boxed, map_batches, mix64, shingles, unboxed
 
 ROWS, BANDS = 6, 40
 COMPONENTS = ROWS * BANDS
@@ -236,6 +236,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_lea
     last, then by a hash of the text; of equal rows one). All columns unchanged."""
     named = _named(_own(docs, doc_id, text), at_least)
     best = named.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_node")).alias("_w")).select("_w._id", F.col("_w._node").alias("_win"))
-    out = docs.withColumn("_win_node", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    out = out.join(best, (F.col("_win_node") == F.col("_win")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")))
-    return out.dropDuplicates(["_win_node"]).select(*docs.columns)
+    out = boxed(docs, _mine=F.xxhash64(F.coalesce(docs[text], F.lit(""))), _own_id=docs[doc_id].cast("long"))
+    out = out.join(best, (F.col("_mine") == F.col("_win")) & F.col("_own_id").eqNullSafe(F.col("_id")))
+    return unboxed(out.dropDuplicates(["_mine"]), docs.columns)
