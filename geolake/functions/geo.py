@@ -100,7 +100,7 @@ def tile_center_world(tx, ty, proj) -> tuple[Column, Column]:
 
 def lonlat_to_tm2(lon, lat) -> tuple[Column, Column]:
     """Transverse Mercator, central meridian 121 E, scale 0.9999 (EPSG:3826)."""
-    a, b = 6378137.0, 6356752.314245  # fixed values: GRS80 axes
+    a, b = 6378137.0, 6356752.314245  # fixed values, with the series below: major axis, and the minor axis of the WGS84 ellipsoid
     k0, false_easting, lon0 = 0.9999, 250000.0, math.radians(121.0)
     e2 = 1.0 - (b * b) / (a * a)
     ep2 = e2 / (1.0 - e2)

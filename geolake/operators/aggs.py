@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import SLICE, _cols, nth_values, row_number
+from .ordered import SLICE, _cols, nth_values, range_slices, row_number
 
 
 def to_sets(points: DataFrame, key: str, first: Sequence[str], order: str) -> DataFrame:
@@ -105,8 +105,7 @@ def interchanges(track_stations: DataFrame, min_parts: int = 2) -> DataFrame:
     pairs = track_stations.select("station", "part_id").distinct()
     n = pairs.groupBy("station").agg(F.count("*").alias("n_parts")).where(F.col("n_parts") >= min_parts)
     rows = pairs.join(n, "station")
-    rows = rows.withColumn(SLICE, (F.floor(F.col("part_id") / 65536) + 1).cast("long"))
-    return row_number(rows, "station", "part_id", "part_no").drop(SLICE)
+    return row_number(range_slices(rows, "station", "part_id"), "station", "part_id", "part_no").drop(SLICE)
 
 
 def failing_pairs(legs: DataFrame) -> DataFrame:

@@ -44,8 +44,10 @@ def project_attrs(df: DataFrame, spec: Mapping[str, tuple[Sequence[str], object]
 
 
 def map_enum(df: DataFrame, col: str, mapping: Mapping, out: str = "cls") -> tuple[DataFrame, DataFrame]:
-    """(kept rows with ``out``, counts of the source values that mapped to nothing)."""
-    tagged = df.withColumn(out, classify(col, mapping))
+    """(kept rows with ``out``, counts of the source values that mapped to nothing).
+    The mapping is a joined table of any size."""
+    keys = df.sparkSession.createDataFrame(list(mapping.items()) or [(None, None)], f"_from {df.schema[col].dataType.simpleString()}, {out} " + ("string" if any(isinstance(v, str) for v in mapping.values()) else "int"))
+    tagged = df.join(keys, F.col(col) == F.col("_from"), "left").drop("_from")
     kept = tagged.where(F.col(out).isNotNull())
     audit = tagged.where(F.col(out).isNull()).groupBy(col).agg(F.count("*").alias("dropped"))
     return kept, audit

@@ -82,7 +82,7 @@ def fill_depressions(cells: DataFrame, eps: float = 1e-4, block: int = SOLVE_BLO
     emits the surface.
     """
     src = cells.select("gx", "gy", F.col("v").cast("double").alias("v"))
-    tiles = halo_blocks(src, block, 1)
+    tiles = cut(halo_blocks(src, block, 1))  # the source is read once, rounds read blocks
 
     def solve(emit_all: bool):
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -145,6 +145,7 @@ def accumulate(receivers: DataFrame) -> DataFrame:
     whose pointer is here, then doubles the pointers, so rounds grow with the
     logarithm of the longest river. Outlets never enter the doubling."""
     cid = lambda x, y: F.col(y) * SPAN + F.col(x)
+    receivers = cut(receivers)  # needed at the start and at the end
     s = receivers.select(cid("gx", "gy").alias("id"), cid("rx", "ry").alias("_r")).select(
         "id", F.when(F.col("_r") != F.col("id"), F.col("_r")).alias("ptr"), F.lit(1).cast("long").alias("acc")
     )
@@ -171,7 +172,8 @@ def accumulate_mfd(filled: DataFrame, p: float, cell_m: float = 1.0, block: int
     block border enters the next block in the next round. Flow is additive, so
     the rounds' shares add up to the exact result."""
     diag = cell_m * math.sqrt(2.0)
-    tiles = halo_blocks(filled.select("gx", "gy", F.col("filled").cast("double").alias("z")), block, 1)
+    filled = cut(filled)
+    tiles = cut(halo_blocks(filled.select("gx", "gy", F.col("filled").cast("double").alias("z")), block, 1))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x0, y0, a = _window(pdf, ["z", "core", "load"], {"z": np.inf, "core": False, "load": 0.0})
@@ -296,11 +298,17 @@ def fill_holes(mask: DataFrame, col: str = "m", block: int = SOLVE_BLOCK) -> Dat
     return mask.join(holes, ["gx", "gy"], "left").withColumn(col, F.col(col) | F.coalesce("_hole", F.lit(False))).drop("_hole")
 
 
-def fill_voids(cells: DataFrame, voids: DataFrame, iters: int = 200, block: int = 256, per_round: int = 16) -> DataFrame:
-    """Void cells relaxed towards the mean of their four neighbours, rim fixed.
-    They start at the mean height of their region's rim. A halo of
-    ``per_round`` cells lets a block do that many exact steps between shuffles,
-    and only cells near voids take part."""
+def fill_voids(
+    cells: DataFrame, voids: DataFrame, iters: int | None = None, block: int = 256, per_round: int = 16, tol: float = 0.01
+) -> DataFrame:
+    """Void cells relaxed towards the mean of their four neighbours, rim fixed. A
+    halo of ``per_round`` cells lets a block do that many exact steps between
+    shuffles, and only cells near voids take part.
+
+    With ``iters`` the cells start at the mean height of their region's rim and do
+    that many steps. Without it they settle: voids are solved on copies of half,
+    quarter, ... the size first, each a start for the next finer one, and the last
+    rounds end when none changes a cell by ``tol`` or more."""
     v = voids.select("gx", "gy", "region")
     near = v.select("region", F.explode(F.array(*[F.struct((F.col("gx") + dx).alias("gx"), (F.col("gy") + dy).alias("gy")) for dx, dy in ((0, -1), (-1, 0), (1, 0), (0, 1))])).alias("n"))
     ring = near.select("region", "n.*").distinct().join(v.select("gx", "gy"), ["gx", "gy"], "left_anti")
@@ -325,11 +333,39 @@ def fill_voids(cells: DataFrame, voids: DataFrame, iters: int = 200, block: int
 
         return run
 
-    left = iters
+    def steps(at: DataFrame, k: int) -> DataFrame:
+        t = halo_blocks(at.withColumn("has", F.lit(True)), block, k)
+        return cut(t.groupBy("bx", "by").applyInPandas(relax(k), "gx long, gy long, v double, free boolean"))
+
+    def settled(at: DataFrame, close: float) -> DataFrame:
+        half = lambda c: F.floor(F.col(c) / 2).alias(c)
+        free = at.where("free").count()
+        if free > 64:
+            # a coarse cell with a rim cell in it is rim
+            rim = F.max(~F.col("free"))
+            coarse = at.groupBy(half("gx"), half("gy")).agg(F.when(rim, F.avg(F.when(~F.col("free"), F.col("v")))).otherwise(F.avg("v")).alias("v"), (~rim).alias("free"))
+            coarse = cut(coarse)
+            if coarse.where("free").isEmpty():
+                guess = coarse
+            else:
+                guess = settled(coarse, close)
+            guess = guess.select(F.col("gx").alias("_x"), F.col("gy").alias("_y"), F.col("v").alias("_g"))
+            at = at.withColumns({"_x": F.floor(F.col("gx") / 2), "_y": F.floor(F.col("gy") / 2)}).join(guess, ["_x", "_y"], "left")
+            at = cut(at.select("gx", "gy", F.when(F.col("free"), F.coalesce("_g", "v")).otherwise(F.col("v")).alias("v"), "free"))
+        while free:
+            new = steps(at, per_round)
+            moved = new.join(at.where("free").select("gx", "gy", F.col("v").alias("_o")), ["gx", "gy"]).agg(F.max(F.abs(F.col("v") - F.col("_o")))).first()[0]
+            at = new
+            if moved is None or moved < close:
+                break
+        return at
+
+    if iters is None:
+        work = settled(work, tol)
+    left = iters or 0
     while left > 0:
         k = min(per_round, left)
-        t = halo_blocks(work.withColumn("has", F.lit(True)), block, k)
-        work = cut(t.groupBy("bx", "by").applyInPandas(relax(k), "gx long, gy long, v double, free boolean"))
+        work = steps(work, k)
         left -= k
     done = work.where("free").select("gx", "gy", F.col("v").alias("_new"))
     return cells.join(done, ["gx", "gy"], "left").withColumn("v", F.coalesce("_new", "v")).drop("_new")

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geo import haversine_m, in_bbox
 from ..functions.shape import clamp
@@ -100,9 +101,10 @@ def union_sources(sources: Mapping[str, DataFrame], tag: str = "source") -> Data
 
 
 def recent_past_days(df: DataFrame, day: str, n: int, today) -> DataFrame:
-    """The last ``n`` distinct days before ``today``."""
-    past = df.where(F.col(day) < F.lit(today)).select(day).distinct()
-    return past.orderBy(F.desc(day)).limit(n)
+    """The last ``n`` distinct days before ``today``, earliest first, with ``rank``
+    (1 for the earliest). At most ``n`` rows meet in the window."""
+    past = df.where(F.col(day) < F.lit(today)).select(day).distinct().orderBy(F.desc(day)).limit(n)
+    return past.withColumn("rank", F.row_number().over(Window.orderBy(day))).orderBy(day)
 
 
 def read_day(snapshot: DataFrame, raw: DataFrame, day: str, clean) -> DataFrame:

@@ -5,7 +5,8 @@ a key holds a large share of all rows that task becomes the job. Here a key over
 ``limit`` rows is cut into consecutive slices of its order (a caller-given
 expression that never decreases along the order); each slice is a partition of
 its own, and one summary row per slice carries values across slice borders.
-Keys under the limit stay in slice 0 and pay nothing extra. The list of hot keys
+Keys under the limit have no slice (null) and pay nothing extra; a slice may have
+any number, negative ones and 0 included. The list of hot keys
 only decides the layout, never the result.
 """
 
@@ -76,7 +77,7 @@ def know_layout(df: DataFrame, keys, limit: int | None = None) -> DataFrame:
 
 
 def hot_slices(df: DataFrame, keys, slice_expr: Column, limit: int | None = None) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, ``slice_expr`` (above 0) for hot ones.
+    """Add ``_slice``: null for ordinary keys, ``slice_expr`` for hot ones.
     Without any hot key no column is added: the ordered operators then use one
     plain window."""
     keys = _cols(keys)
@@ -93,16 +94,25 @@ def hot_slices(df: DataFrame, keys, slice_expr: Column, limit: int | None = None
                 lambda a, b: a | b,
                 [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(x)) for k, x in zip(keys, r)]) for r in hot],
             )
-        return df.withColumn(SLICE, F.when(is_hot, slice_expr.cast("long")).otherwise(F.lit(0).cast("long")))
+        return df.withColumn(SLICE, F.when(is_hot, slice_expr.cast("long")))
     counted = df.groupBy(*keys).count().where(F.col("count") > limit)
     marked = counted.select(*keys, F.lit(True).alias("_hot"))
     return (
         df.join(marked, keys, "left")
-        .withColumn(SLICE, F.when(F.col("_hot"), slice_expr.cast("long")).otherwise(F.lit(0).cast("long")))
+        .withColumn(SLICE, F.when(F.col("_hot"), slice_expr.cast("long")))
         .drop("_hot")
     )
 
 
+def range_slices(df: DataFrame, keys, order: str, parts: int = 64) -> DataFrame:
+    """Add ``_slice`` to every row: ranges of ``order`` with about as many rows each,
+    cut at its quantiles over all rows. Signed, sparse or hashed numbers are cut as
+    evenly as consecutive ones, and a crowded key is met in up to ``parts`` pieces."""
+    marks = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    at = F.size(F.filter(F.array(*[F.lit(m) for m in sorted(set(marks))]), lambda m: m <= F.col(order))) if marks else F.lit(0)
+    return df.withColumn(SLICE, at.cast("long"))
+
+
 def group_stats(df: DataFrame, keys, aggs: dict[str, Column], sliced: bool | None = None) -> DataFrame:
     """Every row with aggregates of its whole key. Ordinary keys share the
     shuffle of the ordered windows around this step; with hot keys the aggregate
@@ -135,7 +145,7 @@ def shift(df: DataFrame, keys, order, exprs: dict[str, tuple[str | Column, int]]
     )
     # one row per slice of a hot key: what its neighbours need to see
     pos = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    hot = packed.where(F.col(SLICE) != 0)
+    hot = packed.where(F.col(SLICE).isNotNull())
     edge = hot.groupBy(*keys, SLICE).agg(
         *[(F.max_by if o < 0 else F.min_by)(f"_p{o + 1}", pos).alias(f"_e{o + 1}") for o in sides]
     )
@@ -166,7 +176,7 @@ def running_sum(df: DataFrame, keys, order, exprs: dict[str, str | Column]) -> D
     inner = df.select("*", *[F.sum(e).over(w).alias(n) for n, e in col.items()])
     ws = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     totals = (
-        df.where(F.col(SLICE) != 0)
+        df.where(F.col(SLICE).isNotNull())
         .groupBy(*keys, SLICE)
         .agg(*[F.sum(e).alias(f"_t_{n}") for n, e in col.items()])
         .select(*keys, SLICE, *[F.sum(f"_t_{n}").over(ws).alias(f"_b_{n}") for n in col])

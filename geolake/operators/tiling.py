@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import projection, tile_center_world, world_to_pixel
 from .attrs import classify
-from .ordered import SLICE, row_number
+from .ordered import SLICE, range_slices, row_number
 from .spatial import assign_tiles
 from .windows import to_segments
 
@@ -92,9 +92,8 @@ def tile_features(vertices: DataFrame, z: int, cls: str, mapping: dict, default:
     s = to_segments(vertices, key)
     t = assign_tiles(s, z, "segment").withColumn("bucket", classify(cls, mapping, default))
     feats = t.select("tx", "ty", key).distinct()
-    # numbered in slices of the feature key, so a crowded tile is never one task
-    feats = feats.withColumn(SLICE, (F.floor(F.col(key) / 65536) + 1).cast("long"))
-    feats = row_number(feats, ["tx", "ty"], key, "_rn").drop(SLICE)
+    # numbered in ranges of the feature key, so a crowded tile is never one task
+    feats = row_number(range_slices(feats, ["tx", "ty"], key), ["tx", "ty"], key, "_rn").drop(SLICE)
     return t.join(feats, ["tx", "ty", key]).withColumn("feature_index", F.col("_rn") - 1).drop("_rn")
 
 

@@ -161,6 +161,8 @@ def flag_speed_anomalies(pings: DataFrame, limit: float = 40.0, metric: str = "h
         out = _fold_frame(rows.select("*", F.lit(0).cast("long").alias("_run"), *none), metric, limit)
         return out.drop("_run", "e_lon", "e_lat", "e_t")
 
+    # an ordinary entity is one slice here, so any number will do
+    rows = rows.withColumn(SLICE, F.coalesce(SLICE, F.lit(0).cast("long")))
     cols, sk = rows.columns, ["entity_id", SLICE]
     order = F.struct("t", "ping_id")
     at = F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("t").cast("double").alias("s"))

@@ -360,11 +360,11 @@ def _(t):
 
 @query(
     "a19_prefer",
-    """select p_brand, p_partkey, p_type from part where p_size > 10
+    """select p_brand, p_partkey, p_type from part
      qualify row_number() over (partition by p_brand order by case when p_type = 'PROMO' then 0 else 1 end, p_partkey) = 1""",
 )
 def _(t):
-    rows = t.part.where("p_size > 10").select("p_brand", "p_partkey", "p_type")
+    rows = t.part.select("p_brand", "p_partkey", "p_type")
     return aggs.prefer(rows, "p_brand", F.col("p_type") == "PROMO", "p_partkey")
 
 
@@ -458,8 +458,9 @@ def _(t):
 
 @query(
     "s8_recent_past_days",
-    """select distinct strftime(make_timestamp((t + 28800) * 1000000), '%Y-%m-%d') as day from pings
-     where strftime(make_timestamp((t + 28800) * 1000000), '%Y-%m-%d') < '2024-01-20' order by day desc limit 7""",
+    """select day, cast(row_number() over (order by day) as integer) as rank from (
+     select distinct strftime(make_timestamp((t + 28800) * 1000000), '%Y-%m-%d') as day from pings
+     where strftime(make_timestamp((t + 28800) * 1000000), '%Y-%m-%d') < '2024-01-20' order by day desc limit 7)""",
 )
 def _(t):
     return joins.recent_past_days(t.pings.select(G.date_key("t").alias("day")), "day", 7, "2024-01-20")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from ..operators import hydrology, raster
 from .queries_functions import GX, GY
 from .queries_rasters import D8_SQL
-from .registry import query
+from .registry import REGISTRY, query
 
 # relax from the border inwards until a whole round changes nothing
 FILL = """rk as (select max(gx) as mx, max(gy) as my from cells),
@@ -126,3 +128,16 @@ PX = f"px as (select feature_id, ring_id, seq, {GX.format(s=512 * 256)} as x, {G
 )
 def _(t):
     return hydrology.rasterize(t.rings, 9, "feature_id")
+
+
+def _in_blocks(name: str, of: str, fn) -> None:
+    """Register ``fn`` with the SQL of query ``of``: the same answer from blocks of 16
+    cells, so that borders between many blocks are exchanged."""
+    query(name)(fn)
+    REGISTRY[name] = dataclasses.replace(REGISTRY[name], sql=REGISTRY[of].sql)
+
+
+_in_blocks("r1_blocks", "r1_fill_depressions", lambda t: hydrology.fill_depressions(t.cells, block=16).select("gx", "gy", F.round("filled", 6).alias("filled")))
+_in_blocks("r4_blocks", "r4_accumulate_mfd", lambda t: hydrology.accumulate_mfd(_filled(t).select("gx", "gy", "filled"), 4.0, 17.5, block=16).select("gx", "gy", F.round("acc", 6).alias("acc")))
+_in_blocks("r6_blocks", "r6_interior_voids", lambda t: hydrology.interior_voids(t.cells, 90.0, block=16))
+_in_blocks("r7_blocks", "r7_fill_holes", lambda t: hydrology.fill_holes(t.cells.selectExpr("gx", "gy", "v > 90 as m"), block=16))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as geo
 from ..operators import windows as win
+from ..operators.ordered import know_layout
 from .queries_functions import TM2, hav_sql
 from .registry import query
 
@@ -32,6 +33,14 @@ def _(t):
     return _speed(t, "flat")
 
 
+@query("w1_hot", f"with hp as (select * exclude (t), t - 1704800000 as t from pings), {_speed_sql(HKM)[5:].replace('from pings', 'from hp')}")
+def _(t):
+    """Every entity above 20 reports is cut into slices; times around zero, so that
+    slices have negative numbers, 0 and positive ones."""
+    p = know_layout(t.pings.withColumn("t", F.col("t") - 1704800000), "entity_id", 20)
+    return win.ping_speed(p, "haversine").select("ping_id", F.coalesce(F.round("knots", 4), F.lit(-1.0)).alias("knots"))
+
+
 # a list fold per entity that remembers the last kept report
 CLEAN = """o as (select entity_id, ping_id, t, lon, lat, row_number() over (partition by entity_id order by t, ping_id) as rn from pings),
  f as (select entity_id, ping_id, rn, t, lon, lat, true as kept, lon as klon, lat as klat, t as kt from o where rn = 1
@@ -70,6 +79,13 @@ def _(t):
     return win.arc_ratio(t.vertices).select("part_id", "seq", F.round("cum_m", 3).alias("cum_m"), F.round("ratio", 6).alias("ratio"))
 
 
+@query("w3_hot", ARC.replace("vertices", "hv").replace("with ", "with hv as (select * exclude (seq), (seq - 3) * 65536 as seq from vertices), ", 1) + " select part_id, seq, round(cum_m, 3) as cum_m, round(cum_m / length_m, 6) as ratio from arc")
+def _(t):
+    """Every line above 3 vertices is cut, each vertex into a slice of its own."""
+    v = know_layout(t.vertices.withColumn("seq", (F.col("seq") - 3) * 65536), "part_id", 3)
+    return win.arc_ratio(v).select("part_id", "seq", F.round("cum_m", 3).alias("cum_m"), F.round("ratio", 6).alias("ratio"))
+
+
 @query(
     "w4_ring_roll_min",
     """with o as (select feature_id, ring_id, seq, round((lon - 119) * 100.37e0 - (lat - 22) * 50.11e0, 4) as elev from rings where seq < 16),

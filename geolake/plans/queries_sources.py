@@ -65,7 +65,8 @@ def _(t):
 @query("s2_read_csv", "select c_custkey, c_name, c_acctbal, c_nationkey > 5 as flag from customer")
 def _(t):
     path = scratch_path(t.spark, "csv")
-    t.customer.selectExpr("c_custkey as `﻿c_custkey`", "c_name", "c_acctbal", "c_nationkey > 5 as flag").write.option("header", True).csv(path)
+    # another order than the schema's, and a column it does not have
+    t.customer.selectExpr("c_acctbal as `﻿c_acctbal`", "c_nationkey > 5 as flag", "c_mktsegment", "c_name", "c_custkey").write.option("header", True).csv(path)
     schema = T.StructType.fromDDL("c_custkey long, c_name string, c_acctbal double, flag boolean")
     return readers.read_csv(t.spark, path, schema)
 

@@ -61,13 +61,15 @@ def _(t):
 
 @query(
     "j6_nearest_within",
-    f"""with d as (select l.part_id, r.part_id as near_chain, r.seq as near_seq, {hav_sql('l.lon', 'l.lat', 'r.lon', 'r.lat')} as d
-       from (select * from vertices where seq = 0) l join vertices r on r.part_id <> l.part_id and abs(cast(trunc(r.lon / 0.003e0) as bigint) - cast(trunc(l.lon / 0.003e0) as bigint)) <= 1 and abs(cast(trunc(r.lat / 0.003e0) as bigint) - cast(trunc(l.lat / 0.003e0) as bigint)) <= 1)
-     select part_id as end_id, near_chain, near_seq, round(d, 3) as dist_m from d where d < 200 qualify row_number() over (partition by part_id order by d, near_chain, near_seq) = 1""",
+    f"""with ends as (select part_id, seq, lon, lat from vertices qualify seq = 0 or seq = max(seq) over (partition by part_id)),
+     d as (select l.part_id, l.seq, r.part_id as near_chain, r.seq as near_seq, {hav_sql('l.lon', 'l.lat', 'r.lon', 'r.lat')} as d
+       from ends l join vertices r on r.part_id <> l.part_id and abs(cast(trunc(r.lon / 0.003e0) as bigint) - cast(trunc(l.lon / 0.003e0) as bigint)) <= 1 and abs(cast(trunc(r.lat / 0.003e0) as bigint) - cast(trunc(l.lat / 0.003e0) as bigint)) <= 1)
+     select part_id * 1000000 + seq as end_id, near_chain, near_seq, round(d, 3) as dist_m from d where d < 200 qualify row_number() over (partition by part_id, seq order by d, near_chain, near_seq) = 1""",
 )
 def _(t):
     v = t.vertices.withColumn("chain", F.col("part_id"))
-    left = v.where("seq = 0").withColumn("end_id", F.col("part_id"))
+    last = v.groupBy("part_id").agg(F.max("seq").alias("_last"))
+    left = v.join(last, "part_id").where("seq = 0 or seq = _last").withColumn("end_id", F.expr("part_id * 1000000 + seq")).drop("_last")
     n = spatial.nearest_within(left, v, 200.0, cell=0.003)
     return n.select("end_id", "near_chain", "near_seq", F.round("dist_m", 3).alias("dist_m"))
 
@@ -293,6 +295,14 @@ def _(t):
     return f.select("tx", "ty", "part_id", "seq", "bucket", "feature_index")
 
 
+@query("l4_signed_ids", f"""with hv as (select * exclude (part_id), part_id * 184467440737 - 9223372036854 as part_id from vertices), {SEG_TILES.format(n='8192e0').replace('vertices', 'hv')}, fi as (select tx, ty, part_id, row_number() over (partition by tx, ty order by part_id) - 1 as feature_index from (select distinct tx, ty, part_id from tl))
+ select tx, ty, part_id, seq, feature_index from tl join fi using (tx, ty, part_id)""")
+def _(t):
+    """Sparse ids on both sides of zero, as a reader's hashes are."""
+    v = t.vertices.withColumn("part_id", F.expr("part_id * 184467440737 - 9223372036854"))
+    return tiling.tile_features(v, 13, "system", SYS_CLASS, "minor").select("tx", "ty", "part_id", "seq", "feature_index")
+
+
 @query("l5_tile_to_world", f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey,
  round(((1700 + l_suppkey + 0.5e0) * 256e0 - {Z11.ox!r}) * {U11} + (l_partkey % 4096 - 2048e0) * {Z11.tile_size / 4096!r}, 5) as wx,
  round(((880 + l_linenumber + 0.5e0) * 256e0 - {Z11.oy!r}) * {U11} + (l_orderkey % 4096 - 2048e0) * {Z11.tile_size / 4096!r}, 5) as wz from lineitem""")

@@ -22,8 +22,8 @@ def read_geojson(spark: SparkSession, path: str, geom_type: str, props: list[str
     row per vertex with part_id, polygons add poly_id and ring_id.
 
     Accepts one FeatureCollection per file or newline-delimited features;
-    identical copies of a feature in one delimited file share their id. Lines
-    with fewer than two vertices are dropped.
+    every feature has an id of its own, identical copies included. Lines with fewer
+    than two vertices are dropped.
     """
     want = {"Point": ["Point"], "LineString": ["LineString", "MultiLineString"], "Polygon": ["Polygon", "MultiPolygon"]}[geom_type]
     # coordinates nest differently per type: read as text, parse per type
@@ -40,11 +40,12 @@ def read_geojson(spark: SparkSession, path: str, geom_type: str, props: list[str
     schema = T.StructType([*feature.fields, T.StructField("features", T.ArrayType(feature))])
     raw = spark.read.schema(schema).option("multiLine", not _is_lines(path)).json(path)
     own = F.when(F.col("features").isNull(), F.array(F.struct("type", "properties", "geometry")))
-    feats = raw.withColumn("_file", F.input_file_name()).select(
-        "_file", F.posexplode(F.coalesce("features", own)).alias("feature_no", "f")
+    # the row's place in the scan tells equal features of delimited files apart
+    feats = raw.select(F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_row"), "*").select(
+        "_file", "_row", F.posexplode(F.coalesce("features", own)).alias("feature_no", "f")
     )
     feats = feats.where(F.col("f.geometry.type").isin(want)).select(
-        F.xxhash64("_file", "feature_no", "f.geometry.coordinates").alias("feature_id"),
+        F.xxhash64("_file", "_row", "feature_no", F.to_json("f.properties"), "f.geometry.coordinates").alias("feature_id"),
         "feature_no",
         *[F.col("f.properties")[p].alias(p) for p in props],
         F.col("f.geometry.type").alias("_gt"),
@@ -83,13 +84,15 @@ def _is_lines(path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Headed UTF-8 CSV by position of an explicit schema; a byte-order mark in
-    the first header or value is ignored."""
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    df = spark.read.schema(text).option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").csv(path)
-    return df.select(
-        *[F.regexp_replace(f.name, "^﻿", "").try_cast(f.dataType).alias(f.name) for f in schema.fields]
-    )
+    """UTF-8 CSV with a header, columns found by name in any order; a byte-order mark
+    in the first header or value is ignored, further columns are left out, and a
+    missing one is an error."""
+    df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    df = df.toDF(*[c.removeprefix("﻿").strip() for c in df.columns])
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in the header of {path}")
+    return df.select(*[F.regexp_replace(F.col(f"`{f.name}`"), "^﻿", "").try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 STOP = "struct<station_id:string,arrival:bigint,departure:bigint>"

@@ -40,23 +40,24 @@ def read_layer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def write_if_changed(df: DataFrame, path: str) -> bool:
     """Write a new version only when the content differs from the current one.
-    The current-version row is replaced after the data is complete, so a lost
-    job leaves the old version in place."""
+    Each version adds a numbered row to the list of versions after its data is
+    complete, and nothing is ever replaced: a lost job leaves the old version in place."""
     spark = df.sparkSession
     mark = content_mark(df).first()
-    now = _try_read(spark, f"{path}/current")
-    row = now.first() if now is not None else None
+    now = _try_read(spark, f"{path}/versions")
+    row = now.orderBy(F.desc("number")).first() if now is not None else None
     if row is not None and (row["rows"], row["hash"]) == (mark["rows"], mark["hash"]):
         return False
     version = uuid.uuid4().hex
     df.write.parquet(f"{path}/version={version}")
-    head = spark.createDataFrame([(version, mark["rows"], mark["hash"])], "version string, rows long, hash string")
-    head.withColumn("generated", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    number = row["number"] + 1 if row is not None else 1
+    head = spark.createDataFrame([(number, version, mark["rows"], mark["hash"])], "number long, version string, rows long, hash string")
+    head.withColumn("generated", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return True
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.parquet(f"{path}/current").first()["version"]
+    version = spark.read.parquet(f"{path}/versions").orderBy(F.desc("number")).first()["version"]
     return spark.read.parquet(f"{path}/version={version}")
 
 
@@ -71,7 +72,8 @@ def bake_days(df: DataFrame, day: str, path: str, force: bool = False) -> DataFr
     days = todo.select(day).distinct()
     found = [r[0] for r in days.collect()]  # one value per day
     if found:
-        todo.repartition(day, F.pmod(F.xxhash64(*[c for c in df.columns if c != day]), F.lit(8))).write.mode("overwrite").option(
+        # pieces follow the size of a day: small days one file, large ones several
+        todo.hint("rebalance", day).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(day).parquet(path)
     return spark.createDataFrame([(d,) for d in found], f"{day} {df.schema[day].dataType.simpleString()}")

@@ -170,3 +170,15 @@ def test_neighbours_across_blocks_and_gaps(spark):
             x, y = r.gx + dx, r.gy + dy
             inside = 0 <= x < 8 and 0 <= y < 6 and (x, y) != (3, 2)
             assert r[nm] == (a[y, x] if inside else None), (r.gx, r.gy, nm)
+
+
+def test_wide_voids_settle(spark):
+    """A void strip between a low and a high rim becomes an even slope."""
+    from geolake.operators import hydrology
+
+    w, h = 60, 3
+    rows = [(x, y, 0.0 if x == 0 else 1000.0 if x == w else -1.0) for x in range(w + 1) for y in range(h)]
+    cells = spark.createDataFrame(rows, "gx long, gy long, v double")
+    voids = cells.where("v = -1").select("gx", "gy", F.lit(1).cast("long").alias("region"))
+    got = hydrology.fill_voids(cells, voids, block=32).collect()
+    assert max(abs(r.v - 1000.0 * r.gx / w) for r in got) < 10

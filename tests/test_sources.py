@@ -34,6 +34,23 @@ def test_csv_with_byte_order_mark(spark, tmp_path):
     assert [(r.id, r.lat) for r in df.orderBy("id").collect()] == [(1, 22.5), (2, None)]
 
 
+def test_csv_by_header_name(spark, tmp_path):
+    p = tmp_path / "y.csv"
+    p.write_text("lat,lon,other\n22.5,120.5,x\n")
+    r = readers.read_csv(spark, str(p), T.StructType.fromDDL("lon double, lat double")).first()
+    assert (r.lon, r.lat) == (120.5, 22.5)
+    with pytest.raises(ValueError, match="height"):
+        readers.read_csv(spark, str(p), T.StructType.fromDDL("height double"))
+
+
+def test_features_at_one_place_stay_apart(spark, tmp_path):
+    line = {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}}
+    p = tmp_path / "z.geojsonl"
+    p.write_text("\n".join(json.dumps(line | {"properties": {"name": n}}) for n in ("a", "b", "b")))
+    v = readers.read_geojson(spark, str(p), "LineString", ["name"])
+    assert v.select("feature_id").distinct().count() == 3 and v.count() == 6
+
+
 def test_corridor_document_skips_metadata(spark, tmp_path):
     dep = {"train_id": "T1", "departure_time": "06:30:00", "stations": [{"station_id": "A", "arrival": 0, "departure": 0}, {"station_id": "B", "arrival": 60, "departure": 90}]}
     p = tmp_path / "x.json"

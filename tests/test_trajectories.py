@@ -130,3 +130,22 @@ def test_keep_sorted_matches_on_numpy_path():
     keep = windows._keep_sorted("haversine", 40.0, pos, None)
     ids = [r[1] for r in sorted(rows, key=lambda r: (r[2], r[1]))]
     assert sorted(i for i, k in zip(ids, keep) if k) == brute_clean(rows)
+
+
+def test_slices_of_any_number(spark, tiny_limits):
+    """Times around zero give negative slices and slice 0; no link may be lost."""
+    from geolake.operators import windows as win
+
+    rows = [(1, i, 30 * i - 300, 120.0 + i / 100, 23.0) for i in range(20)]
+    p = spark.createDataFrame(rows, "entity_id long, ping_id long, t long, lon double, lat double")
+    assert win.ping_speed(p).where("knots is null").count() == 1
+
+
+def test_feature_numbers_of_signed_ids(spark):
+    from geolake.operators import tiling
+
+    ids = [-70000, -9, -8, 3, 4, 70000, 1 << 62, -(1 << 62)]
+    rows = [(i, s, 120.001 + s / 10000, 23.001, "c") for i in ids for s in (0, 1)]
+    v = spark.createDataFrame(rows, "part_id long, seq long, lon double, lat double, cls string")
+    got = {r.part_id: r.feature_index for r in tiling.tile_features(v, 10, "cls", {}, "x").collect()}
+    assert [got[i] for i in sorted(ids)] == list(range(len(ids)))
