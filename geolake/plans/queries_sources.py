@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as G
-from ..session import scratch_path
+from ..session import ROCKSDB, scratch_path
 from ..sources import catalog, readers, sinks
 from ..streaming import pings as streams
 from .queries_fleet import CLEANED
@@ -192,9 +192,11 @@ def _stream(t):
     return s.selectExpr("cast(ts as timestamp) as ts", "event_id as ping_id", "user_id as entity_id", "unix_seconds(cast(ts as timestamp)) as t", lon, lat, "value")
 
 
-@query("x1_clean_stream", f"with {CLEANED} select ping_id, entity_id from f where kept")
+@query("x1_clean_stream", f"with {CLEANED} select ping_id, entity_id from f where kept and t * 1000 <= (select max(epoch_ms(ts)) from events) - 3600000")
 def _(t):
-    p = _stream(t).select("entity_id", "ping_id", "t", "lon", "lat")
+    """Reports that the final watermark has passed."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    p = _stream(t).select("ts", "entity_id", "ping_id", "t", "lon", "lat")
     return streams.run_to_table(streams.clean_stream(p), "clean").select("ping_id", "entity_id")
 
 
@@ -207,8 +209,9 @@ def _(t):
 
 @query(
     "x3_day_trails",
-    f"""with d as (select entity_id, {DAY} as date_key, floor((t + 28800) / 86400) as d, t from pings), m as (select max(epoch_us(ts)) / 1e6 - 3600 as wm from events)
-     select entity_id, date_key, count(*) as points, min(t) as t_first, max(t) as t_last from d cross join m where (d + 1) * 86400 - 28800 <= wm group by entity_id, date_key""",
+    f"""with d as (select entity_id, {DAY} as date_key, floor((t + 28800) / 86400) as d, t, ping_id, lon, lat from pings), m as (select max(epoch_us(ts)) / 1e6 - 3600 as wm from events)
+     select entity_id, date_key, count(*) as points, min(t) as t_first, max(t) as t_last, string_agg(cast(t as varchar) || ' ' || cast(ping_id as varchar) || ' ' || cast(cast(round(lon * 1000) as bigint) as varchar) || ' ' || cast(cast(round(lat * 1000) as bigint) as varchar), ';' order by t, ping_id) as trail from d cross join m where (d + 1) * 86400 - 28800 <= wm group by entity_id, date_key""",
 )
 def _(t):
-    return streams.run_to_table(streams.day_trails(_stream(t)), "trails")
+    text = F.transform("trail", lambda p: F.concat_ws(" ", p["t"], p["ping_id"], F.round(p["lon"] * 1000).cast("long"), F.round(p["lat"] * 1000).cast("long")))
+    return streams.run_to_table(streams.day_trails(_stream(t)), "trails").withColumn("trail", F.array_join(text, ";"))

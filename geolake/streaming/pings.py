@@ -18,39 +18,59 @@ PING_SCHEMA = "entity_id long, ping_id long, t long, lon double, lat double"
 
 
 class KeepPlausible(StatefulProcessor):
-    """Remembers the last kept report of an entity; emits the reports that pass
-    the speed limit against it. Reports of one trigger are taken in time order."""
+    """Reports wait until the watermark has passed them, then they meet the last kept
+    report of their entity in time order: the order of arrival does not matter."""
 
-    def __init__(self, limit: float, metric: str, ttl_ms: int | None):
-        self.limit, self.metric, self.ttl_ms = limit, metric, ttl_ms
+    def __init__(self, limit: float, metric: str):
+        self.limit, self.metric = limit, metric
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "lon double, lat double, t double", self.ttl_ms)
+        self.handle = handle
+        self.last = handle.getValueState("last", "lon double, lat double, t double")
+        self.waiting = handle.getListState("waiting", "ping_id long, t long, lon double, lat double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "ping_id"], kind="stable")
-        pos = pdf[RUN_COLS].to_numpy(dtype="float64")
-        entry = tuple(self.last.get()) if self.last.exists() else None
-        keep = _keep_sorted(self.metric, self.limit, pos, entry)
-        if keep.any():
-            x = pos[np.flatnonzero(keep)[-1]]
-            self.last.update((float(x[0]), float(x[1]), float(x[2])))
-        yield pdf.loc[keep, ["entity_id", "ping_id", "t", "lon", "lat"]]
+        for pdf in rows:
+            if len(pdf):
+                self.waiting.appendList([(int(p), int(t), float(x), float(y)) for p, t, x, y in pdf[["ping_id", "t", "lon", "lat"]].itertuples(index=False)])
+                self.handle.registerTimer(int(pdf["t"].min()) * 1000)
+        yield pd.DataFrame({c: [] for c in ("entity_id", "ping_id", "t", "lon", "lat")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()]
+        due = sorted((r for r in held if r[1] * 1000 <= now), key=lambda r: (r[1], r[0]))
+        rest = [r for r in held if r[1] * 1000 > now]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(r[1] for r in rest) * 1000)
+        else:
+            self.waiting.clear()
+        pdf = pd.DataFrame(due, columns=["ping_id", "t", "lon", "lat"])
+        if len(pdf):
+            pos = pdf[RUN_COLS].to_numpy(dtype="float64")
+            keep = _keep_sorted(self.metric, self.limit, pos, tuple(self.last.get()) if self.last.exists() else None)
+            if keep.any():
+                x = pos[np.flatnonzero(keep)[-1]]
+                self.last.update((float(x[0]), float(x[1]), float(x[2])))
+            pdf = pdf.loc[keep]
+        yield pdf.assign(entity_id=key[0])[["entity_id", "ping_id", "t", "lon", "lat"]]
 
     def close(self) -> None:
         pass
 
 
-def clean_stream(pings: DataFrame, limit: float = 40.0, metric: str = "haversine", ttl_ms: int | None = None) -> DataFrame:
-    """Continuous form of the speed filter: one state per entity. The rows of an
-    entity per trigger are bounded by the trigger (maxFilesPerTrigger or
-    maxBytesPerTrigger of the source)."""
-    pings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return pings.groupBy("entity_id").transformWithStateInPandas(
-        statefulProcessor=KeepPlausible(limit, metric, ttl_ms),
-        outputStructType=PING_SCHEMA,
-        outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None",
+def clean_stream(pings: DataFrame, limit: float = 40.0, metric: str = "haversine", delay: str = "1 hour") -> DataFrame:
+    """Continuous form of the speed filter. ``pings`` has ts (timestamp) and the
+    columns of PING_SCHEMA. A report is decided once the watermark, ``delay`` behind
+    the latest one, has passed it; up to that it may arrive in any order. State per
+    entity: the last kept report and the undecided ones of one delay. Needs the
+    RocksDB state store, which is the session's choice."""
+    conf = pings.sparkSession.conf
+    if conf.get("spark.sql.streaming.stateStore.providerClass", None) != ROCKSDB:
+        raise RuntimeError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
+    return pings.withWatermark("ts", delay).groupBy("entity_id").transformWithStateInPandas(
+        statefulProcessor=KeepPlausible(limit, metric), outputStructType=PING_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -60,20 +80,22 @@ def latest_status(stream: DataFrame, key: str, value: str, order) -> DataFrame:
 
 
 def day_trails(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Trail summary per entity and UTC+8 day. ``stream`` has ts (timestamp),
-    entity_id, t, lon, lat. In append mode a day appears once, when the watermark
-    has passed its end, and is never revised."""
-    first, last = F.struct("t", "lon", "lat"), F.struct("t", "lon", "lat")
+    """Trail per entity and UTC+8 day: its points in time order, their number and
+    the first and last time. ``stream`` has ts (timestamp), entity_id, ping_id, t, lon,
+    lat. In append mode a day appears once, when the watermark has passed its end,
+    and is never revised. A trail holds one entity's points of one day."""
+    point = F.struct("t", "ping_id", "lon", "lat")
     w = F.window("ts", "1 day", "1 day", "16 hours")
     g = stream.withWatermark("ts", delay).groupBy("entity_id", w).agg(
-        F.count("*").alias("points"), F.min(first).alias("a"), F.max(last).alias("b")
+        F.sort_array(F.collect_list(point)).alias("trail")
     )
     return g.select(
         "entity_id",
         date_key(F.unix_seconds("window.start")).alias("date_key"),
-        "points",
-        F.col("a.t").alias("t_first"),
-        F.col("b.t").alias("t_last"),
+        F.size("trail").cast("long").alias("points"),
+        F.element_at("trail", 1)["t"].alias("t_first"),
+        F.element_at("trail", -1)["t"].alias("t_last"),
+        "trail",
     )
 
 

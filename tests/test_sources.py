@@ -1,10 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geolake.operators import windows
+from geolake.session import ROCKSDB
 from geolake.sources import catalog, readers, sinks
 from geolake.streaming import pings as streams
 
@@ -89,12 +91,17 @@ def test_catalog_and_registry(spark, tmp_path):
 def test_stream_equals_batch_over_many_triggers(spark, tmp_path):
     from tests.test_trajectories import random_pings
 
-    rows = sorted(random_pings(11, n=90), key=lambda r: r[2])
+    rnd = random.Random(3)
+    rows = random_pings(11, n=90)
+    # each report arrives up to six hours late; a last one moves the watermark past all
+    late = sorted(rows, key=lambda r: r[2] + rnd.uniform(0, 6 * 3600))
+    end = max(r[2] for r in rows) + 10 * 86400
     cols = "entity_id long, ping_id long, t long, lon double, lat double"
     src = tmp_path / "in"
-    for i in range(0, len(rows), 90):
-        spark.createDataFrame(rows[i : i + 90], cols).coalesce(1).write.mode("append").parquet(str(src))
-    s = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(str(src))
-    got = {r.ping_id for r in streams.run_to_table(streams.clean_stream(s), "t").collect()}
+    for part in [late[k : k + 90] for k in range(0, len(late), 90)] + [[(999, 10**9, end, 120.0, 23.0)]]:
+        spark.createDataFrame(part, cols).coalesce(1).write.mode("append").parquet(str(src))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    s = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(str(src)).withColumn("ts", F.timestamp_seconds("t"))
+    got = {r.ping_id for r in streams.run_to_table(streams.clean_stream(s, delay="7 hours"), "t").collect()}
     want = {r.ping_id for r in windows.flag_speed_anomalies(spark.createDataFrame(rows, cols)).where("kept").collect()}
     assert got == want
