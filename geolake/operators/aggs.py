@@ -81,22 +81,27 @@ def component_totals(chains: DataFrame, component: str, length: str, out: str =
     return chains.groupBy(component).agg(F.sum(length).alias(out), F.count("*").alias("chains"))
 
 
-def coverage(legs: DataFrame, trips: DataFrame, dropped_stops: int | None = None) -> DataFrame:
+def coverage(legs: DataFrame, trips: DataFrame, stops: DataFrame | None = None, track_stations: DataFrame | None = None) -> DataFrame:
     """Timetable match report. ``legs`` holds trip_id and matched (boolean);
-    ``trips`` lists every trip; ``dropped_stops`` is carried into the report."""
+    ``trips`` lists every trip. With ``stops`` (trip_id, station) and
+    ``track_stations`` (station) it adds stops_dropped: stops of listed trips at a
+    station that no part knows."""
     per = legs.groupBy("trip_id").agg(F.count("*").alias("n"), F.count_if("matched").alias("ok"))
     all_ = trips.select("trip_id").join(per, "trip_id", "left").fillna(0, ["n", "ok"])
-    out = all_.agg(
+    dropped = []
+    if stops is not None and track_stations is not None:
+        lost = stops.join(track_stations.select("station").distinct(), "station", "left_anti").groupBy("trip_id").agg(F.count("*").alias("lost"))
+        all_ = all_.join(lost, "trip_id", "left").fillna(0, ["lost"])
+        dropped = [F.sum("lost").alias("stops_dropped")]
+    return all_.agg(
         F.count("*").alias("trips"),
         F.sum("n").alias("legs"),
         F.sum("ok").alias("legs_matched"),
         F.count_if((F.col("n") > 0) & (F.col("ok") == F.col("n"))).alias("trips_full"),
         F.count_if((F.col("n") > 0) & (F.col("ok") / F.greatest("n", F.lit(1)) >= 0.8)).alias("trips_mostly"),
         F.count_if(F.col("n") == 0).alias("trips_under_two_stops"),
+        *dropped,
     )
-    if dropped_stops is None:
-        return out
-    return out.withColumn("stops_dropped", F.lit(dropped_stops))
 
 
 def interchanges(track_stations: DataFrame, min_parts: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import DAY, UTC_PLUS_8, sec_to_hhmm
 from ..functions.shape import clamp
 from .geometry import point_at
+from ..session import cut
 from .ordered import SLICE, hot_slices, shift
 from .windows import SEQ_SLICE, arc_ratio, by_time, to_legs
 
@@ -23,7 +24,7 @@ def resolve_legs(stops: DataFrame, track_stations: DataFrame) -> DataFrame:
     """Legs with the lowest part both stations share (-1 without one) and the
     ratios of the two stations on it. Parts are matched once per distinct pair of
     stations, however often it is served."""
-    legs = to_legs(stops)
+    legs = cut(to_legs(stops))  # one ordered pass, used for the pairs and for the legs
     ts = track_stations.groupBy("station", "part_id").agg(F.max("ratio").alias("ratio"))
     pairs = legs.select("from_station", "to_station").distinct()
     a = ts.select(F.col("station").alias("from_station"), "part_id", F.col("ratio").alias("ratio_from"))

@@ -40,6 +40,20 @@ def _(t):
     return aggs.coverage(legs, t.trips)
 
 
+_FEW = "select * from track_stations where part_id % 3 <> 0"
+
+
+@query(
+    "a10_stops_dropped",
+    f"with few as ({_FEW}), {LEGS.replace('track_stations', 'few')}, mt as (select trip_id, part_id >= 0 as ok from rl), cv as ({COVER[COVER.rindex(' select ') + 1:]}) select cv.*, (select count(*) from stops where trip_id in (select trip_id from trips) and station not in (select station from few)) as stops_dropped from cv".replace("cv as (select", COVER[: COVER.rindex(" select ")] + ", cv as (select"),
+)
+def _(t):
+    """A network with parts missing: stops at stations of none are counted."""
+    few = t.track_stations.where("part_id % 3 <> 0")
+    legs = fleet.resolve_legs(t.stops, few).withColumn("matched", F.col("part_id") >= 0)
+    return aggs.coverage(legs, t.trips, t.stops, few)
+
+
 @query(
     "a10_corridor_coverage",
     f"""with {CORR}, lg as (select trip_id, seq, station as f, lead(station) over (partition by trip_id order by seq) as t2 from stops),

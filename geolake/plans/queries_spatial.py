@@ -187,17 +187,6 @@ def _(t):
     return spatial.select_peaks(p, c, 0.5, 0.2, 5, 1000.0).select("center_id", "point_id", F.col("score").alias("elev"))
 
 
-@query(
-    "t3_cap_nearest",
-    f"""with tl as (select distinct s.feature_id as center_id, s.lon, s.lat, p.feature_id, pow(p.lon - s.lon, 2) + pow(p.lat - s.lat, 2) as d2 from sites s join points p on s.group_id = p.group_id)
-     select center_id, feature_id, cast(row_number() over (partition by center_id order by d2, feature_id) as integer) as rank from tl qualify row_number() over (partition by center_id order by d2, feature_id) <= 4""",
-)
-def _(t):
-    s = t.sites.selectExpr("feature_id as center_id", "group_id", "lon as sx", "lat as sy")
-    j = t.points.join(s, "group_id").withColumn("d2", F.expr("pow(lon - sx, 2) + pow(lat - sy, 2)"))
-    return spatial.cap_nearest(j, 4, "center_id", ["d2", "feature_id"]).select("center_id", "feature_id", "rank")
-
-
 @query(
     "t4_local_extrema",
     """with b as (select c.gx, c.gy, c.v, bool_and(c.v > n.v) as hi, bool_and(c.v < n.v) as lo from cells c join cells n on n.gx between c.gx - 1 and c.gx + 1 and n.gy between c.gy - 1 and c.gy + 1 and (n.gx <> c.gx or n.gy <> c.gy) group by all),
@@ -252,6 +241,17 @@ def _(t):
     return tiling.disk_cover(_centers(t, Z11), R, Z11).select("center_id", "tx", "ty", F.round("d2", 4).alias("d2"))
 
 
+@query(
+    "t3_cap_nearest",
+    f"""with ce as (select feature_id as center_id, {_world(Z11)} from sites), {_cover_sql(Z11, R, 'co')}
+     select center_id, tx, ty, cast(row_number() over (partition by center_id order by round(d2, 6), tx, ty) as integer) as rank from co where d2 <= {R * R}e0
+     qualify row_number() over (partition by center_id order by round(d2, 6), tx, ty) <= 4""",
+)
+def _(t):
+    tiles = tiling.disk_cover(_centers(t, Z11), R, Z11).withColumn("d2", F.round("d2", 6))
+    return spatial.cap_nearest(tiles, 4, "center_id", ["d2", "tx", "ty"]).select("center_id", "tx", "ty", "rank")
+
+
 U11 = f"{Z11.units_per_pixel!r}"
 KID = f"pow(((tx * 2 + {{i}} + 0.5e0) * 256e0 - {Z11.ox!r}) * {U11} - x, 2) + pow(((ty * 2 + {{j}} + 0.5e0) * 256e0 - {Z11.oy!r}) * {U11} - z, 2)"
 LOD = f"""ce as (select feature_id as center_id, {_world(Z11)} from sites), {_cover_sql(Z10, R, 'co')},
