@@ -146,36 +146,52 @@ def _close(pairs: DataFrame, sigs: DataFrame, at_least: float) -> DataFrame:
     return map_batches(both.select("a", "b", "_a", "_b"), "a long, b long", setup)
 
 
-def _across(bands: DataFrame, sigs: DataFrame, comp: DataFrame, best_only: bool, at_least: float) -> DataFrame:
+def _across(bands: DataFrame, sketches: DataFrame, comp: DataFrame, best_only: bool, at_least: float) -> DataFrame:
     """Pairs of one band's group that are in different classes and may be like enough.
-    Groups are cut into tiles, and each pair of tiles is one bounded task; with
-    ``best_only`` a member names its most alike one of each other class in the tile."""
+    Groups are cut into tiles, and each pair of tiles is one bounded task. A pair is
+    named by the first band that its members share. With ``best_only`` every member
+    names just its most alike one outside its class: rows in proportion to members."""
     floor = at_least - 5 * (at_least * (1 - at_least) / COMPONENTS) ** 0.5
     own = bands.join(comp.select(F.col("node").alias("_node"), "component"), "_node", "left").withColumn("_c", F.coalesce("component", "_node")).drop("component")
     mixed = own.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi")
-    # groups below one tile are gathered by a short hash of their key, so that tasks are not tiny
-    own = own.join(mixed.select("_key", F.ceil(F.col("_n") / TILE).alias("_tiles")), "_key").join(sigs, "_node")
+    own = own.join(mixed.select("_key", F.ceil(F.col("_n") / TILE).alias("_tiles")), "_key").join(sketches, "_node")
     own = own.withColumn("_tile", F.pmod(F.xxhash64("_node", F.lit(7)), F.col("_tiles")))
     own = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
-    own = own.select("_key", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"), (F.col("_tile") > F.col("_other")).alias("_right"), "_node", "_c", "_sig")
+    own = own.select("_key", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"), (F.col("_tile") > F.col("_other")).alias("_right"), "_node", "_c", "_sig", "_keys")
 
     def tile(g: pd.DataFrame) -> pd.DataFrame:
         one = g["_i"].iat[0] == g["_j"].iat[0]
         sig = np.frombuffer(b"".join(g["_sig"]), np.uint8).reshape(-1, COMPONENTS)
+        keys = np.array(g["_keys"].tolist(), np.int64)
+        band = int(np.argmax(keys[0] == g["_key"].iat[0]))
         node, c, right = g["_node"].to_numpy(), g["_c"].to_numpy(), g["_right"].to_numpy(bool)
         rows = np.arange(len(g)) if one else np.flatnonzero(~right)
         cols = rows if one else np.flatnonzero(right)
+        best = np.full(len(g), floor)
+        who = np.full(len(g), -1)
         a, b = [], []
-        if len(cols):
-            for r in rows:
-                est = _estimate(sig[cols], sig[r])
-                ok = np.flatnonzero((est >= floor) & (c[cols] != c[r]) & ((cols > r) | (not one) | best_only))
-                if best_only and len(ok):
-                    ok = ok[np.lexsort((node[cols[ok]], -est[ok], c[cols[ok]]))]
-                    ok = ok[np.concatenate([[True], c[cols[ok]][1:] != c[cols[ok]][:-1]])]
-                a += [node[r]] * len(ok)
-                b += node[cols[ok]].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        for r in rows if len(cols) else ():
+            est = _estimate(sig[cols], sig[r])
+            ok = np.flatnonzero((est >= floor) & (c[cols] != c[r]))
+            if not len(ok):
+                continue
+            if best_only:
+                # of equally alike ones the smallest node
+                k = ok[np.lexsort((node[cols[ok]], -est[ok]))[0]]
+                if est[k] > best[r] or who[r] < 0:
+                    best[r], who[r] = est[k], cols[k]
+                up = ok[(est[ok] > best[cols[ok]]) | (who[cols[ok]] < 0)]
+                best[cols[up]], who[cols[up]] = est[up], r
+            else:
+                ok = ok[(cols[ok] > r) | (not one)]
+                ok = ok[(keys[cols[ok]] == keys[r]).argmax(1) == band]
+                a.append(np.full(len(ok), node[r]))
+                b.append(node[cols[ok]])
+        if best_only:
+            has = np.flatnonzero(who >= 0)
+            a, b = [node[has]], [node[who[has]]]
+        none = [np.empty(0, np.int64)]
+        return pd.DataFrame({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
 
     found = own.groupBy("_key", "_i", "_j").applyInPandas(tile, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -197,14 +213,18 @@ def _named(own: DataFrame, at_least: float) -> DataFrame:
     star = bands.where("_node <> _p").select(F.col("_p").alias("a"), F.col("_node").alias("b")).distinct()
     bands = bands.select("_node", "_key")
     edges = verified(cut(_close(star, sigs, at_least)), _texts(own, bands), at_least)
-    edges = cut(edges)
-    for best_only in (True, False):
-        comp = cut(components(edges, src="a", dst="b"))
-        more = cut(_across(bands, sigs, comp, best_only, at_least))
+    comp = cut(components(edges, src="a", dst="b"))
+    # two rounds of best partners join the bulk of a group; then whatever is left, in full
+    for best_only in (True, True, False):
+        more = cut(_across(bands, one.select("_node", "_sig", "_keys"), comp, best_only, at_least))
         if more.isEmpty():
             break
-        edges = cut(edges.unionByName(verified(more, _texts(own, more.select(F.explode(F.array("a", "b")).alias("_node"))), at_least)))
-    comp = components(edges, src="a", dst="b")
+        edges = cut(verified(more, _texts(own, more.select(F.explode(F.array("a", "b")).alias("_node"))), at_least))
+        if edges.isEmpty():
+            continue
+        # stars stand for the links found before
+        stars = comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        comp = cut(components(edges.unionByName(stars), src="a", dst="b"))
     named = one.select("_node", "_id", "_n").join(comp.select(F.col("node").alias("_node"), "component"), "_node", "left")
     return cut(named.withColumn("component", F.coalesce("component", "_node")))
 
