@@ -24,8 +24,9 @@ from .common import map_batches, mix64
 
 LENGTH, GRAM = 200, 48
 PIECE = 4096  # strings in one segment at most
-SHARD = 1 << 20  # bytes of a shard
-CROWDED = 2000  # segments of a group
+SHARD = 2 << 20  # bytes of a shard
+CROWDED = 10_000  # segments of a group, about 3 MB
+BROADCAST = 200_000  # texts whose segment lists (at most 50 MB) are sent to all tasks; more are joined by a shuffle
 BLOCK = 8 << 20
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -55,25 +56,29 @@ def _deal(sa: np.ndarray, s: np.ndarray, wanted: np.ndarray, edge: np.ndarray, f
     while at < n:
         end = min(n, at + step)
         part = sa[at:end] if forward else sa[n - end : n - at][::-1]
-        where = np.flatnonzero(part > 0)
-        t = part[where] - 1
-        ok = wanted[t]
-        where, t = where[ok], t[ok]
-        if len(t):
+        t = part - 1
+        where = ((part > 0) & wanted[t]).nonzero()[0]
+        if len(where):
+            t = t[where]
             c = s[t]
-            slot = edge[c] if forward else n - 1 - edge[c]
-            stop = int(slot.min())
+            slot = edge[c]
+            stop = int(slot.min()) if forward else n - 1 - int(slot.max())
             if stop < end:
-                keep = where < stop - at
+                k = int(where.searchsorted(stop - at))
+                t, c, slot = t[:k], c[:k], slot[:k]
                 end = stop
-                t, c = t[keep], c[keep]
-            order = np.argsort(c.astype(np.uint16) if small else c, kind="stable")
+            order = (c.astype(np.uint16) if small else c).argsort(kind="stable")
             c = c[order]
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.empty(0, np.int64)
-            count = np.diff(np.append(first, len(c)))
-            rank = np.arange(len(c)) - np.repeat(first, count)
-            sa[edge[c] + rank if forward else edge[c] - rank] = t[order]
-            edge[c[first]] += count if forward else -count
+            new = (c[1:] != c[:-1]).nonzero()[0] + 1
+            if len(new) + 1 >= len(c):  # each in a bucket of its own
+                sa[slot] = t
+                edge[c] += 1 if forward else -1
+            else:
+                first = np.concatenate(([0], new))
+                count = np.concatenate((new, [len(c)])) - first
+                rank = np.arange(len(c)) - first.repeat(count)
+                sa[slot[order] + rank if forward else slot[order] - rank] = t[order]
+                edge[c[first]] += count if forward else -count
         step = max(64, min(1 << 20, 2 * (end - at)))
         at = end
 
@@ -219,9 +224,10 @@ def _content(c: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix64((run[stop] - run[start]) * _DOWN.get(n + 1)[start] + (stop - start).astype(np.uint64) * np.uint64(BASE)).view(np.int64)
 
 
-def cut_segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def cut_segments(data: bytes, length: int = LENGTH, gram: int = GRAM, whole: bool = True) -> tuple[np.ndarray, ...]:
     """(key, content, start, strings, low): segments of one text. ``low`` is where the
-    shared piece begins. A text below ``length`` bytes has none."""
+    shared piece begins. A text below ``length`` bytes has none. Only the keys unless
+    ``whole``."""
     c = np.frombuffer(data, np.uint8)
     n, w = len(c), length - gram + 1
     if n < length:
@@ -245,6 +251,8 @@ def cut_segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     start = np.flatnonzero(fresh)
     count = np.diff(np.append(start, len(low)))
     low = low[start]
+    if not whole:
+        return (h[low].view(np.int64),)
     return h[low].view(np.int64), _content(c, start, start + count + length - 1), start, count, low
 
 
@@ -263,7 +271,26 @@ def halve(data: bytes, start: int, count: int, low: int, high: int, length: int
     return out
 
 
-SEGMENT = "_key long, _seg long, _node long, _start int, _count int, _low int, _high int"
+# where a segment is: start (29 bits), strings (13), shared piece from the start (13), its length (8)
+SEGMENT = "_key long, _seg long, _node long, _at long"
+
+
+def _pack(start, count, low, high):
+    return (start << 34) | (count << 21) | ((low - start) << 8) | (high - low)
+
+
+def _unpack(at):
+    start = at >> 34
+    low = start + ((at >> 8) & 8191)
+    return start, (at >> 21) & 8191, low, low + (at & 255)
+
+
+def _start(at: str):
+    return F.shiftright(at, 34)
+
+
+def _count(at: str):
+    return F.shiftright(at, 21).bitwiseAND(8191)
 
 
 def _packed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -284,62 +311,71 @@ def _open(b: bytes) -> bytes:
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """_node, _runs: for each text with repeats, the (start, number) of the strings of
     ``length`` bytes that also start anywhere else, the same text included."""
+    if not GRAM <= length <= 255:
+        raise ValueError(f"length must be {GRAM} to 255")
     packed = _packed(docs, doc_id, text)
 
+    def keys():
+        def step(b):
+            return {"_key": np.concatenate([cut_segments(t.encode("utf-8", "surrogatepass"), length, whole=False)[0] for t in b["_text"]])}
+
+        return step
+
     def cutting():
         def step(b):
-            out = {n: [] for n in ("_key", "_seg", "_node", "_start", "_count", "_low")}
+            out = {n: [] for n in ("_key", "_seg", "_node", "_at")}
             for node, t in zip(b["_node"], b["_text"], strict=True):
-                parts = cut_segments(t.encode("utf-8", "surrogatepass"), length)
-                for n, v in zip(("_key", "_seg", "_start", "_count", "_low"), parts, strict=True):
+                data = t.encode("utf-8", "surrogatepass")
+                if len(data) >= 1 << 29:
+                    raise ValueError("a text of 512 MB or more")
+                key, seg, start, count, low = cut_segments(data, length)
+                for n, v in zip(out, (key, seg, np.full(len(key), node, np.int64), _pack(start, count, low, low + GRAM)), strict=True):
                     out[n].append(v)
-                out["_node"].append(np.full(len(parts[0]), node, np.int64))
-            got = {n: np.concatenate(v).astype(np.int64) for n, v in out.items()}
-            return {**got, "_high": got["_low"] + GRAM}
+            return {n: np.concatenate(v).astype(np.int64) for n, v in out.items()}
 
         return step
 
     own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(doc_id).cast("long").alias("_id"))
     own = own.select(F.xxhash64("_id", "_text").alias("_node"), "_text")
     segs = map_batches(own, SEGMENT, cutting, 1 << 20)
-    segs = cut(_shared(segs))
-    done = None
+    segs = cut(_shared(segs, map_batches(own.select("_text"), "_key long", keys, 1 << 20)))
     while True:
-        distinct = segs.groupBy("_key", "_seg").agg(F.count("*").alias("_n"), F.min(F.struct("_node", "_start", "_count")).alias("_rep"))
+        distinct = segs.groupBy("_key", "_seg").agg(F.lit(1).alias("_one"))
         crowd = distinct.groupBy("_key").agg(F.count("*").alias("_m")).where(F.col("_m") > CROWDED).select("_key")
-        hot = segs.where(F.col("_high") - F.col("_low") < length).join(crowd, "_key", "left_semi")
-        hot = cut(hot)
+        hot = cut(segs.where(F.col("_at").bitwiseAND(255) < length).join(crowd, "_key", "left_semi"))
         if hot.isEmpty():
             break
         cold = segs.join(hot.select("_key").distinct(), "_key", "left_anti")
-        lists = hot.groupBy("_node").agg(F.collect_set(F.struct("_start", "_count", "_low", "_high")).alias("_list"))
-        times = hot.groupBy("_node", "_start").agg(F.count("*").alias("_times"))
+        lists = hot.groupBy("_node").agg(F.collect_set("_at").alias("_list"))
+        times = hot.groupBy("_node", "_at").agg(F.count("*").alias("_times"))
 
         def halving():
             def step(b):
-                out = {n: [] for n in ("_key", "_seg", "_node", "_start", "_count", "_low", "_high", "_old")}
-                for node, z, parts in zip(b["_node"], b["_z"], b["_list"], strict=True):
-                    data = _open(z)
+                out = {n: [] for n in ("_key", "_seg", "_node", "_at", "_old")}
+                for node, t, parts in zip(b["_node"], b["_z"] if "_z" in b else b["_text"], b["_list"], strict=True):
+                    data = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else _open(t)
                     for p in parts:
-                        for row in halve(data, p["_start"], p["_count"], p["_low"], p["_high"], length):
-                            for n, v in zip(("_key", "_seg", "_start", "_count", "_low", "_high"), row, strict=True):
+                        for key, seg, *where in halve(data, *_unpack(p), length):
+                            for n, v in zip(out, (key, seg, node, _pack(*where), p), strict=True):
                                 out[n].append(v)
-                            out["_node"].append(node)
-                            out["_old"].append(p["_start"])
                 return out
 
             return step
 
-        one = packed.select("_node", "_z").join(lists, "_node").dropDuplicates(["_node"])
-        halves = map_batches(one, SEGMENT + ", _old int", halving)
+        lists = cut(lists)
+        if lists.count() <= BROADCAST:
+            one = own.join(F.broadcast(lists), "_node")
+        else:
+            one = packed.select("_node", "_z").join(lists, "_node")
+        one = one.dropDuplicates(["_node"])  # equal rows are one text
+        halves = map_batches(one, SEGMENT + ", _old long", halving)
         # rows that stand for equal documents count as often as before
-        again = halves.join(times.withColumnRenamed("_start", "_old"), ["_node", "_old"]).withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
-        again = _shared(again.select("_key", "_seg", "_node", "_start", "_count", "_low", "_high"))
-        segs = cut(cold.unionByName(again))
-    reps = cut(segs.groupBy("_key", "_seg").agg(F.count("*").alias("_n"), F.min(F.struct("_node", "_start", "_count")).alias("_rep")))
-    total = reps.agg(F.sum(F.col("_rep._count") + length - 1)).first()[0] or 0
+        again = halves.join(times.withColumnRenamed("_at", "_old"), ["_node", "_old"]).withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+        segs = cut(cold.unionByName(_shared(again.select("_key", "_seg", "_node", "_at"))))
+    reps = cut(segs.groupBy("_key", "_seg").agg(F.count("*").alias("_n"), F.min(F.struct("_node", "_at")).alias("_rep")))
+    total = reps.agg(F.sum(_count("_rep._at") + length - 1)).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD))
-    lists = reps.groupBy("_rep._node").agg(F.collect_list(F.struct("_key", "_seg", "_n", "_rep._start", "_rep._count")).alias("_list"))
+    lists = reps.groupBy("_rep._node").agg(F.collect_list(F.struct("_key", "_seg", "_n", "_rep._at")).alias("_list"))
 
     def fetching():
         def step(b):
@@ -347,10 +383,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
             for z, parts in zip(b["_z"], b["_list"], strict=True):
                 data = _open(z)
                 for p in parts:
-                    out["_key"].append(p["_key"])
-                    out["_seg"].append(p["_seg"])
-                    out["_copied"].append(p["_n"] > 1)
-                    out["_bytes"].append(data[p["_start"] : p["_start"] + p["_count"] + length - 1])
+                    start, count, _, _ = _unpack(p["_at"])
+                    for n, v in zip(out, (p["_key"], p["_seg"], p["_n"] > 1, data[start : start + count + length - 1]), strict=True):
+                        out[n].append(v)
             return out
 
         return step
@@ -369,14 +404,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
         return pd.DataFrame({"_key": g["_key"], "_seg": g["_seg"], "_found": runs})
 
     found = fetched.groupBy("_shard").applyInPandas(sort_shard, "_key long, _seg long, _found array<struct<at:int,n:int>>").where("size(_found) > 0")
-    hit = segs.select("_key", "_seg", "_node", "_start").join(found, ["_key", "_seg"])
+    hit = segs.select("_key", "_seg", "_node", _start("_at").alias("_start")).join(found, ["_key", "_seg"])
     hit = hit.select("_node", F.explode(F.transform("_found", lambda r: F.struct((F.col("_start") + r["at"]).alias("at"), r["n"].alias("n")))).alias("_r"))
     return hit.groupBy("_node").agg(F.sort_array(F.collect_set("_r")).alias("_runs"))
 
 
-def _shared(segs: DataFrame) -> DataFrame:
-    """Segments whose piece another segment has too."""
-    twice = segs.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+def _shared(segs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Segments whose piece another segment has too. ``keys`` has their keys alone."""
+    twice = (segs if keys is None else keys).groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
     return segs.join(twice, "_key", "left_semi")
 
 
