@@ -219,7 +219,7 @@ def _named(own: DataFrame, at_least: float) -> DataFrame:
         more = cut(_across(bands, one.select("_node", "_sig", "_keys"), comp, best_only, at_least))
         if more.isEmpty():
             break
-        edges = cut(verified(more, _texts(own, more.select(F.explode(F.array("a", "b")).alias("_node"))), at_least))
+        edges = cut(verified(more, _texts(own, more.select(F.col("a").alias("_node")).union(more.select(F.col("b").alias("_node")))), at_least))
         if edges.isEmpty():
             continue
         # stars stand for the links found before
