@@ -189,12 +189,14 @@ def candidates(text: str) -> tuple[int, list[int], list[int]]:
     return _signed(root.hash), [] if inside else sorted(seen), sorted(seen) if inside else []
 
 
-def main_text(text: str, template: frozenset[int] = frozenset()) -> str:
-    """The wanted text: character references decoded, white space as one space."""
+def main_text(text: str, template: frozenset[int] = frozenset(), boxes: frozenset[int] = frozenset()) -> str:
+    """The wanted text: character references decoded, white space as one space.
+    ``template`` holds for pages without an article, ``boxes`` inside articles."""
     root = parse(text)
     sign(root)
     out: list[str] = []
-    tops, _ = bodies(root)
+    tops, inside = bodies(root)
+    gone = boxes if inside else template
     todo: list[Node | str | None] = list(reversed(tops))
     tops_set = {id(t) for t in tops}
     while todo:
@@ -203,7 +205,7 @@ def main_text(text: str, template: frozenset[int] = frozenset()) -> str:
             out.append(" ")
         elif isinstance(x, str):
             out.append(entities.unescape(x))
-        elif id(x) not in tops_set and (x.unwanted() or _signed(x.hash) in template):
+        elif id(x) not in tops_set and (x.unwanted() or _signed(x.hash) in gone and not (inside and x.tag in TEXTUAL)):
             out.append(" ")
         else:
             block = x.tag in BLOCK or id(x) in tops_set
@@ -215,7 +217,7 @@ def main_text(text: str, template: frozenset[int] = frozenset()) -> str:
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """_host, _template: the subtree hashes that recur on many different pages of a
+    """_host, _template, _boxes (inside articles): the subtree hashes that recur on many different pages of a
     host. A page counts once however often it is stored; at most the subtrees of a
     few pages can recur so often, so the list of a host is short."""
 
@@ -232,7 +234,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     counted = trees.select("_host", "_page", "_t.h", "_t.inside").distinct().groupBy("_host", "h", "inside").agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_PAGES)
     hosts = seen.select("_host", "_page").distinct().groupBy("_host").agg(F.count("*").alias("_pages"))
     share = F.when(F.col("inside"), (F.col("_n") >= MIN_PAGES_INSIDE) & (F.col("_n") >= F.col("_pages") * MIN_SHARE_INSIDE)).otherwise(F.col("_n") >= F.col("_pages") * MIN_SHARE)
-    return counted.join(hosts, "_host").where(share).groupBy("_host").agg(F.collect_set("h").alias("_template"))
+    return counted.join(hosts, "_host").where(share).groupBy("_host").agg(F.collect_set(F.when(~F.col("inside"), F.col("h"))).alias("_template"), F.collect_set(F.when(F.col("inside"), F.col("h"))).alias("_boxes"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -246,9 +248,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def setup():
         def step(b):
-            text = [main_text(t or "", frozenset(x or ())) for t, x in zip(b["_html"], b["_template"], strict=True)]
+            text = [main_text(t or "", frozenset(x or ()), frozenset(y or ())) for t, x, y in zip(b["_html"], b["_template"], b["_boxes"], strict=True)]
             return {"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]}
 
         return step
 
-    return map_batches(both.select("page_id", "url", "_html", "_template"), "page_id long, url string, text string, n_chars long", setup)
+    return map_batches(both.select("page_id", "url", "_html", "_template", "_boxes"), "page_id long, url string, text string, n_chars long", setup)
