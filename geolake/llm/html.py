@@ -1,8 +1,9 @@
 """Main text of web pages, with the templates of their sites removed.
 
 Pages become element trees. Subtrees are hashed with their text and counted per
-host in Spark; what recurs on many different pages of a host is template and goes,
-as do elements whose name, role or class says that they are not the article. Inside
+host and kind of page (with or without an article) in Spark; what recurs on a share
+of a kind's different pages, or as a box on a fixed number of them, is template and
+goes, as do elements whose name, role or class says that they are not the article. Inside
 an article only boxes can be template, not its paragraphs: pages may quote each other.
 """
 
@@ -20,6 +21,7 @@ from .common import map_batches
 
 MIN_PAGES, MIN_SHARE = 3, 0.3
 MIN_PAGES_INSIDE, MIN_SHARE_INSIDE = 8, 0.6
+ENOUGH = 50  # so many different pages suffice for a box, whatever their share
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -38,6 +40,8 @@ HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|nav|navs|navbar|navigation|menus?|menubar|topbar|toolbar|sidebars?|sidenav|site-?header|page-?header|masthead|header|footers?|footnav|colophon|cookies?|consent|gdpr|notices?|popups?|modal|overlay|newsletters?|subscribe|subscription|signup|login|search|share|sharing|social|comments?|commentlist|disqus|replies|respond|breadcrumbs?|related|recommended|pagination|pager|widgets?|skip-?link|copyright|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+# pieces of a box: they need a share
+PIECES = frozenset("html body tr tbody thead tfoot caption figcaption summary legend".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt b i em strong a span br code sub sup q cite small u s mark abbr time td th".split())
 
 
@@ -171,12 +175,13 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def candidates(text: str) -> tuple[int, list[int], list[int]]:
-    """Hash of the page; hashes of the subtrees that may be template: those outside an
-    article, and boxes inside one."""
+def candidates(text: str) -> tuple[int, bool, list[int], list[int]]:
+    """Hash of the page; if it has an article; hashes of the subtrees that may be template
+    (inside the article, if there is one, not the textual ones): pieces, then boxes."""
     root = parse(text)
     sign(root)
     tops, inside = bodies(root)
+    pieces: set[int] = set()
     seen: set[int] = set()
     todo = [k for t in tops for k in t.kids if isinstance(k, Node)]
     while todo:
@@ -184,9 +189,9 @@ def candidates(text: str) -> tuple[int, list[int], list[int]]:
         if x.unwanted():
             continue
         if x.size and not (inside and x.tag in TEXTUAL):
-            seen.add(_signed(x.hash))
+            (pieces if x.tag in TEXTUAL or x.tag in PIECES else seen).add(_signed(x.hash))
         todo += [k for k in x.kids if isinstance(k, Node)]
-    return _signed(root.hash), [] if inside else sorted(seen), sorted(seen) if inside else []
+    return _signed(root.hash), inside, sorted(pieces), sorted(seen)
 
 
 def main_text(text: str, template: frozenset[int] = frozenset(), boxes: frozenset[int] = frozenset()) -> str:
@@ -218,23 +223,24 @@ def main_text(text: str, template: frozenset[int] = frozenset(), boxes: frozense
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """_host, _template, _boxes (inside articles): the subtree hashes that recur on many different pages of a
-    host. A page counts once however often it is stored; at most the subtrees of a
-    few pages can recur so often, so the list of a host is short."""
+    host, of all its pages with an article or of all without. A page counts once however often it is stored; at
+    most the subtrees of a few pages can have a share, and boxes need ENOUGH pages, so the list of a host is short."""
 
     def setup():
         def step(b):
             got = [candidates(t or "") for t in b["_html"]]
-            return {"_host": [host_of(u) for u in b["_url"]], "_page": [g[0] for g in got], "_out": [g[1] for g in got], "_in": [g[2] for g in got]}
+            return {"_host": [host_of(u) for u in b["_url"]], **{c: [g[i] for g in got] for i, c in enumerate(("_page", "_inside", "_pieces", "_whole"))}}
 
         return step
 
     own = pages.select(F.col(url).alias("_url"), F.col(html).alias("_html"))
-    seen = map_batches(own, "_host string, _page long, _out array<long>, _in array<long>", setup).where("_host is not null")
-    trees = seen.select("_host", "_page", F.explode(F.concat(F.transform("_out", lambda h: F.struct(h.alias("h"), F.lit(False).alias("inside"))), F.transform("_in", lambda h: F.struct(h.alias("h"), F.lit(True).alias("inside"))))).alias("_t"))
-    counted = trees.select("_host", "_page", "_t.h", "_t.inside").distinct().groupBy("_host", "h", "inside").agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_PAGES)
-    hosts = seen.select("_host", "_page").distinct().groupBy("_host").agg(F.count("*").alias("_pages"))
-    share = F.when(F.col("inside"), (F.col("_n") >= MIN_PAGES_INSIDE) & (F.col("_n") >= F.col("_pages") * MIN_SHARE_INSIDE)).otherwise(F.col("_n") >= F.col("_pages") * MIN_SHARE)
-    return counted.join(hosts, "_host").where(share).groupBy("_host").agg(F.collect_set(F.when(~F.col("inside"), F.col("h"))).alias("_template"), F.collect_set(F.when(F.col("inside"), F.col("h"))).alias("_boxes"))
+    seen = map_batches(own, "_host string, _page long, _inside boolean, _pieces array<long>, _whole array<long>", setup).where("_host is not null")
+    trees = seen.select("_host", "_page", "_inside", F.explode(F.concat(F.transform("_pieces", lambda h: F.struct(h.alias("h"), F.lit(False).alias("box"))), F.transform("_whole", lambda h: F.struct(h.alias("h"), F.lit(True).alias("box"))))).alias("_t"))
+    counted = trees.select("_host", "_page", "_inside", "_t.h", "_t.box").distinct().groupBy("_host", "h", "_inside", "box").agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_PAGES)
+    kinds = seen.select("_host", "_page", "_inside").distinct().groupBy("_host", "_inside").agg(F.count("*").alias("_pages"))
+    share = F.when(F.col("_inside"), (F.col("_n") >= MIN_PAGES_INSIDE) & (F.col("_n") >= F.col("_pages") * MIN_SHARE_INSIDE)).otherwise(F.col("_n") >= F.col("_pages") * MIN_SHARE)
+    found = counted.join(kinds, ["_host", "_inside"]).where(share | F.col("box") & (F.col("_n") >= ENOUGH))
+    return found.groupBy("_host").agg(F.collect_set(F.when(~F.col("_inside"), F.col("h"))).alias("_template"), F.collect_set(F.when(F.col("_inside"), F.col("h"))).alias("_boxes"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

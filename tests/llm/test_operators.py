@@ -527,6 +527,17 @@ def test_templates_go_and_quotes_stay(spark):
     assert html.extract(pages.where("false")).count() == 0
 
 
+def test_templates_of_mixed_hosts(spark):
+    """A menu on all of the few pages without an article, and the boxes of four designs
+    with a quarter of a host's pages each, inside articles and on pages without."""
+    menu, design = "<div>Home Contact</div>", [f"<div>Look {k} <i>of ours</i></div>" for k in range(4)]
+    rows = [(i, f"http://mixed.example/{i}", f"<article><p>Story {i}</p></article>" if i % 5 else f"{menu}<p>Story {i}</p>") for i in range(60)]
+    rows += [(1000 + i, f"http://plain.example/{i}", f"{design[i % 4]}<div><p>Story {i}</p><p>quote {i % 4}</p></div>") for i in range(4 * html.ENOUGH)]
+    rows += [(2000 + i, f"http://inside.example/{i}", f"<article><p>Story {i}</p>{design[i % 4]}<p>quote {i % 4}</p></article>") for i in range(4 * html.ENOUGH)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i % 1000}" + (f" quote {i % 4}" if i >= 1000 else "") for i, _, _ in rows}
+
+
 def test_main_text_of_the_pages(spark):
     import re
     from html import unescape
