@@ -102,6 +102,18 @@ def test_fingerprint_likeness():
     assert fingerprint.likeness(f[0], f[0]) == 1 and 0.8 < fingerprint.likeness(f[0], f[1]) < 1 and fingerprint.likeness(f[0], f[2]) < 0.3
 
 
+def test_fingerprint_of_repeated_lines():
+    """The last half replaced: the letters of the whole text count."""
+    rnd = random.Random(12)
+    for k in range(20):
+        a, b = ("".join(rnd.choice("abcdefgh ") for _ in range(79)) + "\n" for _ in "ab")
+        p, q = (fingerprint.fingerprint(x.encode()) for x in (a * 10_000, a * 5_000 + b * 5_000))
+        assert fingerprint.likeness(p, q) <= 0.9, (k, p[:40], q[:40])
+    line = "one line of a text that says it again and again, with no end in sight at all..\n"
+    p = fingerprint.fingerprint((line * 10_000).encode()).split(":")
+    assert len(p[1]) >= 10_000
+
+
 # --- near-duplicates -------------------------------------------------------------
 
 
