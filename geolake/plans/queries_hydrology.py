@@ -98,6 +98,24 @@ def _(t):
     return hydrology.fill_voids(t.cells.select("gx", "gy", "v"), v, iters=5, per_round=2).select("gx", "gy", F.round("v", 6).alias("v"))
 
 
+@query(
+    "r8_fill_voids_settled",
+    f"""with {REG.format(lim='90')}, rn as (select distinct region, c.gx, c.gy, c.v from vd join cells c on abs(c.gx - vd.gx) + abs(c.gy - vd.gy) = 1 where (c.gx, c.gy) not in (select (gx, gy) from vd)),
+     st as (select region, avg(v) as a from rn group by region), rim as (select distinct gx, gy, v from rn),
+     w0 as (select gx, gy, a as v, true as free from vd join st using (region) union all select gx, gy, v, false from rim),
+     nb as (select a.gx, a.gy, b.gx as nx, b.gy as ny from vd a join w0 b on abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1),
+     w as (select 0 as it, gx, gy, v, free, true as more from w0
+      union all
+      select it + 1, gx, gy, nv, free, max(abs(nv - v)) over () > 1e-11 as more from (
+       select c.it, c.gx, c.gy, c.v, c.free, case when c.free then avg(n.v) else any_value(c.v) end as nv
+       from w c left join nb on nb.gx = c.gx and nb.gy = c.gy left join w n on n.gx = nb.nx and n.gy = nb.ny where c.more group by c.it, c.gx, c.gy, c.v, c.free) q)
+     select c.gx, c.gy, round(coalesce(w.v, c.v), 6) as v from cells c left join (select * from w where free and it = (select max(it) from w)) w using (gx, gy)""",
+)
+def _(t):
+    v = hydrology.interior_voids(t.cells, 90.0)
+    return hydrology.fill_voids(t.cells.select("gx", "gy", "v"), v, tol=1e-9).select("gx", "gy", F.round("v", 6).alias("v"))
+
+
 @query("r15_polygonize", """with m as (select gx, gy from cells where v > 250),
  rg as (select gx, gy, gx as sx, gy as sy from m union select n.gx, n.gy, r.sx, r.sy from rg r join m n on abs(n.gx - r.gx) <= 1 and abs(n.gy - r.gy) <= 1),
  cp as (select gx, gy, min(sy * 4294967296 + sx) as region from rg group by gx, gy)

@@ -182,3 +182,43 @@ def test_wide_voids_settle(spark):
     voids = cells.where("v = -1").select("gx", "gy", F.lit(1).cast("long").alias("region"))
     got = hydrology.fill_voids(cells, voids, block=32).collect()
     assert max(abs(r.v - 1000.0 * r.gx / w) for r in got) < 10
+
+
+def test_settled_voids_are_registered(spark):
+    """The registered query gives the heights at which every void cell is the mean of its neighbours."""
+    import __spark_entry__ as entry
+    from geolake.plans.fixtures import Tables
+
+    sf = "/root/testdata/sf0.01"
+    got = {(r.gx, r.gy): r.v for r in entry.queries()["r8_fill_voids_settled"](spark, sf).collect()}
+    was = {(r.gx, r.gy): r.v for r in Tables(spark, sf).cells.collect()}
+    changed = [c for c in was if got[c] != was[c]]
+    assert len(got) == len(was) and len(changed) > 0
+    for x, y in changed:
+        near = [got[c] for c in ((x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)) if c in got]
+        assert abs(got[x, y] - np.mean(near)) < 1e-5
+
+
+def test_broad_voids_settle_to_the_solution(spark):
+    """A void of 40 x 30 cells with a bay, against the linear equations."""
+    from geolake.operators import hydrology
+
+    w, h = 44, 34
+    v = np.fromfunction(lambda y, x: 20.0 * x + 5.0 * y + 300 * np.sin(y / 5), (h, w))
+    void = np.zeros((h, w), bool)
+    void[2:32, 2:42] = True
+    void[2:20, 15:22] = False
+    at = {c: i for i, c in enumerate(zip(*np.nonzero(void), strict=True))}
+    a, b = np.eye(len(at)) * 4, np.zeros(len(at))
+    for (y, x), i in at.items():
+        for c in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+            if c in at:
+                a[i, at[c]] = -1
+            else:
+                b[i] += v[c]
+    want = np.linalg.solve(a, b)
+    cells = frame(spark, v)
+    voids = spark.createDataFrame([(int(x), int(y), 1) for y, x in at], "gx long, gy long, region long")
+    got = {(r.gy, r.gx): r.v for r in hydrology.fill_voids(cells, voids, block=32).collect()}
+    worst = max(abs(got[c] - want[i]) for c, i in at.items())
+    assert worst < 2.0, worst
