@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, html, lines, mix, neardup, quality, suffix, toxicity
+from . import ann, bpe, cluster, dialogue, fingerprint, html, lines, mix, neardup, quality, suffix, toxicity
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,16 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits and digests of all conversations, damaged and repaired."""
+    return dialogue.check(table(spark, sf_dir, "conversations"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of all vectors after ten rounds."""
+    return cluster.kmeans(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Run] = {
     f.__name__: f
     for f in (
@@ -94,6 +104,8 @@ QUERIES: dict[str, Run] = {
         op8_line_dedup,
         op9_source_mix,
         op10_main_text,
+        op11_conversation_repair,
+        op12_centroids,
     )
 }
 SQL: dict[str, str] = {"op9_source_mix": mix.SQL}
