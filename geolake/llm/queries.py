@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, cluster, dialogue, fingerprint, html, lines, mix, neardup, quality, suffix, toxicity
+from . import ann, bpe, cluster, dialogue, fingerprint, html, lines, mix, neardup, ngram, quality, suffix, toxicity
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,11 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.kmeans(table(spark, sf_dir, "embeddings"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under the model of the training folds."""
+    return ngram.train_and_score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Run] = {
     f.__name__: f
     for f in (
@@ -106,6 +111,7 @@ QUERIES: dict[str, Run] = {
         op10_main_text,
         op11_conversation_repair,
         op12_centroids,
+        op13_language_model,
     )
 }
 SQL: dict[str, str] = {"op9_source_mix": mix.SQL}
