@@ -32,6 +32,7 @@ from ..session import scratch_path
 from .common import mix64, typed
 
 WINDOW = (1 << 20) - 1
+SLICE_BYTES = 8 << 20
 #: A task folds this many numbers before it sends them.
 HELD = 1 << 22
 SHARD_BYTES = 1 << 25
@@ -157,6 +158,14 @@ def unhash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x >> np.uint64(32)).astype(np.uint32), x.astype(np.uint32)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, about ``SLICE_BYTES`` or one row at a time."""
+    for batch in batches:
+        size = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 # --- counting --------------------------------------------------------------------
 
 
@@ -204,7 +213,7 @@ def _folded(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.Array], np.
         held[:] = [(keys, n)]
         return len(keys)
 
-    for batch in batches:
+    for batch in _sliced(batches):
         held.append(_add(keys_of(batch.column(0))))
         if sum(len(k) for k, _ in held) > HELD and fold() > HELD // 2:
             yield pa.RecordBatch.from_pydict(_runs(*held.pop(), bits), schema=arrow)
@@ -471,10 +480,8 @@ def score(docs: DataFrame, m: Model, doc_id: str = "doc_id", text: str = "text")
     arrow = to_arrow_schema(typed(schema))
 
     def run(batches):
-        for batch in batches:
+        for batch in _sliced(batches):
             ids, n = _numbered(m, batch.column(2))
-            if not len(n):
-                continue
             owner = np.repeat(np.arange(len(n)), n)
             words, back = np.unique(ids, return_inverse=True)
             c = m.of_word(words, "c")
