@@ -36,25 +36,30 @@ REPORT = "count(*) as trips, cast(sum(n) as bigint) as legs, cast(sum(ok) as big
 COVER = f"{ALL_TRIPS} select {REPORT} from al"
 
 
-@query("a10_coverage", f"with {LEGS}, mt as (select trip_id, part_id >= 0 as ok from rl), {COVER}")
+def _dropped(stations):
+    return f"(select count(*) from stops where trip_id in (select trip_id from trips) and station not in (select station from {stations})) as stops_dropped"
+
+
+@query("a10_coverage", f"with {LEGS}, mt as (select trip_id, part_id >= 0 as ok from rl), {ALL_TRIPS} select {REPORT}, {_dropped('track_stations')} from al")
 def _(t):
     legs = fleet.resolve_legs(t.stops, t.track_stations).withColumn("matched", F.col("part_id") >= 0)
-    return aggs.coverage(legs, t.trips)
+    return aggs.coverage(legs, t.trips, t.stops, t.track_stations)
 
 
-_FEW = "select * from track_stations where part_id % 7 = 0"
+_NEAR = "select * from track_stations where dist_m < 120"
 
 
 @query(
     "a10_stops_dropped",
-    f"""with few as ({_FEW}), {LEGS.replace("track_stations", "few")}, mt as (select trip_id, part_id >= 0 as ok from rl), {ALL_TRIPS}
-     select {REPORT}, (select count(*) from stops where trip_id in (select trip_id from trips) and station not in (select station from few)) as stops_dropped from al""",
+    f"""with near as ({_NEAR}), {LEGS.replace("track_stations", "near")}, mt as (select trip_id, part_id >= 0 as ok from rl), {ALL_TRIPS}
+     select {REPORT}, {_dropped('near')} from al""",
 )
 def _(t):
-    """A network with parts missing: stops at stations of none are counted."""
-    few = t.track_stations.where("part_id % 7 = 0")
-    legs = fleet.resolve_legs(t.stops, few).withColumn("matched", F.col("part_id") >= 0)
-    return aggs.coverage(legs, t.trips, t.stops, few)
+    """The whole network under a snap distance of 120 m: stops at stations that lie
+    nearer to no part are counted."""
+    near = t.track_stations.where("dist_m < 120")
+    legs = fleet.resolve_legs(t.stops, near).withColumn("matched", F.col("part_id") >= 0)
+    return aggs.coverage(legs, t.trips, t.stops, near)
 
 
 @query(

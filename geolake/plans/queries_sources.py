@@ -25,40 +25,78 @@ def _text(t, df, label, suffix):
     return path
 
 
-@query("s1_read_geojson_points", "select name, set_id, round(lon, 6) as lon, round(lat, 6) as lat from points")
+def _collections(t, features, label):
+    """FeatureCollections of some hundred features, several in a file."""
+    doc = F.pmod(F.xxhash64("value"), F.lit(max(1, features.count() // 400)))
+    many = features.groupBy(doc).agg(F.concat(F.lit('{"type": "FeatureCollection",\n "features": [\n  '), F.array_join(F.collect_list("value"), ",\n  "), F.lit('],\n "crs": {"features": []}}')).alias("value"))
+    return _text(t, many.select("value"), label, ".geojson")
+
+
+POINTS_SQL = "select name, set_id, round(lon, 6) as lon, round(lat, 6) as lat from points"
+
+
+def _point_features(t):
+    return _features(t.points, F.array("lon", "lat"), "Point", ["name", "set_id"])
+
+
+@query("s1_collection_points", POINTS_SQL)
 def _(t):
-    f = _features(t.points, F.array("lon", "lat"), "Point", ["name", "set_id"])
-    p = readers.read_geojson(t.spark, _text(t, f, "points", ".geojsonl"), "Point", ["name", "set_id"])
+    p = readers.read_geojson(t.spark, _collections(t, _point_features(t), "points"), "Point", ["name", "set_id"])
     return p.select("name", "set_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query(
-    "s1_read_geojson_lines",
-    """with l as (select s_name as name, s_suppkey % 3 as parts, 120e0 + s_suppkey / 1e3 as x from supplier)
-     select name, p as part_id, cast(i as integer) as seq, round(x + p / 1e1 + i / 1e2, 6) as lon, round(22e0 + i / 1e2, 6) as lat from l cross join range(3) a(p) cross join range(4) b(i) where p < greatest(parts, 1)""",
-)
+@query("s1_read_geojson_points", POINTS_SQL)
 def _(t):
+    f = _point_features(t)
+    p = readers.read_geojson(t.spark, _text(t, f, "points", ".geojsonl"), "Point", ["name", "set_id"])
+    return p.select("name", "set_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+LINES_SQL = """with l as (select s_name as name, s_suppkey % 3 as parts, 120e0 + s_suppkey / 1e3 as x from supplier)
+     select name, p as part_id, cast(i as integer) as seq, round(x + p / 1e1 + i / 1e2, 6) as lon, round(22e0 + i / 1e2, 6) as lat from l cross join range(3) a(p) cross join range(4) b(i) where p < greatest(parts, 1)"""
+
+
+def _line_features(t):
     x = F.lit(120.0) + F.col("s_suppkey") / 1e3
     line = lambda p: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(x + p / 1e1 + i / 1e2, F.lit(22.0) + i / 1e2))
     n = F.greatest(F.col("s_suppkey") % 3, F.lit(1))
     # a part with one vertex is added and must be dropped by the reader
     many = F.concat(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), line), F.array(F.array(F.array(x, F.lit(22.0)))))
-    f = _features(t.supplier, many, "MultiLineString", [F.col("s_name").alias("name")])
-    v = readers.read_geojson(t.spark, _text(t, f, "lines", ".geojsonl"), "LineString", ["name"])
+    return _features(t.supplier, many, "MultiLineString", [F.col("s_name").alias("name")])
+
+
+@query("s1_read_geojson_lines", LINES_SQL)
+def _(t):
+    v = readers.read_geojson(t.spark, _text(t, _line_features(t), "lines", ".geojsonl"), "LineString", ["name"])
     return v.select("name", F.col("part_id").cast("long").alias("part_id"), "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query(
-    "s1_read_geojson_polygons",
-    """with r as (select n_name as name, cast(i as integer) as seq, 119.2e0 + n_nationkey / 1e1 as x, 22e0 + n_nationkey / 1e1 as y, i from nation cross join range(5) a(i))
-     select name, cast(0 as integer) as poly_id, cast(0 as integer) as ring_id, seq, round(x + case when i in (1, 2) then 0.1e0 else 0e0 end, 6) as lon, round(y + case when i in (2, 3) then 0.1e0 else 0e0 end, 6) as lat from r""",
-)
+@query("s1_collection_lines", LINES_SQL)
 def _(t):
+    v = readers.read_geojson(t.spark, _collections(t, _line_features(t), "lines"), "LineString", ["name"])
+    return v.select("name", F.col("part_id").cast("long").alias("part_id"), "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+POLYGONS_SQL = """with r as (select n_name as name, cast(i as integer) as seq, 119.2e0 + n_nationkey / 1e1 as x, 22e0 + n_nationkey / 1e1 as y, i from nation cross join range(5) a(i))
+     select name, cast(0 as integer) as poly_id, cast(0 as integer) as ring_id, seq, round(x + case when i in (1, 2) then 0.1e0 else 0e0 end, 6) as lon, round(y + case when i in (2, 3) then 0.1e0 else 0e0 end, 6) as lat from r"""
+
+
+def _polygon_features(t):
     x, y = F.lit(119.2) + F.col("n_nationkey") / 1e1, F.lit(22.0) + F.col("n_nationkey") / 1e1
     corner = lambda i: F.array(x + F.when(i.isin(1, 2), 0.1).otherwise(0.0), y + F.when(i.isin(2, 3), 0.1).otherwise(0.0))
     ring = F.transform(F.sequence(F.lit(0), F.lit(4)), corner)
-    f = _features(t.nation, F.array(F.array(ring)), "MultiPolygon", [F.col("n_name").alias("name")])
-    v = readers.read_geojson(t.spark, _text(t, f, "polygons", ".geojsonl"), "Polygon", ["name"])
+    return _features(t.nation, F.array(F.array(ring)), "MultiPolygon", [F.col("n_name").alias("name")])
+
+
+@query("s1_read_geojson_polygons", POLYGONS_SQL)
+def _(t):
+    v = readers.read_geojson(t.spark, _text(t, _polygon_features(t), "polygons", ".geojsonl"), "Polygon", ["name"])
+    return v.select("name", "poly_id", "ring_id", "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query("s1_collection_polygons", POLYGONS_SQL)
+def _(t):
+    v = readers.read_geojson(t.spark, _collections(t, _polygon_features(t), "polygons"), "Polygon", ["name"])
     return v.select("name", "poly_id", "ring_id", "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
@@ -80,30 +118,65 @@ def _hms(c):
     return F.concat_ws(":", two(F.col(c) / 3600), two(F.col(c) % 3600 / 60), two(F.col(c) % 60))
 
 
-@query("s3_read_timetable", f"with {TT} select trip_id, seq, station, arr_sec, dep_sec, (cast(trip_id as bigint) * 97) % 86400 as dep_sec_of_day from tt")
-def _(t):
+TIMETABLE_SQL = f"with {TT} select trip_id, seq, station, arr_sec, dep_sec, (cast(trip_id as bigint) * 97) % 86400 as dep_sec_of_day from tt"
+
+
+def _schedules(t):
+    """Trips as JSON, and the document each belongs to."""
     o = t.orders.withColumn("d", F.expr("(o_orderkey * 97) % 86400"))
     trip = F.struct(
         F.col("o_orderkey").cast("string").alias("train_no"), F.col("o_orderpriority").alias("train_type"), _hms("d").alias("departure_time"), F.expr(STATIONS).alias("stations")
     )
-    path = _text(t, o.select(F.to_json(F.struct(F.array(trip).alias("schedules"))).alias("value")), "timetable", ".jsonl")
+    return o.select(trip.alias("trip"), F.floor(F.col("o_orderkey") / 4000).alias("doc"))
+
+
+@query("s3_read_timetable", TIMETABLE_SQL)
+def _(t):
+    path = _text(t, _schedules(t).select(F.to_json(F.struct(F.array("trip").alias("schedules"))).alias("value")), "timetable", ".jsonl")
     trips, stops = readers.read_timetable(t.spark, path)
     return stops.join(trips.select("trip_id", "dep_sec_of_day"), "trip_id")
 
 
-@query("s3_read_corridor_timetable", f"with {TT} select 'N' || cast(trip_id as bigint) % 2 || '/' || trip_id as trip_id, seq, station, arr_sec from tt")
+@query("s3_timetable_document", TIMETABLE_SQL)
 def _(t):
+    """A thousand trips a document."""
+    docs = _schedules(t).groupBy("doc").agg(F.to_json(F.struct(F.lit("v1").alias("version"), F.collect_list("trip").alias("schedules"))).alias("value"))
+    trips, stops = readers.read_timetable(t.spark, _text(t, docs.select("value"), "timetable", ".json"))
+    return stops.join(trips.select("trip_id", "dep_sec_of_day"), "trip_id")
+
+
+CORRIDOR_SQL = f"with {TT} select 'N' || cast(trip_id as bigint) % 2 || '/' || trip_id as trip_id, seq, station, arr_sec from tt"
+
+
+def _departures(t):
     o = t.orders.withColumn("d", F.expr("(o_orderkey * 97) % 86400"))
     dep = F.struct(F.col("o_orderkey").cast("string").alias("train_id"), _hms("d").alias("departure_time"), F.expr(STATIONS).alias("stations"))
-    track = F.struct(F.lit("main").alias("name"), F.array(dep).alias("departures"))
-    doc = F.map_from_arrays(
-        F.array(F.concat(F.lit("N"), F.col("o_orderkey") % 2), F.lit("_metadata")), F.array(track, F.struct(F.lit("info").alias("name"), F.array(dep).alias("departures")))
-    )
-    path = _text(t, o.select(F.to_json(doc).alias("value")), "corridor", ".jsonl")
+    return o.select(dep.alias("dep"), F.concat(F.lit("N"), F.col("o_orderkey") % 2).alias("track"), F.floor(F.col("o_orderkey") / 4000).alias("doc"))
+
+
+@query("s3_read_corridor_timetable", CORRIDOR_SQL)
+def _(t):
+    track = F.struct(F.lit("main").alias("name"), F.array("dep").alias("departures"))
+    doc = F.map_from_arrays(F.array(F.col("track"), F.lit("_metadata")), F.array(track, F.struct(F.lit("info").alias("name"), F.array("dep").alias("departures"))))
+    path = _text(t, _departures(t).select(F.to_json(doc).alias("value")), "corridor", ".jsonl")
     _, stops = readers.read_corridor_timetable(t.spark, path)
     return stops.select("trip_id", "seq", "station", "arr_sec")
 
 
+@query(
+    "s3_corridor_document",
+    f"with {TT}, k as (select *, 'N' || cast(trip_id as bigint) % 2 as track_id from tt) select track_id || '/' || trip_id as trip_id, 'line ' || track_id as track, seq, station, arr_sec from k",
+)
+def _(t):
+    """A document of two tracks for each thousand departures, with their names."""
+    tracks = _departures(t).groupBy("doc", "track").agg(F.struct(F.concat(F.lit("line "), F.first("track")).alias("name"), F.collect_list("dep").alias("departures")).alias("t"))
+    body = F.map_from_arrays(F.concat(F.collect_list("track"), F.array(F.lit("_metadata"))), F.concat(F.collect_list("t"), F.array(F.first("t"))))
+    path = scratch_path(t.spark, "corridor")
+    tracks.groupBy("doc").agg(F.to_json(body).alias("value")).repartition("doc").write.partitionBy("doc").text(path)
+    trips, stops = readers.read_corridor_timetable(t.spark, path)
+    return stops.join(trips.select("trip_id", "track"), "trip_id").select("trip_id", "track", "seq", "station", "arr_sec")
+
+
 @query(
     "s4_explode_trail",
     """with p as (select ping_id, i, lat + i / 1e2 as lat, lon + i / 1e2 as lon, t + i * 60 as t from pings cross join range(3) a(i) where i < 1 + ping_id % 3)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+from .documents import ANY, read_elements
+
 PAIR = "array<double>"
 # geometry type -> (type of the coordinates, depth of the part lists above a vertex list)
 COORDS = {
@@ -21,9 +24,11 @@ def read_geojson(spark: SparkSession, path: str, geom_type: str, props: list[str
     """Features of one geometry type as rows: Point gives lon/lat, lines give one
     row per vertex with part_id, polygons add poly_id and ring_id.
 
-    Accepts one FeatureCollection per file or newline-delimited features;
-    every feature has an id of its own, identical copies included. Lines with fewer
-    than two vertices are dropped.
+    Accepts one FeatureCollection per file or newline-delimited features, of any size:
+    a file is read by as many tasks as it has splits. Every feature has an id of its
+    own, identical copies included, made of the file's name and the feature's place in
+    it (feature_no, its first byte); no split size or folder changes it. Lines with
+    fewer than two vertices are dropped.
     """
     want = {"Point": ["Point"], "LineString": ["LineString", "MultiLineString"], "Polygon": ["Polygon", "MultiPolygon"]}[geom_type]
     # coordinates nest differently per type: read as text, parse per type
@@ -37,16 +42,11 @@ def read_geojson(spark: SparkSession, path: str, geom_type: str, props: list[str
             ),
         ]
     )
-    schema = T.StructType([*feature.fields, T.StructField("features", T.ArrayType(feature))])
-    raw = spark.read.schema(schema).option("multiLine", not _is_lines(path)).json(path)
-    own = F.when(F.col("features").isNull(), F.array(F.struct("type", "properties", "geometry")))
-    # the row's place in the scan tells equal features of delimited files apart
-    feats = raw.select(F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_row"), "*").select(
-        "_file", "_row", F.posexplode(F.coalesce("features", own)).alias("feature_no", "f")
-    )
+    found = read_elements(spark, path, None if _is_lines(path) else ("features",))
+    feats = found.select("file", "offset", F.from_json("text", feature).alias("f"))
     feats = feats.where(F.col("f.geometry.type").isin(want)).select(
-        F.xxhash64("_file", "_row", "feature_no", F.to_json("f.properties"), "f.geometry.coordinates").alias("feature_id"),
-        "feature_no",
+        F.xxhash64("file", "offset").alias("feature_id"),
+        F.col("offset").alias("feature_no"),
         *[F.col("f.properties")[p].alias(p) for p in props],
         F.col("f.geometry.type").alias("_gt"),
         F.col("f.geometry.coordinates").alias("_raw"),
@@ -102,11 +102,10 @@ TRACK = f"struct<name:string,origin:string,destination:string,departures:array<{
 
 
 def read_timetable(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(trips, stops) of a {schedules: [...]} document."""
+    """(trips, stops) of {schedules: [...]} documents, each read by many tasks."""
     from ..functions.clock import hms_to_sec
 
-    doc = spark.read.schema(f"schedules array<{TRIP}>").option("multiLine", not _is_lines(path)).json(path)
-    s = doc.select(F.explode("schedules").alias("s"))
+    s = read_elements(spark, path, ("schedules",)).select(F.from_json("text", TRIP).alias("s"))
     trips = s.select(
         F.col("s.train_no").alias("trip_id"),
         F.col("s.train_type").alias("trip_type"),
@@ -118,13 +117,23 @@ def read_timetable(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def read_corridor_timetable(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(trips, stops) of a document keyed by track; the metadata key is skipped."""
+    """(trips, stops) of documents keyed by track; the metadata key is skipped. A
+    document of several lines is read by many tasks; what it says beside the
+    departures is put together in one row."""
     from ..functions.clock import hms_to_sec
 
-    text = spark.read.text(path, wholetext=not _is_lines(path))
-    tracks = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("track_id", "_t"))
-    tracks = tracks.where("track_id <> '_metadata'").select("track_id", F.from_json("_t", TRACK).alias("t"))
-    d = tracks.select("track_id", F.col("t.name").alias("track"), F.explode("t.departures").alias("d"))
+    if _is_lines(path):
+        text = spark.read.text(path)
+        tracks = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("track_id", "_t"))
+        tracks = tracks.select("track_id", F.from_json("_t", TRACK).alias("t"))
+        d = tracks.select("track_id", F.col("t.name").alias("track"), F.explode("t.departures").alias("d"))
+    else:
+        found = cut(read_elements(spark, path, (ANY, "departures"), rest=True))
+        names = found.where("offset < 0").select("file", F.explode(F.from_json("text", "map<string,string>")).alias("track_id", "_t"))
+        names = names.select("file", "track_id", F.get_json_object("_t", "$.name").alias("track"))
+        d = found.where("offset >= 0").select("file", F.col("keys")[0].alias("track_id"), F.from_json("text", DEPARTURE).alias("d"))
+        d = d.join(names, ["file", "track_id"], "left").select("track_id", "track", "d")
+    d = d.where("track_id <> '_metadata'")
     tid = F.concat("track_id", F.lit("/"), "d.train_id")
     trips = d.select(tid.alias("trip_id"), "track_id", "track", hms_to_sec(F.col("d.departure_time")).alias("dep_sec_of_day"))
     return trips, _stops(d.select(tid.alias("trip_id"), F.posexplode("d.stations").alias("pos", "st")))
