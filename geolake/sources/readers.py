@@ -131,7 +131,7 @@ def read_corridor_timetable(spark: SparkSession, path: str) -> tuple[DataFrame,
         found = cut(read_elements(spark, path, (ANY, "departures"), rest=True))
         names = found.where("offset < 0").select("file", F.explode(F.from_json("text", "map<string,string>")).alias("track_id", "_t"))
         names = names.select("file", "track_id", F.get_json_object("_t", "$.name").alias("track"))
-        d = found.where("offset >= 0").select("file", F.col("keys")[0].alias("track_id"), F.from_json("text", DEPARTURE).alias("d"))
+        d = found.where("offset >= 0").select("file", F.get("keys", F.lit(0)).alias("track_id"), F.from_json("text", DEPARTURE).alias("d"))
         d = d.join(names, ["file", "track_id"], "left").select("track_id", "track", "d")
     d = d.where("track_id <> '_metadata'")
     tid = F.concat("track_id", F.lit("/"), "d.train_id")
