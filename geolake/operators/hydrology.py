@@ -21,6 +21,7 @@ from .graph import components, rank_paths
 from .ordered import _cols
 from .raster import NAMES, STEPS, bounds, halo_blocks, neighbours
 from .sampling import scanline_spans
+from .voids import heights
 
 SOLVE_BLOCK = 512
 SPAN = 1 << 32
@@ -299,16 +300,18 @@ def fill_holes(mask: DataFrame, col: str = "m", block: int = SOLVE_BLOCK) -> Dat
 
 
 def fill_voids(
-    cells: DataFrame, voids: DataFrame, iters: int | None = None, block: int = 256, per_round: int = 16, tol: float = 0.01
+    cells: DataFrame, voids: DataFrame, iters: int | None = None, block: int = 256, per_round: int = 16, tol: float = 1e-3
 ) -> DataFrame:
-    """Void cells relaxed towards the mean of their four neighbours, rim fixed. A
-    halo of ``per_round`` cells lets a block do that many exact steps between
-    shuffles, and only cells near voids take part.
-
-    With ``iters`` the cells start at the mean height of their region's rim and do
-    that many steps. Without it they settle: voids are solved on copies of half,
-    quarter, ... the size first, each a start for the next finer one, and the last
-    rounds end when none changes a cell by ``tol`` or more."""
+    """``cells`` with heights for void cells (gx, gy, region) such that each is the mean
+    of its four neighbours, rim fixed. They are solved for, within ``tol`` of the exact
+    heights (:mod:`.voids`).
+
+    With ``iters`` they are not solved but relaxed: they start at the mean height of
+    their region's rim and do that many steps. A halo of ``per_round`` cells lets a block
+    do that many exact steps between shuffles, and only cells near voids take part."""
+    if iters is None:
+        done = heights(cells, voids, tol, block).withColumnRenamed("v", "_new")
+        return cells.join(done, ["gx", "gy"], "left").withColumn("v", F.coalesce("_new", "v")).drop("_new")
     v = voids.select("gx", "gy", "region")
     near = v.select("region", F.explode(F.array(*[F.struct((F.col("gx") + dx).alias("gx"), (F.col("gy") + dy).alias("gy")) for dx, dy in ((0, -1), (-1, 0), (1, 0), (0, 1))])).alias("n"))
     ring = near.select("region", "n.*").distinct().join(v.select("gx", "gy"), ["gx", "gy"], "left_anti")
@@ -333,39 +336,11 @@ def fill_voids(
 
         return run
 
-    def steps(at: DataFrame, k: int) -> DataFrame:
-        t = halo_blocks(at.withColumn("has", F.lit(True)), block, k)
-        return cut(t.groupBy("bx", "by").applyInPandas(relax(k), "gx long, gy long, v double, free boolean"))
-
-    def settled(at: DataFrame, close: float) -> DataFrame:
-        half = lambda c: F.floor(F.col(c) / 2).alias(c)
-        free = at.where("free").count()
-        if free > 64:
-            # a coarse cell with a rim cell in it is rim
-            rim = F.max(~F.col("free"))
-            coarse = at.groupBy(half("gx"), half("gy")).agg(F.when(rim, F.avg(F.when(~F.col("free"), F.col("v")))).otherwise(F.avg("v")).alias("v"), (~rim).alias("free"))
-            coarse = cut(coarse)
-            if coarse.where("free").isEmpty():
-                guess = coarse
-            else:
-                guess = settled(coarse, close)
-            guess = guess.select(F.col("gx").alias("_x"), F.col("gy").alias("_y"), F.col("v").alias("_g"))
-            at = at.withColumns({"_x": F.floor(F.col("gx") / 2), "_y": F.floor(F.col("gy") / 2)}).join(guess, ["_x", "_y"], "left")
-            at = cut(at.select("gx", "gy", F.when(F.col("free"), F.coalesce("_g", "v")).otherwise(F.col("v")).alias("v"), "free"))
-        while free:
-            new = steps(at, per_round)
-            moved = new.join(at.where("free").select("gx", "gy", F.col("v").alias("_o")), ["gx", "gy"]).agg(F.max(F.abs(F.col("v") - F.col("_o")))).first()[0]
-            at = new
-            if moved is None or moved < close:
-                break
-        return at
-
-    if iters is None:
-        work = settled(work, tol)
-    left = iters or 0
+    left = iters
     while left > 0:
         k = min(per_round, left)
-        work = steps(work, k)
+        t = halo_blocks(work.withColumn("has", F.lit(True)), block, k)
+        work = cut(t.groupBy("bx", "by").applyInPandas(relax(k), "gx long, gy long, v double, free boolean"))
         left -= k
     done = work.where("free").select("gx", "gy", F.col("v").alias("_new"))
     return cells.join(done, ["gx", "gy"], "left").withColumn("v", F.coalesce("_new", "v")).drop("_new")
