@@ -40,23 +40,23 @@ def elev_range(vertices: DataFrame, key, source: DataFrame | None = None) -> Dat
     )
 
 
-def exact_median(df: DataFrame, key, value: str, out: str = "median", width: float = 1.0) -> DataFrame:
+def exact_median(df: DataFrame, key, value: str, out: str = "median", limit: int | None = None) -> DataFrame:
     """Median per group by rank selection (mean of the two middle values)."""
     key = _cols(key)
     n = df.where(F.col(value).isNotNull()).groupBy(*key).agg(F.count("*").alias("_n"))
     mids = F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))
     ranks = n.select(*key, F.explode(mids).alias("rank"))
-    return nth_values(df, key, value, ranks, width).groupBy(*key).agg(F.avg(value).alias(out))
+    return nth_values(df, key, value, ranks, limit).groupBy(*key).agg(F.avg(value).alias(out))
 
 
-def percentile_rank(df: DataFrame, key, value: str, p: float, out: str, min_n: int = 1, width: float = 1.0) -> DataFrame:
+def percentile_rank(df: DataFrame, key, value: str, p: float, out: str, min_n: int = 1, limit: int | None = None) -> DataFrame:
     """``sorted[min(n-1, int(n*p))]``; groups under ``min_n`` values use their minimum."""
     key = _cols(key)
     n = df.where(F.col(value).isNotNull()).groupBy(*key).agg(F.count("*").alias("_n"))
     k = F.when(F.col("_n") < min_n, F.lit(0).cast("long")).otherwise(
         F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p)))
     )
-    return nth_values(df, key, value, n.select(*key, k.alias("rank")), width).select(*key, F.col(value).alias(out))
+    return nth_values(df, key, value, n.select(*key, k.alias("rank")), limit).select(*key, F.col(value).alias(out))
 
 
 def tile_means(cells: DataFrame, tile: int = 256) -> DataFrame:

@@ -140,29 +140,79 @@ def _with_halo(tiles: DataFrame, borders: DataFrame, inf: Column) -> DataFrame:
 
 
 # ------------------------------------------------------------------ accumulation
-def accumulate(receivers: DataFrame) -> DataFrame:
-    """Number of cells draining through each cell of a receiver forest (gx, gy,
-    rx, ry): adds ``acc``. Pointer doubling: each round adds the sums of all cells
-    whose pointer is here, then doubles the pointers, so rounds grow with the
-    logarithm of the longest river. Outlets never enter the doubling."""
-    cid = lambda x, y: F.col(y) * SPAN + F.col(x)
-    receivers = cut(receivers)  # needed at the start and at the end
-    s = receivers.select(cid("gx", "gy").alias("id"), cid("rx", "ry").alias("_r")).select(
-        "id", F.when(F.col("_r") != F.col("id"), F.col("_r")).alias("ptr"), F.lit(1).cast("long").alias("acc")
-    )
-    s = cut(s)
-    while True:
-        live = s.where("ptr is not null")
-        if live.isEmpty():
-            break
-        add = live.groupBy(F.col("ptr").alias("id")).agg(F.sum("acc").alias("_add"))
-        jump = s.where("ptr is not null").select(F.col("id").alias("ptr"), F.col("ptr").alias("_next"))
-        moved = live.join(jump, "ptr", "left").select("id", F.col("_next").alias("ptr"), "acc")
-        rest = s.where("ptr is null")
-        s = moved.unionByName(rest.select("id", "ptr", "acc")).join(add, "id", "left")
-        s = cut(s.select("id", "ptr", (F.col("acc") + F.coalesce("_add", F.lit(0))).alias("acc")))
-    acc = s.select("id", "acc")
-    return receivers.withColumn("id", cid("gx", "gy")).join(acc, "id").drop("id")
+def _down(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each cell's receiver among the cells of its block, ``len(pdf)`` where it
+    lies outside or the cell is an outlet, and which cells' receivers lie outside."""
+    gx, gy, rx, ry = (pdf[c].to_numpy().astype(np.int64) for c in ("gx", "gy", "rx", "ry"))
+    key, want = gy * SPAN + gx, ry * SPAN + rx
+    order = np.argsort(key)
+    at = np.minimum(np.searchsorted(key[order], want), len(key) - 1)
+    here = key[order][at] == want
+    ends = want == key
+    return np.where(here & ~ends, order[at], len(key)), ~here
+
+
+def _gather(ptr: np.ndarray, load: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``load`` over all cells that drain through each cell, and the last cell
+    on each cell's way, by doubling the pointers."""
+    n = len(ptr)
+    acc = np.append(load, 0)
+    root = np.where(ptr < n, ptr, np.arange(n))
+    p = np.append(ptr, n)
+    while (p[:n] < n).any():
+        live = np.flatnonzero(p[:n] < n)
+        acc[:n] += np.bincount(p[live], acc[live], n).astype(acc.dtype)
+        root[live] = root[root[live]]
+        p = p[p]
+    return acc[:n], root
+
+
+def accumulate(receivers: DataFrame, block: int = SOLVE_BLOCK) -> DataFrame:
+    """Number of cells draining through each cell of a receiver forest (gx, gy, rx, ry;
+    a receiver is a neighbour, or the cell itself at an outlet): adds ``acc``.
+
+    Blocks add up their own flow. Between them only borders travel: the sums that leave
+    a block, and for each border cell where flow that enters there leaves again. Doubling
+    these links, settled ones set aside, gives what enters each block; a second pass over
+    the blocks starts with it."""
+    own = receivers.select("gx", "gy", "rx", "ry")
+    at = [F.floor(F.col("gx") / block).alias("bx"), F.floor(F.col("gy") / block).alias("by")]
+
+    def borders(pdf: pd.DataFrame) -> pd.DataFrame:
+        ptr, leaves = _down(pdf)
+        acc, root = _gather(ptr, np.ones(len(ptr), np.int64))
+        gx, gy, rx, ry = (pdf[c].to_numpy().astype(np.int64) for c in ("gx", "gy", "rx", "ry"))
+        if (np.abs(rx - gx)[leaves] > 1).any() or (np.abs(ry - gy)[leaves] > 1).any():
+            raise ValueError("a receiver is not a neighbour of its cell")
+        out = np.where(leaves, ry * SPAN + rx, -1)
+        x, y = gx % block, gy % block
+        rim = (x == 0) | (x == block - 1) | (y == 0) | (y == block - 1)
+        links = pd.DataFrame({"id": (gy * SPAN + gx)[rim], "ptr": out[root][rim], "acc": 0})
+        sums = pd.DataFrame({"id": out[leaves], "ptr": -2, "acc": acc[leaves]})
+        return pd.concat([links, sums])
+
+    met = cut(own.groupBy(*at).applyInPandas(borders, "id long, ptr long, acc long"))
+    enter = met.where("ptr = -2").groupBy("id").agg(F.sum("acc").alias("acc"))
+    nodes = met.where("ptr > -2").select("id", F.when(F.col("ptr") >= 0, F.col("ptr")).alias("ptr"))
+    live = cut(nodes.join(enter, "id", "left").fillna(0, ["acc"]).where("ptr is not null"))
+    shares = [enter]
+    while not live.isEmpty():
+        add = cut(live.groupBy(F.col("ptr").alias("id")).agg(F.sum("acc").alias("acc")).where("acc > 0"))
+        shares.append(add)
+        ahead = live.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next"))
+        moved = live.join(ahead, "ptr").select("id", F.col("_next").alias("ptr"), "acc")
+        live = cut(moved.join(add.withColumnRenamed("acc", "_add"), "id", "left").select("id", "ptr", (F.col("acc") + F.coalesce("_add", F.lit(0))).alias("acc")))
+    load = _total([s.select(F.pmod("id", F.lit(SPAN)).alias("gx"), F.floor(F.col("id") / SPAN).alias("gy"), "acc") for s in shares])
+    load = load.withColumnRenamed("acc", "_load").withColumns({"_bx": F.floor(F.col("gx") / block), "_by": F.floor(F.col("gy") / block)})
+
+    def spread(key: tuple, pdf: pd.DataFrame, entering: pd.DataFrame) -> pd.DataFrame:
+        start = pdf[["gx", "gy"]].merge(entering[["gx", "gy", "_load"]], "left", ["gx", "gy"])["_load"].fillna(0).to_numpy().astype(np.int64)
+        acc, _ = _gather(_down(pdf)[0], start + 1) if len(pdf) else (start, start)
+        return pdf.assign(acc=acc).drop(columns=["_bx", "_by"])
+
+    cells = receivers.withColumns({"_bx": F.floor(F.col("gx") / block), "_by": F.floor(F.col("gy") / block)})
+    schema = receivers.withColumn("acc", F.lit(0).cast("long")).schema
+    return cells.groupBy("_bx", "_by").cogroup(load.groupBy("_bx", "_by")).applyInPandas(spread, schema)
 
 
 def accumulate_mfd(filled: DataFrame, p: float, cell_m: float = 1.0, block: int = SOLVE_BLOCK) -> DataFrame:

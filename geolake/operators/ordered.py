@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 ROW_LIMIT = 1_000_000
 MAX_INLINE_HOT = 2_000
 SLICE = "_slice"
@@ -192,25 +194,46 @@ def row_number(df: DataFrame, keys, order, name: str = "rn") -> DataFrame:
     return running_sum(df, keys, order, {name: F.lit(1).cast("long")})
 
 
-def nth_values(df: DataFrame, keys, value: str, ranks: DataFrame, width: float = 1.0) -> DataFrame:
+CUTS = 200
+
+
+def nth_values(df: DataFrame, keys, value: str, ranks: DataFrame, limit: int | None = None) -> DataFrame:
     """Values at given 0-based ranks of each key's sorted values, exactly.
 
-    ``ranks`` holds ``keys`` and ``rank``. A histogram of ``width``-wide buckets
-    finds the bucket of each rank; only the rows of those buckets are counted by
-    value. No group is ever collected.
+    ``ranks`` holds ``keys`` and ``rank``. While a key has more than ``limit`` rows around
+    a rank, its quantiles are sketched (with a guaranteed error) and the rank is looked
+    for between the two that enclose it, about a fiftieth of the rows a level, whatever
+    the scale of the values; the rows below are counted exactly. What is left is counted
+    by value. Equal values are one row from the start, so they never crowd a window.
     """
     keys = _cols(keys)
-    binned = df.where(F.col(value).isNotNull()).withColumn("_bin", F.floor(F.col(value) / width))
-    hist = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_hi", F.sum("_n").over(w)).withColumn("_lo", F.col("_hi") - F.col("_n"))
-    want = hist.join(ranks, keys).where((F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")))
-    want = want.select(*keys, "_bin", "rank", "_lo")
-    bins = want.select(*keys, "_bin").distinct()
-    fine = binned.join(bins, [*keys, "_bin"], "left_semi").groupBy(*keys, "_bin", value).agg(F.count("*").alias("_n"))
-    wf = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    fine = fine.withColumn("_vhi", F.sum("_n").over(wf)).withColumn("_vlo", F.col("_vhi") - F.col("_n"))
-    hit = fine.join(want, [*keys, "_bin"]).where(
-        (F.col("rank") - F.col("_lo") >= F.col("_vlo")) & (F.col("rank") - F.col("_lo") < F.col("_vhi"))
-    )
-    return hit.select(*keys, "rank", value)
+    limit = limit or ROW_LIMIT
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    want = ranks.select(*keys, F.col("rank").cast("long").alias("rank")).distinct()
+    want = want.withColumns({"_left": F.col("rank"), "_a": F.lit(None).cast(df.schema[value].dataType), "_b": F.lit(None).cast(df.schema[value].dataType)})
+    around = (F.col("_a").isNull() | (F.col(value) >= F.col("_a"))) & (F.col("_b").isNull() | (F.col(value) <= F.col("_b")))
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    while largest > limit:
+        near = rows.join(want, keys).where(around)
+        marks = near.groupBy(*keys, "rank").agg(
+            F.first("_left").alias("_left"), F.first("_a").alias("_a"), F.first("_b").alias("_b"), F.count("*").alias("_n"),
+            F.percentile_approx(value, [k / CUTS for k in range(1, CUTS)], 10_000).alias("_q"),
+        )
+        at = F.floor(F.col("_left") / F.col("_n") * CUTS).cast("int")
+        # one quantile of room on either side is far more than the sketch can be off
+        new = {"_c": F.coalesce(F.get("_q", at - 2), "_a"), "_d": F.coalesce(F.get("_q", at + 1), "_b")}
+        marks = cut(marks.withColumns(new).select(*keys, "rank", "_left", "_a", "_b", "_c", "_d"))
+        near = rows.join(marks, keys).where(around)
+        inside = (F.col("_c").isNull() | (F.col(value) >= F.col("_c"))) & (F.col("_d").isNull() | (F.col(value) <= F.col("_d")))
+        below = F.count_if(F.col("_c").isNotNull() & (F.col(value) < F.col("_c")))
+        got = near.groupBy(*keys, "rank").agg(below.alias("_under"), F.count_if(inside).alias("_n"), *[F.first(c).alias(c) for c in ("_left", "_c", "_d")])
+        got = cut(got.withColumn("_left", F.col("_left") - F.col("_under")))
+        want = got.select(*keys, "rank", "_left", F.col("_c").alias("_a"), F.col("_d").alias("_b"))
+        # only different values crowd a window
+        before, largest = largest, got.where(F.col("_c").isNull() | F.col("_d").isNull() | (F.col("_c") < F.col("_d"))).agg(F.max("_n")).first()[0] or 0
+        if largest > before / 2:
+            break  # a few values stand very often
+    fine = rows.join(want, keys).where(around).groupBy(*keys, "rank", "_left", value).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*keys, "rank").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    fine = fine.withColumn("_hi", F.sum("_n").over(upto))
+    return fine.where((F.col("_left") < F.col("_hi")) & (F.col("_left") >= F.col("_hi") - F.col("_n"))).select(*keys, "rank", value)

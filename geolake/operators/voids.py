@@ -137,6 +137,8 @@ def _coarse(pdf: pd.DataFrame) -> pd.DataFrame:
 def _cycles(eq: DataFrame, tol: float, block: int, direct_cells: int) -> DataFrame:
     """Large voids. ``eq`` has w8, the factor from a residual to a bound of the error."""
     overlap = max(1, block // 4)
+    if eq.isEmpty():
+        return eq.select("gx", "gy", F.col("b").alias("v"))
     rows = eq.groupBy("region").agg(F.count("*").alias("n"), (F.sum("b") / F.greatest(F.sum("m"), F.lit(1))).alias("v"))
     largest = rows.agg(F.max("n")).first()[0]
     step = 4

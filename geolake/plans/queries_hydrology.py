@@ -159,3 +159,4 @@ _in_blocks("r1_blocks", "r1_fill_depressions", lambda t: hydrology.fill_depressi
 _in_blocks("r4_blocks", "r4_accumulate_mfd", lambda t: hydrology.accumulate_mfd(_filled(t).select("gx", "gy", "filled"), 4.0, 17.5, block=16).select("gx", "gy", F.round("acc", 6).alias("acc")))
 _in_blocks("r6_blocks", "r6_interior_voids", lambda t: hydrology.interior_voids(t.cells, 90.0, block=16))
 _in_blocks("r7_blocks", "r7_fill_holes", lambda t: hydrology.fill_holes(t.cells.selectExpr("gx", "gy", "v > 90 as m"), block=16))
+_in_blocks("r3_blocks", "r3_accumulate", lambda t: hydrology.accumulate(_d8(t), block=8).select("gx", "gy", "acc"))

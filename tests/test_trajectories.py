@@ -149,3 +149,20 @@ def test_feature_numbers_of_signed_ids(spark):
     v = spark.createDataFrame(rows, "part_id long, seq long, lon double, lat double, cls string")
     got = {r.part_id: r.feature_index for r in tiling.tile_features(v, 10, "cls", {}, "x").collect()}
     assert [got[i] for i in sorted(ids)] == list(range(len(ids)))
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e9])
+def test_ranks_by_refinement(spark, scale):
+    """Values of any scale, one value very often, and a heavy tail."""
+    rnd = random.Random(8)
+    rows = [("u", rnd.random() * scale) for _ in range(3000)] + [("t", scale * rnd.choice([1, 1, 1, 2, 3])) for _ in range(2000)]
+    rows += [("e", scale * 10.0 ** rnd.uniform(-12, 12) * rnd.choice([1, -1])) for _ in range(2500)] + [("s", -scale), ("s", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    by = {}
+    for k, v in rows:
+        if v is not None:
+            by.setdefault(k, []).append(v)
+    ranks = spark.createDataFrame([(k, r) for k, v in by.items() for r in {0, len(v) // 7, len(v) // 2, len(v) - 1}], "k string, rank long")
+    for limit in (100, 10_000):
+        got = [(r.k, r["rank"], r.v) for r in nth_values(df, "k", "v", ranks, limit).collect()]
+        assert len(got) == ranks.count() and all(sorted(by[k])[n] == v for k, n, v in got)
