@@ -35,31 +35,98 @@ def _explode_offsets(df: DataFrame, cx: str, cy: str, reach: int = 1) -> DataFra
 
 
 # ------------------------------------------------------------- point in polygon
+def _right_of(px, py, clamped: bool = False) -> Column:
+    """The edge crosses the latitude ``py`` east of ``px``: one count of the even-odd rule.
+    ``clamped``: rounding takes the crossing to no place beyond the edge's ends."""
+    x = F.try_divide((F.col("lon1") - F.col("lon0")) * (py - F.col("lat0")), F.col("lat1") - F.col("lat0")) + F.col("lon0")
+    if clamped:
+        x = F.greatest(F.least(x, F.greatest("lon0", "lon1")), F.least("lon0", "lon1"))
+    return ((F.col("lat0") > py) != (F.col("lat1") > py)) & F.coalesce(px < x, F.lit(False))
+
+
+def _edge_cells(edges: DataFrame, cell: float) -> DataFrame:
+    """Edges with the cells (_cx, _cy) that they pass, a hair's breadth more included."""
+    low, high = F.least("lat0", "lat1"), F.greatest("lat0", "lat1")
+    west, east = F.least("lon0", "lon1"), F.greatest("lon0", "lon1")
+    hair = 1e-9 * (F.greatest(F.abs(west), F.abs(east), F.abs(low), F.abs(high)) + cell)
+    e = edges.withColumns({"_low": low, "_high": high, "_west": west, "_east": east, "_hair": hair})
+    e = e.withColumn("_cy", F.explode(_cells_between(F.col("_low") - F.col("_hair"), F.col("_high") + F.col("_hair"), cell)))
+
+    def at(y: Column) -> Column:
+        x = F.col("lon0") + F.try_divide((F.col("lon1") - F.col("lon0")) * (y - F.col("lat0")), F.col("lat1") - F.col("lat0"))
+        return F.coalesce(x, F.col("_west"))
+
+    ya = F.least(F.greatest("_low", F.col("_cy") * cell - F.col("_hair")), F.col("_high"))
+    yb = F.greatest(F.least("_high", (F.col("_cy") + 1) * cell + F.col("_hair")), F.col("_low"))
+    flat = F.col("_high") - F.col("_low") <= 4 * F.col("_hair")
+    xa = F.when(flat, F.col("_west")).otherwise(F.greatest("_west", F.least(at(ya), at(yb)))) - F.col("_hair")
+    xb = F.when(flat, F.col("_east")).otherwise(F.least("_east", F.greatest(at(ya), at(yb)))) + F.col("_hair")
+    e = e.withColumn("_cx", F.explode(_cells_between(xa, xb, cell)))
+    return e.drop("_low", "_high", "_west", "_east", "_hair")
+
+
+def polygon_index(edges: DataFrame, ring_key, cell: float) -> tuple[DataFrame, DataFrame]:
+    """What a point needs to know of rings, by cell. The first table has the edges in
+    each cell (_cx, _cy), with ``_odd``: whether the cell's south-east corner lies
+    inside. The second has the cells inside that no edge passes, as runs of a row cut
+    into aligned pieces of 1, 2, 4, ... cells (_level, _cx, _cy): a wide ring is a few
+    pieces a row, not all of its cells."""
+    rk = _cols(ring_key)
+    met = _edge_cells(edges.where("lat0 <> lat1 or lon0 <> lon1").select(*rk, "lon0", "lat0", "lon1", "lat1"), cell)
+    # where edges cross the south side of a row, and the last corner west of that
+    rows = edges.where("lat0 <> lat1").select("*", F.explode(_cells_between(F.least("lat0", "lat1") - cell, F.greatest("lat0", "lat1") + cell, cell)).alias("_cy"))
+    y = F.col("_cy") * cell
+    x = (F.col("lon1") - F.col("lon0")) * (y - F.col("lat0")) / (F.col("lat1") - F.col("lat0")) + F.col("lon0")
+    x = F.greatest(F.least(x, F.greatest("lon0", "lon1")), F.least("lon0", "lon1"))
+    rows = rows.where((F.col("lat0") > y) != (F.col("lat1") > y)).withColumn("_x", x)
+    c = _cell("_x", cell)
+    corner = F.when((c + 1) * cell < F.col("_x"), c).when(c * cell < F.col("_x"), c - 1).otherwise(c - 2)
+    events = rows.select(*rk, "_cy", corner.alias("_cx"), F.lit(1).alias("_n"), F.lit(0).alias("_kind"))
+    cells = met.select(*rk, "_cy", "_cx").distinct()
+    asked = cells.select("*", F.lit(0).alias("_n"), F.lit(1).alias("_kind"))
+    before = cells.select(*rk, "_cy", (F.col("_cx") - 1).alias("_cx"), F.lit(0).alias("_n"), F.lit(2).alias("_kind"))
+    east = Window.partitionBy(*rk, "_cy").orderBy(F.desc("_cx")).rangeBetween(Window.unboundedPreceding, 0)
+    known = events.unionByName(asked).unionByName(before).withColumn("_odd", F.sum("_n").over(east) % 2 == 1)
+    corners = known.where("_kind = 1").select(*rk, "_cx", "_cy", "_odd")
+    held = met.join(corners, [*rk, "_cx", "_cy"])
+    # the cells between two neighbouring ones with edges
+    row = Window.partitionBy(*rk, "_cy").orderBy("_cx")
+    gaps = known.where("_kind = 2").select(*rk, "_cy", "_cx", "_odd", (F.lag("_cx").over(row) + 2).alias("_from"))
+    gaps = gaps.where("_odd and _from <= _cx").withColumn("_level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_cx") - F.col("_from") + 1)).cast("int"))))
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    a, b = F.ceil(F.col("_from") / size).cast("long"), (F.floor((F.col("_cx") + 1) / size) - 1).cast("long")
+    ends = F.array(F.when((a % 2 != 0) & (a <= b), a), F.when((b % 2 == 0) & (a <= b), b))
+    full = gaps.select(*rk, "_cy", "_level", F.explode(ends).alias("_at")).where("_at is not null")
+    return held, full.select(*rk, "_level", F.col("_at").alias("_cx"), "_cy")
+
+
 def points_in_polygons(points: DataFrame, rings: DataFrame, point_key: str, ring_key, cell: float) -> DataFrame:
-    """(point, ring) pairs whose point is inside by the even-odd rule.
+    """(point, ring) pairs whose point is inside by the even-odd rule, counted eastwards.
 
-    Candidates come from an equi-join on grid cells under each ring's box. Edges
-    are keyed by the latitude bands they cross, so a candidate only meets the
-    edges of its own band."""
+    A point meets the edges of its own cell only, however many a ring has. The edges
+    east of the cell are counted through the cell's south-east corner: on the way from
+    the point east to the cell's side and south along it, only edges in the cell can
+    change the count. Half-open comparisons are those of the plain rule, so points on
+    edges and corners fall as they do there."""
     rk = _cols(ring_key)
-    e = ring_edges(rings, rk)
-    box = rings.groupBy(*rk).agg(F.min("lon").alias("_x0"), F.max("lon").alias("_x1"), F.min("lat").alias("_y0"), F.max("lat").alias("_y1"))
-    cover = box.select("*", F.explode(_cells_between(F.col("_x0"), F.col("_x1"), cell)).alias("_cx")).select(
-        "*", F.explode(_cells_between(F.col("_y0"), F.col("_y1"), cell)).alias("_cy")
-    )
+    edges, full = (cut(t) for t in polygon_index(ring_edges(rings, rk), rk, cell))
     p = points.select(point_key, F.col("lon").alias("_px"), F.col("lat").alias("_py"))
     p = p.withColumns({"_cx": _cell("_px", cell), "_cy": _cell("_py", cell)})
-    cand = p.join(cover, ["_cx", "_cy"]).where(
-        F.col("_px").between(F.col("_x0"), F.col("_x1")) & F.col("_py").between(F.col("_y0"), F.col("_y1"))
-    )
-    bands = e.where("lat0 <> lat1").select(
-        *rk, "lon0", "lat0", "lon1", "lat1", F.explode(_cells_between(F.least("lat0", "lat1"), F.greatest("lat0", "lat1"), cell)).alias("_cy")
-    )
-    j = cand.select(point_key, *rk, "_px", "_py", "_cy").join(bands, [*rk, "_cy"])
-    crosses = (F.col("lat0") > F.col("_py")) != (F.col("lat1") > F.col("_py"))
-    x = (F.col("lon1") - F.col("lon0")) * (F.col("_py") - F.col("lat0")) / (F.col("lat1") - F.col("lat0")) + F.col("lon0")
-    hits = j.where(crosses & (F.col("_px") < x)).groupBy(point_key, *rk).agg(F.count("*").alias("_n"))
-    return hits.where(F.col("_n") % 2 == 1).select(point_key, *rk)
+    side, south = (F.col("_cx") + 1) * cell, F.col("_cy") * cell
+    px, py = F.col("_px"), F.col("_py")
+    upper = F.when(F.col("lon0") > F.col("lon1"), F.col("lat0")).otherwise(F.col("lat1"))
+    across = (F.col("lon0") > side) != (F.col("lon1") > side)
+    # an edge across the side: whether its eastern end lies above, and whether it is counted there
+    turns = across & (((upper > py) != (upper > south)) != (_right_of(side, py, True) != _right_of(side, south, True)))
+    n = (_right_of(px, py) != _right_of(side, py, True)).cast("int") + turns.cast("int")
+    near = p.join(edges, ["_cx", "_cy"]).groupBy(point_key, *rk).agg((F.sum(n) + F.first(F.col("_odd").cast("int"))).alias("_n"))
+    near = near.where("_n % 2 = 1").select(point_key, *rk)
+    levels = sorted(r[0] for r in full.select("_level").distinct().collect())  # at most one for each power of two
+    if not levels:
+        return near
+    q = p.select(point_key, F.explode(F.array(*[F.lit(n) for n in levels])).alias("_level"), F.col("_cx").alias("_c"), "_cy")
+    q = q.withColumn("_cx", F.floor(F.col("_c") / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
+    return near.unionByName(q.join(full, ["_level", "_cx", "_cy"]).select(point_key, *rk))
 
 
 def _segment_distance(px, py, x0, y0, x1, y1) -> tuple[Column, Column]:

@@ -67,3 +67,30 @@ def test_vote_falls_back_only_for_orphans(spark):
     s = spark.createDataFrame([(1, 10, 0.5, 0.5), (2, 10, 4.2, 0.5), (3, 20, 4.2, 0.5), (4, 30, 9.0, 9.0)], "sample_id long, chain long, lon double, lat double")
     got = {r.chain: (r.name, r.kind, r.pass_no) for r in spatial.tag_by_vote(s, polys, attrs, "chain", 0.01, 0.3, 0.5).collect()}
     assert got == {10: ("one", 2, 1), 20: ("two", 3, 2), 30: (None, 6, 0)}
+
+
+@pytest.mark.parametrize("cell", [0.1, 0.7, 3.0, 50.0])
+def test_polygon_index_is_the_even_odd_rule(spark, cell):
+    """Wild rings, wide ones, vertices and points on cell borders."""
+    rnd = random.Random(int(cell * 10))
+    rings, ends = [], {}
+    for r in range(8):
+        n = rnd.choice([3, 4, 9, 40])
+        wide = rnd.choice([1.0, 6.0, 12.0])
+        pick = (lambda: rnd.randrange(-10, 11) * cell * wide / 12) if r % 2 else (lambda: rnd.uniform(-wide, wide))
+        ends[r] = [(pick(), pick()) for _ in range(n)]
+        rings += [(r, k, x, y) for k, (x, y) in enumerate(ends[r])]
+    pts = [(rnd.uniform(-13, 13), rnd.uniform(-13, 13)) for _ in range(300)] + [(rnd.randrange(-10, 11) * cell, rnd.randrange(-10, 11) * cell) for _ in range(150)]
+    pts += [v for vs in ends.values() for v in vs]
+
+    def inside(p, vs):
+        n = 0
+        for (x0, y0), (x1, y1) in zip(vs, vs[1:] + vs[:1], strict=True):
+            if (y0 > p[1]) != (y1 > p[1]) and p[0] < (x1 - x0) * (p[1] - y0) / (y1 - y0) + x0:
+                n += 1
+        return n % 2 == 1
+
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pts)], "p long, lon double, lat double")
+    rs = spark.createDataFrame(rings, "ring long, seq long, lon double, lat double")
+    got = sorted((r.p, r.ring) for r in spatial.points_in_polygons(df, rs, "p", "ring", cell).collect())
+    assert got == sorted((i, r) for i, p in enumerate(pts) for r, vs in ends.items() if inside(p, vs))
