@@ -102,6 +102,27 @@ def _keep_sorted(metric: str, limit: float, pos: np.ndarray, entry: tuple | None
 RUN_COLS = ["lon", "lat", "t"]
 
 
+def _enough(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Kept rows of entities with at least ``least`` of them, from flagged rows sorted by
+    entity. An entity's first rows wait until there are enough, ``least`` - 1 at most."""
+    waiting, owner, had = None, None, 0
+    for pdf in batches:
+        rows = pdf[pdf["kept"]].drop(columns="kept")
+        if not len(rows):
+            continue
+        if waiting is not None:
+            rows = pd.concat([waiting, rows])
+        ids = rows["entity_id"].to_numpy()
+        n = rows.groupby("entity_id", sort=False)["entity_id"].transform("size").to_numpy()
+        if had:
+            n = n + had * (ids == owner)
+        fine = n >= least
+        held = ~fine & (ids == ids[-1])  # the last entity may go on
+        had = int(n[-1]) if fine[-1] else 0
+        owner, waiting = ids[-1], rows[held] if held.any() else None
+        yield rows[fine]
+
+
 def _fold(metric: str, limit: float, keys: list[str]):
     """Arrow function over rows sorted by run and time; a run may span batches,
     so its last kept position is carried along."""
@@ -139,9 +160,17 @@ def _fold(metric: str, limit: float, keys: list[str]):
 def _fold_frame(rows: DataFrame, metric: str, limit: float) -> DataFrame:
     """Rows with e_lon, e_lat, e_t (state before their run) and ``_run``."""
     keys = ["entity_id", "_run"]
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "t", "ping_id")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return ordered.mapInPandas(_fold(metric, limit, keys), ", ".join(fields) + ", kept boolean")
+    return _noted(_in_order(rows).mapInPandas(_fold(metric, limit, keys), ", ".join(fields) + ", kept boolean"), rows)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("entity_id", "_run").sortWithinPartitions("entity_id", "_run", "t", "ping_id")
+
+
+def _noted(df: DataFrame, like: DataFrame) -> DataFrame:
+    """What is known of the entities' sizes, which a Python step forgets; it only drops rows."""
+    return df.withMetadata("entity_id", like.schema["entity_id"].metadata)
 
 
 def flag_speed_anomalies(pings: DataFrame, limit: float = 40.0, metric: str = "haversine") -> DataFrame:
@@ -199,7 +228,16 @@ def flag_speed_anomalies(pings: DataFrame, limit: float = 40.0, metric: str = "h
 
 
 def drop_speed_anomalies(pings: DataFrame, limit: float = 40.0, metric: str = "haversine", min_points: int = 2) -> DataFrame:
-    """Kept reports of entities that retain at least ``min_points`` of them."""
+    """Kept reports of entities that retain at least ``min_points`` of them. Without hot
+    entities they are counted where they are filtered: one scan, one shuffle."""
+    rows = by_time(pings, "entity_id")
+    if SLICE not in rows.columns:
+        cols = rows.columns
+        none = [F.lit(None).cast("double").alias(c) for c in ("e_lon", "e_lat", "e_t")]
+        rows = rows.select("*", F.lit(0).cast("long").alias("_run"), *none)
+        fold = _fold(metric, limit, ["entity_id", "_run"])
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return _noted(_in_order(rows).mapInPandas(lambda batches: _enough(fold(batches), min_points), fields), rows).select(*cols)
     kept = flag_speed_anomalies(pings, limit, metric).where("kept").drop("kept")
     big = kept.groupBy("entity_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_points).select("entity_id")
     return kept.join(big, "entity_id", "left_semi")

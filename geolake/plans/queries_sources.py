@@ -280,11 +280,25 @@ def _(t):
     return out.groupBy("entity_id").agg(F.max_by("value", "at").alias("pct"))
 
 
-@query(
-    "x3_day_trails",
-    f"""with d as (select entity_id, {DAY} as date_key, floor((t + 28800) / 86400) as d, t, ping_id, lon, lat from pings), m as (select max(epoch_us(ts)) / 1e6 - 3600 as wm from events)
-     select entity_id, date_key, count(*) as points, min(t) as t_first, max(t) as t_last, string_agg(cast(t as varchar) || ' ' || cast(ping_id as varchar) || ' ' || cast(cast(round(lon * 1000) as bigint) as varchar) || ' ' || cast(cast(round(lat * 1000) as bigint) as varchar), ';' order by t, ping_id) as trail from d cross join m where (d + 1) * 86400 - 28800 <= wm group by entity_id, date_key""",
-)
-def _(t):
+TRAILS_SQL = f"""with d as (select entity_id, {DAY} as date_key, floor((t + 28800) / 86400) as d, t, ping_id, lon, lat from pings), m as (select max(epoch_us(ts)) / 1e6 - 3600 as wm from events)
+     select entity_id, date_key, count(*) as points, min(t) as t_first, max(t) as t_last, string_agg(cast(t as varchar) || ' ' || cast(ping_id as varchar) || ' ' || cast(cast(round(lon * 1000) as bigint) as varchar) || ' ' || cast(cast(round(lat * 1000) as bigint) as varchar), ';' order by t, ping_id) as trail from d cross join m where (d + 1) * 86400 - 28800 <= wm group by entity_id, date_key"""
+
+
+def _trail_text(df):
     text = F.transform("trail", lambda p: F.concat_ws(" ", p["t"], p["ping_id"], F.round(p["lon"] * 1000).cast("long"), F.round(p["lat"] * 1000).cast("long")))
-    return streams.run_to_table(streams.day_trails(_stream(t)), "trails").withColumn("trail", F.array_join(text, ";"))
+    return df.withColumn("trail", F.array_join(text, ";"))
+
+
+@query("x3_day_trails", TRAILS_SQL)
+def _(t):
+    return _trail_text(streams.run_to_table(streams.day_trails(_stream(t)), "trails"))
+
+
+@query("x3_baked_days", TRAILS_SQL)
+def _(t):
+    """Trails stored by a stream; the stream then starts again from the first batch."""
+    path, trails = scratch_path(t.spark, "stored"), streams.day_trails(_stream(t))
+    for run in ("first", "again"):
+        streams.bake_stream(trails, path, scratch_path(t.spark, run))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in trails.schema.fields)
+    return _trail_text(streams.stored_days(t.spark, path, schema))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.clock import date_key
 from ..operators.windows import RUN_COLS, _keep_sorted
 from ..session import ROCKSDB, scratch_path
+from ..sources.sinks import _try_read
 
 PING_SCHEMA = "entity_id long, ping_id long, t long, lon double, lat double"
 
@@ -99,6 +100,44 @@ def day_trails(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
+def commit_days(path: str, day: str = "date_key") -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch`` that stores closed days below ``path``, each once.
+
+    A batch's rows go to partitions of their day and the batch's number, then the
+    number is noted. A batch that is noted is passed over; one that was lost half-way
+    replaces its own partitions only. So neither a repeated batch nor a query that
+    starts again from the first one stores a row twice or touches a stored day."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        noted = _try_read(spark, f"{path}/commits")
+        if noted is not None and not noted.where(F.col("batch") == number).isEmpty():
+            # the stream's own state wants the batch to be read to its end
+            batch.write.format("noop").mode("overwrite").save()
+            return
+        # pieces follow the size of a day
+        w = batch.withColumn("batch", F.lit(number).cast("long")).hint("rebalance", day).write.mode("overwrite")
+        w.option("partitionOverwriteMode", "dynamic").partitionBy(day, "batch").parquet(f"{path}/days")
+        spark.range(1).select(F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(f"{path}/commits")
+
+    return put
+
+
+def stored_days(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all noted batches; ``schema`` is that of the stored rows."""
+    noted = spark.read.parquet(f"{path}/commits").distinct()
+    return spark.read.schema(f"{schema}, batch long").parquet(f"{path}/days").join(noted, "batch", "left_semi").drop("batch")
+
+
+def bake_stream(closed: DataFrame, path: str, checkpoint: str, day: str = "date_key") -> None:
+    """Run a stream of closed days (:func:`day_trails`) into stored days over what is
+    available now. A run with the same ``checkpoint`` goes on where the last one ended."""
+    q = closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(commit_days(path, day)).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
 def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is available now and return its rows. State and
     output live in the shared folder. In update mode every batch is written to

@@ -105,3 +105,19 @@ def test_stream_equals_batch_over_many_triggers(spark, tmp_path):
     got = {r.ping_id for r in streams.run_to_table(streams.clean_stream(s, delay="7 hours"), "t").collect()}
     want = {r.ping_id for r in windows.flag_speed_anomalies(spark.createDataFrame(rows, cols)).where("kept").collect()}
     assert got == want
+
+
+def test_closed_days_are_stored_once(spark, tmp_path):
+    """A batch that comes again, one that was lost half-way, and an empty one."""
+    path, kind = str(tmp_path / "stored"), "entity_id long, date_key string"
+    batch = lambda *rows: spark.createDataFrame(list(rows), kind)
+    put = streams.commit_days(path)
+    put(batch((1, "d1"), (2, "d1"), (1, "d2")), 0)
+    put(batch((9, "d1")), 0)
+    # data without its note: the batch is not there, and comes again
+    batch((5, "d3")).selectExpr("*", "1L as batch").write.mode("append").partitionBy("date_key", "batch").parquet(f"{path}/days")
+    rows = lambda: sorted((r.entity_id, r.date_key) for r in streams.stored_days(spark, path, kind).collect())
+    assert rows() == [(1, "d1"), (1, "d2"), (2, "d1")]
+    put(batch((3, "d1"), (5, "d3")), 1)
+    put(batch(), 2)
+    assert rows() == [(1, "d1"), (1, "d2"), (2, "d1"), (3, "d1"), (5, "d3")]

@@ -166,3 +166,15 @@ def test_ranks_by_refinement(spark, scale):
     for limit in (100, 10_000):
         got = [(r.k, r["rank"], r.v) for r in nth_values(df, "k", "v", ranks, limit).collect()]
         assert len(got) == ranks.count() and all(sorted(by[k])[n] == v for k, n, v in got)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_few_kept_reports_across_batches(size):
+    import pandas as pd
+
+    rnd = random.Random(size)
+    rows = pd.DataFrame({"entity_id": sorted(rnd.choices(range(12), k=45)), "p": range(45), "kept": [rnd.random() < 0.5 for _ in range(45)]})
+    for least in (1, 2, 4):
+        got = pd.concat(list(windows._enough((rows[k : k + size] for k in range(0, 45, size)), least)))
+        n = rows[rows.kept].groupby("entity_id")["p"].transform("size")
+        assert got["p"].tolist() == rows[rows.kept][n >= least]["p"].tolist()
