@@ -109,7 +109,7 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, point_key: str, ring
     change the count. Half-open comparisons are those of the plain rule, so points on
     edges and corners fall as they do there."""
     rk = _cols(ring_key)
-    edges, full = (cut(t) for t in polygon_index(ring_edges(rings, rk), rk, cell))
+    edges, full = polygon_index(ring_edges(rings, rk), rk, cell)
     p = points.select(point_key, F.col("lon").alias("_px"), F.col("lat").alias("_py"))
     p = p.withColumns({"_cx": _cell("_px", cell), "_cy": _cell("_py", cell)})
     side, south = (F.col("_cx") + 1) * cell, F.col("_cy") * cell
@@ -121,9 +121,11 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, point_key: str, ring
     n = (_right_of(px, py) != _right_of(side, py, True)).cast("int") + turns.cast("int")
     near = p.join(edges, ["_cx", "_cy"]).groupBy(point_key, *rk).agg((F.sum(n) + F.first(F.col("_odd").cast("int"))).alias("_n"))
     near = near.where("_n % 2 = 1").select(point_key, *rk)
-    levels = sorted(r[0] for r in full.select("_level").distinct().collect())  # at most one for each power of two
-    if not levels:
+    # runs are no longer than the widest ring
+    widest = rings.groupBy(*rk).agg((F.max(_cell("lon", cell)) - F.min(_cell("lon", cell))).alias("_w")).agg(F.max("_w")).first()[0] or 0
+    if widest < 2:
         return near
+    levels = range(int(widest).bit_length())
     q = p.select(point_key, F.explode(F.array(*[F.lit(n) for n in levels])).alias("_level"), F.col("_cx").alias("_c"), "_cy")
     q = q.withColumn("_cx", F.floor(F.col("_c") / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
     return near.unionByName(q.join(full, ["_level", "_cx", "_cy"]).select(point_key, *rk))
