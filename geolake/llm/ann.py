@@ -24,6 +24,8 @@ from .common import map_batches
 TREES, LEAVES, SHARE = 12, 128, 1.2
 FIT_ROWS = 20_000
 PART = 4000
+#: A table of so few distinct vectors for each answer asked for is searched whole.
+FEW = 100
 
 
 @dataclass(frozen=True)
@@ -137,7 +139,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES
     """query_id, rank, vec_id, score: the ``k`` rows found with the largest inner
     product with each row of ``queries``, its own id left out; ties to smaller ids.
 
-    The forest is grown on the ``fit_rows`` distinct vectors with the smallest hash;
+    A table of at most ``FEW * (k + 1)`` distinct vectors is searched whole, so each
+    query has all candidates there are. The forest is grown on the ``fit_rows`` distinct vectors with the smallest hash;
     all rows are indexed. Rows with one vector are indexed once, with the ``k + 1``
     smallest of their ids (more can't be in any answer). Vectors that are null, empty,
     zero or not finite take no part, nor do those of another length than the commonest
@@ -155,6 +158,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES
     if scale is None:
         return own.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = one.select("_v").orderBy(F.xxhash64("_v"), "_v").limit(fit_rows).toPandas()["_v"]
+    if len(sample) < fit_rows and len(sample) <= FEW * (k + 1):
+        trees, share = 1, np.inf  # every leaf of one tree: leaves that overlap would use up a share
     forest = grow(lifted(np.array(sample.tolist(), float), scale, False), scale, trees, leaves)
     shared = own.sparkSession.sparkContext.broadcast(forest)
 
@@ -194,15 +199,21 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES
         out_q, out_v, out_s = [], [], []
         for qid, qv in zip(b["_id"], b["_v"], strict=True):
             s = _inner(x, np.asarray(qv, float))
-            # the k + 1 best vectors and what ties with the last
-            edge = np.partition(s, len(s) - k - 1)[len(s) - k - 1] if len(s) > k + 1 else -np.inf
-            for r in np.flatnonzero(s >= edge):
+            # the best vectors, with what ties with the last, until they hold k ids
+            take = k + 1
+            while True:
+                edge = np.partition(s, len(s) - take)[len(s) - take] if len(s) > take else -np.inf
+                best = np.flatnonzero(s >= edge)
+                if len(best) == len(s) or len({i for r in best for i in ids[r]} - {qid}) >= k:
+                    break
+                take *= 4
+            for r in best:
                 own_ids = [i for i in ids[r] if i != qid][:k]
                 out_q += [qid] * len(own_ids)
                 out_v += own_ids
                 out_s += [s[r]] * len(own_ids)
         got = pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": out_s}).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return got.groupby("query_id").head(k)
+        return got.drop_duplicates(["query_id", "vec_id"]).groupby("query_id").head(k)
 
     found = left.groupBy("_tree", "_leaf", "_part").cogroup(right.groupBy("_tree_asked", "_leaf_asked", "_part_asked")).applyInPandas(score, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
