@@ -28,7 +28,7 @@ def first_filled(*cols, default=None) -> Column:
 
 def _literal_map(mapping: Mapping) -> Column:
     if len(mapping) > MAX_LITERAL:
-        raise ValueError("use a joined table for a mapping of this size")
+        raise ValueError("a mapping of this size is a table: use classify_by")
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
 
 
@@ -38,6 +38,16 @@ def classify(col, mapping: Mapping, default=None) -> Column:
     return got if default is None else F.coalesce(got, F.lit(default))
 
 
+def classify_by(df: DataFrame, col: str, mapping: DataFrame, out: str, default=None) -> DataFrame:
+    """:func:`classify` by a table of any size: its first column is the source value, its
+    second the class. Of several classes for one value the smallest counts; null values
+    get the default. Whether the table is broadcast is the optimizer's choice by its size."""
+    source, target = mapping.columns[:2]
+    one = mapping.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("_from")).agg(F.min(target).alias("_to"))
+    got = F.col("_to") if default is None else F.coalesce("_to", F.lit(default))
+    return df.join(one, df[col] == F.col("_from"), "left").withColumn(out, got).drop("_from", "_to")
+
+
 def project_attrs(df: DataFrame, spec: Mapping[str, tuple[Sequence[str], object]]) -> DataFrame:
     """``spec`` maps an output column to (source columns in order, default)."""
     return df.withColumns({out: first_filled(*src, default=dflt) for out, (src, dflt) in spec.items()})

@@ -128,6 +128,16 @@ def _(t):
     return t.orders.select("o_orderkey", attrs.classify("o_orderpriority", ROADS, "minor").alias("bucket"))
 
 
+@query(
+    "p11_classify_table",
+    "select l_orderkey, coalesce(m.to_cls, 'other') as bucket, count(*) as n from lineitem left join (select p_partkey as k, min(p_type) as to_cls from part where p_size > 5 group by 1) m on m.k = l_partkey group by 1, 2",
+)
+def _(t):
+    """The classes of the larger parts as a table; the others take the default."""
+    known = t.part.where("p_size > 5").select("p_partkey", "p_type")
+    return attrs.classify_by(t.lineitem, "l_partkey", known, "bucket", "other").groupBy("l_orderkey", "bucket").agg(F.count("*").alias("n"))
+
+
 @query(
     "j9_gap_fill",
     """select group_id, feature_id, val from sites where val > 4e3
