@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -54,6 +55,14 @@ def map_batches(df: DataFrame, schema: str, setup: Callable[[], Callable[[dict],
     return df.mapInArrow(run, schema)
 
 
+def pack_text(text: str) -> bytes:
+    return zstandard.compress(text.encode("utf-8", "surrogatepass"), 1)
+
+
+def unpack_text(packed: bytes) -> str:
+    return zstandard.decompress(packed).decode("utf-8", "surrogatepass")
+
+
 class WordHash(dict):
     """64-bit hash of a word; remembers a bounded number of words."""
 

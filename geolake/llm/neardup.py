@@ -7,12 +7,16 @@ its first. Processes stop once they are later than every component's first arriv
 Two documents agree in a component with the probability of their likeness.
 
 Components are joined into bands; documents with an equal band are candidates. Of
-each band's group every member meets the smallest one, verified links give classes,
-and only pairs in different classes are looked at again, in tiles of bounded size.
+each band's group every member meets the smallest one, and verified links give classes.
+Groups that still hold several classes are cut into tiles of bounded size. A tile joins
+its classes by verified links until no pair of different ones is left unchecked, and
+hands on just the links that joined two.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,12 +24,13 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..session import cut
-from .common import WordHash, boxed, map_batches, mix64, shingles, unboxed
+from .common import WordHash, boxed, map_batches, mix64, pack_text, shingles, unboxed, unpack_text
 
 ROWS, BANDS = 6, 40
 COMPONENTS = ROWS * BANDS
 WORDS, LIKENESS = 5, 0.8
-TILE = 1500
+TILE, TILE_BYTES = 1500, 16 << 20  # rows and compressed text of one side of a tile
+SHINGLES_KEPT = 1 << 22
 STEP, SPLIT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -100,25 +105,47 @@ def _sketch(own: DataFrame) -> DataFrame:
     return map_batches(own, "_node long, _id long, _keys array<long>, _sig binary", setup, 1 << 20)
 
 
-def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Likeness from agreeing low bytes, less what agrees by chance."""
-    return ((a == b).mean(-1) - 1 / 256) / (1 - 1 / 256)
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal bytes of each row: eight side by side in one word, 30 words a row, so that
+    no byte of a sum overflows."""
+    same = (a == b).view(np.uint64).sum(-1)
+    with np.errstate(over="ignore"):
+        return (same * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
+def _least(at_least: float, deviations: float = 0.0) -> int:
+    """Equal low bytes to expect at a likeness, chance ones included, less so many
+    standard deviations of it."""
+    floor = at_least - deviations * (at_least * (1 - at_least) / COMPONENTS) ** 0.5
+    return int(np.ceil(COMPONENTS * (floor * (1 - 1 / 256) + 1 / 256) - 1e-9))
+
+
+def _memo(text_of: Callable) -> Callable:
+    """Shingles by key; remembers a bounded number of them."""
+    words = WordHash()
+    known: dict = {}
+    held = 0
+
+    def get(key):
+        nonlocal held
+        if key not in known:
+            if held > SHINGLES_KEPT:
+                known.clear()
+                held = 0
+            known[key] = shingles(text_of(key), words, WORDS)
+            held += len(known[key][0])
+        return known[key]
+
+    return get
 
 
 def verified(pairs: DataFrame, texts: DataFrame, at_least: float = LIKENESS) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts are as like as that."""
-    both = pairs.join(texts.select(F.col("_node").alias("a"), F.col("_text").alias("_a")), "a").join(texts.select(F.col("_node").alias("b"), F.col("_text").alias("_b")), "b")
+    """The (a, b) of ``pairs`` whose texts are as like as that. ``texts`` has one
+    compressed text for each of the nodes."""
+    both = pairs.join(texts.select(F.col("_node").alias("a"), F.col("_packed").alias("_a")), "a").join(texts.select(F.col("_node").alias("b"), F.col("_packed").alias("_b")), "b")
 
     def setup():
-        words = WordHash()
-        last: dict[str, tuple] = {}
-
-        def get(text):
-            if text not in last:
-                if len(last) > 64:
-                    last.clear()
-                last[text] = shingles(text, words, WORDS)
-            return last[text]
+        get = _memo(unpack_text)
 
         def step(b):
             ok = [likeness(get(x), get(y)) >= at_least - 1e-12 for x, y in zip(b["_a"], b["_b"], strict=True)]
@@ -132,13 +159,13 @@ def verified(pairs: DataFrame, texts: DataFrame, at_least: float = LIKENESS) ->
 def _close(pairs: DataFrame, sigs: DataFrame, at_least: float) -> DataFrame:
     """Pairs whose sketches agree nearly as often as the likeness asks: five standard
     deviations below it, so that none is lost."""
-    floor = at_least - 5 * (at_least * (1 - at_least) / COMPONENTS) ** 0.5
+    least = _least(at_least, 5)
     both = pairs.join(sigs.select(F.col("_node").alias("a"), F.col("_sig").alias("_a")), "a").join(sigs.select(F.col("_node").alias("b"), F.col("_sig").alias("_b")), "b")
 
     def setup():
         def step(b):
             x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(-1, COMPONENTS) for c in ("_a", "_b"))
-            ok = np.flatnonzero(_estimate(x, y) >= floor)
+            ok = np.flatnonzero(_agreeing(x, y) >= least)
             return {"a": [b["a"][i] for i in ok], "b": [b["b"][i] for i in ok]}
 
         return step
@@ -146,55 +173,75 @@ def _close(pairs: DataFrame, sigs: DataFrame, at_least: float) -> DataFrame:
     return map_batches(both.select("a", "b", "_a", "_b"), "a long, b long", setup)
 
 
-def _across(bands: DataFrame, sketches: DataFrame, comp: DataFrame, best_only: bool, at_least: float) -> DataFrame:
-    """Pairs of one band's group that are in different classes and may be like enough.
-    Groups are cut into tiles, and each pair of tiles is one bounded task. A pair is
-    named by the first band that its members share. With ``best_only`` every member
-    names just its most alike one outside its class: rows in proportion to members."""
-    floor = at_least - 5 * (at_least * (1 - at_least) / COMPONENTS) ** 0.5
+def _joined(sig: np.ndarray, keys: np.ndarray, band: int, cls: np.ndarray, rows: np.ndarray, cols: np.ndarray, close: Callable[[int, int], bool], at_least: float) -> list[tuple[int, int]]:
+    """Links between ``rows`` and ``cols`` that join classes ``cls``, until each pair that
+    is in different classes, and shares ``band`` as its first one, has been looked at.
+
+    Pairs that are alike by their sketches are checked at once, doubtful ones (down to five
+    deviations below) at the end, the most alike first: most are in one class by then.
+    """
+    least, sure = _least(at_least, 5), _least(at_least)
+    cls = cls.copy()
+    links: list[tuple[int, int]] = []
+    doubt: list[np.ndarray] = []
+
+    def meet(a: int, b: int) -> None:
+        if cls[a] != cls[b] and close(a, b):
+            links.append((a, b))
+            cls[cls == cls[b]] = cls[a]
+
+    same_side = rows is cols
+    for r in rows:
+        k = cols[cls[cols] != cls[r]]
+        k = k[k > r] if same_side else k
+        if not len(k):
+            continue
+        agree = _agreeing(sig[k], sig[r])
+        k, agree = k[agree >= least], agree[agree >= least]
+        mine = (keys[k] == keys[r]).argmax(1) == band
+        k, agree = k[mine], agree[mine].astype(np.int64)
+        for x in k[np.argsort(-agree, kind="stable")][: int((agree >= sure).sum())]:
+            meet(r, x)
+        k, agree = k[agree < sure], agree[agree < sure]
+        if len(k):
+            doubt.append(np.stack([np.full(len(k), r), k, agree]).astype(np.int32))
+    if doubt:
+        a, b, agree = np.concatenate(doubt, 1)
+        order = np.argsort(-agree, kind="stable")
+        for at in range(0, len(order), 4096):
+            some = order[at : at + 4096]
+            for i in some[cls[a[some]] != cls[b[some]]]:
+                meet(a[i], b[i])
+    return links
+
+
+def _across(bands: DataFrame, sketches: DataFrame, texts: DataFrame, comp: DataFrame, at_least: float) -> DataFrame:
+    """Verified links that join the classes of one band's group. Groups are cut into
+    tiles, and each pair of tiles is one bounded task, which gets each of its texts
+    once. A pair is looked at in the first band that its members share."""
     own = bands.join(comp.select(F.col("node").alias("_node"), "component"), "_node", "left").withColumn("_c", F.coalesce("component", "_node")).drop("component")
-    mixed = own.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi")
-    own = own.join(mixed.select("_key", F.ceil(F.col("_n") / TILE).alias("_tiles")), "_key").join(sketches, "_node")
-    own = own.withColumn("_tile", F.pmod(F.xxhash64("_node", F.lit(7)), F.col("_tiles")))
+    mixed = own.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi")
+    own = cut(own.join(mixed.select("_key"), "_key").join(texts.select("_node", F.octet_length("_packed").alias("_size")), "_node"))
+    tiles = own.groupBy("_key").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("_size") / TILE_BYTES)).alias("_tiles"))
+    own = own.drop("_size").join(tiles, "_key").withColumn("_tile", F.pmod(F.xxhash64("_node", F.lit(7)), F.col("_tiles")))
     own = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
-    own = own.select("_key", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"), (F.col("_tile") > F.col("_other")).alias("_right"), "_node", "_c", "_sig", "_keys")
+    own = own.select("_key", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"), (F.col("_tile") > F.col("_other")).alias("_right"), "_node", "_c")
+    own = own.join(sketches, "_node").join(texts, "_node").select(*own.columns, "_sig", "_keys", "_packed")
 
     def tile(g: pd.DataFrame) -> pd.DataFrame:
-        one = g["_i"].iat[0] == g["_j"].iat[0]
         sig = np.frombuffer(b"".join(g["_sig"]), np.uint8).reshape(-1, COMPONENTS)
         keys = np.array(g["_keys"].tolist(), np.int64)
-        band = int(np.argmax(keys[0] == g["_key"].iat[0]))
-        node, c, right = g["_node"].to_numpy(), g["_c"].to_numpy(), g["_right"].to_numpy(bool)
-        rows = np.arange(len(g)) if one else np.flatnonzero(~right)
-        cols = rows if one else np.flatnonzero(right)
-        best = np.full(len(g), floor)
-        who = np.full(len(g), -1)
-        a, b = [], []
-        for r in rows if len(cols) else ():
-            est = _estimate(sig[cols], sig[r])
-            ok = np.flatnonzero((est >= floor) & (c[cols] != c[r]))
-            if not len(ok):
-                continue
-            if best_only:
-                # of equally alike ones the smallest node
-                k = ok[np.lexsort((node[cols[ok]], -est[ok]))[0]]
-                if est[k] > best[r] or who[r] < 0:
-                    best[r], who[r] = est[k], cols[k]
-                up = ok[(est[ok] > best[cols[ok]]) | (who[cols[ok]] < 0)]
-                best[cols[up]], who[cols[up]] = est[up], r
-            else:
-                ok = ok[(cols[ok] > r) | (not one)]
-                ok = ok[(keys[cols[ok]] == keys[r]).argmax(1) == band]
-                a.append(np.full(len(ok), node[r]))
-                b.append(node[cols[ok]])
-        if best_only:
-            has = np.flatnonzero(who >= 0)
-            a, b = [node[has]], [node[who[has]]]
-        none = [np.empty(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
-
-    found = own.groupBy("_key", "_i", "_j").applyInPandas(tile, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        right = g["_right"].to_numpy(bool)
+        rows = np.flatnonzero(~right)
+        cols = rows if g["_i"].iat[0] == g["_j"].iat[0] else np.flatnonzero(right)
+        packed = g["_packed"].tolist()
+        get = _memo(lambda i: unpack_text(packed[i]))
+        links = _joined(sig, keys, int(np.argmax(keys[0] == g["_key"].iat[0])), g["_c"].to_numpy(), rows, cols, lambda i, j: likeness(get(i), get(j)) >= at_least - 1e-12, at_least)
+        at = np.array(links, np.int64).reshape(-1, 2)
+        node = g["_node"].to_numpy()
+        return pd.DataFrame({"a": node[at[:, 0]], "b": node[at[:, 1]]})
+
+    return own.groupBy("_key", "_i", "_j").applyInPandas(tile, "a long, b long")
 
 
 def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -212,19 +259,14 @@ def _named(own: DataFrame, at_least: float) -> DataFrame:
     bands = cut(bands.join(pivot, "_key"))
     star = bands.where("_node <> _p").select(F.col("_p").alias("a"), F.col("_node").alias("b")).distinct()
     bands = bands.select("_node", "_key")
-    edges = verified(cut(_close(star, sigs, at_least)), _texts(own, bands), at_least)
+    texts = cut(_texts(own, bands))
+    edges = verified(cut(_close(star, sigs, at_least)), texts, at_least)
     comp = cut(components(edges, src="a", dst="b"))
-    # two rounds of best partners join the bulk of a group; then whatever is left, in full
-    for best_only in (True, True, False):
-        more = cut(_across(bands, one.select("_node", "_sig", "_keys"), comp, best_only, at_least))
-        if more.isEmpty():
-            break
-        edges = cut(verified(more, _texts(own, more.select(F.col("a").alias("_node")).union(more.select(F.col("b").alias("_node")))), at_least))
-        if edges.isEmpty():
-            continue
+    more = cut(_across(bands, one.select("_node", "_sig", "_keys"), texts, comp, at_least))
+    if not more.isEmpty():
         # stars stand for the links found before
         stars = comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        comp = cut(components(edges.unionByName(stars), src="a", dst="b"))
+        comp = cut(components(more.unionByName(stars), src="a", dst="b"))
     named = one.select("_node", "_id", "_n").join(comp.select(F.col("node").alias("_node"), "component"), "_node", "left")
     return cut(named.withColumn("component", F.coalesce("component", "_node")))
 
@@ -246,9 +288,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_leas
 
 
 def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One text for each of the nodes."""
+    """_node, _packed: one compressed text for each of the nodes."""
     asked = nodes.select("_node").distinct()
-    return own.select("_node", "_text").join(asked, "_node", "left_semi").dropDuplicates(["_node"])
+    packed = map_batches(own.select("_node", "_text"), "_node long, _packed binary", lambda: lambda b: {"_node": b["_node"], "_packed": [pack_text(t) for t in b["_text"]]})
+    return packed.join(asked, "_node", "left_semi").groupBy("_node").agg(F.first("_packed").alias("_packed"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least: float = LIKENESS) -> DataFrame:
