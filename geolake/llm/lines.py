@@ -56,7 +56,7 @@ def variants(line: str) -> tuple[np.uint64, np.ndarray]:
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """_d, _t, _i: position (id, hash of the text, number); _line, and its 128-bit hash."""
     d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("_d"), F.xxhash64(text).alias("_t"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_i", "_line"))
-    d = d.where(F.trim(F.regexp_replace("_line", "\\s+", " ")) != "")
+    d = d.where(F.col("_line").rlike("\\S"))
     return d.select(F.struct("_d", "_t", "_i").alias("_pos"), "_line", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(1), "_line").alias("_h2"))
 
 
