@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver
 
 
 def test_names():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(SQL) <= set(QUERIES)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and set(SQL) <= set(QUERIES)
     assert [f for _, f in cp.STAGES] == [cp.quality_stage, cp.line_stage, cp.near_stage, cp.mix_stage, cp.encode_stage]
 
 
