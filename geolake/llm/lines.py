@@ -4,7 +4,8 @@ Two lines are within one edit if deleting one character at the same place makes
 them equal, or deleting one character of one makes it the other. Every such variant
 is a hashed key; equal keys meet. A line is dropped if a line at an earlier
 position (document, then line number) is within the bound, whether or not that one
-is dropped too. Only lines that share a half with another line of fitting length
+is dropped too. Below SHORT characters one edit changes what a line says ("1." and
+"2."), so such lines must be equal. Only lines that share a half with another line of fitting length
 can have a partner at all, so only these are given variants.
 """
 
@@ -23,7 +24,8 @@ from .common import boxed, map_batches, mix64, unboxed
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 LOWEST = -(1 << 63)
-BROADCAST = 200_000  # candidate lines (at most 30 MB) that are sent to all tasks; more are joined by a shuffle
+SHORT = 8  # characters; the bound is one edit between lines of at least so many, none below
+BROADCAST = 200_000  # candidate lines (position and four flags, no text: at most 30 MB) that are sent to all tasks; more are joined by a shuffle
 
 
 def within_one(a: str, b: str) -> bool:
@@ -62,12 +64,13 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     """_h1, _h2 of the distinct lines that have another line within one edit whose
-    first position is earlier. ``first`` has _h1, _h2, _pos of each distinct line.
+    first position is earlier, both of at least SHORT characters. ``first`` has _h1, _h2, _pos of each distinct line.
 
     Of two lines within one edit, of n and n or n + 1 characters, the first or the
     last n / 2 characters are equal. That half tells where the edit must be.
     """
     n = F.length("_line")
+    lines = lines.where(n >= SHORT)
     keys = []
     for less in (0, 1):
         m = F.floor((n - less) / 2).cast("int")
