@@ -40,6 +40,8 @@ HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|nav|navs|navbar|navigation|menus?|menubar|topbar|toolbar|sidebars?|sidenav|site-?header|page-?header|masthead|header|footers?|footnav|colophon|cookies?|consent|gdpr|notices?|popups?|modal|overlay|newsletters?|subscribe|subscription|signup|login|search|share|sharing|social|comments?|commentlist|disqus|replies|respond|breadcrumbs?|related|recommended|pagination|pager|widgets?|skip-?link|copyright|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+DISCUSSION = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?=$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # pieces of a box: they need a share
 PIECES = frozenset("html body tr tbody thead tfoot caption figcaption summary legend".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt b i em strong a span br code sub sup q cite small u s mark abbr time td th".split())
@@ -52,7 +54,15 @@ class Node:
         self.tag, self.attrs = tag, attrs
         self.kids: list[Node | str] = []
 
-    def unwanted(self) -> bool:
+    def hinted(self, name: str, value: str, inside: bool) -> bool:
+        """Does a class or id tell that this is not the article?"""
+        if inside and self.tag in TEXTUAL or name == "id" and self.tag in HEADINGS:
+            return False
+        by_title = inside and name == "id" and self.tag == "section"
+        return (DISCUSSION if by_title else HINT).search(value) is not None
+
+    def unwanted(self, inside: bool = False) -> bool:
+        """``inside``: the element lies within an article."""
         if self.tag in NEVER:
             return True
         if not self.attrs or self.tag in ("html", "body", "article", "main"):
@@ -60,7 +70,7 @@ class Node:
             return self.tag == "article" and "comment" in self.attrs.lower()
         for name, *values in ATTR.findall(self.attrs):
             name, value = name.lower(), next((v for v in values if v), "")
-            if name in ("class", "id") and HINT.search(value) or name == "role" and value.strip().lower() in ROLES:
+            if name in ("class", "id") and self.hinted(name, value, inside) or name == "role" and value.strip().lower() in ROLES:
                 return True
             if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
                 return True
@@ -186,7 +196,7 @@ def candidates(text: str) -> tuple[int, bool, list[int], list[int]]:
     todo = [k for t in tops for k in t.kids if isinstance(k, Node)]
     while todo:
         x = todo.pop()
-        if x.unwanted():
+        if x.unwanted(inside):
             continue
         if x.size and not (inside and x.tag in TEXTUAL):
             (pieces if x.tag in TEXTUAL or x.tag in PIECES else seen).add(_signed(x.hash))
@@ -210,7 +220,7 @@ def main_text(text: str, template: frozenset[int] = frozenset(), boxes: frozense
             out.append(" ")
         elif isinstance(x, str):
             out.append(entities.unescape(x))
-        elif id(x) not in tops_set and (x.unwanted() or _signed(x.hash) in gone and not (inside and x.tag in TEXTUAL)):
+        elif id(x) not in tops_set and (x.unwanted(inside) or _signed(x.hash) in gone and not (inside and x.tag in TEXTUAL)):
             out.append(" ")
         else:
             block = x.tag in BLOCK or id(x) in tops_set

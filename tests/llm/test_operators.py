@@ -413,7 +413,7 @@ def brute_lines(rows):
                 first.setdefault(line, (d, i))
     for line in first:
         by[len(line)].append(line)
-    near = {x for x in first if any(first[o] < first[x] and lines.within_one(o, x) for n in (-1, 0, 1) for o in by[len(x) + n] if o != x)}
+    near = {x for x in first if any(first[o] < first[x] and min(len(o), len(x)) >= lines.SHORT and lines.within_one(o, x) for n in (-1, 0, 1) for o in by[len(x) + n] if o != x)}
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if not x.strip() or first[x] == (d, i) and x not in near) for d, t in rows}
 
 
@@ -434,6 +434,12 @@ def test_lines_against_brute_force(spark, docs):
     assert got == want
 
 
+def test_short_lines_must_be_equal(spark):
+    rows = [(0, "1.\n{\nStep one\nStep 10"), (1, "2.\n}\nStep two\nStep 11\n1."), (2, "Step one.\nStep onx")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, [(i, t, "a") for i, t in rows])).collect()}
+    assert got == {0: rows[0][1], 1: "2.\n}\nStep two\nStep 11", 2: ""}
+
+
 def test_within_one():
     rnd = random.Random(2)
 
@@ -521,6 +527,9 @@ def test_mix_is_its_sql_and_applies(spark, docs, none):
         ("", ""),
         ("<", "<"),
         ("<article><p>open <b>never closed", "open never closed"),
+        ("<article><h2 id='search'>S</h2><p class='share-price'>up</p><section id='related-work'><p>R</p></section><ul><li class='menu'>soup</ul></article>", "S up R soup"),
+        ("<article><p>x</p><section id='comments'>c</section><section class='related'>r</section><div class='share-links'><p>s</p></div></article>", "x"),
+        ("<div><h2 id='search'>S</h2><p>x</p><p class='copyright'>c</p></div>", "S x"),
     ],
 )
 def test_main_text(page, want):
