@@ -12,7 +12,7 @@ from tools.check import norm
 DIR = "/root/testdata/sf0.001"
 SOME = """h4_lonlat_to_tm2 p9_dict_encode j1_sample_nearest j4_points_in_polygons j14_resolve_legs a5_percentile_rank
  a13_ring_metrics w2_drop_speed_anomalies w10_sample_vertices e1_simplify r2_d8 r9_blur k2_locate_trips l2_lod_partition
- s1_read_geojson_lines t2_select_peaks""".split()
+ s1_read_geojson_lines t2_select_peaks bake_timetable_report bake_rivers g6_path_vertices""".split()
 NAMES = sorted(entry.REGISTRY) if os.environ.get("GEOLAKE_ALL") else SOME
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver tables")
