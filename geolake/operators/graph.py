@@ -10,6 +10,7 @@ from .ordered import SLICE, _cols, hot_slices, running_sum
 from .spatial import nearest_within
 
 NODE_SPAN = 1 << 32
+MAX_PART = (1 << 29) - 1
 
 
 def snap(c: str, prec: float):
@@ -209,7 +210,10 @@ def merge_plan(track_stations: DataFrame, pairs: DataFrame, end_tol: float = 0.0
 def simple_paths(edges: DataFrame, key: str = "part_id") -> DataFrame:
     """Merged parts as simple paths: path_id, pos, part_id, flipped. A part with
     three or more links ends every path it is on and appears in each of them."""
-    e = edges.select("p", "q", "side_p", "side_q").withColumn("edge", F.col("p") * NODE_SPAN + F.col("q"))
+    # copies of branch parts have negative numbers of twice the edge's, states twice those again
+    small = F.col("p").between(0, MAX_PART) & F.col("q").between(0, MAX_PART)
+    edge = F.when(small, F.col("p") * NODE_SPAN + F.col("q")).otherwise(F.raise_error(F.lit(f"merged parts need numbers in 0..{MAX_PART}")).cast("long"))
+    e = edges.select("p", "q", "side_p", "side_q").withColumn("edge", edge)
     half = e.select("edge", F.col("p").alias("part"), F.col("side_p").alias("side"), F.lit(0).alias("h")).unionByName(
         e.select("edge", F.col("q").alias("part"), F.col("side_q").alias("side"), F.lit(1).alias("h"))
     )

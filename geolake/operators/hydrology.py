@@ -417,7 +417,11 @@ def polygonize(mask: DataFrame, block: int = SOLVE_BLOCK) -> DataFrame:
         nx = F.when(diag, x + dx).when(straight, x + sx).otherwise(nx)
         ny = F.when(diag, y + dy).when(straight, y + sy).otherwise(ny)
         ns = F.when(diag, F.lit(dside)).when(straight, F.col("side")).otherwise(ns)
-    num = lambda a, b, s: (b * (1 << 30) + a) * 4 + s
+    # a side's number: 29 bits each for y and x, signed, two for the side; ranking takes one more
+    half = 1 << 28
+    inside = x.between(-half + 1, half - 2) & y.between(-half + 1, half - 2)
+    x, y, nx, ny = (F.when(inside, c).otherwise(F.raise_error(F.lit(f"outlines need cells within {half} of 0")).cast("long")) for c in (x, y, nx, ny))
+    num = lambda a, b, s: ((b + half) * (1 << 29) + (a + half)) * 4 + s
     e = cut(e.select("region", "gx", "gy", "side", num(x, y, F.col("side")).alias("item"), num(nx, ny, ns).alias("after"), ns.alias("next_side")))
     links = e.select(F.col("item").alias("a"), F.lit(1).alias("pa"), F.col("after").alias("b"), F.lit(0).alias("pb"))
     order = rank_paths(e, links)

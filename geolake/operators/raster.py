@@ -121,14 +121,26 @@ def _mirror(df: DataFrame, g: str, lo: int, hi: int, r: int) -> DataFrame:
     return df.withColumn("_at", F.explode(keep)).drop(g).withColumnRenamed("_at", g)
 
 
-def blur(cells: DataFrame, sigma: float, col: str = "v", out: str | None = None, block: int = BLOCK) -> DataFrame:
-    """Separable Gaussian cut at four sigma with mirrored edges, for a dense
-    grid. Both passes run inside blocks with a halo as wide as the kernel."""
+def full_bounds(cells: DataFrame) -> tuple[int, int, int, int]:
+    """:func:`bounds` of a full rectangle, by one pass; an error if cells are missing or
+    stand twice: what a neighbour is then depends on the gaps."""
+    r = cells.agg(F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1"), F.count("*").alias("n")).first()
+    if r["n"] and r["n"] != (r["x1"] - r["x0"] + 1) * (r["y1"] - r["y0"] + 1):
+        raise ValueError(f"{r['n']} cells do not fill x {r['x0']}..{r['x1']}, y {r['y0']}..{r['y1']} once each: lay the missing ones first")
+    return r["x0"], r["x1"], r["y0"], r["y1"]
+
+
+def blur(cells: DataFrame, sigma: float, col: str = "v", out: str | None = None, block: int = BLOCK, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Separable Gaussian cut at four sigma with mirrored edges, for a full
+    rectangle (``box``, if its bounds are known). Both passes run inside blocks with a
+    halo as wide as the kernel. Gaps are an error; an empty grid stays empty."""
     w = gaussian_weights(sigma)
     r = len(w) // 2
     if r == 0:
         return cells.withColumn(out or col, F.col(col))
-    x0, x1, y0, y1 = bounds(cells)
+    x0, x1, y0, y1 = box or full_bounds(cells)
+    if x0 is None:
+        return cells.withColumn(out or col, F.col(col))
     c = cells.select("gx", "gy", F.col(col).alias("_v"))
     c = _mirror(_mirror(c, "gx", x0, x1, r), "gy", y0, y1, r)
     h = halo_blocks(c, max(block, 2 * r), r)
@@ -173,7 +185,8 @@ def adaptive_blur(cells: DataFrame, cell_m: float, sigma_steep: float, sigma_fla
     below sea level. ``cells`` holds v (height) and intensity."""
     s = slope(cells.select("gx", "gy", "v"), cell_m).select("gx", "gy", "v", "slope")
     src = cells.select("gx", "gy", "intensity")
-    crisp, wide = blur(src, sigma_steep, "intensity", "_crisp"), blur(src, sigma_flat, "intensity", "_wide")
+    box = full_bounds(src)
+    crisp, wide = blur(src, sigma_steep, "intensity", "_crisp", box=box), blur(src, sigma_flat, "intensity", "_wide", box=box)
     j = s.join(crisp.select("gx", "gy", "_crisp"), ["gx", "gy"]).join(wide.select("gx", "gy", "_wide"), ["gx", "gy"])
     flat = clamp((slope_hi - F.col("slope")) / (slope_hi - slope_lo), 0.0, 1.0)
     mix = F.col("_crisp") * (1.0 - flat) + F.col("_wide") * flat

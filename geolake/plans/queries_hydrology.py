@@ -129,6 +129,16 @@ def _(t):
     return a.groupBy("region").agg(F.sum("signed").alias("area"))
 
 
+@query("r15_ring_corners", """with m as (select gx, gy from cells where v > 250),
+ c as (select gx + i as x, gy + j as y, count(*) as n, min(i + 2 * j) as lo, max(i + 2 * j) as hi from m cross join range(2) a(i) cross join range(2) b(j) group by 1, 2)
+ select x, y, cast(case when n in (1, 3) then 1 else 2 end as bigint) as turns from c where n in (1, 3) or (n = 2 and lo + hi = 3)""")
+def _(t):
+    """Where the outlines turn: once at a corner with one or three cells, twice where two
+    cells touch by it only; nowhere else."""
+    r = hydrology.polygonize(t.cells.where("v > 250"))
+    return r.groupBy("x", "y").agg(F.count("*").alias("turns"))
+
+
 PX = f"px as (select feature_id, ring_id, seq, {GX.format(s=512 * 256)} as x, {GY.format(s=512 * 256)} as y from rings)"
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from geolake.operators import graph
@@ -102,3 +103,9 @@ def test_components_of_links_between_many_copies(spark):
     # one node holds most edges
     edges = spark.range(2000).select(F.lit(-5).cast("long").alias("src"), F.col("id").alias("dst"))
     assert graph.components(edges).select("component").distinct().count() == 1
+
+
+def test_large_part_numbers_are_an_error(spark):
+    e = spark.createDataFrame([(1, 1 << 29, "end", "start")], "p long, q long, side_p string, side_q string")
+    with pytest.raises(Exception, match="merged parts need numbers"):
+        graph.simple_paths(e).count()

@@ -241,3 +241,22 @@ def test_void_without_rim(spark):
     for direct in (100, 3):
         assert [r.v for r in solver.heights(none, alone, direct_cells=direct).collect()] == [0.0] * 9
     assert solver.heights(none, alone.limit(0)).collect() == []
+
+
+def test_blur_tells_gaps_and_takes_an_empty_grid(spark):
+    full = spark.range(30).selectExpr("id % 6 as gx", "floor(id / 6) as gy", "cast(id as double) as v")
+    with pytest.raises(ValueError, match="do not fill"):
+        raster.blur(full.where("gx <> 3 or gy <> 2"), 1.0)
+    with pytest.raises(ValueError, match="do not fill"):
+        raster.blur(full.union(full.where("gx = 1 and gy = 1")), 1.0)
+    assert raster.blur(full.where("false"), 1.0).count() == 0 and raster.blur(full, 1.0).count() == 30
+
+
+def test_outlines_left_of_and_above_zero(spark):
+    def rings(dx, dy):
+        cells = spark.createDataFrame([(x + dx, y + dy) for x, y in [(0, 0), (1, 0), (1, 1), (2, 2)]], "gx long, gy long")
+        return {(r.x - dx, r.y - dy, r.seq) for r in hyd.polygonize(cells).collect()}
+
+    assert rings(0, 0) == rings(-50, -7) and len(rings(0, 0)) == 10
+    with pytest.raises(Exception, match="outlines need cells"):
+        rings(1 << 28, 0)
