@@ -22,6 +22,7 @@ from .common import map_batches
 MIN_PAGES, MIN_SHARE = 3, 0.3
 MIN_PAGES_INSIDE, MIN_SHARE_INSIDE = 8, 0.6
 ENOUGH = 50  # so many different pages suffice for a box, whatever their share
+SPREAD = 16  # tasks that share the pages of one host
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -259,8 +260,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     template. Without an article or main element the whole page is read."""
     host = F.udf(host_of, "string", useArrow=True)
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("_html"))
-    own = own.withColumn("_host_of", host("url"))
-    both = own.join(templates(pages, url, html), F.col("_host_of") == F.col("_host"), "left")
+    # the pages of one host are dealt over SPREAD tasks, each with the host's list
+    own = own.withColumn("_host_of", host("url")).withColumn("_part", F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)))
+    lists = templates(pages, url, html).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    both = own.join(lists, (F.col("_host_of") == F.col("_host")) & (F.col("_part") == F.col("_piece")), "left")
 
     def setup():
         def step(b):
