@@ -72,6 +72,7 @@ def fill_from_parent(wanted: DataFrame, fine: DataFrame, coarse: DataFrame, tile
     give no rows. ``corner`` puts source samples on pixel corners and may read
     past the quadrant, ``center`` resizes the quadrant on its own."""
     half = tile // 2
+    # the optimizer does not see that the taps are tile * tile * 4 times the tiles: it would broadcast them
     tile_of = lambda df: df.select(F.floor(F.col("gx") / tile).cast("long").alias("tx"), F.floor(F.col("gy") / tile).cast("long").alias("ty")).distinct()
     missing = wanted.select("tx", "ty").distinct().join(tile_of(fine), ["tx", "ty"], "left_anti")
     parents = tile_of(coarse).select(F.col("tx").alias("px"), F.col("ty").alias("py"))
@@ -104,7 +105,7 @@ def fill_from_parent(wanted: DataFrame, fine: DataFrame, coarse: DataFrame, tile
     gx, gy = F.col("tx") * tile + F.col("ix"), F.col("ty") * tile + F.col("iy")
     t = m.select(gx.alias("gx"), gy.alias("gy"), F.explode(taps).alias("t")).select("gx", "gy", "t.*")
     src = coarse.select(F.col("gx").alias("cx"), F.col("gy").alias("cy"), "v")
-    return t.join(src, ["cx", "cy"]).groupBy("gx", "gy").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    return t.join(src.hint("merge"), ["cx", "cy"]).groupBy("gx", "gy").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
 
 
 def decode_field(pixels: DataFrame, u_range, v_range) -> DataFrame:

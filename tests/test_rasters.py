@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geolake.operators import geometry as geo
 from geolake.operators import hydrology as hyd
-from geolake.operators import raster
+from geolake.operators import raster, sampling
 
 D = [(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
 
@@ -260,3 +260,17 @@ def test_outlines_left_of_and_above_zero(spark):
     assert rings(0, 0) == rings(-50, -7) and len(rings(0, 0)) == 10
     with pytest.raises(Exception, match="outlines need cells"):
         rings(1 << 28, 0)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("align", ["corner", "center"])
+def test_parent_taps_are_not_broadcast(spark, align):
+    """The taps are many times the tiles they come from, which the optimizer does not see."""
+    coarse = spark.range(64).selectExpr("id % 8 as gx", "id div 8 as gy", "cast(id as double) as v")
+    wanted = spark.createDataFrame([(0, 0), (1, 1)], "tx long, ty long")
+    got = sampling.fill_from_parent(wanted, coarse.where("gx < 0"), coarse, 8, align)
+    assert "SortMergeJoin [cx" in plan_of(got)
+    assert got.count() == 128
