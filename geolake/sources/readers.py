@@ -185,5 +185,6 @@ def scan_tile_range(cells: DataFrame, z: int, tiles: tuple[int, int, int, int],
         .select("tx", "ty", F.explode(span).alias("px"))
         .select("*", F.explode(span).alias("py"))
     )
-    got = grid.join(have.select("tx", "ty", "px", "py", "v"), ["tx", "ty", "px", "py"], "left")
+    # stored pixels unpack to many times their files, by which the optimizer would broadcast them
+    got = grid.join(have.select("tx", "ty", "px", "py", "v").hint("merge"), ["tx", "ty", "px", "py"], "left")
     return got.withColumn("v", F.coalesce("v", F.lit(0.0)))

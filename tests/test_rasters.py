@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geolake.operators import geometry as geo
 from geolake.operators import hydrology as hyd
 from geolake.operators import raster, sampling
+from geolake.sources import readers
 
 D = [(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
 
@@ -274,3 +275,10 @@ def test_parent_taps_are_not_broadcast(spark, align):
     got = sampling.fill_from_parent(wanted, coarse.where("gx < 0"), coarse, 8, align)
     assert "SortMergeJoin [cx" in plan_of(got)
     assert got.count() == 128
+
+
+def test_stored_pixels_are_not_broadcast(spark):
+    cells = spark.range(2).selectExpr("3 as z", "id as tx", "0L as ty", "1 - id as px", "2 * (1 - id) as py", "id * 2 + 5d as v")
+    got = readers.scan_tile_range(cells, 3, (0, 1, 0, 0), 4)
+    assert "BroadcastHashJoin" not in plan_of(got)
+    assert got.count() == 32 and got.agg(F.sum("v")).first()[0] == 12.0
