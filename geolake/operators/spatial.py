@@ -380,11 +380,70 @@ def spread_pick(cands: DataFrame, group: str, ident: str, rank: Column, min_sep:
     return top_n(picked, group, [F.desc("_r"), ident], limit).withColumnRenamed("_r", "score")
 
 
+PEAKS_HELD = 8  # best points of a cell that a centre sees in the first round
+
+
 def select_peaks(points: DataFrame, centers: DataFrame, radius: float, min_sep: float, limit: int = 15, min_elev: float = 0.0, point_key: str = "point_id") -> DataFrame:
-    """Highest points within ``radius`` of each centre, thinned to ``min_sep``."""
-    c = centers.select("center_id", F.col("x").alias("_cx0"), F.col("y").alias("_cy0"))
-    c = _explode_offsets(c.withColumns({"_kx": _cell("_cx0", radius), "_ky": _cell("_cy0", radius)}), "_kx", "_ky")
-    p = points.where(F.col("elev") >= min_elev).withColumns({"_kx": _cell("x", radius), "_ky": _cell("y", radius)})
-    d2 = (F.col("x") - F.col("_cx0")) * (F.col("x") - F.col("_cx0")) + (F.col("y") - F.col("_cy0")) * (F.col("y") - F.col("_cy0"))
-    near = p.join(c, ["_kx", "_ky"]).where(d2 <= radius * radius)
-    return spread_pick(near, "center_id", point_key, F.col("elev"), min_sep, limit)
+    """Highest points within ``radius`` of each centre, thinned to ``min_sep``: the
+    one-by-one choice from the highest down, ties to the lower key, at most ``limit``.
+
+    A round shows a centre the best few points of each cell. Where a cell holds more, the
+    first one left out ends the choice, unless a pick rules out the whole cell. Centres
+    that ended short of ``limit`` choose anew among twice as many of cells half as wide,
+    until cells hold no more than is shown: no centre meets all points around it."""
+    order = F.struct(F.col("elev").alias("r"), (-F.col(point_key)).alias("i"), "x", "y")
+    # of points at one spot only the first can be chosen
+    spots = points.where(F.col("elev") >= min_elev).withColumn("elev", F.col("elev").cast("double"))
+    if min_sep > 0:
+        spots = spots.groupBy("x", "y").agg(F.max(F.struct(F.col("elev").alias("r"), (-F.col(point_key)).alias("i"))).alias("b")).select("b.r", "b.i", "x", "y")
+    else:
+        spots = spots.select(order.alias("b")).select("b.*")
+    spots = cut(spots)
+    # few bytes a centre, much work: by number, or all would stand in one partition
+    todo = centers.select("center_id", F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
+    todo = cut(todo.repartition(int(centers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "center_id"))
+    side, held, out = max(min_sep / 2**0.5, radius / 4) * 0.999999, PEAKS_HELD, None
+    row = "struct<r:double,i:bigint,x:double,y:double>"
+    while True:
+        s = spots.withColumns({"_cx": _cell("x", side), "_cy": _cell("y", side)})
+        best = Window.partitionBy("_cx", "_cy").orderBy(F.desc("r"), F.desc("i"))
+        s = s.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= held + 1)
+        # the row beyond the shown ones is the bar of its cell
+        seen = F.collect_list(F.struct("r", "i", "x", "y", (F.col("_k") > held).alias("bar"), "_cx", "_cy")).alias("_s")
+        cells = cut(s.groupBy("_cx", "_cy").agg(seen))
+        near = lambda c, at: F.greatest(F.col(f"_c{c}") * side - F.col(at), F.col(at) - (F.col(f"_c{c}") + 1) * side, F.lit(0.0))
+        c = todo.select("*", F.explode(_cells_between(F.col("_x") - radius, F.col("_x") + radius, side)).alias("_cx"))
+        c = c.select("*", F.explode(_cells_between(F.col("_y") - radius, F.col("_y") + radius, side)).alias("_cy"))
+        c = c.where(near("x", "_x") * near("x", "_x") + near("y", "_y") * near("y", "_y") <= (radius * (1 + 1e-9)) ** 2)
+        inside = lambda g: (g["x"] - F.col("_x")) * (g["x"] - F.col("_x")) + (g["y"] - F.col("_y")) * (g["y"] - F.col("_y")) <= radius * radius
+        shown = F.filter("_s", lambda g: g["bar"] | inside(g))
+        # the optimizer does not see how many cells a centre has: it would broadcast them all
+        c = c.join(cells.hint("merge"), ["_cx", "_cy"]).withColumn("_s", shown).where(F.size("_s") > 0)
+        c = c.groupBy("center_id", "_x", "_y").agg(F.sort_array(F.flatten(F.collect_list("_s")), False).alias("_s"))
+
+        def gap(lo, v):
+            return F.greatest(v - lo * side, (lo + 1) * side - v)
+
+        def ruled_out(got, g):  # the whole cell lies nearer than min_sep to a pick
+            return F.exists(got, lambda b: gap(g["_cx"], b["x"]) * gap(g["_cx"], b["x"]) + gap(g["_cy"], b["y"]) * gap(g["_cy"], b["y"]) < min_sep * min_sep * (1 - 1e-9))
+
+        def beside(got, g):
+            return F.exists(got, lambda b: (g["x"] - b["x"]) * (g["x"] - b["x"]) + (g["y"] - b["y"]) * (g["y"] - b["y"]) < min_sep * min_sep)
+
+        def step(acc, g):
+            got = acc["got"]
+            over = acc["open"] | (F.size(got) >= limit)
+            ends = g["bar"] & ~ruled_out(got, g)
+            taken = F.concat(got, F.array(F.struct(g["r"].alias("r"), g["i"].alias("i"), g["x"].alias("x"), g["y"].alias("y"))))
+            new = F.when(over | g["bar"] | beside(got, g), got).otherwise(taken)
+            return F.struct(new.alias("got"), F.when(over, acc["open"]).otherwise(ends).alias("open"))
+
+        start = F.struct(F.array().cast(f"array<{row}>").alias("got"), F.lit(False).alias("open"))
+        c = cut(c.select("center_id", "_x", "_y", F.aggregate("_s", start, step).alias("_a")))
+        picks = c.where(~F.col("_a.open")).select("center_id", F.explode("_a.got").alias("p"))
+        picks = picks.select("center_id", (-F.col("p.i")).alias(point_key), "p.x", "p.y", F.col("p.r").alias("score"))
+        out = picks if out is None else out.unionByName(picks)
+        todo = c.where("_a.open").select("center_id", "_x", "_y")
+        if todo.isEmpty():
+            return out
+        side, held = side / 2, held * 2

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,32 @@ def test_polygon_index_is_the_even_odd_rule(spark, cell):
     rs = spark.createDataFrame(rings, "ring long, seq long, lon double, lat double")
     got = sorted((r.p, r.ring) for r in spatial.points_in_polygons(df, rs, "p", "ring", cell).collect())
     assert got == sorted((i, r) for i, p in enumerate(pts) for r, vs in ends.items() if inside(p, vs))
+
+
+@pytest.mark.parametrize("held", [1, 8])
+def test_peaks_without_meeting_all_points(spark, monkeypatch, held):
+    """One by one from the highest down, though heights crowd together and tie; no table
+    of all points around every centre is made."""
+
+    def whole(*a, **k):
+        raise AssertionError("all points around a centre are compared")
+
+    monkeypatch.setattr(spatial, "spread_pick", whole)
+    monkeypatch.setattr(spatial, "PEAKS_HELD", held, raising=False)
+    rng = np.random.default_rng(held)
+    x, y = rng.uniform(0, 2, 900).round(2), rng.uniform(0, 2, 900).round(2)
+    elev = (100 - 20 * np.hypot(x - 1, y - 1)).round(0)
+    pts = [(i, float(x[i]), float(y[i]), float(elev[i])) for i in range(900)]
+    centers = [(0, 1.0, 1.0), (1, 0.2, 0.3), (2, 1.9, 1.1), (3, 9.0, 9.0)]
+    want = set()
+    for c, cx, cy in centers:
+        got = []
+        for i, px, py, e in sorted(pts, key=lambda p: (-p[3], p[0])):
+            if e >= 75 and (px - cx) * (px - cx) + (py - cy) * (py - cy) <= 0.25 and len(got) < 6:
+                if all((px - a) * (px - a) + (py - b) * (py - b) >= 0.04 for _, a, b in got):
+                    got.append((i, px, py))
+        want |= {(c, g[0]) for g in got}
+    found = spatial.select_peaks(
+        spark.createDataFrame(pts, "point_id long, x double, y double, elev double"), spark.createDataFrame(centers, "center_id long, x double, y double"), 0.5, 0.2, 6, 75.0
+    )
+    assert {(r.center_id, r.point_id) for r in found.collect()} == want
