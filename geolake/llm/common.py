@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -105,18 +106,48 @@ def held_out_col(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, label, text) of at most ``rows`` labelled rows outside the held-out
-    fold: those with the smallest hash of their id. Null ids and labels take no
-    part; a doc_id labelled twice counts with its larger label; of texts under one
-    id each counts. At most ``rows`` ids are broadcast."""
+def _label_ids(labels: DataFrame, label: str, doc_id: str) -> DataFrame:
     ids = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y is not null")
-    ids = ids.where(~held_out_col("_id")).groupBy("_id").agg(F.max("_y").alias("_y"))
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    return ids.where(~held_out_col("_id")).groupBy("_id").agg(F.max("_y").alias("_y"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, label, text) of all labelled rows outside the held-out fold. Null ids and
+    labels take no part; a doc_id labelled twice counts with its larger label; of texts
+    under one id each counts. Any number of labels: joined by a shuffle."""
+    own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return own.where(~held_out_col("_id")).join(_label_ids(labels, label, doc_id).hint("merge"), "_id")
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """:func:`labelled` rows of at most ``rows`` ids: those with the smallest hash. At
+    most ``rows`` ids are broadcast."""
+    ids = _label_ids(labels, label, doc_id).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     return own.join(F.broadcast(ids), "_id")
 
 
+def sums(df: DataFrame, of: Callable[[dict], np.ndarray], width: int) -> np.ndarray:
+    """Sum over all rows of the vectors that ``of`` makes of batches of columns: added up
+    in each task, then in 16 groups; the driver gets 16 vectors."""
+    arrow = to_arrow_schema(typed("k int, part int, v binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(batch.to_pydict())
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"k": [part % 16], "part": [part], "v": [total.tobytes()]}, schema=arrow)
+
+    def add(key, group):
+        v = sum(np.frombuffer(x, float) for x in group.sort_by("part").column("v").to_pylist())
+        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
+
+    got = df.mapInArrow(run, "k int, part int, v binary").groupBy("k").applyInArrow(add, "k int, v binary").collect()
+    return sum((np.frombuffer(bytes(r["v"]), float) for r in sorted(got, key=lambda r: r["k"])), np.zeros(width))
+
+
 def logistic(x: np.ndarray, ridge: float, rounds: int = 30, y: np.ndarray | None = None) -> np.ndarray:
     """Weights of the logistic loss by Newton steps. Without ``y`` every row is a
     difference that should be positive."""

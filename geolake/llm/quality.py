@@ -1,8 +1,8 @@
 """Quality by pairwise ranking (Bradley-Terry).
 
 Every document becomes a vector of character-class pair shares and repetition
-measures. From labelled rows, each rejected document meets a fixed number of
-accepted ones; the logistic loss on the feature differences gives the weights.
+measures. All labelled rows are compared, in slices: each document meets a few of
+the other label; the logistic loss on the feature differences gives the weights.
 The cut is the quantile of the scores that matches the share of rejected labels,
 and scores are scaled so that the cut lies at 0.5.
 """
@@ -13,13 +13,18 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_sample, held_out, logistic, map_batches, sigmoid
+from ..operators.ordered import nth_values
+from ..session import cut
+from .common import held_out, labelled, map_batches, sigmoid, sums
 
-FIT_ROWS = 20_000
-PAIRS = 40_000
+SLICE_ROWS = 1024  # documents of the commoner label that are compared in one piece
+RARE_ROWS = 64  # documents of the rarer one beside them, if there are as many
+PARTNERS = 4
 KINDS = 11
 WIDTH = KINDS * KINDS + 6
 
@@ -76,35 +81,95 @@ class QualityModel:
         return sigmoid(self.slope * (raw - self.cut))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pairs: int = PAIRS, ridge: float = 3.0) -> QualityModel:
-    """Learn from at most ``rows`` labelled documents and ``pairs`` preferences.
+def _matrix(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.float32).reshape(-1, WIDTH).astype(float)
+
+
+def _newton(of, rows: DataFrame, ridge: float, width: int, rounds: int = 30) -> np.ndarray:
+    """Weights at which the summed gradient less ``ridge`` times the weights is zero;
+    ``of`` makes a batch and weights to (gradient, Hessian)."""
+    w = np.zeros(width)
+    for _ in range(rounds):
+        got = sums(rows, lambda b, w=w: np.concatenate([np.ravel(x) for x in of(b, w)]), width + width * width)
+        step = np.linalg.solve(got[width:].reshape(width, width) + ridge * np.eye(width), got[:width] - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, ridge: float = 3.0, slice_rows: int = SLICE_ROWS) -> QualityModel:
+    """Learn from all labelled documents outside the held-out fold. Slices of about
+    ``slice_rows`` documents of the commoner label are packed with some of the rarer one,
+    which stands in several slices if need be, and every document of a slice meets
+    ``PARTNERS`` of the other label or more. The driver sees sums only.
     With no pair to compare all weights are zero and every score is 0.5."""
 
     def setup():
         kinds = _kinds()
-        return lambda b: {"_id": b["_id"], "_y": b["_y"], "_x": [features(t, kinds).astype(np.float32).tobytes() for t in b["_text"]]}
+        return lambda b: {"_id": b["_id"], "_y": [int(y > 0) for y in b["_y"]], "_x": [features(t, kinds).astype(np.float32).tobytes() for t in b["_text"]]}
+
+    rows = cut(map_batches(labelled(docs, labels, "quality"), "_id long, _y int, _x binary", setup))
+
+    def moments(b):
+        x = _matrix(b["_x"])
+        return np.concatenate([[len(x), sum(b["_y"])], x.sum(0), (x * x).sum(0)])
 
-    sample = map_batches(fit_sample(docs, labels, "quality", rows), "_id long, _y int, _x binary", setup)
-    got = sorted((r["_id"], r["_y"], bytes(r["_x"])) for r in sample.collect())
-    if not got:
+    got = sums(rows, moments, 2 + 2 * WIDTH)
+    n, n_good = int(got[0]), int(got[1])
+    if not n:
         return QualityModel(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0, 1.0)
-    x = np.frombuffer(b"".join(r[2] for r in got), np.float32).reshape(len(got), WIDTH).astype(float)
-    y = np.array([r[1] for r in got])
-    mean, spread = x.mean(0), x.std(0) + 1e-3
-    z = (x - mean) / spread
-    good, bad = z[y > 0], z[y <= 0]
-    if not len(good) or not len(bad):
+    mean = got[2 : 2 + WIDTH] / n
+    spread = np.sqrt(np.maximum(got[2 + WIDTH :] / n - mean * mean, 0)) + 1e-3
+    n_bad = n - n_good
+    if not n_good or not n_bad:
         return QualityModel(mean, spread, np.zeros(WIDTH), 0.0, 1.0)
-    each = max(1, min(len(good), pairs // len(bad)))
-    step = max(1, len(good) // each)
-    i, j = np.repeat(np.arange(min(len(bad), pairs)), each), np.tile(np.arange(each), min(len(bad), pairs))
-    w = logistic(good[(i * 7919 + j * step) % len(good)] - bad[i], ridge)
-    raw = z @ w
-    order = np.sort(raw)
-    k = len(bad)  # the quantile at the share of rejected labels, between two neighbours
-    cut = float((order[k - 1] + order[min(k, len(order) - 1)]) / 2)
-    slope = max(float(logistic((raw - cut)[:, None], 0.1, y=(y > 0).astype(float))[0]), 1e-3)
-    return QualityModel(mean, spread, w, cut, slope)
+    common, rare = int(n_good >= n_bad), min(n_good, n_bad)
+    slices = -(-(n - rare) // slice_rows)
+    copies = min(slices, -(-RARE_ROWS * slices // rare))
+    own = F.when(F.col("_y") == common, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(copies - 1)))
+    dealt = rows.select("*", F.explode(own).alias("_k")).withColumn("_b", F.pmod(F.xxhash64("_id", "_x") + F.col("_k"), F.lit(slices)))
+
+    def pack(key, group):
+        t = group.sort_by([("_id", "ascending"), ("_x", "ascending")])
+        of = lambda y: b"".join(t.filter(pc.equal(t["_y"], y))["_x"].to_pylist())
+        return pa.table({"good": pa.array([of(1)], pa.binary()), "bad": pa.array([of(0)], pa.binary())})
+
+    packed = cut(dealt.groupBy("_b").applyInArrow(pack, "good binary, bad binary"))
+
+    def preferences(b, w):
+        grad, hess = np.zeros(WIDTH), np.zeros((WIDTH, WIDTH))
+        for good, bad in zip(b["good"], b["bad"], strict=True):
+            g, r = (_matrix([good]) - mean) / spread, (_matrix([bad]) - mean) / spread
+            if not len(g) or not len(r):
+                continue
+            more, less = max(len(g), len(r)), min(len(g), len(r))
+            for k in range(min(PARTNERS, less)):
+                i = np.arange(more)
+                j = (i + k * max(1, less // PARTNERS)) % less
+                x = g[i] - r[j] if len(g) >= len(r) else g[j] - r[i]
+                p = sigmoid(x @ w)
+                grad += x.T @ (1 - p)
+                hess += (x * (p * (1 - p))[:, None]).T @ x
+        return grad, hess
+
+    w = _newton(preferences, packed, ridge, WIDTH)
+
+    def setup_raw():
+        return lambda b: {"_g": [0] * len(b["_y"]), "_y": b["_y"], "raw": ((_matrix(b["_x"]) - mean) / spread) @ w}
+
+    raw = cut(map_batches(rows, "_g int, _y int, raw double", setup_raw))
+    # the quantile at the share of rejected labels, between two neighbours
+    ranks = raw.sparkSession.createDataFrame([(0, k) for k in sorted({n_bad - 1, min(n_bad, n - 1)})], "_g int, rank long")
+    at = nth_values(raw, "_g", "raw", ranks).agg(F.avg("raw")).first()[0]
+
+    def line(b, v):
+        d = np.array(b["raw"]) - at
+        p = sigmoid(d * v[0])
+        return [d @ (np.array(b["_y"]) - p)], [(d * d) @ (p * (1 - p))]
+
+    slope = max(float(_newton(line, raw, 0.1, 1)[0]), 1e-3)
+    return QualityModel(mean, spread, w, float(at), slope)
 
 
 def score(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -568,3 +568,24 @@ def test_main_text_of_the_pages(spark):
     for r in table(spark, DIR, "pages").collect():
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         assert got[r.page_id] == " ".join(unescape(re.sub(r"<(/?)(\w+)[^>]*>", inline, body)).split())
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Two rows of one label among many of the other stand in every slice, and no row is left out of the fit."""
+    seen = []
+    plain = quality.sums
+
+    def watched(rows, of, width):
+        got = plain(rows, of, width)
+        seen.append(got[:2])
+        return got
+
+    monkeypatch.setattr(quality, "sums", watched, raising=False)
+    n = 30_000
+    docs = spark.range(n).selectExpr("id as doc_id", "if(id % 10000 = 3, '|| ## 00 |', 'plain words and more of them') as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "if(id % 10000 = 3, 0, 1) as quality")
+    model = quality.fit(docs, labels)
+    learnt = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
+    assert tuple(seen[0]) == (learnt.count(), learnt.where("quality = 1").count())
+    s = {r.bad: r.p for r in quality.score(docs, model).selectExpr("doc_id % 10000 = 3 as bad", "predicted as p").distinct().collect()}
+    assert s == {True: 0, False: 1}
