@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.geo import haversine_m, lonlat_to_tile, lonlat_to_tm2
@@ -206,12 +207,21 @@ def _grid(c: str, cell: float) -> Column:
     return (F.col(c) / cell).cast("long")
 
 
+CROWD = 50_000  # rows of a side above which a cell's work is dealt over several tasks
+PAIRS_HELD = 1 << 18  # distances a task holds at once
+
+
 def locate_on_lines(points: DataFrame, vertices: DataFrame, max_m: float, point_key: str = "station", line_key: str = "part_id") -> DataFrame:
     """Nearest position of each point on each line within ``max_m`` projected
-    metres: dist_m, ratio and length_m. The first segment wins ties."""
+    metres: dist_m, ratio and length_m. The first segment wins ties.
+
+    A point lies in one cell, and all segments near it are dealt to that cell: the best
+    segment of a line is found there, so no pair of a point and a segment is ever
+    shuffled. Crowded cells are cut by points and by lines."""
     x, y = lonlat_to_tm2("lon", "lat")
     v = arc_ratio(vertices.select(line_key, "seq", "lon", "lat"), line_key)
     s = to_segments(v.select(line_key, "seq", "x", "y", "cum_m", "length_m"), line_key, ("x", "y", "cum_m"))
+    s = cut(s.select(line_key, "seq", "x0", "y0", "x1", "y1", "cum_m0", "cum_m1", "length_m"))
     lo = lambda a: F.least(f"{a}0", f"{a}1") - max_m
     hi = lambda a: F.greatest(f"{a}0", f"{a}1") + max_m
     cell = max_m * 2
@@ -219,12 +229,76 @@ def locate_on_lines(points: DataFrame, vertices: DataFrame, max_m: float, point_
         "*", F.explode(_cells_between(lo("y"), hi("y"), cell)).alias("_cy")
     )
     p = points.select(point_key, x.alias("_px"), y.alias("_py")).withColumns({"_cx": _cell("_px", cell), "_cy": _cell("_py", cell)})
-    d, t = _segment_distance(F.col("_px"), F.col("_py"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
-    j = p.join(s, ["_cx", "_cy"]).withColumns({"dist_m": d, "_t": t}).where(F.col("dist_m") < max_m)
-    arc = F.col("cum_m0") + F.col("_t") * (F.col("cum_m1") - F.col("cum_m0"))
-    j = j.withColumn("ratio", F.when(F.col("length_m") > 0, arc / F.col("length_m")).otherwise(F.lit(0.0)))
-    best = F.min_by(F.struct("dist_m", "ratio", "length_m"), F.struct("dist_m", "seq"))
-    return j.groupBy(point_key, line_key).agg(best.alias("_b")).select(point_key, line_key, "_b.*")
+    size = p.groupBy("_cx", "_cy").agg(F.count("*").alias("_np")).join(s.groupBy("_cx", "_cy").agg(F.count("*").alias("_ns")), ["_cx", "_cy"])
+    size = cut(size)
+    work = size.agg(F.sum(F.col("_np").cast("double") * F.col("_ns"))).first()[0] or 0.0
+    crowd = size.where((F.col("_np") > CROWD) | (F.col("_ns") > CROWD))
+    crowd = crowd.select("_cx", "_cy", F.ceil(F.col("_np") / CROWD).alias("_a"), F.ceil(F.col("_ns") / CROWD).alias("_b"))
+    if crowd.isEmpty():
+        p, s = (d.withColumns({"_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long")}) for d in (p, s))
+    else:
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1)) - 1))
+        one = lambda n, *c: F.coalesce(F.pmod(F.xxhash64(*c), n), F.lit(0).cast("long"))
+        p = p.join(crowd, ["_cx", "_cy"], "left").withColumns({"_i": one(F.col("_a"), "_px", "_py", point_key), "_j": every(F.col("_b"))}).drop("_a", "_b")
+        s = s.join(crowd, ["_cx", "_cy"], "left").withColumns({"_j": one(F.col("_b"), line_key), "_i": every(F.col("_a"))}).drop("_a", "_b")
+    keys = ["_cx", "_cy", "_i", "_j"]
+    # little to read, much to compare: tasks by number of distances, not by bytes
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(work / 2e8) + 1, 20_000))
+    dealt = [d.repartition(tasks, *keys).groupBy(*keys) for d in (p, s)]
+    out = T.StructType([T.StructField(c, t) for c, t in [(point_key, p.schema[point_key].dataType), (line_key, s.schema[line_key].dataType)]])
+    out = out.add("seq", s.schema["seq"].dataType).add("dist_m", "double").add("ratio", "double").add("length_m", "double")
+    j = dealt[0].cogroup(dealt[1]).applyInArrow(_best_segments(max_m, point_key, line_key), out)
+    if not points.groupBy(point_key).count().where("count > 1").isEmpty():  # one key at several places
+        best = F.min_by(F.struct("dist_m", "ratio", "length_m"), F.struct("dist_m", "seq"))
+        return j.groupBy(point_key, line_key).agg(best.alias("_b")).select(point_key, line_key, "_b.*")
+    return j.drop("seq")
+
+
+def _best_segments(max_m: float, point_key: str, line_key: str):
+    """The task of a cell: for its points and lines the first nearest segment."""
+
+    def best(pts, segs):
+        import numpy as np
+        import pyarrow as pa
+
+        segs = segs.sort_by([(line_key, "ascending"), ("seq", "ascending")])
+        num = lambda t, c: t[c].to_numpy().astype("float64")
+        px, py = num(pts, "_px"), num(pts, "_py")
+        x0, y0, x1, y1, c0, c1, length = (num(segs, c) for c in ("x0", "y0", "x1", "y1", "cum_m0", "cum_m1", "length_m"))
+        n = len(x0)
+        names = [point_key, line_key, "seq", "dist_m", "ratio", "length_m"]
+        who, seg, dist, arc = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0)], [np.zeros(0)]
+        if n and len(px):
+            line = segs[line_key].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1])
+            sizes = np.diff(np.append(starts, n))
+            dx, dy, at = x1 - x0, y1 - y0, np.arange(n)
+            len2 = dx * dx + dy * dy
+            step = max(1, PAIRS_HELD // n)
+            for i in range(0, len(px), step):
+                qx, qy = px[i : i + step, None], py[i : i + step, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    t = np.where(len2 == 0, 0.0, ((qx - x0) * dx + (qy - y0) * dy) / len2)
+                t = np.minimum(np.maximum(t, 0.0), 1.0)
+                ex, ey = qx - (x0 + t * dx), qy - (y0 + t * dy)
+                d = np.sqrt(ex * ex + ey * ey)
+                low = np.fmin.reduceat(d, starts, axis=1)
+                a, b = np.nonzero(low < max_m)
+                if not len(a):
+                    continue
+                first = np.minimum.reduceat(np.where(d == np.repeat(low, sizes, axis=1), at, n), starts, axis=1)[a, b]
+                who.append(a + i)
+                seg.append(first)
+                dist.append(low[a, b])
+                arc.append(c0[first] + t[a, first] * (c1[first] - c0[first]))
+        who, seg, dist, arc = (np.concatenate(c) for c in (who, seg, dist, arc))
+        whole = length[seg]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(whole <= 0, 0.0, arc / whole)
+        cols = [pts[point_key].take(pa.array(who)), segs[line_key].take(pa.array(seg)), segs["seq"].take(pa.array(seg))]
+        return pa.Table.from_arrays([*cols, pa.chunked_array([dist]), pa.chunked_array([ratio]), pa.chunked_array([whole])], names=names)
+
+    return best
 
 
 def build_tracks(stations: DataFrame, vertices: DataFrame, max_m: float = 800.0) -> DataFrame:

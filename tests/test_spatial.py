@@ -124,3 +124,45 @@ def test_peaks_without_meeting_all_points(spark, monkeypatch, held):
         spark.createDataFrame(pts, "point_id long, x double, y double, elev double"), spark.createDataFrame(centers, "center_id long, x double, y double"), 0.5, 0.2, 6, 75.0
     )
     assert {(r.center_id, r.point_id) for r in found.collect()} == want
+
+
+def brute_lines(points, lines, max_m):
+    """All segments, one by one, in projected metres."""
+    best = {}
+    for st, px, py in points:
+        for line, vs in lines.items():
+            total = sum(float(np.hypot(b[0] - a[0], b[1] - a[1])) for a, b in zip(vs, vs[1:]))
+            cum = 0.0
+            for k, ((ax, ay), (bx, by)) in enumerate(zip(vs, vs[1:])):
+                n = (bx - ax) ** 2 + (by - ay) ** 2
+                t = 0.0 if n == 0 else min(max(((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / n, 0.0), 1.0)
+                d = float(np.hypot(px - (ax + t * (bx - ax)), py - (ay + t * (by - ay))))
+                if d < max_m and (st, line) not in best or d < best.get((st, line), (max_m,))[0] - 1e-9:
+                    best[st, line] = (d, (cum + t * n**0.5) / total if total else 0.0)
+                cum += n**0.5
+    return best
+
+
+@pytest.mark.parametrize("crowd", [50_000, 4])
+def test_locate_on_lines_without_pairs_of_segments(spark, monkeypatch, crowd):
+    from geolake.functions.geo import lonlat_to_tm2
+
+    monkeypatch.setattr(spatial, "CROWD", crowd)
+    rnd = random.Random(5)
+    spots = [(f"s{i % 50}", 121 + rnd.uniform(0, 0.04), 23 + rnd.uniform(0, 0.04)) for i in range(60)]  # ten stations stand twice
+    lines = [(p, k, 121 + p * 0.004 + k * 0.001 * (p % 3), 23 + rnd.uniform(0, 0.04)) for p in range(8) for k in range(9)]
+    st = spark.createDataFrame(spots, "station string, lon double, lat double")
+    vs = spark.createDataFrame(lines, "part_id long, seq long, lon double, lat double")
+    x, y = lonlat_to_tm2("lon", "lat")
+    plain = {}
+    for r in vs.select("part_id", x.alias("x"), y.alias("y")).orderBy("part_id", "seq").collect():
+        plain.setdefault(r.part_id, []).append((r.x, r.y))
+    want = brute_lines([tuple(r) for r in st.select("station", x, y).collect()], plain, 800.0)
+    out = spatial.locate_on_lines(st, vs, 800.0)
+    got = {(r.station, r.part_id): (r.dist_m, r.ratio) for r in out.collect()}
+    assert got.keys() == want.keys() and len(got) == out.count()
+    assert all(abs(got[k][0] - want[k][0]) < 1e-6 and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+    # of stations that stand once nothing is shuffled behind the cells
+    once = spatial.locate_on_lines(st.dropDuplicates(["station"]), vs, 800.0)
+    plan = once._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan.split("FlatMapCoGroups")[0]
