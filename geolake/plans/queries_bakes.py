@@ -65,7 +65,7 @@ def _network(t):
     station = F.expr("'S' || cast(part_id * 20 + seq as string)").alias("station")
     first = t.vertices.where("elev >= 30").select(station, (F.col("lon") + 2e-3).alias("lon"), (F.col("lat") + 1e-3).alias("lat"))
     second = t.vertices.where("elev >= 10").select(station, (F.col("lon") - 1e-3).alias("lon"), (F.col("lat") - 2e-3).alias("lat"))
-    return cut(spatial.build_tracks(joins.gap_fill(first, second, "station"), t.vertices))
+    return spatial.build_tracks(cut(joins.gap_fill(first, second, "station")), t.vertices)
 
 
 @query("bake_timetable_legs", f"{NETWORK} select trip_id, seq, part_id, round(rf, 4) as ratio_from, round(rt, 4) as ratio_to from rl")

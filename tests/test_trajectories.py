@@ -178,3 +178,29 @@ def test_few_kept_reports_across_batches(size):
         got = pd.concat(list(windows._enough((rows[k : k + size] for k in range(0, 45, size)), least)))
         n = rows[rows.kept].groupby("entity_id")["p"].transform("size")
         assert got["p"].tolist() == rows[rows.kept][n >= least]["p"].tolist()
+
+
+def test_legs_by_lists_of_parts(spark):
+    rnd = random.Random(8)
+    far = [0, 1, 2, 65_535, 65_536, 70_000, 200_000, -1, -70_000]
+    ts = [(f"S{rnd.randrange(12)}", rnd.choice(far), rnd.choice([None, rnd.random()])) for _ in range(90)] + [("S1", None, 0.5)]
+    stops = [(trip, k, f"S{rnd.randrange(13)}", k * 600, k * 600 + 60) for trip in range(40) for k in range(6)]
+    tracks = spark.createDataFrame(ts, "station string, part_id long, ratio double")
+    got = fleet.resolve_legs(spark.createDataFrame(stops, "trip_id long, seq long, station string, arr_sec long, dep_sec long"), tracks)
+    assert dict(got.dtypes)["part_id"] == "bigint"
+    high = {}
+    for s, p, r in ts:
+        if p is not None:
+            high.setdefault((s, p), []).append(r)
+    high = {k: max([r for r in v if r is not None], default=0.0) for k, v in high.items()}
+    at = {(t, k): s for t, k, s, _, _ in stops}
+    rows = got.collect()
+    assert len(rows) == 200
+    for r in rows:
+        f, t = at[r.trip_id, r.seq], at[r.trip_id, r.seq + 1]
+        both = [p for p in far if (f, p) in high and (t, p) in high]
+        want = (min(both), high[f, min(both)], high[t, min(both)]) if both else (-1, 0.0, 0.0)
+        assert (r.part_id, r.ratio_from, r.ratio_to) == want
+    # a station is a row or two, however many parts it is on
+    many = spark.range(300).select(F.lit("S0").alias("station"), F.col("id").alias("part_id"), F.lit(0.5).alias("ratio"))
+    assert fleet.station_lists(many).count() == 1
