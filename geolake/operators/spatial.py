@@ -209,6 +209,28 @@ def _grid(c: str, cell: float) -> Column:
 
 CROWD = 50_000  # rows of a side above which a cell's work is dealt over several tasks
 PAIRS_HELD = 1 << 18  # distances a task holds at once
+FULL = 1_000  # segments of a cell that are met in one pass rather than as joined rows
+
+
+def _deal(p: DataFrame, s: DataFrame, point_cols, line_key: str):
+    """Rows of both sides grouped by cell (_cx, _cy), to be met in one task each; a cell
+    with a crowd on a side is cut by points and by lines (_i, _j)."""
+    size = p.groupBy("_cx", "_cy").agg(F.count("*").alias("_np")).join(s.groupBy("_cx", "_cy").agg(F.count("*").alias("_ns")), ["_cx", "_cy"])
+    size = cut(size)
+    work = size.agg(F.sum(F.col("_np").cast("double") * F.col("_ns"))).first()[0] or 0.0
+    crowd = size.where((F.col("_np") > CROWD) | (F.col("_ns") > CROWD))
+    crowd = crowd.select("_cx", "_cy", F.ceil(F.col("_np") / CROWD).alias("_a"), F.ceil(F.col("_ns") / CROWD).alias("_b"))
+    if crowd.isEmpty():
+        p, s = (d.withColumns({"_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long")}) for d in (p, s))
+    else:
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1)) - 1))
+        one = lambda n, *c: F.coalesce(F.pmod(F.xxhash64(*c), n), F.lit(0).cast("long"))
+        p = p.join(crowd, ["_cx", "_cy"], "left").withColumns({"_i": one(F.col("_a"), *point_cols), "_j": every(F.col("_b"))}).drop("_a", "_b")
+        s = s.join(crowd, ["_cx", "_cy"], "left").withColumns({"_j": one(F.col("_b"), line_key), "_i": every(F.col("_a"))}).drop("_a", "_b")
+    keys = ["_cx", "_cy", "_i", "_j"]
+    # little to read, much to compare: tasks by number of distances, not by bytes
+    tasks = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(work / 2e8) + 1, 20_000))
+    return [d.repartition(tasks, *keys).groupBy(*keys) for d in (p, s)]
 
 
 def locate_on_lines(points: DataFrame, vertices: DataFrame, max_m: float, point_key: str = "station", line_key: str = "part_id") -> DataFrame:
@@ -229,25 +251,10 @@ def locate_on_lines(points: DataFrame, vertices: DataFrame, max_m: float, point_
         "*", F.explode(_cells_between(lo("y"), hi("y"), cell)).alias("_cy")
     )
     p = points.select(point_key, x.alias("_px"), y.alias("_py")).withColumns({"_cx": _cell("_px", cell), "_cy": _cell("_py", cell)})
-    size = p.groupBy("_cx", "_cy").agg(F.count("*").alias("_np")).join(s.groupBy("_cx", "_cy").agg(F.count("*").alias("_ns")), ["_cx", "_cy"])
-    size = cut(size)
-    work = size.agg(F.sum(F.col("_np").cast("double") * F.col("_ns"))).first()[0] or 0.0
-    crowd = size.where((F.col("_np") > CROWD) | (F.col("_ns") > CROWD))
-    crowd = crowd.select("_cx", "_cy", F.ceil(F.col("_np") / CROWD).alias("_a"), F.ceil(F.col("_ns") / CROWD).alias("_b"))
-    if crowd.isEmpty():
-        p, s = (d.withColumns({"_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long")}) for d in (p, s))
-    else:
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1)) - 1))
-        one = lambda n, *c: F.coalesce(F.pmod(F.xxhash64(*c), n), F.lit(0).cast("long"))
-        p = p.join(crowd, ["_cx", "_cy"], "left").withColumns({"_i": one(F.col("_a"), "_px", "_py", point_key), "_j": every(F.col("_b"))}).drop("_a", "_b")
-        s = s.join(crowd, ["_cx", "_cy"], "left").withColumns({"_j": one(F.col("_b"), line_key), "_i": every(F.col("_a"))}).drop("_a", "_b")
-    keys = ["_cx", "_cy", "_i", "_j"]
-    # little to read, much to compare: tasks by number of distances, not by bytes
-    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(work / 2e8) + 1, 20_000))
-    dealt = [d.repartition(tasks, *keys).groupBy(*keys) for d in (p, s)]
-    out = T.StructType([T.StructField(c, t) for c, t in [(point_key, p.schema[point_key].dataType), (line_key, s.schema[line_key].dataType)]])
-    out = out.add("seq", s.schema["seq"].dataType).add("dist_m", "double").add("ratio", "double").add("length_m", "double")
-    j = dealt[0].cogroup(dealt[1]).applyInArrow(_best_segments(max_m, point_key, line_key), out)
+    p, s = _deal(p, s, [point_key, "_px", "_py"], line_key)
+    out = T.StructType([T.StructField(c, t) for c, t in [(point_key, points.schema[point_key].dataType), (line_key, vertices.schema[line_key].dataType)]])
+    out = out.add("seq", vertices.schema["seq"].dataType).add("dist_m", "double").add("ratio", "double").add("length_m", "double")
+    j = p.cogroup(s).applyInArrow(_best_segments(max_m, point_key, line_key), out)
     if not points.groupBy(point_key).count().where("count > 1").isEmpty():  # one key at several places
         best = F.min_by(F.struct("dist_m", "ratio", "length_m"), F.struct("dist_m", "seq"))
         return j.groupBy(point_key, line_key).agg(best.alias("_b")).select(point_key, line_key, "_b.*")
@@ -308,17 +315,20 @@ def build_tracks(stations: DataFrame, vertices: DataFrame, max_m: float = 800.0)
 
 
 # --------------------------------------------------------------------- top-k near
-def gather_near(centers: DataFrame, points: DataFrame, r: float, cap: int, center_key: str = "center_id", point_key: str = "point_id", leaf_rows: int = 20_000) -> DataFrame:
+def gather_near(centers: DataFrame, points: DataFrame, r: float, cap: int, center_key: str = "center_id", point_key: str = "point_id", leaf_rows: int = 64) -> DataFrame:
     """The ``cap`` nearest points within ``r`` of each centre in the plane (x, y);
     ties go to the lower key.
 
     Exact and safe in crowded places: copies at one spot are folded to ``cap``
     rows; crowded cells are split in four, level by level, and a centre only
     descends into cells that can still hold one of its nearest (bounded by the
-    counts of cells lying wholly nearer)."""
+    counts of cells lying wholly nearer). Leaves are small, so a centre meets about as
+    many points however many there are."""
     wspot = Window.partitionBy("x", "y").orderBy(point_key)
     p = points.select(point_key, "x", "y").withColumn("_k", F.row_number().over(wspot)).where(F.col("_k") <= cap).drop("_k")
     leaf_rows = max(leaf_rows, cap)
+    # few bytes a centre, much work: tasks by number of centres
+    tasks = max(int(centers.sparkSession.conf.get("spark.sql.shuffle.partitions")), centers.count() // 4_000 + 1)
 
     def keyed(df: DataFrame, level: int) -> DataFrame:
         side = r / 2**level
@@ -338,7 +348,7 @@ def gather_near(centers: DataFrame, points: DataFrame, r: float, cap: int, cente
         far_x, far_y = F.greatest(F.abs(F.col("x") - x0), F.abs(F.col("x") - x0 - side)), F.greatest(F.abs(F.col("y") - y0), F.abs(F.col("y") - y0 - side))
         f = front.withColumn("_min2", near_x * near_x + near_y * near_y).where(F.col("_min2") <= r * r)
         if not more:
-            out.append(_near_pairs(f, here, r, cap, center_key, point_key))
+            out.append(_near_pairs(f.repartition(tasks, "_cx", "_cy"), here, r, cap, center_key, point_key))
             break
         f = f.withColumn("_max2", far_x * far_x + far_y * far_y).join(counts, ["_cx", "_cy"])
         w = Window.partitionBy(center_key).orderBy("_max2").rowsBetween(Window.unboundedPreceding, 0)
@@ -347,7 +357,7 @@ def gather_near(centers: DataFrame, points: DataFrame, r: float, cap: int, cente
         f = f.join(bound, center_key, "left").where(F.col("_min2") <= F.coalesce("_u", F.lit(r * r)))
         f = cut(f.join(crowded, ["_cx", "_cy"], "left").select(center_key, "x", "y", "_cx", "_cy", "_split"))
         here = here.join(crowded, ["_cx", "_cy"], "left")
-        out.append(_near_pairs(f.where("_split is null"), here.where("_split is null"), r, cap, center_key, point_key))
+        out.append(_near_pairs(f.where("_split is null").repartition(tasks, "_cx", "_cy"), here.where("_split is null"), r, cap, center_key, point_key))
         rest = cut(here.where("_split").select(point_key, "x", "y"))
         kid = F.explode(F.array(F.lit(0), F.lit(1)))
         front = f.where("_split").select("*", kid.alias("_i")).select("*", kid.alias("_j"))
@@ -369,23 +379,88 @@ def _near_pairs(front, here, r, cap, center_key, point_key):
 def pick(points: DataFrame, segments: DataFrame, queries: DataFrame, tol: float, query_key: str = "query_id") -> DataFrame:
     """Nearest feature within ``tol`` per query; a later layer (higher
     ``priority``) wins over any earlier one. ``points`` hold layer, priority,
-    feature_id, x, y; ``segments`` x0, y0, x1, y1 instead."""
-    q = queries.select(query_key, F.col("x").alias("_px"), F.col("y").alias("_py"))
-    q = q.withColumns({"_cx": _cell("_px", tol), "_cy": _cell("_py", tol)})
+    feature_id, x, y; ``segments`` x0, y0, x1, y1 instead.
+
+    Queries look around in widening cells: one that finds a feature of the highest
+    priority within a cell's side is settled, so crowded places are never met whole."""
     feat = ["layer", "priority", "feature_id"]
     # copies of one spot in one layer: only the lowest feature can be picked
     pts = points.groupBy("layer", "priority", "x", "y").agg(F.min("feature_id").alias("feature_id"))
     a = pts.select(*feat, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    s = a.unionByName(segments.select(*feat, "x0", "y0", "x1", "y1"))
-    lo = lambda c: F.least(f"{c}0", f"{c}1") - tol
-    hi = lambda c: F.greatest(f"{c}0", f"{c}1") + tol
-    s = s.select("*", F.explode(_cells_between(lo("x"), hi("x"), tol)).alias("_cx")).select(
-        "*", F.explode(_cells_between(lo("y"), hi("y"), tol)).alias("_cy")
-    )
-    d, _ = _segment_distance(F.col("_px"), F.col("_py"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
-    j = q.join(s, ["_cx", "_cy"]).withColumn("dist", d).where(F.col("dist") <= tol)
+    every = cut(a.unionByName(segments.select(*feat, "x0", "y0", "x1", "y1")))
+    top = every.agg(F.max("priority")).first()[0]
+    todo = queries.select(query_key, F.col("x").alias("_px"), F.col("y").alias("_py"))
+    out = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), *[every.schema[c] for c in feat]]).add("dist", "double")
     best = F.min_by(F.struct(*feat, "dist"), F.struct((-F.col("priority")).alias("p"), "dist", "feature_id"))
-    return j.groupBy(query_key).agg(best.alias("_b")).select(query_key, "_b.*")
+    done = None
+    d, _ = _segment_distance(F.col("_px"), F.col("_py"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    for r in (tol / 16, tol):
+        lo = lambda c: F.least(f"{c}0", f"{c}1") - r  # noqa: B023, E731
+        hi = lambda c: F.greatest(f"{c}0", f"{c}1") + r  # noqa: B023, E731
+        s = every.select("*", F.explode(_cells_between(lo("x"), hi("x"), r)).alias("_cx")).select(
+            "*", F.explode(_cells_between(lo("y"), hi("y"), r)).alias("_cy")
+        )
+        q = todo.withColumns({"_cx": _cell("_px", r), "_cy": _cell("_py", r)})
+        if r < tol:  # many cells with little in each: a plain join, but for the full ones
+            full = cut(s.groupBy("_cx", "_cy").agg(F.count("*").alias("_n")).where(F.col("_n") > FULL).select("_cx", "_cy"))
+            # the optimizer does not see how many cells a segment has: it would broadcast them all
+            tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), q.count() // 50_000 + 1)
+            few = q.join(full, ["_cx", "_cy"], "left_anti").repartition(tasks, "_cx", "_cy").join(s.hint("merge"), ["_cx", "_cy"]).withColumn("dist", d).where(F.col("dist") <= r)
+            q, s = (side.join(full, ["_cx", "_cy"], "left_semi") for side in (q, s))
+        q, s = _deal(q, s, [query_key, "_px", "_py"], "feature_id")
+        j = q.cogroup(s).applyInArrow(_best_features(r, query_key), out)
+        if r < tol:
+            j = j.unionByName(few.select(*j.columns))
+        j = cut(j.groupBy(query_key).agg(best.alias("_b")).select(query_key, "_b.*"))
+        if r == tol:
+            return j if done is None else done.unionByName(j)
+        found = j.where(F.col("priority") == F.lit(top))
+        done = found if done is None else done.unionByName(found)
+        todo = cut(todo.join(found.select(query_key), query_key, "left_anti"))
+
+
+def _best_features(r: float, query_key: str):
+    """The task of a cell: for its queries the nearest feature of the highest priority."""
+
+    def best(queries, segs):
+        import numpy as np
+        import pyarrow as pa
+
+        segs = segs.sort_by([("priority", "descending"), ("feature_id", "ascending"), ("layer", "ascending")])
+        num = lambda t, c: t[c].to_numpy().astype("float64")
+        px, py = num(queries, "_px"), num(queries, "_py")
+        x0, y0, x1, y1 = (num(segs, c) for c in ("x0", "y0", "x1", "y1"))
+        n = len(x0)
+        who, seg, dist = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0)]
+        if n and len(px):
+            rank = segs["priority"].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(rank)) + 1])
+            ends = np.append(starts[1:], n)
+            dx, dy = x1 - x0, y1 - y0
+            len2 = dx * dx + dy * dy
+            step = max(1, PAIRS_HELD // n)
+            for i in range(0, len(px), step):
+                qx, qy = px[i : i + step, None], py[i : i + step, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    t = np.where(len2 == 0, 0.0, ((qx - x0) * dx + (qy - y0) * dy) / len2)
+                t = np.minimum(np.maximum(t, 0.0), 1.0)
+                ex, ey = qx - (x0 + t * dx), qy - (y0 + t * dy)
+                d = np.sqrt(ex * ex + ey * ey)
+                d = np.where(d <= r, d, np.inf)
+                left = np.arange(len(qx))
+                for a, b in zip(starts, ends):  # the highest priority first
+                    at = d[left, a:b].argmin(axis=1) + a
+                    low = d[left, at]
+                    hit = low <= r
+                    who.append(left[hit] + i)
+                    seg.append(at[hit])
+                    dist.append(low[hit])
+                    left = left[~hit]
+        who, seg, dist = (np.concatenate(c) for c in (who, seg, dist))
+        cols = [queries[query_key].take(pa.array(who)), *[segs[c].take(pa.array(seg)) for c in ("layer", "priority", "feature_id")]]
+        return pa.Table.from_arrays([*cols, pa.chunked_array([dist])], names=[query_key, "layer", "priority", "feature_id", "dist"])
+
+    return best
 
 
 def assign_tiles(df: DataFrame, z: int, kind: str = "point") -> DataFrame:

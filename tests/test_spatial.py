@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -166,3 +167,50 @@ def test_locate_on_lines_without_pairs_of_segments(spark, monkeypatch, crowd):
     once = spatial.locate_on_lines(st.dropDuplicates(["station"]), vs, 800.0)
     plan = once._jdf.queryExecution().sparkPlan().toString()
     assert "Aggregate" not in plan.split("FlatMapCoGroups")[0]
+
+
+def test_gather_splits_crowds_by_default(spark):
+    import inspect
+
+    pts, cap, r = cloud(900, 4), 3, 1.5
+    cs = [(i, 0.4 * i, 4 - 0.4 * i) for i in range(11)]
+    leaf = inspect.signature(spatial.gather_near).parameters["leaf_rows"].default
+    assert leaf <= 100  # 900 points in nine cells are split
+    out = spatial.gather_near(spark.createDataFrame(cs, "center_id long, x double, y double"), spark.createDataFrame(pts, "point_id long, x double, y double"), r, cap)
+    got = {(o.center_id, o["rank"]): o.point_id for o in out.collect()}
+    for c, x, y in cs:
+        d = sorted(((px - x) * (px - x) + (py - y) * (py - y), i) for i, px, py in pts)
+        assert [got.get((c, k + 1)) for k in range(cap)] == [i for dd, i in d if dd <= r * r][:cap]
+
+
+@pytest.mark.parametrize("full,crowd", [(1_000, 50_000), (2, 5)])
+def test_pick_in_widening_cells(spark, monkeypatch, full, crowd):
+    monkeypatch.setattr(spatial, "FULL", full)
+    monkeypatch.setattr(spatial, "CROWD", crowd)
+    rnd = random.Random(9)
+    pts = [("sites", 1, i, rnd.uniform(0, 3), rnd.uniform(0, 3)) for i in range(60)] + [("sites", 1, 100 + i, 1.0, 1.0) for i in range(20)]
+    segs = [("lines", 2, i % 30, x, y, x + rnd.uniform(-0.1, 0.1), y + rnd.uniform(-0.1, 0.1)) for i in range(60) for x, y in [(rnd.uniform(0, 1.5), rnd.uniform(0, 3))]]
+    segs += [("lines", 2, 50, 0.5, 0.5, 0.5, 0.5)]
+    qs = [(i, rnd.uniform(-0.5, 3.5), rnd.uniform(-0.5, 3.5)) for i in range(120)] + [(500, 0.5, 0.5), (501, 1.0, 1.0)]
+    tol = 0.32
+    out = spatial.pick(
+        spark.createDataFrame(pts, "layer string, priority int, feature_id long, x double, y double"),
+        spark.createDataFrame(segs, "layer string, priority int, feature_id long, x0 double, y0 double, x1 double, y1 double"),
+        spark.createDataFrame(qs, "query_id long, x double, y double"), tol,
+    )
+    got = {r.query_id: (r.layer, r.feature_id, r.dist) for r in out.collect()}
+    want = {}
+    for k, px, py in qs:
+        all_ = [(l, p, f, x, y, x, y) for l, p, f, x, y in pts] + segs
+        best = []
+        for layer, prio, f, ax, ay, bx, by in all_:
+            n = (bx - ax) ** 2 + (by - ay) ** 2
+            t = 0.0 if n == 0 else min(max(((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / n, 0.0), 1.0)
+            dist = math.sqrt((px - (ax + t * (bx - ax))) ** 2 + (py - (ay + t * (by - ay))) ** 2)
+            if dist <= tol:
+                best.append((-prio, dist, f, layer))
+        if best:
+            _, dist, f, layer = min(best)
+            want[k] = (layer, f, dist)
+    assert got.keys() == want.keys() and out.count() == len(want)
+    assert all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-12 for k in want)
