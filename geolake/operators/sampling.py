@@ -37,6 +37,9 @@ def hit_levels(sampled: DataFrame) -> DataFrame:
     return sampled.groupBy("level").agg(F.count("*").alias("n"))
 
 
+POINTS_HELD = 200_000  # points whose taps one task adds up
+
+
 def _taps(x: Column, y: Column) -> Column:
     """Four (gx, gy, weight) around pixel-centre coordinates; centres sit at +0.5."""
     sx, sy = x - 0.5, y - 0.5
@@ -55,7 +58,9 @@ def bilinear_at(points: DataFrame, cells: DataFrame, key, x: Column, y: Column,
     """Bilinear value at pixel coordinates, one row per ``key``; missing cells
     read as 0. Four taps per point meet the cells in one equi-join."""
     key = _cols(key)
-    taps = points.select(*key, F.explode(_taps(x, y)).alias("_t")).select(*key, "_t.*")
+    # points may come from a small file: tasks by their number, or one would add up all
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.count() // POINTS_HELD + 1)
+    taps = points.repartition(tasks, *key).select(*key, F.explode(_taps(x, y)).alias("_t")).select(*key, "_t.*")
     j = taps.join(cells.select("gx", "gy", *values), ["gx", "gy"], "left")
     return j.groupBy(*key).agg(*[F.sum(F.col("w") * F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in values])
 

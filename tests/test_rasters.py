@@ -282,3 +282,13 @@ def test_stored_pixels_are_not_broadcast(spark):
     got = readers.scan_tile_range(cells, 3, (0, 1, 0, 0), 4)
     assert "BroadcastHashJoin" not in plan_of(got)
     assert got.count() == 32 and got.agg(F.sum("v")).first()[0] == 12.0
+
+
+def test_taps_of_a_small_file_are_added_up_by_many_tasks(spark):
+    from geolake.operators import sampling
+
+    pts = spark.range(0, 40, 1, 1).select(F.col("id").alias("k"), (F.col("id") % 7 + 0.25).alias("x"), (F.col("id") % 5 + 0.75).alias("y"))
+    cells = spark.range(80).select((F.col("id") % 8).alias("gx"), F.floor(F.col("id") / 8).cast("long").alias("gy"), F.col("id").cast("double").alias("v"))
+    out = sampling.bilinear_at(pts, cells, "k", F.col("x"), F.col("y"))
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().sparkPlan().toString()
+    assert out.count() == 40
