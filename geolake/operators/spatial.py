@@ -15,6 +15,7 @@ from .geometry import ring_edges
 from .ordered import _cols
 from .windows import arc_ratio, top_n, to_segments
 
+ROWS_MET = 5e6  # rows of a join that one task counts
 RING3 = [(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1)]
 
 
@@ -120,7 +121,14 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, point_key: str, ring
     # an edge across the side: whether its eastern end lies above, and whether it is counted there
     turns = across & (((upper > py) != (upper > south)) != (_right_of(side, py, True) != _right_of(side, south, True)))
     n = (_right_of(px, py) != _right_of(side, py, True)).cast("int") + turns.cast("int")
-    near = p.join(edges, ["_cx", "_cy"]).groupBy(point_key, *rk).agg((F.sum(n) + F.first(F.col("_odd").cast("int"))).alias("_n"))
+    # a point and a ring meet in one cell: counted there, in tasks by number of rows met
+    edges = cut(edges)
+    at = ["_cx", "_cy"]
+    met = p.groupBy(*at).agg(F.count("*").cast("double").alias("_a")).join(edges.groupBy(*at).agg(F.count("*").alias("_b")), at)
+    met = met.agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0.0
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(met / ROWS_MET) + 1, 20_000))
+    dealt = p.repartition(tasks, *at).join(edges.repartition(tasks, *at).hint("merge"), at)
+    near = dealt.groupBy(*at, point_key, *rk).agg((F.sum(n) + F.first(F.col("_odd").cast("int"))).alias("_n"))
     near = near.where("_n % 2 = 1").select(point_key, *rk)
     # runs are no longer than the widest ring
     widest = rings.groupBy(*rk).agg((F.max(_cell("lon", cell)) - F.min(_cell("lon", cell))).alias("_w")).agg(F.max("_w")).first()[0] or 0
@@ -129,7 +137,7 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, point_key: str, ring
     levels = range(int(widest).bit_length())
     q = p.select(point_key, F.explode(F.array(*[F.lit(n) for n in levels])).alias("_level"), F.col("_cx").alias("_c"), "_cy")
     q = q.withColumn("_cx", F.floor(F.col("_c") / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
-    return near.unionByName(q.join(full, ["_level", "_cx", "_cy"]).select(point_key, *rk))
+    return near.unionByName(q.join(full.hint("merge"), ["_level", "_cx", "_cy"]).select(point_key, *rk))
 
 
 def _segment_distance(px, py, x0, y0, x1, y1) -> tuple[Column, Column]:

@@ -214,3 +214,11 @@ def test_pick_in_widening_cells(spark, monkeypatch, full, crowd):
             want[k] = (layer, f, dist)
     assert got.keys() == want.keys() and out.count() == len(want)
     assert all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-12 for k in want)
+
+
+def test_points_are_counted_in_their_cells_by_many_tasks(spark):
+    ring = [(1, k, x, y) for k, (x, y) in enumerate([(0.0, 0.0), (0.9, 0.0), (0.9, 0.9), (0.0, 0.9), (0.0, 0.0)])]
+    pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.95, 0.5)], "p long, lon double, lat double")
+    out = spatial.points_in_polygons(pts, spark.createDataFrame(ring, "r long, seq long, lon double, lat double"), "p", "r", 1.0)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().sparkPlan().toString()
+    assert [tuple(x) for x in out.collect()] == [(1, 1)]
