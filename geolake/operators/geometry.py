@@ -108,67 +108,74 @@ def polygon_area(areas: DataFrame, feature: str = "feature_id", ring: str = "rin
 
 
 # --------------------------------------------------------------- simplification
-def _importance_np(x: np.ndarray, y: np.ndarray, floor: float) -> np.ndarray:
-    """Split distance of each vertex, capped by the splits above it. A vertex
-    survives a tolerance exactly when this value exceeds it. Segments whose
-    largest distance is not above ``floor`` are left unexplored (value 0)."""
-    n = len(x)
-    imp = np.zeros(n)
-    imp[0] = imp[-1] = np.inf
-    stack = [(0, n - 1, np.inf)]
-    while stack:
-        s, e, cap = stack.pop()
-        if e - s < 2:
-            continue
-        px, py = x[s + 1 : e], y[s + 1 : e]
+def _importance_np(x: np.ndarray, y: np.ndarray, floor: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Split distance of each vertex, capped by the splits above it, for lines one
+    after another that begin at ``starts``. A vertex survives a tolerance exactly when
+    this value exceeds it. Segments whose largest distance is not above ``floor`` (a
+    value per vertex) are left unexplored (value 0). All segments of a level are
+    split together: short lines cost no step of their own."""
+    imp = np.zeros(len(x))
+    s, e = starts, np.append(starts[1:], len(x)) - 1
+    imp[s] = imp[e] = np.inf
+    cap = np.full(len(s), np.inf)
+    while True:
+        more = e - s >= 2
+        s, e, cap = s[more], e[more], cap[more]
+        if not len(s):
+            return imp
+        size = e - s - 1
+        first = np.cumsum(size) - size
+        seg = np.repeat(np.arange(len(s)), size)
+        at = np.arange(len(seg)) + (s + 1 - first)[seg]
+        px, py, x0, y0 = x[at], y[at], x[s][seg], y[s][seg]
         dx, dy = x[e] - x[s], y[e] - y[s]
         len2 = dx * dx + dy * dy
-        if len2 == 0:
-            ex, ey = px - x[s], py - y[s]
-        else:
-            t = np.clip(((px - x[s]) * dx + (py - y[s]) * dy) / len2, 0.0, 1.0)
-            ex, ey = px - (x[s] + t * dx), py - (y[s] + t * dy)
+        dx, dy, len2 = dx[seg], dy[seg], np.where(len2 == 0, 1.0, len2)[seg]
+        t = np.clip(((px - x0) * dx + (py - y0) * dy) / len2, 0.0, 1.0)
+        ex, ey = px - (x0 + t * dx), py - (y0 + t * dy)
         d = np.sqrt(ex * ex + ey * ey)
-        m = int(np.argmax(d))
-        if d[m] > floor:
-            cap = min(cap, float(d[m]))
-            m += s + 1
-            imp[m] = cap
-            stack.append((s, m, cap))
-            stack.append((m, e, cap))
-    return imp
+        far = np.maximum.reduceat(d, first)
+        hit = np.flatnonzero((d == far[seg]) & (far > floor[s])[seg])
+        if not len(hit):
+            return imp
+        hit = hit[np.append(True, np.diff(seg[hit]) > 0)]  # the first maximum of each
+        g, m = seg[hit], at[hit]
+        cap = np.minimum(cap[g], far[g])
+        imp[m] = cap
+        s, e, cap = np.append(s[g], m), np.append(m, e[g]), np.append(cap, cap)
 
 
 def _lines_np(keys: list[str]):
     """Arrow function over rows sorted by line and vertex; whole lines are handed
-    to the numpy pass, however the batches fall."""
+    to the numpy pass, many at once, however the batches fall."""
+
+    def changes(pdf: pd.DataFrame) -> np.ndarray:
+        change = np.zeros(len(pdf) - 1, dtype=bool)
+        for c in keys:
+            k = pdf[c].to_numpy()
+            change |= k[1:] != k[:-1]
+        return np.flatnonzero(change) + 1
 
     def flush(parts: list[pd.DataFrame]) -> pd.DataFrame:
         pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
-        imp = _importance_np(pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), float(pdf["_tol"].iloc[0]))
-        return pdf.assign(importance=imp)
+        starts = np.append(0, changes(pdf))
+        return pdf.assign(importance=_importance_np(pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), pdf["_tol"].to_numpy(), starts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        held_key = None
+        held: list[pd.DataFrame] = []  # the last line, which may go on
         for pdf in batches:
             if not len(pdf):
                 continue
-            kcols = [pdf[c].to_numpy() for c in keys]
-            change = np.zeros(len(pdf) - 1, dtype=bool)
-            for c in kcols:
-                change |= c[1:] != c[:-1]
-            starts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(pdf)]])
-            done = []
-            for s, e in zip(starts, starts[1:]):
-                key = tuple(c[s] for c in kcols)
-                if held and key != held_key:
-                    done.append(flush(held))
-                    held = []
-                held.append(pdf.iloc[s:e])
-                held_key = key
+            goes_on = bool(held) and not any(held[-1][c].iloc[-1] != pdf[c].iloc[0] for c in keys)
+            at = changes(pdf)
+            if goes_on and not len(at):
+                held.append(pdf)
+                continue
+            last = int(at[-1]) if len(at) else 0
+            done = held + ([pdf.iloc[:last]] if last else [])
             if done:
-                yield pd.concat(done, ignore_index=True)
+                yield flush(done)
+            held = [pdf.iloc[last:]]
         if held:
             yield flush(held)
 
@@ -268,7 +275,7 @@ def simplify_to_budget(pings: DataFrame, budget: int, group: str, key, tolerance
     imp = importance(pings, [group, *_cols(key)], tol[0], **kw)
     level = F.size(F.filter(F.array(*[F.lit(x) for x in tol]), lambda x: x < F.col("importance")))
     text = F.concat_ws(",", F.round("lat", 6).cast("string"), F.round("lon", 6).cast("string"), F.col("t").cast("string"))
-    imp = imp.withColumns({"_level": level, "_bytes": F.length(text) + 3})
+    imp = cut(imp.withColumns({"_level": level, "_bytes": F.length(text) + 3}))  # used for the sizes, the report and the rows
     sizes = imp.groupBy(group, "_level").agg(F.sum("_bytes").alias("_b"), F.count("*").alias("_c"))
     # level L survives tolerances 0..L-1
     per = sizes.select(group, F.explode(F.sequence(F.lit(0), F.col("_level") - 1)).alias("k"), "_b", "_c")

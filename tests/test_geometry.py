@@ -102,3 +102,23 @@ def test_point_at_ends(spark):
     assert got[-0.5].lon == got[0.0].lon == 121.0
     assert got[1.0].lon == got[7.0].lon == pytest.approx(121.03)
     assert got[0.5].lon == pytest.approx(121.015, abs=1e-5) and got[0.5].elev == pytest.approx(17.5, abs=0.02)
+
+
+def test_short_lines_share_their_steps(monkeypatch):
+    """Many short lines of one batch are one step, and every one gets its own values."""
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(5)
+    lines = [[(round(rng.random(), 2), round(rng.random(), 2)) for _ in range(rng.randint(1, 12))] for _ in range(400)]
+    rows = pd.DataFrame([(k, x, y, 0.05) for k, pts in enumerate(lines) for x, y in pts], columns=["k", "_x", "_y", "_tol"])
+    calls, real = [], geo._importance_np
+    monkeypatch.setattr(geo, "_importance_np", lambda *a: calls.append(1) or real(*a))
+    half = len(rows) // 2
+    got = pd.concat(geo._lines_np(["k"])(iter([rows[:half], rows[half:]])))
+    assert len(calls) <= 3 and len(got) == len(rows)
+    for k, pts in enumerate(lines):
+        imp = got[got["k"] == k]["importance"].to_numpy()
+        for tol in (0.05, 0.2):
+            assert [i for i, v in enumerate(imp > tol) if v] == naive_dp(pts, tol), (k, tol)
+        assert np.isinf(imp[0]) and np.isinf(imp[-1])
