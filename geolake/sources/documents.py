@@ -15,18 +15,23 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import cut
+
 QUOTE, BACKSLASH, COLON = b'"\\:'
 OPEN, CLOSE = b"{[", b"}]"
 ANY = "*"
+IS_BRACKET = np.isin(np.arange(256), list(OPEN + CLOSE))
 
 
 @dataclass(frozen=True)
@@ -71,11 +76,25 @@ def _quotes(b: np.ndarray) -> np.ndarray:
     return np.setdiff1d(q, escaped) if escaped else q
 
 
-def _brackets(b: np.ndarray, quotes: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+def _marks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the quotes; places of all brackets, +1 or -1 for each, and whether an
+    odd number of quotes stands before it."""
+    b = np.frombuffer(data, np.uint8)
+    quotes = _quotes(b)
+    at = np.flatnonzero(IS_BRACKET[b])
+    return quotes, at, np.where((b[at] == OPEN[0]) | (b[at] == OPEN[1]), 1, -1), np.searchsorted(quotes, at) % 2 == 1
+
+
+def _brackets(marks: tuple, inside: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places of the brackets outside strings, and +1 or -1 for each."""
-    at = np.flatnonzero((b == OPEN[0]) | (b == OPEN[1]) | (b == CLOSE[0]) | (b == CLOSE[1]))
-    at = at[(np.searchsorted(quotes, at) + inside) % 2 == 0]
-    return at, np.where((b[at] == OPEN[0]) | (b[at] == OPEN[1]), 1, -1)
+    _, at, d, odd = marks
+    out = odd == inside
+    return at[out], d[out]
+
+
+@lru_cache(1000)
+def _key(raw: bytes) -> str:
+    return json.loads(b'"' + raw + b'"')
 
 
 def _container(data: bytes, quotes: np.ndarray, p: int, base: int, before: bytes) -> Container:
@@ -88,15 +107,15 @@ def _container(data: bytes, quotes: np.ndarray, p: int, base: int, before: bytes
         n = int(np.searchsorted(quotes, k))
         start = int(quotes[n - 2]) + 1 if n > 1 else 0
         raw = (b"" if n > 1 else before) + data[start : int(quotes[n - 1])]
-        key = json.loads(b'"' + raw + b'"')
+        key = _key(raw)
     return Container(data[p], key, base + p)
 
 
-def advance(state: State, data: bytes) -> State:
+def advance(state: State, data: bytes, marks: tuple | None = None) -> State:
     """The state after ``data``, which ends with a ``}`` or the file."""
-    b = np.frombuffer(data, np.uint8)
-    q = _quotes(b)
-    at, d = _brackets(b, q, state.inside)
+    marks = marks or _marks(data)
+    q = marks[0]
+    at, d = _brackets(marks, state.inside)
     level = np.cumsum(d)
     low = min(0, int(level.min())) if len(level) else 0
     end = int(level[-1]) if len(level) else 0
@@ -114,15 +133,13 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int]
     """Bytes of consecutive pieces of one range."""
     for batch in batches:
         values, files, starts = (batch.column(k) for k in range(3))
-        files, starts = files.to_pylist(), starts.to_pylist()
-        at = 0
-        while at < batch.num_rows:
-            stop = at + 1
-            while stop < batch.num_rows and files[stop] == files[at] and starts[stop] == starts[at]:
-                stop += 1
-            pieces = values.slice(at, stop - at).cast(pa.binary()).to_pylist()
-            yield (files[at], starts[at]), b"}".join(pieces) + b"}"
-            at = stop
+        starts, ids = starts.to_numpy(zero_copy_only=False), files.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        at = np.flatnonzero((starts[1:] != starts[:-1]) | (ids[1:] != ids[:-1])) + 1
+        cuts = [0, *at.tolist(), batch.num_rows] if batch.num_rows else []
+        for a, z in zip(cuts, cuts[1:]):
+            pieces = values.slice(a, z - a).cast(pa.large_binary())
+            whole = pc.binary_join(pa.LargeListArray.from_arrays([0, z - a], pieces), pa.scalar(b"}", pa.large_binary()))
+            yield (files[a].as_py(), int(starts[a])), whole[0].as_py() + b"}"
 
 
 SIDE = "file string, start long, from_string boolean, inside boolean, closed int, stack array<struct<kind:int,key:string,offset:long>>, partial binary, size long"
@@ -146,12 +163,14 @@ def _states(pieces: DataFrame) -> dict[tuple[str, int], State]:
                 if now is not None:
                     yield rows()
                 now, both = where, {h: State(h) for h in (False, True)}
-            both = {h: advance(s, data) for h, s in both.items()}
+            marks = _marks(data)
+            both = {h: advance(s, data, marks) for h, s in both.items()}
         if now is not None:
             yield rows()
 
     got: dict[str, dict[int, dict[bool, State]]] = {}
-    for r in pieces.mapInArrow(run, schema).toLocalIterator():
+    # all at once: an iterator would run the tasks one after another
+    for r in pieces.mapInArrow(run, schema).collect():
         stack = tuple(Container(c["kind"], c["key"], c["offset"]) for c in r["stack"])
         side = State(r["inside"], r["closed"], stack, bytes(r["partial"]), r["size"])
         got.setdefault(r["file"], {}).setdefault(r["start"], {})[r["from_string"]] = side
@@ -177,9 +196,9 @@ def _cut_out(state: State, data: bytes, path: tuple[str, ...] | None, rest: bool
     """Elements in ``data`` as (kind, offset, keys, bytes): ``start``, ``middle`` and
     ``end`` are parts of one, ``whole`` is one, ``rest`` is what stands outside."""
     depth = len(path) + 2 if path is not None else 1
-    b = np.frombuffer(data, np.uint8)
-    q = _quotes(b)
-    at, d = _brackets(b, q, state.inside)
+    marks = _marks(data)
+    q = marks[0]
+    at, d = _brackets(marks, state.inside)
     level = len(state.stack) + np.cumsum(d)
     shown = np.flatnonzero(np.where(d > 0, level <= depth, level < depth))
     stack = list(state.stack[:depth])  # what lies deeper inside an element is not looked at
@@ -189,9 +208,17 @@ def _cut_out(state: State, data: bytes, path: tuple[str, ...] | None, rest: bool
     within = _fits(tuple(stack[: depth - 1]), path) and path is not None
     begin, free = 0, 0  # where the element's bytes here, and those outside, begin
     partly, stop = taking, len(data)
-    for k in shown.tolist():
-        p = int(at[k])
-        if d[k] > 0:
+    places, opens = at[shown].tolist(), (d[shown] > 0).tolist()
+    ready, here = not taking and len(stack) == depth - 1 and _fits(tuple(stack), path), keys()
+    i, n = 0, len(places)
+    while i < n:
+        p = places[i]
+        if ready and opens[i] and data[p] == OPEN[0] and i + 1 < n:
+            # what is deeper is not shown: the next one closes this element
+            out.append(("whole", state.offset + p, here, data[p : places[i + 1] + 1]))
+            i += 2
+            continue
+        if opens[i]:
             c = _container(data, q, p, state.offset, state.partial)
             if len(stack) == depth - 1 and c.kind == OPEN[0] and _fits(tuple(stack), path):
                 taking, partly, begin = True, False, p
@@ -210,11 +237,21 @@ def _cut_out(state: State, data: bytes, path: tuple[str, ...] | None, rest: bool
                 taking = False
             elif within and len(stack) == depth - 2:
                 within, free = False, p
+        ready = not taking and len(stack) == depth - 1 and _fits(tuple(stack), path)
+        here = keys() if ready else ()
+        i += 1
     if taking:
         out.append(("middle" if partly else "start", stack[depth - 1].offset, keys(), data[begin:]))
     if rest and path is not None and not within:
         out.append(("rest", state.offset + free, (), data[free:stop]))
-    return advance(state, data), out
+    return advance(state, data, marks), out
+
+
+def _texts(texts: tuple[bytes, ...]) -> pa.Array:
+    try:
+        return pa.array(texts, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
 
 
 def _below(file: str, path: str) -> str:
@@ -252,11 +289,11 @@ def read_elements(spark: SparkSession, path: str, at: tuple[str, ...] | None, re
             if found:
                 kinds, offsets, keys, texts = zip(*found, strict=True)
                 m = len(found)
-                cols = {"file": [_below(where[0], path)] * m, "offset": offsets, "range": [where[1]] * m, "seq": range(n, n + m), "kind": kinds, "keys": [list(k) for k in keys], "text": [t.decode("utf-8", "replace") for t in texts]}
+                cols = {"file": [_below(where[0], path)] * m, "offset": offsets, "range": [where[1]] * m, "seq": range(n, n + m), "kind": kinds, "keys": keys, "text": _texts(texts)}
                 n += m
                 yield pa.RecordBatch.from_pydict(cols, schema=arrow)
 
-    rows = own.mapInArrow(run, schema)
+    rows = cut(own.mapInArrow(run, schema))  # read once, for the whole ones and the pieces
     pieces = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "seq", "text"))), lambda p: p["text"]), "").alias("text")
     whole = rows.where("kind = 'whole'").select("file", "offset", "keys", "text")
     parts = rows.where("kind in ('start', 'middle', 'end')").groupBy("file", "offset", "keys").agg(pieces)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
 from .documents import ANY, read_elements
 
 PAIR = "array<double>"
@@ -128,7 +127,7 @@ def read_corridor_timetable(spark: SparkSession, path: str) -> tuple[DataFrame,
         tracks = tracks.select("track_id", F.from_json("_t", TRACK).alias("t"))
         d = tracks.select("track_id", F.col("t.name").alias("track"), F.explode("t.departures").alias("d"))
     else:
-        found = cut(read_elements(spark, path, (ANY, "departures"), rest=True))
+        found = read_elements(spark, path, (ANY, "departures"), rest=True)
         names = found.where("offset < 0").select("file", F.explode(F.from_json("text", "map<string,string>")).alias("track_id", "_t"))
         names = names.select("file", "track_id", F.get_json_object("_t", "$.name").alias("track"))
         d = found.where("offset >= 0").select("file", F.get("keys", F.lit(0)).alias("track_id"), F.from_json("text", DEPARTURE).alias("d"))

@@ -91,3 +91,27 @@ def test_ids_follow_no_split_and_no_folder(spark, tmp_path):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
             spark.conf.unset("spark.sql.files.openCostInBytes")
     assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 800 and len({r[0] for r in seen[0]}) == 400
+
+
+def test_all_splits_are_summed_up_at_once(spark, tmp_path):
+    """One job looks at all ranges side by side, and one pass cuts out whole elements,
+    pieces and the rest: none of it is read again for each use."""
+    for k in range(3):
+        (tmp_path / f"d{k}.json").write_text(json.dumps({"v": k, "features": [{"n": n, "s": "}" * 5} for n in range(100)]}))
+    sc = spark.sparkContext
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        sc.setJobGroup("elements", "elements")
+        rows = d.read_elements(spark, str(tmp_path), ("features",), rest=True)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("elements"))
+        for k in range(3):
+            (tmp_path / f"d{k}.json").unlink()
+        got = rows.collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert jobs <= 4
+    assert sorted(json.loads(r.text)["n"] for r in got if r.offset >= 0) == sorted(list(range(100)) * 3)
+    assert sorted(json.loads(r.text)["v"] for r in got if r.offset < 0) == [0, 1, 2]
