@@ -204,3 +204,16 @@ def test_legs_by_lists_of_parts(spark):
     # a station is a row or two, however many parts it is on
     many = spark.range(300).select(F.lit("S0").alias("station"), F.col("id").alias("part_id"), F.lit(0.5).alias("ratio"))
     assert fleet.station_lists(many).count() == 1
+
+
+def test_ranks_are_dealt_by_rows(spark, monkeypatch):
+    """Without a large key too, tasks follow the rows and not their bytes."""
+    from geolake.operators import ordered
+
+    monkeypatch.setattr(ordered, "ROWS_HELD", 100, raising=False)
+    df = spark.range(3000).select((F.col("id") % 60).alias("k"), (F.col("id") * 7919 % 3000).alias("v"))
+    ranks = spark.range(60).select(F.col("id").alias("k"), F.lit(3).alias("rank"))
+    got = nth_values(df, "k", "v", ranks).withColumn("_p", F.spark_partition_id()).collect()
+    want = {k: sorted(i * 7919 % 3000 for i in range(k, 3000, 60))[3] for k in range(60)}
+    assert {r.k: r.v for r in got} == want
+    assert len({r["_p"] for r in got}) > 8
