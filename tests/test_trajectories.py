@@ -217,3 +217,17 @@ def test_ranks_are_dealt_by_rows(spark, monkeypatch):
     want = {k: sorted(i * 7919 % 3000 for i in range(k, 3000, 60))[3] for k in range(60)}
     assert {r.k: r.v for r in got} == want
     assert len({r["_p"] for r in got}) > 8
+
+
+def test_legs_are_dealt_by_stops(spark, monkeypatch):
+    """Every step on a timetable has tasks in number to its stops."""
+    from geolake.operators import aggs, fleet, ordered
+
+    monkeypatch.setattr(ordered, "ROWS_HELD", 100, raising=False)
+    stops = spark.range(3000).selectExpr("id % 500 as trip_id", "id div 500 + 1 as seq", "concat('S', id % 90) as station", "0L as arr_sec", "0L as dep_sec")
+    track = spark.range(90).selectExpr("id % 10 as part_id", "concat('S', id) as station", "id / 90 as ratio", "0e0 as dist_m")
+    legs = fleet.resolve_legs(stops, track).withColumn("matched", F.col("part_id") >= 0)
+    pairs = aggs.failing_pairs(legs.withColumn("matched", F.lit(False))).withColumn("_p", F.spark_partition_id()).collect()
+    assert sum(r.n for r in pairs) == 2500 and len({r["_p"] for r in pairs}) > 8
+    report = aggs.coverage(legs, stops.select("trip_id").distinct(), stops, track).first()
+    assert (report.trips, report.legs, report.stops_dropped) == (500, 2500, 0)
