@@ -229,5 +229,6 @@ def test_legs_are_dealt_by_stops(spark, monkeypatch):
     legs = fleet.resolve_legs(stops, track).withColumn("matched", F.col("part_id") >= 0)
     pairs = aggs.failing_pairs(legs.withColumn("matched", F.lit(False))).withColumn("_p", F.spark_partition_id()).collect()
     assert sum(r.n for r in pairs) == 2500 and len({r["_p"] for r in pairs}) > 8
+    assert aggs.failing_pairs(legs).schema["a"].metadata["tasks"] > 8  # for the search for bridges
     report = aggs.coverage(legs, stops.select("trip_id").distinct(), stops, track).first()
     assert (report.trips, report.legs, report.stops_dropped) == (500, 2500, 0)
