@@ -3,8 +3,10 @@
 Every string of ``length`` bytes holds one smallest ``GRAM``-byte piece (by hash, the
 leftmost of equal ones); neighbouring strings with the same piece form a segment.
 Equal strings have equal pieces, so segments are grouped by piece, and groups with a
-single segment can't hold a repeat. The other groups are packed into shards of bounded
-size; each shard's suffix array comes from induced sorting, and its permuted common
+single segment can't hold a repeat. Every string of a segment that occurs twice is a
+repeat, so groups of such segments alone are done. The other groups are packed into
+shards of bounded size; strings whose hash no other string of the shard has are left
+out, the suffix array of the rest comes from induced sorting, and its permuted common
 prefixes tell which strings start twice. Groups with too many segments are split by
 the bytes beside the piece, left or right, whichever side the string has more of.
 """
@@ -16,7 +18,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -170,21 +172,48 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return phi, np.where(has, plcp[head_of] - (i - head_of), 0)
 
 
-def starts_twice(segments: list[bytes], copied: list[bool], length: int = LENGTH) -> list[np.ndarray]:
-    """For each segment, at which of its positions a string of ``length`` bytes starts
-    that starts anywhere else in the shard, or all if the segment itself is copied."""
-    k = len(segments)
-    s = np.concatenate([np.concatenate([np.frombuffer(x, np.uint8).astype(np.int32) + (k + 1), np.array([j + 1], np.int32)]) for j, x in enumerate(segments)] + [np.zeros(1, np.int32)])
-    sa = suffix_array(s)
-    phi, lcp = common_prefixes(s, sa)
-    twice = lcp >= length
-    twice[phi[np.flatnonzero(twice)]] = True
-    out, at = [], 0
-    for x, same in zip(segments, copied, strict=True):
-        n = max(0, len(x) - length + 1)
-        out.append(np.ones(n, bool) if same else twice[at : at + n])
-        at += len(x) + 1
-    return out
+def _hashed_twice(text: np.ndarray, start: np.ndarray, count: np.ndarray, single: np.ndarray, length: int) -> np.ndarray:
+    """The positions whose string's hash comes twice, at least once in a single segment:
+    all real repeats that matter, and the strings they repeat, are among them."""
+    at = np.arange(count.sum()) + (start - np.cumsum(count) + count).repeat(count)
+    h = _grams(text, length)[at]
+    order = h.argsort(kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    times = np.diff(np.append(first, len(h)))
+    wanted = (times > 1) & np.logical_or.reduceat(single.repeat(count)[order], first)
+    return at[order[wanted.repeat(times)]]
+
+
+def starts_twice(segments: list[bytes], copied: list[bool], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start, number): the runs of strings of ``length`` bytes in the segments
+    not copied that start anywhere else in the shard."""
+    size = np.array([len(x) for x in segments], np.int64)
+    start = np.cumsum(size + 1) - size - 1
+    count, single = np.maximum(size - length + 1, 0), ~np.array(copied, bool)
+    twice = np.zeros(int((size + 1).sum()), bool)
+    if count[single].any():
+        text = np.frombuffer(b"\0".join(segments), np.uint8)
+        at = _hashed_twice(text, start, count, single, length)
+        edge = np.bincount(at, minlength=len(text) + 1) - np.bincount(at + length, minlength=len(text) + 1)
+        kept = np.flatnonzero(np.cumsum(edge) > 0)  # the bytes of these strings; never those between segments
+        if len(kept):
+            # each stretch of kept bytes ends with a letter of its own
+            piece = np.cumsum(np.concatenate([[False], np.diff(kept) > 1]))
+            k = int(piece[-1]) + 1
+            slot = np.arange(len(kept)) + piece
+            s = np.zeros(len(kept) + k + 1, np.int32)
+            s[slot] = text[kept].astype(np.int32) + (k + 1)
+            s[np.append(slot[np.flatnonzero(np.diff(piece))], slot[-1]) + 1] = np.arange(1, k + 1)
+            phi, lcp = common_prefixes(s, suffix_array(s))
+            long = lcp >= length
+            long[phi[np.flatnonzero(long)]] = True
+            twice[kept] = long[slot]
+            twice &= single.repeat(size + 1)
+    edge = np.diff(np.concatenate([[False], twice]).astype(np.int8))
+    a, b = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    segment = start.searchsorted(a, "right") - 1
+    return segment, a - start[segment], b - a
 
 
 # --- segments --------------------------------------------------------------------
@@ -372,41 +401,40 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
         # rows that stand for equal documents count as often as before
         again = halves.join(times.withColumnRenamed("_at", "_old"), ["_node", "_old"]).withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
         segs = cut(cold.unionByName(_shared(again.select("_key", "_seg", "_node", "_at"))))
-    reps = cut(segs.groupBy("_key", "_seg").agg(F.count("*").alias("_n"), F.min(F.struct("_node", "_at")).alias("_rep")))
-    total = reps.agg(F.sum(_count("_rep._at") + length - 1)).first()[0] or 0
+    reps = segs.groupBy("_key", "_seg").agg(F.count("*").alias("_n"), F.min(F.struct("_node", "_at")).alias("_rep"))
+    group = Window.partitionBy("_key")
+    mixed = (F.count("*").over(group) > 1) & (F.min("_n").over(group) == 1)
+    reps = cut(reps.select("_key", "_seg", (F.col("_n") > 1).alias("_copied"), "_rep._node", "_rep._at", mixed.alias("_mixed")))
+    copies = segs.join(reps.where("_copied").select("_key", "_seg"), ["_key", "_seg"], "left_semi")
+    copies = copies.select("_node", _start("_at").cast("int").alias("at"), _count("_at").cast("int").alias("n"))
+    mixed = reps.where("_mixed")
+    total = mixed.agg(F.sum(_count("_at") + length - 1)).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD))
-    lists = reps.groupBy("_rep._node").agg(F.collect_list(F.struct("_key", "_seg", "_n", "_rep._at")).alias("_list"))
+    lists = mixed.groupBy("_node").agg(F.collect_list(F.struct("_key", "_copied", "_at")).alias("_list"))
 
     def fetching():
         def step(b):
-            out = {n: [] for n in ("_key", "_seg", "_copied", "_bytes")}
-            for z, parts in zip(b["_z"], b["_list"], strict=True):
+            out = {n: [] for n in ("_key", "_copied", "_node", "_start", "_bytes")}
+            for node, z, parts in zip(b["_node"], b["_z"], b["_list"], strict=True):
                 data = _open(z)
                 for p in parts:
                     start, count, _, _ = _unpack(p["_at"])
-                    for n, v in zip(out, (p["_key"], p["_seg"], p["_n"] > 1, data[start : start + count + length - 1]), strict=True):
+                    for n, v in zip(out, (p["_key"], p["_copied"], node, start, data[start : start + count + length - 1]), strict=True):
                         out[n].append(v)
             return out
 
         return step
 
     one = packed.select("_node", "_z").join(lists, "_node").dropDuplicates(["_node"])
-    fetched = map_batches(one.select("_z", "_list"), "_key long, _seg long, _copied boolean, _bytes binary", fetching, 1 << 20)
-    fetched = fetched.withColumn("_shard", F.pmod(F.xxhash64("_key"), F.lit(shards)))
+    fetched = map_batches(one, "_key long, _copied boolean, _node long, _start int, _bytes binary", fetching, 1 << 20)
+    fetched = fetched.withColumn("_shard", F.pmod(F.xxhash64("_key"), F.lit(shards))).drop("_key")
 
     def sort_shard(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["_key", "_seg"])
-        runs = []
-        for twice in starts_twice(g["_bytes"].tolist(), g["_copied"].tolist(), length):
-            d = np.diff(np.concatenate([[0], twice.astype(np.int8), [0]]))
-            a, b = np.flatnonzero(d > 0), np.flatnonzero(d < 0)
-            runs.append([{"at": int(x), "n": int(y - x)} for x, y in zip(a, b, strict=True)])
-        return pd.DataFrame({"_key": g["_key"], "_seg": g["_seg"], "_found": runs})
-
-    found = fetched.groupBy("_shard").applyInPandas(sort_shard, "_key long, _seg long, _found array<struct<at:int,n:int>>").where("size(_found) > 0")
-    hit = segs.select("_key", "_seg", "_node", _start("_at").alias("_start")).join(found, ["_key", "_seg"])
-    hit = hit.select("_node", F.explode(F.transform("_found", lambda r: F.struct((F.col("_start") + r["at"]).alias("at"), r["n"].alias("n")))).alias("_r"))
-    return hit.groupBy("_node").agg(F.sort_array(F.collect_set("_r")).alias("_runs"))
+        segment, at, n = starts_twice(g["_bytes"].tolist(), g["_copied"].tolist(), length)
+        return pd.DataFrame({"_node": g["_node"].to_numpy()[segment], "at": g["_start"].to_numpy()[segment] + at, "n": n})
+
+    found = fetched.groupBy("_shard").applyInPandas(sort_shard, "_node long, at int, n int")
+    return copies.unionByName(found).groupBy("_node").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("_runs"))
 
 
 def _shared(segs: DataFrame, keys: DataFrame | None = None) -> DataFrame:

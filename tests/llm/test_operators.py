@@ -313,6 +313,51 @@ def test_repeats_edges(edge, none):
     assert bytes(long.kept) == b"" and len(long.spans) == 1
 
 
+def runs_of(segments, copied, length):
+    return {(int(j), int(at) + d) for j, at, n in zip(*suffix.starts_twice(segments, copied, length), strict=True) for d in range(int(n))}
+
+
+def test_shard_sorts_only_what_may_repeat(monkeypatch):
+    sizes = []
+    real = suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda s: sizes.append(len(s)) or real(s))
+    rnd = random.Random(2)
+    noise = lambda n: bytes(rnd.randrange(256) for _ in range(n))
+    piece, passage = noise(48), noise(210)
+    apart = [noise(150) + piece + noise(150) for _ in range(50)]
+    assert runs_of(apart, [False] * 50, 200) == set() and not sizes  # a shared piece alone is not sorted
+    both = [*apart, noise(100) + passage, passage + noise(100)]
+    assert runs_of(both, [False] * 52, 200) == {(50, 100 + i) for i in range(11)} | {(51, i) for i in range(11)}
+    assert max(sizes) <= 2 * 211 + 1
+
+
+@pytest.mark.parametrize("bits", [0, 3, 2**64 - 1])  # equal hashes of different strings change nothing
+def test_shard_against_brute_force(bits, monkeypatch):
+    real = suffix._grams
+    monkeypatch.setattr(suffix, "_grams", lambda c, k: real(c, k) & np.uint64(bits))
+    rnd = random.Random(bits % 11)
+    letters = lambda n: bytes(rnd.choice(b"\0\1\xff") for _ in range(n))
+    for _ in range(100):
+        length, base = rnd.choice([3, 5, 48]), letters(90)
+        segments = [letters(rnd.randrange(12)) + base[rnd.randrange(60) : rnd.randrange(91)] + letters(rnd.randrange(12)) for _ in range(rnd.randrange(1, 9))]
+        copied = [rnd.random() < 0.3 for _ in segments]
+        seen = Counter(x[i : i + length] for x in segments for i in range(len(x) - length + 1))
+        want = {(j, i) for j, x in enumerate(segments) if not copied[j] for i in range(len(x) - length + 1) if seen[x[i : i + length]] > 1}
+        assert runs_of(segments, copied, length) == want
+
+
+def test_repeats_of_copied_and_single_segments(spark, monkeypatch):
+    """One passage whole, in part and beside other bytes: copies and single strings of one group."""
+    rnd = random.Random(8)
+    noise = lambda n: "".join(chr(rnd.randrange(33, 127)) for _ in range(n))
+    passage = noise(700)
+    texts = [passage, passage, passage[100:400], noise(80) + passage[150:500] + noise(80), noise(300), passage[:199], noise(250) * 2]
+    for shard in (1 << 20, 500):
+        monkeypatch.setattr(suffix, "SHARD", shard)
+        got = {r.doc_id: bytes(r.kept) for r in suffix.remove_repeats(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_removed(texts, 200)
+
+
 # --- scores ----------------------------------------------------------------------
 
 
