@@ -28,6 +28,8 @@ LENGTH, GRAM = 200, 48
 PIECE = 4096  # strings in one segment at most
 SHARD = 2 << 20  # bytes of a shard
 CROWDED = 10_000  # segments of a group, about 3 MB
+HOT = 10_000  # segments of a key that one task of a join meets; more are dealt over several
+LISTED = 100_000  # keys at most that are sent to all tasks to be dealt so
 BROADCAST = 200_000  # texts whose segment lists (at most 50 MB) are sent to all tasks; more are joined by a shuffle
 BLOCK = 8 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -369,12 +371,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
     segs = map_batches(own, SEGMENT, cutting, 1 << 20)
     segs = cut(_shared(segs, map_batches(own.select("_text"), "_key long", keys, 1 << 20)))
     while True:
-        distinct = segs.groupBy("_key", "_seg").agg(F.lit(1).alias("_one"))
-        crowd = distinct.groupBy("_key").agg(F.count("*").alias("_m")).where(F.col("_m") > CROWDED).select("_key")
-        hot = cut(segs.where(F.col("_at").bitwiseAND(255) < length).join(crowd, "_key", "left_semi"))
-        if hot.isEmpty():
+        distinct = segs.where(F.col("_at").bitwiseAND(255) < length).groupBy("_key", "_seg").agg(F.count("*").alias("_n"))
+        crowd = cut(distinct.groupBy("_key").agg(F.count("*").alias("_m"), F.sum("_n").alias("_n")).where(F.col("_m") > CROWDED).select("_key", "_n"))
+        if crowd.isEmpty():
             break
-        cold = segs.join(hot.select("_key").distinct(), "_key", "left_anti")
+        hot = cut(_dealt(segs.where(F.col("_at").bitwiseAND(255) < length), crowd, ["_key"], "left_semi"))
+        cold = _dealt(segs, crowd, ["_key"], "left_anti")
         lists = hot.groupBy("_node").agg(F.collect_set("_at").alias("_list"))
         times = hot.groupBy("_node", "_at").agg(F.count("*").alias("_times"))
 
@@ -404,13 +406,13 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
     reps = segs.groupBy("_key", "_seg").agg(F.count("*").alias("_n"), F.min(F.struct("_node", "_at")).alias("_rep"))
     group = Window.partitionBy("_key")
     mixed = (F.count("*").over(group) > 1) & (F.min("_n").over(group) == 1)
-    reps = cut(reps.select("_key", "_seg", (F.col("_n") > 1).alias("_copied"), "_rep._node", "_rep._at", mixed.alias("_mixed")))
-    copies = segs.join(reps.where("_copied").select("_key", "_seg"), ["_key", "_seg"], "left_semi")
+    reps = cut(reps.select("_key", "_seg", "_n", "_rep._node", "_rep._at", mixed.alias("_mixed")))
+    copies = _dealt(segs, reps.where("_n > 1"), ["_key", "_seg"], "left_semi")
     copies = copies.select("_node", _start("_at").cast("int").alias("at"), _count("_at").cast("int").alias("n"))
     mixed = reps.where("_mixed")
     total = mixed.agg(F.sum(_count("_at") + length - 1)).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD))
-    lists = mixed.groupBy("_node").agg(F.collect_list(F.struct("_key", "_copied", "_at")).alias("_list"))
+    lists = mixed.groupBy("_node").agg(F.collect_list(F.struct("_key", (F.col("_n") > 1).alias("_copied"), "_at")).alias("_list"))
 
     def fetching():
         def step(b):
@@ -439,8 +441,21 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
 
 def _shared(segs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Segments whose piece another segment has too. ``keys`` has their keys alone."""
-    twice = (segs if keys is None else keys).groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
-    return segs.join(twice, "_key", "left_semi")
+    twice = cut((segs if keys is None else keys).groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1"))
+    return _dealt(segs, twice, ["_key"], "left_semi")
+
+
+def _dealt(segs: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """The semi or anti join of segments with ``keys``, which say in ``_n`` how many segments
+    they have. Keys of more than ``HOT`` are dealt over several tasks by text and place."""
+    total = keys.agg(F.sum("_n")).first()[0] or 0
+    most = max(HOT, int(total) // LISTED)
+    parts = F.ceil(F.col("_n") / most)
+    many = keys.where(F.col("_n") > most).select(*on, parts.alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("_node", "_at"), "_parts"), F.lit(0).cast("long"))
+    own = segs.join(F.broadcast(many), on, "left").withColumn("_part", part)
+    every = keys.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    return own.join(every, [*on, "_part"], how).select(segs.columns)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -358,6 +358,31 @@ def test_repeats_of_copied_and_single_segments(spark, monkeypatch):
         assert [got[i] for i in range(len(texts))] == brute_removed(texts, 200)
 
 
+def test_hot_pieces_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 100, raising=False)
+    rows = spark.range(4000).selectExpr("if(id < 3900, 1L, id) as _key", "1L as _seg", "id as _node", "id % 7 as _at").union(spark.sql("select 4000L, 1L, 1L, 1L"))
+    rows = rows.unionByName(rows.where("_key = 3999"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = suffix._shared(rows)
+        assert sorted({r._key for r in got.collect()}) == [1, 3999] and got.count() == 3902
+        tasks = [r["count"] for r in got.where("_key = 1").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 3900 and max(tasks) < 2000
+
+
+def test_repeats_with_hot_pieces(spark, monkeypatch):
+    texts = repeated_corpus(random.Random(6))
+    want = brute_removed(texts, 200)
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    for crowded, hot, listed in ((2000, 1, 10**6), (2, 3, 10**6), (2000, 1, 20)):  # the last one lists few keys
+        for name, value in (("CROWDED", crowded), ("HOT", hot), ("LISTED", listed)):
+            monkeypatch.setattr(suffix, name, value, raising=False)
+        got = {r.doc_id: bytes(r.kept) for r in suffix.remove_repeats(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 # --- scores ----------------------------------------------------------------------
 
 
