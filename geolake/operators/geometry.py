@@ -400,7 +400,9 @@ def point_at(ratios: DataFrame, vertices: DataFrame, key="part_id") -> DataFrame
     q = ratios.withColumn("_q", clamp("ratio", 0.0, 1.0))
     q = q.withColumn("_b", b(F.col("_q")))
     last = (F.col("_r1") >= 1.0) & (F.col("_q") >= 1.0)
-    j = q.join(s, [*key, "_b"]).where(((F.col("_q") >= F.col("_r0")) & (F.col("_q") < F.col("_r1"))) | last)
+    # sizes are guessed from the lines' files, of which one row makes many segments,
+    # so the optimizer would send all of them to the driver; in order both sides spill
+    j = q.join(s.hint("merge"), [*key, "_b"]).where(((F.col("_q") >= F.col("_r0")) & (F.col("_q") < F.col("_r1"))) | last)
     t = (F.col("_q") - F.col("_r0")) / (F.col("_r1") - F.col("_r0"))
     keep = [c for c in ratios.columns]
     return j.select(*keep, "length_m", *[(F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * t).alias(c) for c in carry])

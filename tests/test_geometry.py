@@ -104,6 +104,24 @@ def test_point_at_ends(spark):
     assert got[0.5].lon == pytest.approx(121.015, abs=1e-5) and got[0.5].elev == pytest.approx(17.5, abs=0.02)
 
 
+def test_point_at_keeps_lines_off_the_driver(spark):
+    """Lines that look small beside many ratios but make many segments: the job must not
+    need a copy of them all in one place."""
+    v = spark.range(1000).selectExpr("id as part_id", "explode(sequence(0L, 19L)) as seq").selectExpr(
+        "part_id", "seq", "121 + part_id * 1e-3 as lon", "23 + seq * 1e-3 as lat", "cast(seq as double) as elev")
+    q = spark.range(100_000).selectExpr("id", "id % 1000 as part_id", "cast(floor(id / 1000) as bigint) / 99e0 as ratio")
+    name = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1m")
+    try:
+        p = geo.point_at(q, v)
+        off = F.greatest(F.abs(p.lon - 121 - p.part_id * 1e-3), F.abs(p.lat - 23 - p.ratio * 19e-3), F.abs(p.elev - p.ratio * 19))
+        got = p.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max(off).alias("off")).first()
+    finally:
+        spark.conf.set(name, before)
+    assert got.n == got.ids == 100_000 and got.off < 0.01
+
+
 def test_short_lines_share_their_steps(monkeypatch):
     """Many short lines of one batch are one step, and every one gets its own values."""
     import numpy as np
